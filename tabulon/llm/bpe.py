@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,16 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabulon.llm.common import blocks, table
+from tabulon.llm.common import blocks, short_batches, table
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 256
 CELLS = 1 << 16
 #: Distinct pieces that a worker remembers; when full it forgets them all, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A text of more characters is split in several steps, so that its pieces are never all in memory.
 LONG = 4_000_000
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 class ByteBpe:
@@ -41,7 +42,6 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.tokens = {r: t for t, r in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known: dict[str, bytes] = {}
         keys, values = [], []
@@ -51,7 +51,6 @@ class ByteBpe:
                 if left is not None and (right := ranks.get(token[k:])) is not None:
                     keys.append(left << 32 | right)
                     values.append(rank)
-        self.pairs = dict(zip(keys, values, strict=True))
         self._fill(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32))
         every = np.repeat(self.byte, 256), np.tile(self.byte, 256)
         self.byte_pairs = self.pair_ranks(*every).reshape(256, 256)
@@ -142,6 +141,11 @@ class ByteBpe:
             rank[inner, best[inner] - 1] = self.pair_ranks(ids[inner, best[inner] - 1], least[inner])
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        used = self.slot_keys >= 0
+        return dict(zip(self.slot_keys[used].tolist(), self.slot_ranks[used].tolist(), strict=True))
+
     def _merge_long(self, piece: bytes) -> np.ndarray:
         ids = [int(self.byte[x]) for x in piece]
         n = len(ids)
@@ -200,6 +204,11 @@ class ByteBpe:
             out.append(b"".join(map(self.known.__getitem__, part)))
         return b"".join(out)
 
+
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {r: t for t, r in ranks.items()}
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
@@ -213,7 +222,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-_loaded: dict[tuple, ByteBpe] = {}
+_loaded: dict[tuple, ByteBpe | Decoder] = {}
 
 
 def loaded(data: bytes, pattern: str) -> ByteBpe:
@@ -224,10 +233,18 @@ def loaded(data: bytes, pattern: str) -> ByteBpe:
     return _loaded[key]
 
 
+def decoder(data: bytes) -> Decoder:
+    key = (hash(data), len(data))
+    if key not in _loaded:
+        _loaded[key] = Decoder(parse_ranks(data))
+    return _loaded[key]
+
+
 class Tokenizer:
     """Column functions that encode and decode. The rank file is read on the driver and broadcast: its size is that of the vocabulary."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        short_batches(spark)
         self.pattern = pattern
         self.shared = spark.sparkContext.broadcast(rank_file(path))
 
@@ -245,11 +262,11 @@ class Tokenizer:
 
     def decode(self, ids: Column) -> Column:
         """binary -> binary: the bytes of the text."""
-        shared, pattern = self.shared, self.pattern
+        shared = self.shared
 
         @pandas_udf("binary")
         def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            bpe = loaded(shared.value, pattern)
+            bpe = decoder(shared.value)
             for packed in batches:
                 yield pd.Series([None if x is None else bpe.decode(x) for x in packed], dtype=object)
 

@@ -33,6 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of whole texts at a time, unless the session has smaller batches already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = int(spark.conf.get(key, "0") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def chunks(texts, chars: int):
     """Consecutive lists of (index, text) pieces of about ``chars`` characters; longer texts are cut into several pieces."""
     held, size = [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabulon.llm.common import chunks, table
+from tabulon.llm.common import chunks, short_batches, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -130,6 +130,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """struct(lang_pred, score) of each text."""
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")

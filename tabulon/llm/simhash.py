@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tabulon.llm.common import checkpointed, connected_components, table
+from tabulon.llm.common import checkpointed, connected_components, short_batches, table
 
 WORDS, SEED, DISTANCE = 3, 42, 2
 #: The most fingerprints on a pair of blocks for which pairs are made; larger groups take the other way, with the same links.
@@ -89,6 +89,7 @@ def components(fingerprints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of docs."""
+    short_batches(docs.sparkSession)
     fps = checkpointed(docs.select(F.col(key).alias("doc_id"), simhash(F.col(text)).alias("fp")))
     return fps.join(components(fps), "fp")
 
