@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 #: Texts learnt for each language, about; chosen by a hash of their id among all labelled ones.
 PER_LANGUAGE = 2_000
 SMOOTHING = 0.5
+#: A longer text counts as one of so many characters, or a few very long ones would make up their language. Weights are whole UNITs.
+LOUDEST, UNIT = 4_000, 4_096
 CHUNK = 1 << 19
 UNKNOWN = "und"
 
@@ -115,14 +117,19 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         for batch in batches:
             for k, group in batch.groupby("label"):
                 own = found.setdefault(k, np.zeros(BUCKETS + 1, dtype=np.int64))
+                size = group["text"].str.len().to_numpy()
                 for part in chunks(group["text"], CHUNK):
-                    for g in hashed_grams([t for _, t in part])[1]:
-                        own += np.bincount(g, minlength=BUCKETS + 1)
+                    c, grams, starts = hashed_grams([t for _, t in part])
+                    weight = np.maximum(UNIT * LOUDEST // np.maximum(size[[i for i, _ in part]], LOUDEST), 1)
+                    weight = np.repeat(weight, np.diff(starts, append=c.size))
+                    for g in grams:
+                        own += np.bincount(g, weights=weight, minlength=BUCKETS + 1).astype(np.int64)
         for k, own in found.items():
             at = np.flatnonzero(own[:-1])
             yield pd.DataFrame({"label": k, "bucket": at, "n": own[at]})
 
     sums = rows.filter(place < share[F.col("label")]).select("label", "text").mapInPandas(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums["n"] /= UNIT
     counts = np.zeros((len(labels), BUCKETS))
     counts[sums["label"].map({k: i for i, k in enumerate(labels)}).to_numpy(dtype=np.int64), sums["bucket"].to_numpy(dtype=np.int64)] = sums["n"]
     return LanguageModel(labels, counts, np.array([totals[k] for k in labels], dtype=float))

@@ -45,18 +45,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """array<string>; without words, an empty array."""
-    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    """array<string>; without words, one empty string."""
+    return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def shingles(w: Column) -> Column:
-    """array<string> of five-word shingles, repeats included; of fewer words the only one."""
-    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    """array<string> of five-word shingles, repeats included."""
+    last = F.size(w) - SHINGLE
+    return F.transform(F.filter(w, lambda x, i: i <= last), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
 
 
 def hashes(w: Column) -> Column:
-    return F.transform(shingles(w), lambda s: F.xxhash64(s))
+    """array<long>: a hash of the five words at each place where a shingle starts, then nulls."""
+    return F.transform(w, lambda x, i: F.when(F.get(w, i + SHINGLE - 1).isNotNull(), F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
 
 
 def signature(h: Column) -> Column:
@@ -64,50 +65,63 @@ def signature(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(h, lambda x: F.xxhash64(x, b))).alias("least")))
 
 
+def once(value: Column) -> Column:
+    """The value as a generated column: Spark then computes it once a row, and never inside the expressions and filters that use it."""
+    return F.explode(F.array(value))
+
+
+def window_starts(places: Column, wide: int) -> Column:
+    """array<int>: the starts of the windows, for templates of that many words, that hold a shingle at one of the places."""
+    step, size = max(1, wide // 2), 2 * wide
+
+    def near(i: Column) -> Column:
+        return F.transform(F.sequence(F.ceil(F.greatest(i + SHINGLE - size, F.lit(0)) / step), F.floor(i / step)), lambda k: (k * step).cast("int"))
+
+    return F.array_distinct(F.flatten(F.transform(places, near)))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(license, wide, n, shingles, signature), a row a template; those without a word are left out."""
+    """(license, wide, n, own, signature, first), a row a template."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with a part of them at a time")
-    t = spark.createDataFrame(templates, "license string, text string").withColumn("w", words(F.col("text"))).filter(F.size("w") > 0)
-    t = t.select("license", F.size("w").alias("wide"), F.array_distinct(shingles(F.col("w"))).alias("shingles"), "w")
+    t = spark.createDataFrame(templates, "license string, text string").select("license", once(words(F.col("text"))).alias("w"))
+    h = F.filter(hashes(F.col("w")), lambda x: x.isNotNull())
+    t = t.select("license", F.size("w").alias("wide"), once(F.array_distinct(shingles(F.col("w")))).alias("own"), "w").select("*", once(F.array_distinct(h)).alias("h"))
     # the hash of the least shingle of each band, by which windows are found
-    h = F.transform("shingles", lambda s: F.xxhash64(s))
-    first = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(h, lambda x: F.struct(F.xxhash64(x, b).alias("v"), x.alias("x"))))["x"])
-    return checkpointed(t.select("license", "wide", F.size("shingles").alias("n"), "shingles", signature(h).alias("signature"), F.array_distinct(first).alias("first")))
+    first = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform("h", lambda x: F.struct(F.xxhash64(x, b).alias("v"), x.alias("x"))))["x"])
+    return checkpointed(t.select("license", "wide", F.size("own").alias("n"), "own", signature(F.col("h")).alias("signature"), F.array_distinct(first).alias("first")))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word, last_word)."""
     spark = docs.sparkSession
     t = template_table(spark, templates)
-    # bounded by the templates and bands
-    least = [r["x"] for r in t.select(F.explode("first").alias("x")).distinct().orderBy("x").collect()]
-    if any(r["wide"] > MOST_WORDS for r in t.select("wide").collect()):
-        raise ValueError(f"a template has more than {MOST_WORDS} words: give its parts")
-    short = [r["wide"] for r in t.select("wide").filter(F.col("wide") < SHINGLE).distinct().collect()]
-    if short:
-        raise ValueError(f"templates need {SHINGLE} words at least")
-    wides = sorted({r["wide"] for r in t.select("wide", "license").collect()})
-    known = F.array(*[F.lit(x) for x in least]) if least else F.array().cast("array<bigint>")
-    d = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).filter(F.size("w") >= SHINGLE)
-    d = d.withColumn("h", hashes(F.col("w"))).filter(F.arrays_overlap("h", known))
-    # a window for each width around each such shingle: all starts s, multiples of the step, with s <= place and place + 4 < s + 2 L
-    hit = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(known, x), i)), lambda i: i.isNotNull())
-    starts = []
-    for wide in wides:
-        step, size = max(1, wide // 2), 2 * wide
-        near = lambda i, step=step, size=size: F.transform(F.sequence(F.ceil(F.greatest(i + SHINGLE - size, F.lit(0)) / step), F.floor(i / step)), lambda k, step=step: (k * step).cast("int"))
-        starts.append(F.transform(F.array_distinct(F.flatten(F.transform("hit", near))), lambda s, wide=wide: F.struct(F.lit(wide).alias("wide"), s.alias("start"))))
-    d = d.withColumn("hit", hit).withColumn("at", F.explode(F.concat(*starts) if starts else F.array().cast("array<struct<wide:int,start:int>>")))
-    windows = d.select("doc_id", "at.wide", "at.start", F.slice("w", F.col("at.start") + 1, F.col("at.wide") * 2).alias("w"))
-    windows = windows.withColumn("shingles", F.array_distinct(shingles(F.col("w")))).withColumn("h", F.transform("shingles", lambda s: F.xxhash64(s)))
-    bands = windows.withColumn("id", F.struct("doc_id", "start")).select("id", "wide", "shingles", F.explode(signature(F.col("h"))).alias("s")).select("id", "wide", "shingles", "s.band", "s.least")
-    keys = t.select("license", "wide", F.explode("signature").alias("s")).select("license", "wide", "s.band", "s.least")
-    retrieved = bands.join(F.broadcast(keys), ["wide", "band", "least"]).dropDuplicates(["id", "license"]).select("id", "license", "shingles")
-    body = t.select("license", "n", "wide", F.col("shingles").alias("own"))
-    held = retrieved.join(F.broadcast(body), "license").withColumn("containment", F.size(F.array_intersect("shingles", "own")) / F.col("n"))
-    best = F.struct(F.col("containment"), (-F.col("id.start")).alias("start"), "wide")
-    found = held.filter(F.col("containment") >= containment).groupBy(F.col("id.doc_id").alias("doc_id"), "license").agg(F.max(best).alias("m"))
+    # the driver gets numbers bounded by the templates and bands
+    first: dict[int, set[int]] = {}
+    for r in t.select("license", "wide", "first").collect():
+        if not SHINGLE <= r["wide"] <= MOST_WORDS:
+            raise ValueError(f"{r['license']} has {r['wide']} words: templates have {SHINGLE} to {MOST_WORDS}")
+        first.setdefault(r["wide"], set()).update(r["first"])
+    literal = lambda values: F.array(*[F.lit(x) for x in sorted(values)])
+    known = literal(set().union(*first.values()))
+    d = docs.select(F.col(key).alias("doc_id"), once(words(F.col(text))).alias("w")).filter(F.size("w") >= SHINGLE)
+    d = d.select("doc_id", "w", once(hashes(F.col("w"))).alias("h")).filter(F.arrays_overlap("h", known))
+    hit = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(known, x), F.struct(i.alias("i"), x.alias("x")))), lambda i: i.isNotNull())
+    d = d.select("doc_id", "w", once(hit).alias("hit"))
+
+    def windows_of(wide: int) -> Column:
+        places = F.transform(F.filter("hit", lambda p: F.array_contains(literal(first[wide]), p["x"])), lambda p: p["i"])
+        return F.transform(window_starts(places, wide), lambda s: F.struct(F.lit(wide).alias("wide"), s.alias("start"), F.slice("w", s + 1, 2 * wide).alias("w")))
+
+    d = d.select("doc_id", F.explode(F.concat(*map(windows_of, sorted(first)))).alias("at")).select("doc_id", "at.wide", "at.start", "at.w")
+    d = d.select("doc_id", "wide", "start", "w", once(F.array_distinct(shingles(F.col("w")))).alias("shingles"))
+    d = d.select("doc_id", "wide", "start", "shingles", once(F.filter(hashes(F.col("w")), lambda x: x.isNotNull())).alias("h"))
+    bands = d.select("doc_id", "start", "shingles", "wide", F.explode(signature(F.col("h"))).alias("s")).select("doc_id", "start", "shingles", "wide", "s.*")
+    keys = t.select("license", "wide", "n", "own", F.explode("signature").alias("s")).select("license", "n", "own", "wide", "s.*")
+    # bounded: at most MOST_TEMPLATES templates; a window that agrees in several bands is verified as often
+    held = bands.join(F.broadcast(keys), ["wide", "band", "least"]).withColumn("containment", F.size(F.array_intersect("shingles", "own")) / F.col("n"))
+    best = F.struct(F.col("containment"), (-F.col("start")).alias("start"), "wide")
+    found = held.filter(F.col("containment") >= containment).groupBy("doc_id", "license").agg(F.max(best).alias("m"))
     return found.select("doc_id", "license", F.col("m.containment").alias("containment"), (-F.col("m.start")).cast("long").alias("first_word"), (2 * F.col("m.wide") - F.col("m.start") - 1).cast("long").alias("last_word"))
 
 

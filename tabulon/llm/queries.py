@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, langid, mixing, simhash
+from tabulon.llm import bpe, chat, embeddings, fingerprints, langid, licenses, mixing, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_chat_format": chat.op5_chat_format,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op6_sharding": sharding.ORACLE,
+    "op8_embedding_dedup": embeddings.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }

@@ -359,7 +359,8 @@ def test_simhash_links_lose_nothing(spark, monkeypatch, crowd):
     base = [rng.getrandbits(64) for _ in range(8)]
     fps = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 5))) for b in base for _ in range(25)})
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {r.doc_id: r.component_id for r in (df := spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).join(sh.components(df), "fp").collect()}
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in df.join(sh.components(df), "fp").collect()}
     root = list(range(len(fps)))
     while (new := [min(root[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]) != root:
         root = new
