@@ -197,11 +197,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS r FROM embeddings
-           WHERE len(embedding) = len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS r FROM embeddings
+           WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.r > 0 AND b.r > 0
       WHERE list_dot_product(a.v, b.v) / (a.r * b.r) >= 0.9),
-t AS (WITH RECURSIVE t(id, at) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.id, p.b FROM t JOIN p ON p.a = t.at) SELECT id, min(at) AS component_id FROM t GROUP BY id)
+t AS (WITH RECURSIVE t(id, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.id, p.b FROM t JOIN p ON p.a = t.node) SELECT id, min(node) AS component_id FROM t GROUP BY id)
 SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, t.component_id, e.vec_id = t.component_id AS kept
 FROM embeddings e JOIN t ON t.id = e.vec_id
 """

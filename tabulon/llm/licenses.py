@@ -135,7 +135,7 @@ WITH t0(license, text) AS (VALUES """
     + ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in TEMPLATES)
     + r"""),
 t1 AS (SELECT license, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM t0),
-t AS (SELECT license, len(w) AS wide, list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS own FROM t1),
+t AS (SELECT license, len(w) AS wide, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS own FROM t1),
 d AS (SELECT doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 x AS (SELECT license, wide, greatest(1, wide // 2) AS step, len(own) AS n, unnest(own) AS shingle FROM t),

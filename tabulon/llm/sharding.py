@@ -52,13 +52,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # crc32 by its table of 256 remainders; rows with equal ids would be ordered by size and crc32 here, which no result needs
 ORACLE = """
 WITH polynomial AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]),
-         (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+         lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
 d AS (SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 8 AS size, coalesce(text, '') AS text,
              md5('shard-1:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
-c AS (SELECT d.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, 2 * strlen(text), 2), k -> ('0x' || hex(text)[k:k + 1])::BIGINT)),
-             (a, b) -> xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, polynomial),
+c AS (SELECT d.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(text), '..'), lambda k: ('0x' || k)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, polynomial),
 f AS (SELECT doc_id, source, size, text_crc32, place, (row_number() OVER (PARTITION BY source ORDER BY place, size, text_crc32) - 0.5::DOUBLE)
              / count(*) OVER (PARTITION BY source) AS fraction FROM c),
-g AS (SELECT *, row_number() OVER (ORDER BY fraction, coalesce('s' || source, ''), place, size, text_crc32) - 1 AS at, count(*) OVER () AS n FROM f)
-SELECT doc_id, size, text_crc32, 'rows' AS law, (at * 24 // n)::INTEGER AS shard, (at - ((at * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM g
+g AS (SELECT *, row_number() OVER (ORDER BY fraction, coalesce('s' || source, ''), place, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INTEGER AS shard, (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM g
 """
