@@ -53,9 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and the digest of what they decode to."""
     tokens = bpe.default_tokenizer(spark)
-    ids = docs.select("doc_id", "lang", "source", tokens.encode(F.col("text")).alias("ids"))
-    ids = ids.select("*", tokens.decode(F.col("ids")).alias("decoded"))
-    return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", "lang", "source", tokens.encode_and_decode(F.col("text")).alias("b")).select("doc_id", "lang", "source", *bpe.digests(F.col("b.ids"), F.col("b.decoded")))
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
