@@ -21,7 +21,7 @@ def wilson(won: Column, n: Column) -> tuple[Column, Column]:
     d = 1 + Z * Z / n
     centre = (p + Z * Z / (2 * n)) / d
     half = Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / d
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
 
 
 WILSON_SQL = {

@@ -1 +1,6 @@
-"""The registered queries and their DuckDB forms."""
+"""All queries of the engine by name."""
+
+from tabulon.plans import cube_queries
+from tabulon.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "cube_queries"]
