@@ -29,6 +29,7 @@ from tabulon.llm.common import blocks, short_batches, table
 NONE = np.int32(2**31 - 1)
 WIDEST = 256
 CELLS = 1 << 16
+FEW = 32
 #: Distinct pieces that a worker remembers; when full it forgets them all, which costs time only.
 REMEMBERED = 100_000
 #: A text of more characters is split in several steps, so that its pieces are never all in memory.
@@ -88,6 +89,8 @@ class ByteBpe:
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
+        if len(pieces) <= FEW:  # too few rows to pay for a matrix
+            return [self._merge_long(p) for p in pieces]
         out: list = [None] * len(pieces)
         size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         order = np.argsort(size, kind="stable")
