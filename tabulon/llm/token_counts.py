@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from tabulon.llm.bpe import ByteBpe, Tokenizer, default_tokenizer, loaded
 from tabulon.llm.common import table
 
-LEAF, AHEAD = 64, 2
+LEAF, AHEAD = 16, 2
 BATCH = 256
 EDITS = "array<struct<start:long,length:long,text:string>>"
 TREE = "struct<leaves:int,chars:array<int>,tokens:array<int>>"
