@@ -2,28 +2,34 @@
 
 Words are runs of letters and digits, ASCII letters lower-cased. A template of L words is looked for in windows of 2 L words that start
 every max(1, L // 2) words, so that each stretch of up to 3/2 L words lies whole in a window. Texts and templates are compared by their
-five-word shingles (a shorter one by all its words).
+five-word shingles; a shorter template is one shingle of all its words, looked for among the texts' shingles of as many words.
 
 Each of ``BANDS`` bands has one row: the least of the shingles' hashes by that band's hash function. A window that holds the share c of a
 template's n shingles has a Jaccard similarity of at least J = c n / (2 n + 4 + n (1 - c)), so some band agrees with probability
-1 - (1 - J) ** BANDS: for c = 0.8 at least 0.999 for one shingle (J >= 0.13) and more for longer templates (J towards 0.36).
+1 - (1 - J) ** BANDS: for c = 0.8 at least 0.999 for one shingle (J >= 0.13) and more for longer templates (J towards 0.36). Windows of a
+shorter template have at most L + 1 shingles, so J >= 0.2.
 A window whose shingles include no template's least in any band cannot agree in a band, so signatures are made for the windows around
 such shingles only. Retrieved pairs match where the window holds at least ``CONTAINMENT`` of the template's distinct shingles.
 
 A row of the result is a document and a license found in it, with the best window (the earliest of equally good ones). Null texts hold
-nothing. Rows of equal doc_id are scanned alike and reported once. All of it is DataFrame functions; templates are a bounded table.
+nothing. Rows of equal doc_id are scanned alike and reported once. All of it is DataFrame functions; templates are a bounded table, each
+of any length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import checkpointed, table
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
-#: The most templates and their most words: their tables are held by each task.
-MOST_TEMPLATES, MOST_WORDS = 2_000, 5_000
+#: The most templates and the most words of all of them together: their tables are held by each task.
+MOST_TEMPLATES, MOST_WORDS = 2_000, 10_000_000
 
 #: Public license notices as their authors ask to print them.
 TEMPLATES = [
@@ -40,6 +46,8 @@ TEMPLATES = [
     ("gpl-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
+#: Notices of fewer words than a shingle. ORACLE has TEMPLATES only: its SQL knows none so short.
+NOTICES = [("all-rights-reserved", "All rights reserved.")]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,15 +57,20 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def shingles(w: Column) -> Column:
-    """array<string> of five-word shingles, repeats included."""
-    last = F.size(w) - SHINGLE
-    return F.transform(F.filter(w, lambda x, i: i <= last), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
+def shingles(w: Column, size: int = SHINGLE) -> Column:
+    """array<string> of shingles of that many words, repeats included."""
+    last = F.size(w) - size
+    return F.transform(F.filter(w, lambda x, i: i <= last), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, size)]))
+
+
+def hashes(w: Column, size: int = SHINGLE) -> Column:
+    """array<long>: a hash of the words at each place where a shingle starts, then nulls."""
+    return F.transform(w, lambda x, i: F.when(F.get(w, i + size - 1).isNotNull(), F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)])))
 
 
-def hashes(w: Column) -> Column:
-    """array<long>: a hash of the five words at each place where a shingle starts, then nulls."""
-    return F.transform(w, lambda x, i: F.when(F.get(w, i + SHINGLE - 1).isNotNull(), F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
+def by_size(wide: Column, sizes: list[int], value: Callable[[int], Column]) -> Column:
+    """value(size of the shingles of templates of ``wide`` words)."""
+    return F.coalesce(*[F.when(F.least(wide, F.lit(SHINGLE)) == k, value(k)) for k in sizes])
 
 
 def signature(h: Column) -> Column:
@@ -72,10 +85,10 @@ def once(value: Column) -> Column:
 
 def window_starts(places: Column, wide: int) -> Column:
     """array<int>: the starts of the windows, for templates of that many words, that hold a shingle at one of the places."""
-    step, size = max(1, wide // 2), 2 * wide
+    step, size, shingle = max(1, wide // 2), 2 * wide, min(wide, SHINGLE)
 
     def near(i: Column) -> Column:
-        return F.transform(F.sequence(F.ceil(F.greatest(i + SHINGLE - size, F.lit(0)) / step), F.floor(i / step)), lambda k: (k * step).cast("int"))
+        return F.transform(F.sequence(F.ceil(F.greatest(i + shingle - size, F.lit(0)) / step), F.floor(i / step)), lambda k: (k * step).cast("int"))
 
     return F.array_distinct(F.flatten(F.transform(places, near)))
 
@@ -85,8 +98,10 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with a part of them at a time")
     t = spark.createDataFrame(templates, "license string, text string").select("license", once(words(F.col("text"))).alias("w"))
-    h = F.filter(hashes(F.col("w")), lambda x: x.isNotNull())
-    t = t.select("license", F.size("w").alias("wide"), once(F.array_distinct(shingles(F.col("w")))).alias("own"), "w").select("*", once(F.array_distinct(h)).alias("h"))
+    sizes = list(range(1, SHINGLE + 1))
+    h = F.filter(by_size(F.col("wide"), sizes, lambda k: hashes(F.col("w"), k)), lambda x: x.isNotNull())
+    t = t.select("license", F.when(F.get("w", F.lit(0)) != "", F.size("w")).otherwise(0).alias("wide"), "w")
+    t = t.select("license", "wide", once(F.array_distinct(by_size(F.col("wide"), sizes, lambda k: shingles(F.col("w"), k)))).alias("own"), "w").select("*", once(F.array_distinct(h)).alias("h"))
     # the hash of the least shingle of each band, by which windows are found
     first = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform("h", lambda x: F.struct(F.xxhash64(x, b).alias("v"), x.alias("x"))))["x"])
     return checkpointed(t.select("license", "wide", F.size("own").alias("n"), "own", signature(F.col("h")).alias("signature"), F.array_distinct(first).alias("first")))
@@ -98,24 +113,35 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str
     t = template_table(spark, templates)
     # the driver gets numbers bounded by the templates and bands
     first: dict[int, set[int]] = {}
+    total = 0
     for r in t.select("license", "wide", "first").collect():
-        if not SHINGLE <= r["wide"] <= MOST_WORDS:
-            raise ValueError(f"{r['license']} has {r['wide']} words: templates have {SHINGLE} to {MOST_WORDS}")
+        if not r["wide"]:
+            raise ValueError(f"{r['license']} has no words")
+        total += r["wide"]
         first.setdefault(r["wide"], set()).update(r["first"])
+    if total > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words of templates: scan with a part of them at a time")
     literal = lambda values: F.array(*[F.lit(x) for x in sorted(values)])
-    known = literal(set().union(*first.values()))
-    d = docs.select(F.col(key).alias("doc_id"), once(words(F.col(text))).alias("w")).filter(F.size("w") >= SHINGLE)
-    d = d.select("doc_id", "w", once(hashes(F.col("w"))).alias("h")).filter(F.arrays_overlap("h", known))
-    hit = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(known, x), F.struct(i.alias("i"), x.alias("x")))), lambda i: i.isNotNull())
-    d = d.select("doc_id", "w", once(hit).alias("hit"))
+    sizes = sorted({min(wide, SHINGLE) for wide in first})
+    known = {k: literal(set().union(*[x for wide, x in first.items() if min(wide, SHINGLE) == k])) for k in sizes}
+    d = docs.select(F.col(key).alias("doc_id"), once(words(F.col(text))).alias("w")).filter(F.size("w") >= sizes[0])
+    for k in sizes:
+        d = d.select("*", once(hashes(F.col("w"), k)).alias(f"h{k}"))
+    d = d.filter(reduce(or_, [F.arrays_overlap(f"h{k}", known[k]) for k in sizes]))
+
+    def hit(k: int) -> Column:
+        return F.filter(F.transform(f"h{k}", lambda x, i: F.when(F.array_contains(known[k], x), F.struct(i.alias("i"), x.alias("x")))), lambda i: i.isNotNull())
+
+    for k in sizes:
+        d = d.select("*", once(hit(k)).alias(f"hit{k}"))
 
     def windows_of(wide: int) -> Column:
-        places = F.transform(F.filter("hit", lambda p: F.array_contains(literal(first[wide]), p["x"])), lambda p: p["i"])
+        places = F.transform(F.filter(f"hit{min(wide, SHINGLE)}", lambda p: F.array_contains(literal(first[wide]), p["x"])), lambda p: p["i"])
         return F.transform(window_starts(places, wide), lambda s: F.struct(F.lit(wide).alias("wide"), s.alias("start"), F.slice("w", s + 1, 2 * wide).alias("w")))
 
     d = d.select("doc_id", F.explode(F.concat(*map(windows_of, sorted(first)))).alias("at")).select("doc_id", "at.wide", "at.start", "at.w")
-    d = d.select("doc_id", "wide", "start", "w", once(F.array_distinct(shingles(F.col("w")))).alias("shingles"))
-    d = d.select("doc_id", "wide", "start", "shingles", once(F.filter(hashes(F.col("w")), lambda x: x.isNotNull())).alias("h"))
+    d = d.select("doc_id", "wide", "start", "w", once(F.array_distinct(by_size(F.col("wide"), sizes, lambda k: shingles(F.col("w"), k)))).alias("shingles"))
+    d = d.select("doc_id", "wide", "start", "shingles", once(F.filter(by_size(F.col("wide"), sizes, lambda k: hashes(F.col("w"), k)), lambda x: x.isNotNull())).alias("h"))
     bands = d.select("doc_id", "start", "shingles", "wide", F.explode(signature(F.col("h"))).alias("s")).select("doc_id", "start", "shingles", "wide", "s.*")
     keys = t.select("license", "wide", "n", "own", F.explode("signature").alias("s")).select("license", "n", "own", "wide", "s.*")
     # bounded: at most MOST_TEMPLATES templates; a window that agrees in several bands is verified as often
@@ -126,7 +152,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), TEMPLATES + NOTICES)
 
 
 ORACLE = (
