@@ -27,14 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; of rows with that id, one. Rows with a null id stay only where
-    nothing else in their group has an id."""
-    keyed = docs.select("doc_id", "text")
-    member = simhash.near_duplicates(keyed)
-    keep = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["doc_id"])).drop(keep["doc_id"])
+    """One row of each group stays: of the least doc_id, and of rows with that id the one of the least hash; of equal rows, one. Rows with a
+    null id stay only where nothing else in their group has an id."""
+    columns = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    hashed = docs.withColumn("_h1", F.xxhash64(*columns)).withColumn("_h2", F.xxhash64(F.lit("second"), *columns))
+    member = simhash.near_duplicates(hashed, also=("_h1", "_h2")).groupBy("root", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_h1", "_h2", "_n")).alias("first")
+    keep = member.groupBy("root").agg(first).select("first._h1", "first._h2", "first._n")
+    kept = hashed.join(keep.hint("shuffle_hash"), ["_h1", "_h2"])
     once = kept.filter("_n = 1").select(docs.columns)
-    return once.union(kept.filter("_n > 1").dropDuplicates(["doc_id"]).select(docs.columns))
+    return once.union(kept.filter("_n > 1").dropDuplicates(["_h1", "_h2"]).select(docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

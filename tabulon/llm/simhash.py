@@ -78,19 +78,20 @@ def links(fingerprints: DataFrame, column: str = "fp") -> DataFrame:
 
 
 def components(fingerprints: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (fp, component_id): the least doc_id reachable by links. fp must not be null; null doc_ids are never the least."""
+    """(doc_id, fp) -> (fp, root, component_id): the least fingerprint and the least doc_id reachable by links. fp must not be null; null
+    doc_ids are never the least, and component_id is null where a component has no other."""
     groups = fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     shared = fingerprints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b != top").select("doc_id", "b")
     same_id = fingerprints.join(shared, "doc_id").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     roots = connected_components(links(fingerprints).union(same_id), "a", "b").withColumnRenamed("node", "fp")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, the columns ``also``, root, component_id), a row for each row of docs."""
     short_batches(docs.sparkSession)
-    fps = checkpointed(docs.select(F.col(key).alias("doc_id"), simhash(F.col(text)).alias("fp")))
+    fps = checkpointed(docs.select(F.col(key).alias("doc_id"), simhash(F.col(text)).alias("fp"), *also))
     return fps.join(components(fps), "fp")
 
 
