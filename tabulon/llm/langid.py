@@ -5,6 +5,9 @@ buckets. Counts of a bounded, hash-chosen sample of labelled texts give a (langu
 broadcast: its size depends on the two parameters alone. Scoring is sparse and batched in numpy: the matrix is read only at the
 buckets that a batch of texts holds and summed between the texts' borders.
 
+The score nears 1 within a few words whatever they are. So each text also has a gap, which doesn't grow with its length: how much less
+likely its n-grams are in its language, by their mean logarithm, than the n-grams that language was learnt from.
+
 Texts that are null or hold no letter are ``und`` with score 0. With nothing to learn from, every text is ``und``.
 """
 
@@ -66,23 +69,31 @@ def hashed_grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.nda
 
 
 class LanguageModel:
-    """labels, log_prior and log_prob (labels x buckets, and a last column of zeros for places that count nothing)."""
+    """labels, log_prior, log_prob (labels x buckets, and a last column of zeros for places that count nothing) and its mean by label over
+    the n-grams learnt."""
 
     def __init__(self, labels: list[str], counts: np.ndarray, texts: np.ndarray):
         self.labels = labels
         p = counts + SMOOTHING
         self.log_prob = np.zeros((len(labels), BUCKETS + 1))
         self.log_prob[:, :-1] = np.log(p / p.sum(axis=1, keepdims=True))
+        self.mean = (counts * self.log_prob[:, :-1]).sum(axis=1) / np.maximum(counts.sum(axis=1), 1e-9)
         self.log_prior = np.log(texts / texts.sum()) if len(labels) else np.zeros(0)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Label and its posterior probability for each text."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, its posterior probability and the gap for each text."""
         n = len(texts)
-        letters, sums = np.zeros(n), np.zeros((n, len(self.labels)))
+        letters, places, sums = np.zeros(n), np.zeros(n), np.zeros((n, len(self.labels)))
         for part in chunks([t or "" for t in texts], CHUNK):
             at = np.array([i for i, _ in part])
             c, grams, starts = hashed_grams([t for _, t in part])
             np.add.at(letters, at, np.add.reduceat((c > 32).astype(np.int64), starts))
+            size = np.diff(starts, append=c.size)
+            np.add.at(places, at, sum(np.maximum(size - k, 0) for k in ORDERS))
             for k in range(len(self.labels)):
                 row = self.log_prob[k]
                 total = row[grams[0]]
@@ -90,12 +101,13 @@ class LanguageModel:
                     total += row[g]
                 np.add.at(sums[:, k], at, np.add.reduceat(total, starts))
         if not self.labels:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        best = (sums + self.log_prior).argmax(axis=1)
+        gap = self.mean[best] - sums[np.arange(n), best] / np.maximum(places, 1)
         sums += self.log_prior
-        best = sums.argmax(axis=1)
         score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         none = letters == 0
-        return [UNKNOWN if none[i] else self.labels[best[i]] for i in range(n)], np.where(none, 0.0, score)
+        return [UNKNOWN if none[i] else self.labels[best[i]] for i in range(n)], np.where(none, 0.0, score), np.where(none, 0.0, gap)
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -136,15 +148,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """struct(lang_pred, score) of each text."""
+    """struct(lang_pred, score, gap) of each text."""
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @pandas_udf("lang_pred string, score double")
+    @pandas_udf("lang_pred string, score double, gap double")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            labels, score = shared.value.score(texts.tolist())
-            yield pd.DataFrame({"lang_pred": labels, "score": score})
+            labels, score, gap = shared.value.judge(texts.tolist())
+            yield pd.DataFrame({"lang_pred": labels, "score": score, "gap": gap})
 
     return language(text)
 

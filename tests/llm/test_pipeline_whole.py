@@ -20,3 +20,19 @@ def test_near_duplicates_keeps_texts_without_an_id(spark):
     assert all(r in rows for r in got)
     assert sorted(r[1] for r in got if r[0] is None) == sorted(t for t in texts[:8] if t != texts[2])
     assert sorted(r[0] for r in got if r[0] is not None) == [3, 20, 21]
+
+
+def test_language_stage_rejects_noise(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    texts = [r.text for r in base.collect() if any(c.isalpha() for c in r.text or "")]
+    words = [t.split() for t in texts]
+    short = [w for w in (" ".join(w[at : at + 3]) for w in words for at in [rng.randrange(max(1, len(w) - 2))]) if any(c.isalpha() for c in w)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x9FA5)))]
+    noise = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 10))) for _ in range(n)) for a in alphabets for n in (10, 100) for _ in range(50)]
+    rows = [(-1, t, None, "short", 1) for t in short] + [(-2, t, None, "noise", 1) for t in noise]
+    kept = cp.language(spark, base.union(spark.createDataFrame(rows, DOCS)), "").select("source").collect()
+    n = {k: sum(r.source == k for r in kept) for k in ("short", "noise")}
+    assert n == {"short": len(short), "noise": 0} and len(kept) - n["short"] == len(texts)
