@@ -1,6 +1,6 @@
 """The corpus pipeline: language ID, SimHash near-dedup, mixing to target weights, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet into the shared folder named in
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; encoded() writes each as Parquet into the shared folder named in
 ``spark.checkpoint.dir`` and reads it again as the next one's docs. All stages but the last return the columns of documents.
 """
 
@@ -57,9 +57,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, and the digest of what they decode to."""
+    """Token ids of each row, little-endian in four bytes each, and the digests of them and of what they decode to."""
     tokens = bpe.default_tokenizer(spark)
-    return docs.select("doc_id", "lang", "source", tokens.encode_and_decode(F.col("text")).alias("b")).select("doc_id", "lang", "source", *bpe.digests(F.col("b.ids"), F.col("b.decoded")))
+    return docs.select("doc_id", "lang", "source", tokens.encode_and_decode(F.col("text")).alias("b")).select("doc_id", "lang", "source", *bpe.digests(F.col("b.ids"), F.col("b.decoded")), F.col("b.ids").alias("ids"))
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
@@ -68,7 +68,8 @@ STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's product: the last stage's Parquet, token ids included."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
@@ -81,3 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product without the ids, which only encoded() and the Parquet hold."""
+    return encoded(spark, sf_dir).drop("ids")

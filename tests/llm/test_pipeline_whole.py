@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -36,3 +38,21 @@ def test_language_stage_rejects_noise(spark):
     kept = cp.language(spark, base.union(spark.createDataFrame(rows, DOCS)), "").select("source").collect()
     n = {k: sum(r.source == k for r in kept) for k in ("short", "noise")}
     assert n == {"short": len(short), "noise": 0} and len(kept) - n["short"] == len(texts)
+
+
+def test_the_product_holds_the_token_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from tabulon.llm import bpe
+
+    rows = [(1, "one text, another word", "en", "s", 22), (2, "é 中文 😀\n", "fr", "s", 7), (3, "", None, None, 0), (4, None, None, None, None)]
+    decoder = bpe.Decoder(bpe.parse_ranks(bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))))
+    got = cp.encode(spark, spark.createDataFrame(rows, DOCS), "").select("*", F.sha2("ids", 256).alias("again")).collect()
+    for r in got:
+        text = next(t for i, t, *_ in rows if i == r.doc_id) or ""
+        assert (len(r.ids), r.again) == (4 * r.n_tokens, r.ids_sha256)
+        assert decoder.decode(bytes(r.ids)) == text.encode()
+    spark.createDataFrame([(i, f"some words of text {i}", "en", "s", 20) for i in range(40)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    product = cp.encoded(spark, str(tmp_path))
+    assert product.columns == [*cp.run(spark, str(tmp_path)).columns, "ids"]
+    assert all(len(r.ids) == 4 * r.n_tokens for r in product.collect()) and product.count() > 0
