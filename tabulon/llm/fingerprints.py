@@ -2,15 +2,15 @@
 
 A text is the multiset of its paragraphs (what stands between line feeds). Each paragraph is hashed to a wide vector and the vectors
 are added, lane by lane, modulo powers of two: 8 lanes modulo 2^64, equal only for equal multisets but for a chance of about 2^-256 and
-less, and 256 lanes of +1 or -1 modulo 2^16. So the order of paragraphs doesn't matter, and paragraphs can be inserted or deleted by
-adding or subtracting their vectors, without the rest of the text.
+less, and 256 lanes of +1 or -1 modulo 2^32. So the order of paragraphs doesn't matter, and paragraphs can be inserted or deleted by
+adding or subtracting their vectors, without the rest of the text. The narrow lanes hash a paragraph with its occurrence number among
+like ones, so that each difference counts once: paragraphs that the rest holds too are inserted or deleted with the numbers after its own.
 
 The narrow lanes also give a likeness: the mean square of the difference of two fingerprints estimates how many paragraphs only one
 of the texts has, and 1 - that / (paragraphs of both) is their likeness, 1 for equal multisets and about 0 for disjoint ones, with a
 standard error of about sqrt(2 / 256). The number of paragraphs is one more lane.
 
-Null texts are like empty ones: one empty paragraph. The sums are exact for texts of fewer than 2^15 like paragraphs; beyond, lanes wrap
-and only equality keeps its meaning.
+Null texts are like empty ones: one empty paragraph. The sums are exact for texts of fewer than 2^31 paragraphs.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ from tabulon.llm.common import short_batches, table
 
 WIDE, NARROW = 8, 256
 #: Bytes of a fingerprint: wide lanes, narrow lanes, the number of paragraphs.
-BYTES = WIDE * 8 + NARROW * 2 + 8
+BYTES = WIDE * 8 + NARROW * 4 + 8
 STEP = 20_000
 
 
-def paragraph_sums(texts: list[str]) -> np.ndarray:
-    """A fingerprint a text, as rows of bytes."""
-    wide, narrow, count = np.zeros((len(texts), WIDE), dtype="<u8"), np.zeros((len(texts), NARROW), dtype="<u2"), np.zeros((len(texts), 1), dtype="<u8")
+def paragraph_sums(texts: list[str], rests: list[dict[str, int]] | None = None) -> np.ndarray:
+    """A fingerprint a text, as rows of bytes; with how often each paragraph is in the rest of each text, where it is a part of one."""
+    wide, narrow, count = np.zeros((len(texts), WIDE), dtype="<u8"), np.zeros((len(texts), NARROW), dtype="<u4"), np.zeros((len(texts), 1), dtype="<u8")
     held: list[bytes] = []
     owner: list[int] = []
 
@@ -45,17 +45,19 @@ def paragraph_sums(texts: list[str]) -> np.ndarray:
         data = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(len(held), -1)
         rows = at[starts]
         wide[rows] += np.add.reduceat(np.ascontiguousarray(data[:, : WIDE * 8]).view("<u8"), starts, axis=0)
-        signs = np.unpackbits(data[:, WIDE * 8 :], axis=1).astype("<u2")
-        n = np.diff(starts, append=len(at)).astype("<u2")[:, None]
-        narrow[rows] += 2 * np.add.reduceat(signs, starts, axis=0, dtype="<u2") - n
+        signs = np.unpackbits(data[:, WIDE * 8 :], axis=1)
+        n = np.diff(starts, append=len(at)).astype("<u4")[:, None]
+        narrow[rows] += 2 * np.add.reduceat(signs, starts, axis=0, dtype="<u4") - n
         count[rows] += n
         held.clear()
         owner.clear()
 
     for i, text in enumerate(texts):
+        seen = dict(rests[i]) if rests else {}
         for paragraph in text.split("\n"):
-            b = paragraph.encode()
-            held.append(hashlib.blake2b(b, digest_size=WIDE * 8).digest() + hashlib.blake2b(b, digest_size=NARROW // 8, person=b"signs").digest())
+            b, nth = paragraph.encode(), seen.get(paragraph, 0)
+            seen[paragraph] = nth + 1
+            held.append(hashlib.blake2b(b, digest_size=WIDE * 8).digest() + hashlib.blake2b(b, digest_size=NARROW // 8, person=b"signs", salt=nth.to_bytes(8, "little")).digest())
             owner.append(i)
             if len(held) >= STEP:
                 add()
@@ -65,19 +67,19 @@ def paragraph_sums(texts: list[str]) -> np.ndarray:
 
 
 def _lanes(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    wide, narrow, count = np.split(np.ascontiguousarray(fingerprints), [WIDE * 8, WIDE * 8 + NARROW * 2], axis=1)
-    return np.ascontiguousarray(wide).view("<u8"), np.ascontiguousarray(narrow).view("<u2"), np.ascontiguousarray(count).view("<u8")
+    wide, narrow, count = np.split(np.ascontiguousarray(fingerprints), [WIDE * 8, WIDE * 8 + NARROW * 4], axis=1)
+    return np.ascontiguousarray(wide).view("<u8"), np.ascontiguousarray(narrow).view("<u4"), np.ascontiguousarray(count).view("<u8")
 
 
 def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
-    """Fingerprints of a's paragraphs with b's inserted, or with b's deleted where sign is -1."""
+    """Fingerprints of a's paragraphs with b's inserted, or with b's deleted where sign is -1; b's made with the rest's counts."""
     return np.concatenate([(x + y if sign > 0 else x - y).view(np.uint8) for x, y in zip(_lanes(a), _lanes(b), strict=True)], axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows."""
     (wide_a, narrow_a, count_a), (wide_b, narrow_b, count_b) = _lanes(a), _lanes(b)
-    apart = (np.square((narrow_a - narrow_b).view("<i2").astype(np.float64))).mean(axis=1)
+    apart = (np.square((narrow_a - narrow_b).view("<i4").astype(np.float64))).mean(axis=1)
     both = (count_a + count_b).astype(np.float64)[:, 0]
     like = np.clip(1 - apart / np.maximum(both, 1), 0, 1)
     return np.where((wide_a == wide_b).all(axis=1) & (count_a == count_b)[:, 0], 1.0, like)
