@@ -17,8 +17,9 @@ from tabulon.llm.common import WORD, table
 
 #: A text stays if the model is at least so sure of its language.
 SURE = 0.5
-#: And if its n-grams are not much less likely in that language than those the model learnt from. At sf0.01 no text nor any 1 to 5 words
-#: cut from one have a gap over 2.7, and all of 10 and more random words, of Latin, Cyrillic or Han letters, have one over 3.3.
+#: And if its n-grams are not much less likely in that language than those the model learnt from. At sf0.01 the greatest gap of 1,000 texts
+#: was 1.6 and of 1, 2, 3 and 5 words cut once at random from each 2.7; the least of 2,400 texts of 10 or 100 random words, of Latin, Cyrillic
+#: or Han letters, was 3.3.
 FAR = 3.2
 
 
