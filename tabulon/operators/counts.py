@@ -1,7 +1,12 @@
-"""The count cube: additive counts by side, ban list, tier and month. Ratios are never stored, so any cells add up."""
+"""The count cube: additive counts by side, ban list, tier and month. Ratios are never stored, so any cells add up.
+
+Games are summed for each player before anything is joined to them, so that a deck is one row with its games and wins, and a card's decks,
+copies, games and wins come from one aggregation.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELL = ["side", "restriction_id", "tier", "month"]
+SEAT = ["tid", "side", "entry_no"]
 CARD_COLUMNS = ["decks_with_card", "copies_sum", "qty1", "qty2", "qty3", "games_total", "games_won", "entries_with_card_hc", "cut_with_card_hc", "tournaments_hc_with_card", "decks_in_faction"]
 BASELINE_COLUMNS = ["side_decks", "side_games", "side_wins", "side_entries_hc", "side_cut_hc", "tournaments", "tournaments_hc", "side_games_all", "side_wins_all"]
 IDENTITY_COLUMNS = ["entries", "games_total", "games_won", "cut_entries", "cut_made"]
@@ -20,71 +26,92 @@ def both_sides(df: DataFrame) -> DataFrame:
     return df.withColumn("side", F.explode(F.array(F.lit("corp"), F.lit("runner"))))
 
 
+def straight(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    return make()
+
+
 @dataclass
 class Counts:
-    """tables: tournament, entry, deck, deck_card, game, card, legal. identity_coverage: share of known identities for conversion."""
+    """tables: tournament, entry, deck, deck_card, game, card, ruling. identity_coverage: share of known identities for conversion.
+
+    keep(name, make) may store a table that several counts share; by default it doesn't. In the scope ``cut`` the decks that made a top cut
+    count, with all their games.
+    """
 
     tables: object
     min_players: int = 8
     coverage: float = 0.7
     identity_coverage: float = 0.7
     scope: str = "all"
+    keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = straight
 
     @cached_property
-    def events(self) -> DataFrame:
+    def every_event(self) -> DataFrame:
         t = self.tables.tournament.filter(F.col("restriction_id").isNotNull() & (F.col("players") >= self.min_players))
-        t = t.select("tid", "restriction_id", "tier", F.date_format("date", "yyyy-MM").alias("month"), ((F.col("decklist_coverage") >= self.coverage) & (F.col("cut_size") > 0)).alias("hc"), "cut_size")
-        return t.filter("cut_size > 0") if self.scope == "cut" else t
+        return t.select("tid", "restriction_id", "tier", F.date_format("date", "yyyy-MM").alias("month"), ((F.col("decklist_coverage") >= self.coverage) & (F.col("cut_size") > 0)).alias("hc"), "cut_size")
 
     @cached_property
-    def decks(self) -> DataFrame:
-        faction = self.tables.card.select(F.col("card_id").alias("identity_card"), F.col("faction_id").alias("id_faction"))
-        d = self.tables.deck.filter("legal").join(self.events, "tid").join(self.tables.entry.select("tid", "entry_no", "made_cut"), ["tid", "entry_no"]).join(faction, "identity_card", "left")
-        d = d.select("deck_id", "tid", "entry_no", "side", "made_cut", "id_faction", "restriction_id", "tier", "month", "hc")
-        return d.filter("made_cut") if self.scope == "cut" else d
+    def events(self) -> DataFrame:
+        return self.every_event.filter("cut_size > 0") if self.scope == "cut" else self.every_event
 
     @cached_property
     def games(self) -> DataFrame:
         """A row for each player of a game that counts, with the half points won."""
-        g = both_sides(self.tables.game.filter("result <> 'intentional_draw'").join(self.events.drop("hc", "cut_size"), "tid"))
+        g = both_sides(self.tables.game.filter("result <> 'intentional_draw'").join(self.every_event.drop("hc", "cut_size"), "tid"))
         won = F.when(F.col("result") == "draw", 0.5).when((F.col("result") == "corp_win") == (F.col("side") == "corp"), 1.0).otherwise(0.0)
-        g = g.select("tid", "side", F.when(F.col("side") == "corp", F.col("corp_entry")).otherwise(F.col("runner_entry")).alias("entry_no"), "restriction_id", "tier", "month", won.alias("won"))
-        return g.join(self.tables.entry.filter("made_cut").select("tid", "entry_no"), ["tid", "entry_no"], "left_semi") if self.scope == "cut" else g
+        return g.select("tid", "side", F.when(F.col("side") == "corp", F.col("corp_entry")).otherwise(F.col("runner_entry")).alias("entry_no"), "restriction_id", "tier", "month", won.alias("won"))
 
     @cached_property
-    def deck_games(self) -> DataFrame:
-        """Games whose deck is known. In the cut scope all games of the decks that made the cut count."""
-        g = Counts(self.tables, self.min_players, self.coverage, self.identity_coverage).games if self.scope == "cut" else self.games
-        return g.join(self.decks.select("deck_id", "tid", "entry_no", "side"), ["tid", "entry_no", "side"])
+    def player_games(self) -> DataFrame:
+        return self.keep("player_games", lambda: self.games.groupBy(*SEAT).agg(F.count("*").alias("games"), F.sum("won").alias("wins")))
 
-    def legal_cards(self, df: DataFrame) -> DataFrame:
-        return df.join(self.tables.deck_card, "deck_id").join(self.tables.legal, ["card_id", "restriction_id"], "left_semi")
+    @cached_property
+    def every_deck(self) -> DataFrame:
+        """Legal decks of counted events, with the games and wins of the player who played each."""
+
+        def make() -> DataFrame:
+            faction = self.tables.card.select(F.col("card_id").alias("identity_card"), F.col("faction_id").alias("id_faction"))
+            d = self.tables.deck.filter("legal").join(self.every_event, "tid").join(self.tables.entry.select("tid", "entry_no", "made_cut"), ["tid", "entry_no"]).join(faction, "identity_card", "left")
+            d = d.join(self.player_games, SEAT, "left").fillna({"games": 0, "wins": 0.0})
+            return d.select("deck_id", *SEAT, "made_cut", "id_faction", "restriction_id", "tier", "month", "hc", "cut_size", "games", "wins")
+
+        return self.keep("every_deck", make)
 
     @cached_property
-    def card_decks(self) -> DataFrame:
-        faction = self.tables.card.select("card_id", "faction_id")
-        p = self.legal_cards(self.decks).join(faction, "card_id", "left")
-        hc, inside = F.col("hc"), F.col("faction_id") == F.col("id_faction")
-        return p.groupBy(*CELL, "card_id").agg(
-            F.count("*").alias("decks_with_card"),
-            F.sum("qty").alias("copies_sum"),
-            F.count_if(F.col("qty") == 1).alias("qty1"),
-            F.count_if(F.col("qty") == 2).alias("qty2"),
-            F.count_if(F.col("qty") >= 3).alias("qty3"),
-            F.count_if(hc).alias("entries_with_card_hc"),
-            F.count_if(hc & F.col("made_cut")).alias("cut_with_card_hc"),
-            F.count_distinct(F.when(hc, F.col("tid"))).alias("tournaments_hc_with_card"),
-            F.count_if(inside).alias("decks_in_faction"),
-        )
+    def decks(self) -> DataFrame:
+        return self.every_deck.filter("made_cut and cut_size > 0") if self.scope == "cut" else self.every_deck
 
     @cached_property
-    def card_games(self) -> DataFrame:
-        return self.legal_cards(self.deck_games).groupBy(*CELL, "card_id").agg(F.count("*").alias("games_total"), F.sum("won").alias("games_won"))
+    def deck_games(self) -> DataFrame:
+        """Games whose deck is known."""
+        return self.games.join(self.decks.select("deck_id", *SEAT), SEAT)
+
+    def legal_cards(self, df: DataFrame) -> DataFrame:
+        """The cards of decks, with their faction, but those unknown or not legal by the deck's list."""
+        barred = self.tables.ruling.filter("barred").select("card_id", "restriction_id")
+        return df.join(self.tables.deck_card, "deck_id").join(self.tables.card.select("card_id", "faction_id"), "card_id").join(barred, ["card_id", "restriction_id"], "left_anti")
 
     @cached_property
     def card_counts(self) -> DataFrame:
-        c = self.card_decks.join(self.card_games, [*CELL, "card_id"], "left")
-        return c.withColumn("games_total", F.coalesce("games_total", F.lit(0))).withColumn("games_won", F.coalesce("games_won", F.lit(0.0))).select(*CELL, "card_id", *CARD_COLUMNS)
+        hc, inside = F.col("hc"), F.col("faction_id") == F.col("id_faction")
+
+        def make() -> DataFrame:
+            c = self.legal_cards(self.decks).groupBy(*CELL, "card_id").agg(
+                F.count("*").alias("decks_with_card"),
+                F.sum("qty").alias("copies_sum"),
+                F.count_if(F.col("qty") == 1).alias("qty1"),
+                F.count_if(F.col("qty") == 2).alias("qty2"),
+                F.count_if(F.col("qty") >= 3).alias("qty3"),
+                F.sum("games").alias("games_total"),
+                F.sum("wins").alias("games_won"),
+                F.count_if(hc).alias("entries_with_card_hc"),
+                F.count_if(hc & F.col("made_cut")).alias("cut_with_card_hc"),
+                F.count_distinct(F.when(hc, F.col("tid"))).alias("tournaments_hc_with_card"),
+                F.count_if(inside).alias("decks_in_faction"),
+            )
+            return c.select(*CELL, "card_id", *CARD_COLUMNS)
+
+        return self.keep(f"card_counts_{self.scope}", make)
 
     @cached_property
     def faction_counts(self) -> DataFrame:
@@ -92,13 +119,16 @@ class Counts:
 
     @cached_property
     def side_decks(self) -> DataFrame:
-        return self.decks.groupBy(*CELL).agg(F.count("*").alias("side_decks"), F.count_if("hc").alias("side_entries_hc"), F.count_if(F.col("hc") & F.col("made_cut")).alias("side_cut_hc"))
+        known = self.decks.groupBy(*CELL).agg(F.count("*").alias("side_decks"), F.sum("games").alias("side_games"), F.sum("wins").alias("side_wins"), F.count_if("hc").alias("side_entries_hc"), F.count_if(F.col("hc") & F.col("made_cut")).alias("side_cut_hc"))
+        return known
 
     @cached_property
     def side_games(self) -> DataFrame:
-        known = self.deck_games.groupBy(*CELL).agg(F.count("*").alias("side_games"), F.sum("won").alias("side_wins"))
-        every = self.games.groupBy(*CELL).agg(F.count("*").alias("side_games_all"), F.sum("won").alias("side_wins_all"))
-        return every.join(known, CELL, "left")
+        """All games, whether the deck is known or not."""
+        g = self.player_games.join(self.events.select("tid", "restriction_id", "tier", "month"), "tid")
+        if self.scope == "cut":
+            g = g.join(self.tables.entry.filter("made_cut").select("tid", "entry_no"), ["tid", "entry_no"], "left_semi")
+        return g.groupBy(*CELL).agg(F.sum("games").alias("side_games_all"), F.sum("wins").alias("side_wins_all"))
 
     @cached_property
     def event_counts(self) -> DataFrame:
@@ -107,11 +137,12 @@ class Counts:
     @cached_property
     def side_counts(self) -> DataFrame:
         """Dense: a side without a deck has a row too."""
-        known = self.deck_games.groupBy(*CELL).agg(F.count("*").alias("side_games"), F.sum("won").alias("side_wins"))
-        every = self.games.groupBy(*CELL).agg(F.count("*").alias("side_games_all"), F.sum("won").alias("side_wins_all"))
-        c = both_sides(self.event_counts).join(self.side_decks, CELL, "left").join(known, CELL, "left").join(every, CELL, "left")
-        zero = {k: 0.0 if "wins" in k else 0 for k in BASELINE_COLUMNS}
-        return c.fillna(zero).select(*CELL, *BASELINE_COLUMNS)
+
+        def make() -> DataFrame:
+            c = both_sides(self.event_counts).join(self.side_decks, CELL, "left").join(self.side_games, CELL, "left")
+            return c.fillna({k: 0.0 if "wins" in k else 0 for k in BASELINE_COLUMNS}).select(*CELL, *BASELINE_COLUMNS)
+
+        return self.keep(f"side_counts_{self.scope}", make)
 
     @cached_property
     def identity_entries(self) -> DataFrame:
@@ -120,16 +151,18 @@ class Counts:
         e = e.withColumn("identity", F.when(F.col("side") == "corp", F.col("corp_identity")).otherwise(F.col("runner_identity")))
         w = W.partitionBy("tid", "side")
         e = e.withColumn("has_cut", (F.col("cut_size") > 0) & (F.count("identity").over(w) / F.count(F.lit(1)).over(w) >= self.identity_coverage))
-        e = e.select("tid", "entry_no", "side", "identity", "made_cut", "restriction_id", "tier", "month", "has_cut")
-        return e.join(self.tables.legal.withColumnRenamed("card_id", "identity"), ["identity", "restriction_id"], "left_semi")
+        e = e.select(*SEAT, "identity", "made_cut", "restriction_id", "tier", "month", "has_cut")
+        e = e.join(self.tables.card.select(F.col("card_id").alias("identity")), "identity", "left_semi")
+        return e.join(self.tables.ruling.filter("barred").select(F.col("card_id").alias("identity"), "restriction_id"), ["identity", "restriction_id"], "left_anti")
 
     @cached_property
     def identity_counts(self) -> DataFrame:
-        e = self.identity_entries
-        counts = e.groupBy(*CELL, "identity").agg(F.count("*").alias("entries"), F.count_if("has_cut").alias("cut_entries"), F.count_if(F.col("has_cut") & F.col("made_cut")).alias("cut_made"))
-        g = self.games.join(e.select("tid", "entry_no", "side", "identity"), ["tid", "entry_no", "side"])
-        g = g.groupBy(*CELL, "identity").agg(F.count("*").alias("games_total"), F.sum("won").alias("games_won"))
-        return counts.join(g, [*CELL, "identity"], "left").fillna({"games_total": 0, "games_won": 0.0}).select(*CELL, "identity", *IDENTITY_COLUMNS)
+        def make() -> DataFrame:
+            e = self.identity_entries.join(self.player_games, SEAT, "left")
+            counts = [F.count("*").alias("entries"), F.coalesce(F.sum("games"), F.lit(0)).alias("games_total"), F.coalesce(F.sum("wins"), F.lit(0.0)).alias("games_won"), F.count_if("has_cut").alias("cut_entries"), F.count_if(F.col("has_cut") & F.col("made_cut")).alias("cut_made")]
+            return e.groupBy(*CELL, "identity").agg(*counts).select(*CELL, "identity", *IDENTITY_COLUMNS)
+
+        return self.keep("identity_counts", make)
 
     @cached_property
     def identity_side_counts(self) -> DataFrame:

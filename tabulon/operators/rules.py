@@ -1,68 +1,138 @@
-"""Rule sets over the canonical tables: deck legality, ban lists in force and their choice."""
+"""Rule sets over the canonical tables: deck legality, ban lists in force and their choice, comparison of deck sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulon.storage import small
 
-def deck_issues(decks: DataFrame, deck_card: DataFrame, card: DataFrame, verdict: DataFrame) -> DataFrame:
-    """(deck_id, issues): what is wrong with each deck of (deck_id, side, identity_card, restriction_id), joined by semicolons.
+#: Copies that a card without a limit of its own allows.
+COPIES = 3
+#: Another list replaces the given one for at least so many decks more, and this share of the event's decks.
+GAIN, GAIN_SHARE = 2, 0.1
 
-    Without a known identity that is the only issue. Issues of cards come in the order of their ids.
+
+def said(*rules: tuple[Column, str | Column]) -> Column:
+    """The texts of the rules that hold, in order."""
+    return F.array_compact(F.array(*[F.when(holds, F.lit(text) if isinstance(text, str) else text) for holds, text in rules]))
+
+
+def about(kind: str, key: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(key))
+
+
+def deck_issues(decks: DataFrame, deck_card: DataFrame, card: DataFrame, ruling: DataFrame, restriction: DataFrame) -> DataFrame:
+    """(deck_id, restriction_id, issues): what is wrong with each deck of (deck_id, side, identity_card, restriction_id) by that list,
+    joined by semicolons; an empty string for a legal deck. A column entry_identity, if given, must not differ from identity_card.
+
+    Without a known identity that is the only issue. Issues of cards come in the order of their ids; an unknown card has no other issue
+    and counts for nothing. By a list that is not in ``restriction`` no card is legal. A card without a copy limit allows three, one
+    without a cost or points has none; an identity without an influence limit and a list without a point limit allow any. Influence counts
+    cards of other factions but neutral ones, and a list's universal cost for every card. Points count once a card, not once a copy.
     """
-    own = card.select(F.col("card_id").alias("identity_card"), F.col("faction_id").alias("id_faction"), F.col("side_id").alias("id_side"), "minimum_deck_size", "influence_limit")
-    lists = verdict.select("card_id", "restriction_id", "banned", "restricted", "universal_cost", "points")
-    d = decks.join(own, "identity_card", "left").join(lists.select(F.col("card_id").alias("identity_card"), "restriction_id", F.col("banned").alias("id_banned")), ["identity_card", "restriction_id"], "left")
-    c = d.select("deck_id", "side", "restriction_id", "id_faction").join(deck_card, "deck_id").join(card.select("card_id", "side_id", "faction_id", "card_type_id", "influence_cost", "deck_limit", "agenda_points"), "card_id").join(lists, ["card_id", "restriction_id"])
-    named = lambda condition, kind: F.when(condition, F.concat(F.lit(f"{kind}:"), F.col("card_id")))
-    each = F.array_compact(F.array(named(F.col("side_id") != F.col("side"), "wrong_side"), named(F.col("qty") > F.col("deck_limit"), "copies"), named(F.col("banned"), "not_legal")))
-    foreign = (F.col("faction_id") != F.col("id_faction")) & (F.col("faction_id") != "neutral")
-    sums = c.groupBy("deck_id").agg(
-        F.sum("qty").alias("size"),
-        F.sum(F.when(foreign, F.col("influence_cost") * F.col("qty")).otherwise(0) + F.col("universal_cost") * F.col("qty")).alias("influence"),
-        F.count_if("restricted").alias("restricted"),
-        F.sum("points").alias("points"),
-        F.sum(F.when(F.col("card_type_id") == "agenda", F.col("agenda_points") * F.col("qty")).otherwise(0)).alias("agenda"),
-        F.array_sort(F.collect_list(F.struct("card_id", each.alias("issues")))).alias("cards"),
+    key = ["deck_id", "restriction_id"]
+    lists = small(restriction.select("restriction_id", "point_limit", F.lit(True).alias("listed")))
+    rules = ruling.select("card_id", "restriction_id", "barred", "restricted", "universal_cost", "points")
+    entry = [F.col("entry_identity") if "entry_identity" in decks.columns else F.lit(None).cast("string").alias("entry_identity")]
+    own = card.select(F.col("card_id").alias("identity_card"), F.col("faction_id").alias("id_faction"), F.col("side_id").alias("id_side"), F.coalesce("minimum_deck_size", F.lit(0)).alias("least"), "influence_limit")
+    d = decks.select(*key, "side", "identity_card", *entry).join(lists, "restriction_id", "left").join(own, "identity_card", "left")
+    d = d.join(rules.select(F.col("card_id").alias("identity_card"), "restriction_id", F.col("barred").alias("id_barred")), ["identity_card", "restriction_id"], "left")
+    c = d.select(*key, "side", "id_faction", "listed").join(deck_card.select("deck_id", "card_id", "qty"), "deck_id")
+    c = c.join(card.select("card_id", "side_id", "faction_id", "card_type_id", "influence_cost", "deck_limit", "agenda_points"), "card_id", "left").join(rules, ["card_id", "restriction_id"], "left")
+    known, illegal = F.col("side_id").isNotNull(), F.col("listed").isNull() | F.coalesce("barred", F.lit(False))
+    each = said(
+        (~known, about("unknown_card", "card_id")),
+        (F.col("side_id") != F.col("side"), about("wrong_side", "card_id")),
+        (F.col("card_type_id").endswith("identity"), about("extra_identity", "card_id")),
+        (known & (F.col("qty") > F.coalesce("deck_limit", F.lit(COPIES))), about("copies", "card_id")),
+        (known & illegal, about("not_legal", "card_id")),
     )
-    d = d.join(sums, "deck_id", "left").fillna({"size": 0, "influence": 0, "restricted": 0, "points": 0, "agenda": 0})
-    need = 2 * F.floor(F.greatest("size", "minimum_deck_size") / 5) + 2
-    say = lambda condition, text: F.when(condition, F.lit(text))
-    head = F.array_compact(F.array(say(F.col("id_side") != F.col("side"), "identity_side"), say(F.col("id_banned"), "identity_not_legal")))
-    tail = F.array_compact(
-        F.array(
-            say(F.col("size") < F.col("minimum_deck_size"), "deck_size"),
-            say(F.col("influence") > F.col("influence_limit"), "influence"),
-            say(F.col("restricted") > 1, "restricted"),
-            say(F.col("points") > 3, "points"),
-            say((F.col("side") == "corp") & ~F.col("agenda").isin(0) & ~((F.col("agenda") == need) | (F.col("agenda") == need + 1)), "agenda_points"),
-        )
+    foreign = (F.col("faction_id") != F.col("id_faction")) & ~F.col("faction_id").startswith("neutral")
+    total = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
+    qty, zero = F.col("qty"), F.lit(0)
+    sums = c.groupBy(*key).agg(
+        total(known, qty).alias("size"),
+        (total(foreign, F.coalesce("influence_cost", zero) * qty) + total(known, F.coalesce("universal_cost", zero) * qty)).alias("influence"),
+        F.count_if(known & F.col("restricted")).alias("restricted"),
+        total(known, F.coalesce("points", zero)).alias("points"),
+        total(F.col("card_type_id") == "agenda", F.coalesce("agenda_points", zero) * qty).alias("agenda"),
+        F.array_sort(F.collect_list(F.when(F.size(each) > 0, F.struct("card_id", each.alias("issues"))))).alias("cards"),
     )
-    every = F.concat(head, F.coalesce(F.flatten(F.col("cards.issues")), F.array().cast("array<string>")), tail)
-    return d.select("deck_id", F.when(F.col("id_side").isNull(), "unknown_identity").otherwise(F.array_join(every, ";")).alias("issues"))
+    d = d.join(sums, key, "left").fillna({"size": 0, "influence": 0, "restricted": 0, "points": 0, "agenda": 0})
+    need = 2 * F.floor(F.greatest("size", "least") / 5) + 2
+    head = said((F.col("id_side") != F.col("side"), "identity_side"), (F.col("listed").isNull() | F.coalesce("id_barred", F.lit(False)), about("identity_not_legal", "identity_card")))
+    tail = said(
+        (F.col("size") < F.col("least"), "deck_size"),
+        (F.col("influence") > F.col("influence_limit"), "influence"),
+        (F.col("restricted") > 1, "restricted"),
+        (F.col("points") > F.col("point_limit"), "points"),
+        ((F.col("side") == "corp") & ~((F.col("agenda") == need) | (F.col("agenda") == need + 1)), "agenda_points"),
+    )
+    of_cards = F.coalesce(F.flatten(F.col("cards.issues")), F.array().cast("array<string>"))
+    differs = said((F.col("entry_identity") != F.col("identity_card"), "identity_differs_from_entry"))
+    every = F.concat(F.when(F.col("id_side").isNull(), said((F.lit(True), "unknown_identity"))).otherwise(F.concat(head, of_cards, tail)), differs)
+    return d.select(*key, F.array_join(every, ";").alias("issues"))
+
+
+def spans(lists: DataFrame) -> DataFrame:
+    """Each list of (restriction_id, date_start) with the one before, the one after and the day that ends it. Of lists of one day the
+    greatest id is in force. Lists are few (a handful a year), so one ordered window numbers them."""
+    order = W.orderBy("date_start", "restriction_id")
+    return lists.select("restriction_id", "date_start", F.lead("date_start").over(order).alias("date_end"), F.lag("restriction_id").over(order).alias("previous"), F.lead("restriction_id").over(order).alias("next"))
 
 
 def in_force(events: DataFrame, lists: DataFrame) -> DataFrame:
-    """events with the list in force on their date: the last that started by then, of those of one day the greatest id.
+    """events with list_in_force, the last that started by their date, and the lists before and after it; before the first list all are NULL."""
+    s = spans(lists).select(F.col("restriction_id").alias("list_in_force"), F.col("date_start").alias("a"), F.col("date_end").alias("b"), "previous", "next")
+    return events.join(small(s), (F.col("date") >= F.col("a")) & (F.col("b").isNull() | (F.col("date") < F.col("b"))), "left").drop("a", "b")
+
+
+def given_list(events: DataFrame, lists: DataFrame) -> DataFrame:
+    """events with given: the organiser's list (column ``set_list``) if it is one of the lists, else the one in force."""
+    known = small(lists.select(F.col("restriction_id").alias("set_list"), F.lit(True).alias("standard")))
+    e = in_force(events, lists).join(known, "set_list", "left")
+    return e.withColumn("given", F.when(F.col("standard"), F.col("set_list")).otherwise(F.col("list_in_force"))).drop("standard")
 
-    Lists are few (a handful a year), so their intervals are broadcast; an event before the first list gets NULL.
+
+def chosen_list(events: DataFrame, decks: DataFrame, deck_card: DataFrame, card: DataFrame, ruling: DataFrame, lists: DataFrame) -> DataFrame:
+    """(tid, given, chosen, legal_before, legal_after): the list an event's decks were built for.
+
+    Candidates are the given list, the one in force and its neighbours; the one by which most decks have no issue wins, of equal ones the
+    first of these. It replaces the given list only for at least GAIN and GAIN_SHARE of the event's decks more. Without decks the given
+    list stays. decks: (deck_id, tid, side, identity_card).
     """
-    order = W.orderBy("date_start", "restriction_id")
-    spans = lists.select(F.col("restriction_id").alias("list_in_force"), F.col("date_start").alias("a"), F.lead("date_start").over(order).alias("b"))
-    return events.join(F.broadcast(spans), (F.col("date") >= F.col("a")) & (F.col("b").isNull() | (F.col("date") < F.col("b"))), "left").drop("a", "b")
+    e = given_list(events, lists)
+    names = ["given", "list_in_force", "previous", "next"]
+    c = e.select("tid", "given", F.explode(F.array(*[F.struct(F.col(n).alias("candidate"), F.lit(k).alias("place")) for k, n in enumerate(names)])).alias("c"))
+    c = c.filter("c.candidate is not null").groupBy("tid", "given", F.col("c.candidate").alias("restriction_id")).agg(F.min("c.place").alias("place"))
+    judged = decks.select("tid", "deck_id", "side", "identity_card").join(c, "tid")
+    issues = deck_issues(judged.select("deck_id", "side", "identity_card", "restriction_id"), deck_card, card, ruling, lists)
+    n = judged.select("tid", "given", "deck_id", "restriction_id", "place").join(issues, ["deck_id", "restriction_id"])
+    n = n.groupBy("tid", "given", "restriction_id", "place").agg(F.count_if(F.col("issues") == "").alias("legal"), F.count("*").alias("decks"))
+    best = F.max(F.struct("legal", (-F.col("place")).alias("p"), "restriction_id"))
+    n = n.groupBy("tid").agg(best.alias("best"), F.max(F.when(F.col("restriction_id") == F.col("given"), F.col("legal"))).alias("before"), F.max("decks").alias("decks"))
+    enough = F.col("best.legal") - F.col("before") >= F.greatest(F.lit(GAIN), F.col("decks") * GAIN_SHARE)
+    n = e.select("tid", "given").join(n, "tid", "left")
+    return n.select("tid", "given", F.when(F.col("given").isNull() | enough, F.col("best.restriction_id")).otherwise(F.col("given")).alias("chosen"), F.col("before").alias("legal_before"), F.col("best.legal").alias("legal_after"))
 
 
-def better_list(decks: DataFrame, deck_card: DataFrame, verdict: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(tid, given, chosen): another candidate list replaces the given one if at least max(2, 10 % of the decks) more decks are legal by it.
+def comparison(sources: DataFrame, order: list[str]) -> DataFrame:
+    """(tid, entry_no, side, source, comparison): the best source of each deck by precedence, and how the next one agrees with it.
 
-    decks: (deck_id, tid, restriction_id); neighbours: (restriction_id, candidate, place), the given list at place 0.
+    sources: (tid, entry_no, side, source, identity, cards, entry_identity), cards a map of card to copies. ``match`` if cards and identity
+    are equal, else ``mismatch``; with one source the first part of its name and ``_only``. An identity that a source lacks is that of the entry, or in
+    the second source that of the best one.
     """
-    c = decks.join(F.broadcast(neighbours), "restriction_id")
-    bad = c.join(deck_card, "deck_id").join(verdict.filter("banned").select("card_id", F.col("restriction_id").alias("candidate")), ["card_id", "candidate"]).select("deck_id", "candidate").distinct()
-    n = c.join(bad.withColumn("bad", F.lit(True)), ["deck_id", "candidate"], "left").groupBy("tid", F.col("restriction_id").alias("given"), "candidate", "place").agg(F.count_if(F.col("bad").isNull()).alias("legal"), F.count("*").alias("decks"))
-    best = F.max(F.struct("legal", (-F.col("place")).alias("p"), "candidate"))
-    g = n.groupBy("tid", "given").agg(best.alias("best"), F.max(F.when(F.col("place") == 0, F.col("legal"))).alias("now"), F.max("decks").alias("decks"))
-    enough = F.col("best.legal") - F.col("now") >= F.greatest(F.lit(2.0), F.col("decks") * 0.1)
-    return g.select("tid", "given", F.when(enough, F.col("best.candidate")).otherwise(F.col("given")).alias("chosen"))
+    # maps have no order of their own and cannot be compared: sorted entries can
+    cards = F.array_sort(F.map_entries("cards"))
+    rank = F.coalesce(*[F.when(F.col("source") == s, F.lit(k)) for k, s in enumerate(order)])
+    s = sources.select("tid", "entry_no", "side", "entry_identity", F.struct(rank.alias("rank"), "source", "identity", cards.alias("cards")).alias("s"))
+    # at most one row a source for each deck, so the list is short
+    s = s.groupBy("tid", "entry_no", "side").agg(F.first("entry_identity", ignorenulls=True).alias("entry_identity"), F.array_sort(F.collect_list("s")).alias("s"))
+    s = s.withColumn("a", F.get("s", F.lit(0))).withColumn("b", F.get("s", F.lit(1)))
+    own = F.coalesce("a.identity", "entry_identity")
+    same = (F.col("a.cards") == F.col("b.cards")) & F.coalesce("b.identity", own).eqNullSafe(own)
+    verdict = F.when(F.col("b").isNull(), F.concat(F.substring_index("a.source", "_", 1), F.lit("_only"))).when(same, "match").otherwise("mismatch")
+    return s.select("tid", "entry_no", "side", F.col("a.source").alias("source"), verdict.alias("comparison"))

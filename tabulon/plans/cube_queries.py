@@ -10,7 +10,10 @@ from tabulon.functions.ratios import WILSON_SQL, ratio
 from tabulon.operators import views
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
 from tabulon.plans.registry import cube, query
-from tabulon.sources.adapters import ADAPTER, COUNTS, MIN_ENTRIES, MIN_GAMES, MIN_SPLASH, PERIOD
+from tabulon.sources import adapters
+from tabulon.sources.adapters import ADAPTER, MIN_ENTRIES, MIN_GAMES, MIN_SPLASH, PERIOD
+
+COUNTS = adapters.COUNTS + ",\nall_cards AS (SELECT * EXCLUDE (scope) FROM card_count WHERE scope = 'all'),\nall_sides AS (SELECT * EXCLUDE (scope) FROM side_count WHERE scope = 'all')"
 
 SLICE = views.SLICE
 Z2 = "(VALUES (0), (1)) a(x), (VALUES (0), (1)) b(y)"
@@ -31,7 +34,7 @@ def shifted(column: str, months: int) -> str:
 
 
 SPANS = f""",
-spans0 AS (SELECT side, restriction_id, tier, max(month) AS "to", min(month) AS earliest FROM ({slices_sql("side_counts", ["side_decks"], ["side", "month"])}) WHERE side_decks > 0 GROUP BY ALL),
+spans0 AS (SELECT side, restriction_id, tier, max(month) AS "to", min(month) AS earliest FROM ({slices_sql("all_sides", ["side_decks"], ["side", "month"])}) WHERE side_decks > 0 GROUP BY ALL),
 spans AS (SELECT *, {shifted('"to"', PERIOD - 1)} AS "from", {shifted('"to"', PERIOD)} AS prev_to, {shifted('"to"', 2 * PERIOD - 1)} AS prev_from, earliest <= {shifted('"to"', PERIOD)} AS has_prev FROM spans0)"""
 
 
@@ -54,50 +57,52 @@ def plain(name: str, attribute: str, columns: list[str], cte: str, scope: str =
         return getattr(cube(tables, scope), attribute).select(*columns)
 
 
-plain("flt_01_02_fd_02_events_counted", "events", ["tid", "restriction_id", "tier", "month", "hc", "cut_size"], "t")
-plain("flt_03_jn_01_jn_02_legal_decks", "decks", ["deck_id", "tid", "entry_no", "side", "made_cut", "id_faction", "restriction_id", "tier", "month", "hc"], "d")
-plain("flt_04_flt_05_jn_05_counted_games", "games", ["tid", "side", "entry_no", "restriction_id", "tier", "month", "won"], "g")
-plain("jn_06_games_of_known_decks", "deck_games", ["deck_id", "tid", "side", "entry_no", "month", "won"], "dg")
-plain("ag_01_02_03_04_card_deck_counts", "card_decks", [*CELL, "card_id", "decks_with_card", "copies_sum", "qty1", "qty2", "qty3", "entries_with_card_hc", "cut_with_card_hc", "tournaments_hc_with_card", "decks_in_faction"], "cc_decks")
-plain("ag_05_card_game_counts", "card_games", [*CELL, "card_id", "games_total", "games_won"], "cc_games")
-plain("jn_07_card_counts", "card_counts", [*CELL, "card_id", *CARD_COLUMNS], "card_counts")
-plain("ag_06_faction_counts", "faction_counts", [*CELL, "faction", "decks"], "faction_counts")
-plain("ag_07_side_decks", "side_decks", [*CELL, "side_decks", "side_entries_hc", "side_cut_hc"], "dk")
-plain("ag_08_side_games", "side_games", [*CELL, "side_games", "side_wins", "side_games_all", "side_wins_all"], "ga LEFT JOIN gm USING (side, restriction_id, tier, month)")
-plain("ag_09_event_counts", "event_counts", ["restriction_id", "tier", "month", "tournaments", "tournaments_hc"], "tn")
-plain("jn_08_side_baseline_dense", "side_counts", [*CELL, *BASELINE_COLUMNS], "side_counts")
-plain("wn_01_flt_06_identity_coverage", "identity_entries", ["tid", "entry_no", "side", "identity", "made_cut", "has_cut"], "ie")
-plain("jn_09_jn_10_ag_10_identity_counts", "identity_counts", [*CELL, "identity", *IDENTITY_COLUMNS], "identity_counts")
-plain("ag_12_jn_11_card_counts_cut", "card_counts", [*CELL, "card_id", *CARD_COLUMNS], "card_counts_cut", "cut")
-plain("ag_12_side_counts_cut", "side_counts", [*CELL, *BASELINE_COLUMNS], "side_counts_cut", "cut")
-plain("ag_12_faction_counts_cut", "faction_counts", [*CELL, "faction", "decks"], "faction_counts_cut", "cut")
+CARD_DECKS = [*CELL, "card_id", *[c for c in CARD_COLUMNS if not c.startswith("games")]]
+ALL, CUT = " WHERE scope = 'all'", " WHERE scope = 'cut'"
+plain("flt_01_02_fd_02_events_counted", "events", ["tid", "restriction_id", "tier", "month", "hc", "cut_size"], "counted")
+plain("flt_03_jn_01_jn_02_legal_decks", "decks", ["deck_id", "tid", "entry_no", "side", "made_cut", "id_faction", "restriction_id", "tier", "month", "hc", "games", "wins"], "deck_all")
+plain("flt_04_flt_05_jn_05_counted_games", "games", ["tid", "side", "entry_no", "restriction_id", "tier", "month", "won"], "half_points JOIN counted USING (tid)")
+plain("jn_06_games_of_known_decks", "deck_games", ["deck_id", "tid", "side", "entry_no", "month", "won"], "half_points JOIN (SELECT deck_id, tid, side, entry_no, month FROM deck_all) USING (tid, side, entry_no)")
+plain("ag_01_02_03_04_card_deck_counts", "card_counts", CARD_DECKS, "card_count" + ALL)
+plain("ag_05_card_game_counts", "card_counts", [*CELL, "card_id", "games_total", "games_won"], "card_count" + ALL)
+plain("jn_07_card_counts", "card_counts", [*CELL, "card_id", *CARD_COLUMNS], "card_count" + ALL)
+plain("ag_06_faction_counts", "faction_counts", [*CELL, "faction", "decks"], "faction_count" + ALL)
+plain("ag_07_side_decks", "side_decks", [*CELL, "side_decks", "side_entries_hc", "side_cut_hc"], "side_count WHERE scope = 'all' AND side_decks > 0")
+plain("ag_08_side_games", "side_games", [*CELL, "side_games_all", "side_wins_all"], "side_count WHERE scope = 'all' AND side_games_all > 0")
+plain("ag_09_event_counts", "event_counts", ["restriction_id", "tier", "month", "tournaments", "tournaments_hc"], "side_count WHERE scope = 'all' AND side = 'corp'")
+plain("jn_08_side_baseline_dense", "side_counts", [*CELL, *BASELINE_COLUMNS], "side_count" + ALL)
+plain("wn_01_flt_06_identity_coverage", "identity_entries", ["tid", "entry_no", "side", "identity", "made_cut", "has_cut"], "known_identity")
+plain("jn_09_jn_10_ag_10_identity_counts", "identity_counts", [*CELL, "identity", *IDENTITY_COLUMNS], "identity_count")
+plain("ag_12_jn_11_card_counts_cut", "card_counts", [*CELL, "card_id", *CARD_COLUMNS], "card_count" + CUT, "cut")
+plain("ag_12_side_counts_cut", "side_counts", [*CELL, *BASELINE_COLUMNS], "side_count" + CUT, "cut")
+plain("ag_12_faction_counts_cut", "faction_counts", [*CELL, "faction", "decks"], "faction_count" + CUT, "cut")
 
 
 @query(
     "ag_11_identity_side_totals",
-    f"{COUNTS} SELECT side, restriction_id, tier, month, sum(entries)::BIGINT AS side_entries, sum(games_total)::BIGINT AS side_games, sum(games_won) AS side_wins, sum(cut_entries)::BIGINT AS side_cut_entries, sum(cut_made)::BIGINT AS side_cut_made FROM identity_counts GROUP BY ALL",
+    f"{COUNTS} SELECT side, restriction_id, tier, month, sum(entries)::BIGINT AS side_entries, sum(games_total)::BIGINT AS side_games, sum(games_won) AS side_wins, sum(cut_entries)::BIGINT AS side_cut_entries, sum(cut_made)::BIGINT AS side_cut_made FROM identity_count GROUP BY ALL",
 )
 def identity_side_totals(tables):
     return cube(tables).identity_side_counts
 
 
-@query("jn_03_legal_deck_cards", f"{ADAPTER} SELECT d.deck_id, d.restriction_id, dc.card_id, dc.qty, cf.faction_id FROM d JOIN deck_card dc USING (deck_id) JOIN legal l ON l.card_id = dc.card_id AND l.restriction_id = d.restriction_id LEFT JOIN cf ON cf.card_id = dc.card_id")
+@query("jn_03_jn_04_legal_deck_cards", f"{COUNTS} SELECT f.deck_id, f.restriction_id, f.card_id, f.qty, card.faction_id FROM card_fact f JOIN card USING (card_id) WHERE scope = 'all'")
 def legal_deck_cards(tables):
     c = cube(tables)
-    return c.legal_cards(c.decks).join(tables.card.select("card_id", "faction_id"), "card_id", "left").select("deck_id", "restriction_id", "card_id", "qty", "faction_id")
+    return c.legal_cards(c.decks).select("deck_id", "restriction_id", "card_id", "qty", "faction_id")
 
 
-@query("ag_13_slices_of_card_counts", COUNTS + " " + slices_sql("card_counts", CARD_COLUMNS, ["side", "month", "card_id"]))
+@query("ag_13_slices_of_card_counts", COUNTS + " " + slices_sql("all_cards", CARD_COLUMNS, ["side", "month", "card_id"]))
 def card_slices(tables):
     return slices(cube(tables).card_counts, CARD_COLUMNS, ["side", "month", "card_id"])
 
 
-@query("ag_13_slices_of_side_counts", COUNTS + " " + slices_sql("side_counts", BASELINE_COLUMNS, ["side", "month"]))
+@query("ag_13_slices_of_side_counts", COUNTS + " " + slices_sql("all_sides", BASELINE_COLUMNS, ["side", "month"]))
 def side_slices(tables):
     return slices(cube(tables).side_counts, BASELINE_COLUMNS, ["side", "month"])
 
 
-@query("flt_07_one_slice", f"{COUNTS} SELECT side, month, card_id, sum(decks_with_card)::BIGINT AS decks FROM card_counts WHERE side = 'corp' AND restriction_id = 'r1996' GROUP BY ALL")
+@query("flt_07_one_slice", f"{COUNTS} SELECT side, month, card_id, sum(decks_with_card)::BIGINT AS decks FROM all_cards WHERE side = 'corp' AND restriction_id = 'r1996' GROUP BY ALL")
 def one_slice(tables):
     c = cube(tables).card_counts.filter((F.col("side") == "corp") & (F.col("restriction_id") == "r1996"))
     return c.groupBy("side", "month", "card_id").agg(F.sum("decks_with_card").alias("decks"))
@@ -108,7 +113,7 @@ def period_spans(tables):
     return views.periods(cube(tables).side_counts, PERIOD).select(*SLICE, "from", "to", "prev_from", "prev_to", "has_prev")
 
 
-@query("ag_14_flt_08_period_sums", f"{COUNTS}{SPANS} {sums_sql('side_counts', BASELINE_COLUMNS, [])}")
+@query("ag_14_flt_08_period_sums", f"{COUNTS}{SPANS} {sums_sql('all_sides', BASELINE_COLUMNS, [])}")
 def baseline_sums(tables):
     sides = cube(tables).side_counts
     return views.period_sums(sides, BASELINE_COLUMNS, [], views.periods(sides, PERIOD))
@@ -116,8 +121,8 @@ def baseline_sums(tables):
 
 MODE = "CASE WHEN greatest(qty1, qty2, qty3) > 0 THEN CASE greatest(qty1, qty2, qty3) WHEN qty1 THEN 1 WHEN qty2 THEN 2 ELSE 3 END END"
 SUMMARY = f"""{COUNTS}{SPANS},
-base AS ({sums_sql("side_counts", BASELINE_COLUMNS, [])}),
-cards AS ({sums_sql("card_counts", CARD_COLUMNS, ["card_id"])}),
+base AS ({sums_sql("all_sides", BASELINE_COLUMNS, [])}),
+cards AS ({sums_sql("all_cards", CARD_COLUMNS, ["card_id"])}),
 r0 AS (SELECT cards.*, base.* EXCLUDE (side, restriction_id, tier), decks_with_card::DOUBLE / nullif(side_decks, 0) AS popularity,
     CASE WHEN has_prev THEN coalesce(prev_decks_with_card::DOUBLE / nullif(prev_side_decks, 0), 0) END AS prev_popularity
     FROM cards JOIN base USING (side, restriction_id, tier) JOIN spans USING (side, restriction_id, tier)),
@@ -177,7 +182,7 @@ def nulls_last_sort(tables):
     return s.select("side", "card_id", "conversion", F.row_number().over(W.partitionBy("side").orderBy(F.desc_nulls_last("conversion"), "card_id")).alias("place"))
 
 
-@query("ql_02_fm_09_wn_03_identities", f"""{COUNTS}{SPANS}, c AS (SELECT * FROM ({sums_sql("identity_counts", IDENTITY_COLUMNS, ["identity"])}) WHERE entries > 0)
+@query("ql_02_fm_09_wn_03_identities", f"""{COUNTS}{SPANS}, c AS (SELECT * FROM ({sums_sql("identity_count", IDENTITY_COLUMNS, ["identity"])}) WHERE entries > 0)
 SELECT side, restriction_id, tier, identity, entries, entries::DOUBLE / nullif(sum(entries) OVER (PARTITION BY side, restriction_id, tier)::DOUBLE, 0) AS share, games_won / nullif(games_total, 0) AS winrate,
     {wilson_sql("low", "games_won", "games_total")} AS winrate_low, {wilson_sql("high", "games_won", "games_total")} AS winrate_high, CASE WHEN games_total >= {MIN_GAMES} THEN 'ok' ELSE 'insufficient' END AS winrate_status,
     cut_made::DOUBLE / nullif(cut_entries, 0) AS conversion, CASE WHEN cut_entries >= {MIN_ENTRIES} THEN 'ok' ELSE 'insufficient' END AS conversion_status,
@@ -190,23 +195,23 @@ def identities(tables):
 TREND = ["decks_with_card", "copies_sum", "games_total", "games_won"]
 
 
-@query("ql_03_ag_15_flt_09_trends", f"{COUNTS}, s AS (SELECT side, card_id, month, restriction_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in TREND)} FROM card_counts GROUP BY ALL) SELECT * FROM s WHERE {' OR '.join(f'{c} <> 0' for c in TREND)}")
+@query("ql_03_ag_15_flt_09_trends", f"{COUNTS}, s AS (SELECT side, card_id, month, restriction_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in TREND)} FROM all_cards GROUP BY ALL) SELECT * FROM s WHERE {' OR '.join(f'{c} <> 0' for c in TREND)}")
 def trends(tables):
     return views.trends(cube(tables).card_counts, TREND)
 
 
-@query("ql_09_monthly_series_dense", f"""{COUNTS}, s AS (SELECT side, month, sum(side_decks)::BIGINT AS side_decks FROM side_counts GROUP BY ALL),
+@query("ql_09_monthly_series_dense", f"""{COUNTS}, s AS (SELECT side, month, sum(side_decks)::BIGINT AS side_decks FROM all_sides GROUP BY ALL),
 m AS (SELECT side, strftime(unnest(generate_series((min(month) || '-01')::TIMESTAMP, (max(month) || '-01')::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM s GROUP BY side),
-p AS (SELECT side, card_id, month, sum(decks_with_card)::BIGINT AS decks, sum(games_total)::BIGINT AS games, sum(games_won) AS won FROM card_counts GROUP BY ALL)
+p AS (SELECT side, card_id, month, sum(decks_with_card)::BIGINT AS decks, sum(games_total)::BIGINT AS games, sum(games_won) AS won FROM all_cards GROUP BY ALL)
 SELECT k.side, k.card_id, m.month, coalesce(p.decks, 0) AS decks, coalesce(p.decks, 0)::DOUBLE / nullif(coalesce(s.side_decks, 0), 0) AS popularity, coalesce(won, 0) / nullif(coalesce(games, 0), 0) AS winrate
-FROM (SELECT DISTINCT side, card_id FROM card_counts) k JOIN m USING (side) LEFT JOIN s ON s.side = k.side AND s.month = m.month LEFT JOIN p ON p.side = k.side AND p.card_id = k.card_id AND p.month = m.month""")
+FROM (SELECT DISTINCT side, card_id FROM all_cards) k JOIN m USING (side) LEFT JOIN s ON s.side = k.side AND s.month = m.month LEFT JOIN p ON p.side = k.side AND p.card_id = k.card_id AND p.month = m.month""")
 def monthly_series(tables):
     c = cube(tables)
     return views.monthly_series(c.card_counts, c.side_counts)
 
 
-@query("fm_10_fm_11_faction_split", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM card_counts GROUP BY ALL),
-f AS (SELECT side, faction AS faction_id, sum(decks)::BIGINT AS fd FROM faction_counts GROUP BY ALL), s AS (SELECT side, sum(side_decks)::BIGINT AS sd FROM side_counts GROUP BY ALL),
+@query("fm_10_fm_11_faction_split", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM all_cards GROUP BY ALL),
+f AS (SELECT side, faction AS faction_id, sum(decks)::BIGINT AS fd FROM (SELECT * FROM faction_count WHERE scope = 'all') GROUP BY ALL), s AS (SELECT side, sum(side_decks)::BIGINT AS sd FROM all_sides GROUP BY ALL),
 j AS (SELECT c.*, coalesce(fd, 0) AS fd, sd, card.faction_id IS NOT NULL AND NOT starts_with(card.faction_id, 'neutral') AND NOT ends_with(card_type_id, 'identity') AS hi, card_type_id
     FROM c JOIN card USING (card_id) LEFT JOIN f ON f.side = c.side AND f.faction_id = card.faction_id JOIN s ON s.side = c.side)
 SELECT side, card_id, CASE WHEN hi THEN inside END AS decks_in_faction, CASE WHEN hi THEN coalesce(inside::DOUBLE / nullif(fd, 0), 0) END AS popularity_in,
@@ -218,31 +223,31 @@ def faction_split(tables):
     return views.faction_split(c.card_counts, c.faction_counts, c.side_counts, tables.card, MIN_SPLASH)
 
 
-@query("ql_10_flt_21_wn_04_played_in_faction", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM card_counts GROUP BY ALL)
+@query("ql_10_flt_21_wn_04_played_in_faction", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM all_cards GROUP BY ALL)
 SELECT side, card_id, inside, decks, row_number() OVER (PARTITION BY side ORDER BY inside DESC, decks DESC, card_id)::INTEGER AS rank FROM c WHERE inside > 0""")
 def played_in_faction(tables):
     c = cube(tables).card_counts.groupBy("side", "card_id").agg(F.sum("decks_in_faction").alias("inside"), F.sum("decks_with_card").alias("decks")).filter("inside > 0")
     return c.select("*", F.row_number().over(W.partitionBy("side").orderBy(F.desc("inside"), F.desc("decks"), "card_id")).alias("rank"))
 
 
-@query("ag_17_ql_11_merge_cubes", f"{COUNTS} SELECT side, restriction_id, tier, month, card_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in TREND)} FROM (SELECT * FROM card_counts WHERE tier < 'B' UNION ALL SELECT * FROM card_counts WHERE tier >= 'B') GROUP BY side, restriction_id, tier, month, card_id")
+@query("ag_17_ql_11_merge_cubes", f"{COUNTS} SELECT side, restriction_id, tier, month, card_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in TREND)} FROM (SELECT * FROM all_cards WHERE tier < 'B' UNION ALL SELECT * FROM all_cards WHERE tier >= 'B') GROUP BY side, restriction_id, tier, month, card_id")
 def merge_cubes(tables):
     c = cube(tables).card_counts
     return views.merge_cubes(c.filter("tier < 'B'"), c.filter("tier >= 'B'"), TREND)
 
 
-@query("ag_18_flt_27_range_sums", f"{COUNTS} SELECT side, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in BASELINE_COLUMNS)} FROM side_counts WHERE month BETWEEN '1996-01' AND '1998-12' AND restriction_id IN ('r1996', 'r1997') GROUP BY side")
+@query("ag_18_flt_27_range_sums", f"{COUNTS} SELECT side, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in BASELINE_COLUMNS)} FROM all_sides WHERE month BETWEEN '1996-01' AND '1998-12' AND restriction_id IN ('r1996', 'r1997') GROUP BY side")
 def range_sums(tables):
     s = cube(tables).side_counts.filter(F.col("month").between("1996-01", "1998-12") & F.col("restriction_id").isin("r1996", "r1997"))
     return s.groupBy("side").agg(*[F.sum(c).alias(c) for c in BASELINE_COLUMNS])
 
 
-@query("ag_19_copies_mode", f"{COUNTS} SELECT side, month, card_id, restriction_id, tier, {MODE} AS copies_mode FROM card_counts")
+@query("ag_19_copies_mode", f"{COUNTS} SELECT side, month, card_id, restriction_id, tier, {MODE} AS copies_mode FROM all_cards")
 def copies_mode(tables):
     return cube(tables).card_counts.select(*CELL, "card_id", views.copies_mode(F.col("qty1"), F.col("qty2"), F.col("qty3")).alias("copies_mode"))
 
 
-@query("fm_12_summary_baseline", f"{COUNTS}{SPANS}, b AS ({sums_sql('side_counts', BASELINE_COLUMNS, [])}) SELECT side, restriction_id, tier, side_wins / nullif(side_games, 0) AS winrate, side_wins_all / nullif(side_games_all, 0) AS winrate_all, side_cut_hc::DOUBLE / nullif(side_entries_hc, 0) AS cut_rate FROM b")
+@query("fm_12_summary_baseline", f"{COUNTS}{SPANS}, b AS ({sums_sql('all_sides', BASELINE_COLUMNS, [])}) SELECT side, restriction_id, tier, side_wins / nullif(side_games, 0) AS winrate, side_wins_all / nullif(side_games_all, 0) AS winrate_all, side_cut_hc::DOUBLE / nullif(side_entries_hc, 0) AS cut_rate FROM b")
 def summary_baseline(tables):
     b = baseline_sums(tables)
     return b.select(*SLICE, ratio(F.col("side_wins"), F.col("side_games")).alias("winrate"), ratio(F.col("side_wins_all"), F.col("side_games_all")).alias("winrate_all"), ratio(F.col("side_cut_hc"), F.col("side_entries_hc")).alias("cut_rate"))
@@ -272,7 +277,7 @@ def quality_report(tables):
     return tables.tournament.groupBy("tier").agg(F.count("*").alias("events"), F.count_if(F.col("players") >= 8).alias("counted"), F.count_if(F.col("cut_size") > 0).alias("with_cut"), F.round(F.avg("players"), 4).alias("players"), F.max("date").alias("as_of"))
 
 
-@query("vd_01_st_06_totals_agree", f"{COUNTS}, a AS (SELECT side, sum(side_decks)::BIGINT AS published FROM side_counts GROUP BY side), b AS (SELECT side, count(*) AS canonical FROM d GROUP BY side) SELECT side, published, canonical FROM a FULL JOIN b USING (side) WHERE published IS DISTINCT FROM canonical")
+@query("vd_01_st_06_totals_agree", f"{COUNTS}, a AS (SELECT side, sum(side_decks)::BIGINT AS published FROM all_sides GROUP BY side), b AS (SELECT side, count(*) AS canonical FROM deck_all GROUP BY side) SELECT side, published, canonical FROM a FULL JOIN b USING (side) WHERE published IS DISTINCT FROM canonical")
 def totals_agree(tables):
     """Violations: none where the cube adds up to the canonical tables."""
     c = cube(tables)
@@ -281,11 +286,11 @@ def totals_agree(tables):
     return published.join(canonical, "side", "full").filter(~F.col("published").eqNullSafe(F.col("canonical"))).select("side", "published", "canonical")
 
 
-@query("vd_01_in_faction_within_all", f"{COUNTS} SELECT side, month, card_id FROM card_counts WHERE decks_in_faction > decks_with_card")
+@query("vd_01_in_faction_within_all", f"{COUNTS} SELECT side, month, card_id FROM all_cards WHERE decks_in_faction > decks_with_card")
 def in_faction_within_all(tables):
     return cube(tables).card_counts.filter("decks_in_faction > decks_with_card").select("side", "month", "card_id")
 
 
-@query("ag_29_vocabulary", f"{COUNTS} SELECT side, list(DISTINCT restriction_id ORDER BY restriction_id) AS restrictions, min(month) AS first_month, max(month) AS last_month FROM side_counts GROUP BY side")
+@query("ag_29_vocabulary", f"{COUNTS} SELECT side, list(DISTINCT restriction_id ORDER BY restriction_id) AS restrictions, min(month) AS first_month, max(month) AS last_month FROM all_sides GROUP BY side")
 def vocabulary(tables):
     return cube(tables).side_counts.groupBy("side").agg(F.array_sort(F.collect_set("restriction_id")).alias("restrictions"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))

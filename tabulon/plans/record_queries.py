@@ -10,68 +10,112 @@ from tabulon.operators import logs, rules
 from tabulon.plans.registry import query
 from tabulon.sources.adapters import ADAPTER
 
-ISSUES = f"""{ADAPTER}, x AS (SELECT deck.deck_id, deck.side, deck.identity_card, t0.restriction_id FROM deck JOIN tournament t0 USING (tid)),
-i AS (SELECT x.*, c.faction_id AS id_faction, c.side_id AS id_side, c.minimum_deck_size, c.influence_limit, v.banned AS id_banned FROM x LEFT JOIN card c ON c.card_id = x.identity_card LEFT JOIN verdict v ON v.card_id = x.identity_card AND v.restriction_id = x.restriction_id),
-k AS (SELECT i.deck_id, sum(qty) AS size, sum(CASE WHEN c.faction_id <> i.id_faction AND c.faction_id <> 'neutral' THEN influence_cost * qty ELSE 0 END + universal_cost * qty) AS influence, count(*) FILTER (restricted) AS restricted, sum(points) AS points,
-    sum(CASE WHEN card_type_id = 'agenda' THEN agenda_points * qty ELSE 0 END) AS agenda,
-    string_agg(concat_ws(';', CASE WHEN c.side_id <> i.side THEN 'wrong_side:' || c.card_id END, CASE WHEN qty > deck_limit THEN 'copies:' || c.card_id END, CASE WHEN banned THEN 'not_legal:' || c.card_id END), ';' ORDER BY c.card_id)
-      FILTER (c.side_id <> i.side OR qty > deck_limit OR banned) AS cards
-    FROM i JOIN deck_card dc USING (deck_id) JOIN card c ON c.card_id = dc.card_id JOIN verdict v ON v.card_id = dc.card_id AND v.restriction_id = i.restriction_id GROUP BY i.deck_id),
-z AS (SELECT i.*, coalesce(size, 0) AS size, coalesce(influence, 0) AS influence, coalesce(restricted, 0) AS restricted, coalesce(points, 0) AS points, coalesce(agenda, 0) AS agenda, cards, 2 * (greatest(coalesce(size, 0), minimum_deck_size) // 5) + 2 AS need FROM i LEFT JOIN k USING (deck_id))
-SELECT deck_id, CASE WHEN id_side IS NULL THEN 'unknown_identity' ELSE concat_ws(';', CASE WHEN id_side <> side THEN 'identity_side' END, CASE WHEN id_banned THEN 'identity_not_legal' END, cards, CASE WHEN size < minimum_deck_size THEN 'deck_size' END,
-    CASE WHEN influence > influence_limit THEN 'influence' END, CASE WHEN restricted > 1 THEN 'restricted' END, CASE WHEN points > 3 THEN 'points' END, CASE WHEN side = 'corp' AND agenda <> 0 AND agenda NOT IN (need, need + 1) THEN 'agenda_points' END) END AS issues FROM z"""
+#: The rules of deck legality for ``judged`` (deck_id, side, identity_card, restriction_id, entry_identity), one issue a row.
+RULES = """
+listing AS (SELECT j.deck_id, j.restriction_id, j.side, i.faction_id AS own, x.card_id, x.qty, card.card_id IS NULL AS unknown, card.side_id, card.faction_id, card.card_type_id, coalesce(card.deck_limit, 3) AS most,
+    coalesce(card.influence_cost, 0) AS cost, coalesce(card.agenda_points, 0) AS agenda, coalesce(v.legal, false) AS legal, coalesce(v.restricted, false) AS restricted, coalesce(v.universal_cost, 0) AS extra, coalesce(v.points, 0) AS points
+    FROM judged j JOIN card i ON i.card_id = j.identity_card JOIN deck_card x ON x.deck_id = j.deck_id LEFT JOIN card ON card.card_id = x.card_id LEFT JOIN verdict v ON v.card_id = x.card_id AND v.restriction_id = j.restriction_id),
+totals AS (SELECT deck_id, restriction_id, coalesce(sum(qty) FILTER (NOT unknown), 0) AS size, coalesce(sum(cost * qty) FILTER (faction_id <> own AND NOT starts_with(faction_id, 'neutral')), 0) + coalesce(sum(extra * qty), 0) AS influence,
+    count_if(restricted) AS restricted, sum(points) AS points, coalesce(sum(agenda * qty) FILTER (card_type_id = 'agenda'), 0) AS agenda FROM listing GROUP BY ALL),
+whole AS (SELECT j.*, i.side_id, i.minimum_deck_size AS least, i.influence_limit, r.point_limit, coalesce(t.size, 0) AS size, coalesce(influence, 0) AS influence, coalesce(t.restricted, 0) AS restricted, coalesce(t.points, 0) AS points, coalesce(agenda, 0) AS agenda,
+    coalesce(v.legal, false) AS legal, i.card_id IS NULL AS lost FROM judged j LEFT JOIN card i ON i.card_id = j.identity_card LEFT JOIN totals t ON t.deck_id = j.deck_id AND t.restriction_id IS NOT DISTINCT FROM j.restriction_id LEFT JOIN restriction r ON r.restriction_id = j.restriction_id
+    LEFT JOIN verdict v ON v.card_id = j.identity_card AND v.restriction_id = j.restriction_id),
+issue AS (SELECT deck_id, restriction_id, 0 AS place, '' AS card_id, 'unknown_identity' AS text FROM whole WHERE lost
+    UNION ALL SELECT deck_id, restriction_id, 1, '', 'identity_side' FROM whole WHERE side_id <> side
+    UNION ALL SELECT deck_id, restriction_id, 2, '', 'identity_not_legal:' || identity_card FROM whole WHERE NOT lost AND NOT legal
+    UNION ALL SELECT deck_id, restriction_id, 3, card_id, 'unknown_card:' || card_id FROM listing WHERE unknown
+    UNION ALL SELECT deck_id, restriction_id, 3.1, card_id, 'wrong_side:' || card_id FROM listing WHERE side_id <> side
+    UNION ALL SELECT deck_id, restriction_id, 3.2, card_id, 'extra_identity:' || card_id FROM listing WHERE card_type_id LIKE '%identity'
+    UNION ALL SELECT deck_id, restriction_id, 3.3, card_id, 'copies:' || card_id FROM listing WHERE NOT unknown AND qty > most
+    UNION ALL SELECT deck_id, restriction_id, 3.4, card_id, 'not_legal:' || card_id FROM listing WHERE NOT unknown AND NOT legal
+    UNION ALL SELECT deck_id, restriction_id, 4, '', 'deck_size' FROM whole WHERE NOT lost AND size < least
+    UNION ALL SELECT deck_id, restriction_id, 5, '', 'influence' FROM whole WHERE influence > influence_limit
+    UNION ALL SELECT deck_id, restriction_id, 6, '', 'restricted' FROM whole WHERE restricted > 1
+    UNION ALL SELECT deck_id, restriction_id, 7, '', 'points' FROM whole WHERE points > point_limit
+    UNION ALL SELECT deck_id, restriction_id, 8, '', 'agenda_points' FROM whole WHERE NOT lost AND side = 'corp' AND agenda - 2 * (greatest(size, least) // 5) NOT IN (2, 3)
+    UNION ALL SELECT deck_id, restriction_id, 9, '', 'identity_differs_from_entry' FROM whole WHERE entry_identity <> identity_card),
+issues AS (SELECT j.deck_id, j.restriction_id, coalesce(string_agg(text, ';' ORDER BY floor(place), issue.card_id, place), '') AS issues FROM judged j LEFT JOIN issue ON issue.deck_id = j.deck_id AND issue.restriction_id IS NOT DISTINCT FROM j.restriction_id GROUP BY ALL)"""
+
+#: An event's own list may be a casual one; every ninth deck's identity is told otherwise by its entry.
+ISSUES = f"""{ADAPTER}, judged AS (SELECT deck_id, side, identity_card, CASE WHEN bucket % 5 = 4 THEN 'casual' ELSE restriction_id END AS restriction_id, CASE WHEN entry_no % 9 = 0 THEN 'other' ELSE identity_card END AS entry_identity FROM deck JOIN tournament USING (tid)),{RULES}"""
 
 
 def ruled_decks(t):
-    return t.deck.join(t.tournament.select("tid", "restriction_id"), "tid").select("deck_id", "side", "identity_card", "restriction_id")
+    e = t.tournament.select("tid", F.when(F.col("bucket") % 5 == 4, "casual").otherwise(F.col("restriction_id")).alias("restriction_id"))
+    return t.deck.join(e, "tid").select("deck_id", "side", "identity_card", "restriction_id", F.when(F.col("entry_no") % 9 == 0, "other").otherwise(F.col("identity_card")).alias("entry_identity"))
 
 
-@query("rl_01_to_09_deck_issues", ISSUES)
+@query("rl_01_to_09_deck_issues", f"{ISSUES} SELECT deck_id, issues FROM issues")
 def deck_issues(t):
-    return rules.deck_issues(ruled_decks(t), t.deck_card, t.card, t.verdict)
+    return rules.deck_issues(ruled_decks(t), t.deck_card, t.card, t.ruling, t.restriction).select("deck_id", "issues")
 
 
-@query("ag_25_issue_counts", f"SELECT split_part(u, ':', 1) AS issue, count(*) AS n FROM (SELECT unnest(string_split(issues, ';')) AS u FROM ({ISSUES}) q WHERE issues <> '') GROUP BY 1")
+@query("ag_25_issue_counts", f"SELECT split_part(u, ':', 1) AS issue, count(*) AS n FROM (SELECT unnest(string_split(issues, ';')) AS u FROM ({ISSUES} SELECT * FROM issues) q WHERE issues <> '') GROUP BY 1")
 def issue_counts(t):
     i = deck_issues(t).filter("issues <> ''").select(F.explode(F.split("issues", ";")).alias("u"))
     return i.groupBy(F.substring_index("u", ":", 1).alias("issue")).agg(F.count("*").alias("n"))
 
 
-@query("jn_14_asof_list_in_force", f"{ADAPTER} SELECT t0.tid, t0.date, r.restriction_id AS list_in_force FROM (SELECT tid, date + INTERVAL 20 DAY AS date FROM tournament) t0 ASOF LEFT JOIN restriction r ON t0.date >= r.date_start".replace("date + INTERVAL 20 DAY AS date", "(date + INTERVAL 20 DAY)::DATE AS date"))
+@query("jn_14_asof_list_in_force", f"{ADAPTER} SELECT t0.tid, t0.date, r.restriction_id AS list_in_force FROM (SELECT tid, (date - INTERVAL 200 DAY)::DATE AS date FROM tournament) t0 ASOF LEFT JOIN restriction r ON t0.date >= r.date_start")
 def asof(t):
-    return rules.in_force(t.tournament.select("tid", F.date_add("date", 20).alias("date")), t.restriction)
+    return rules.in_force(t.tournament.select("tid", F.date_sub("date", 200).alias("date")), t.restriction).select("tid", "date", "list_in_force")
 
 
-@query("jn_15_latest_list_by_parity", f"{ADAPTER} SELECT year % 2 AS parity, arg_max(restriction_id, date_start) AS restriction_id FROM restriction GROUP BY 1")
-def latest_list(t):
-    return t.restriction.groupBy((F.col("year") % 2).cast("long").alias("parity")).agg(F.max_by("restriction_id", "date_start").alias("restriction_id"))
+#: Two snapshots of each list: the later one counts.
+@query("jn_15_latest_snapshot_of_a_list", f"{ADAPTER} SELECT restriction_id, max(date_start + INTERVAL (180 * k) DAY)::DATE AS date_start FROM restriction, (VALUES (0), (1)) v(k) GROUP BY 1")
+def latest_snapshot(t):
+    s = t.restriction.select("restriction_id", F.explode(F.array("date_start", F.date_add("date_start", 180))).alias("date_start"), "card_pool_id")
+    return s.groupBy("restriction_id").agg(F.max_by(F.struct("date_start", "card_pool_id"), "date_start").alias("s")).select("restriction_id", "s.date_start")
 
 
-@query("jn_13_jn_16_legal_pairs", f"{ADAPTER} SELECT restriction_id, count(*) AS cards FROM legal GROUP BY 1")
+@query("jn_13_jn_16_fa_01_legal_pairs", f"{ADAPTER} SELECT restriction_id, count_if(legal)::BIGINT AS cards FROM verdict GROUP BY 1")
 def legal_pairs(t):
-    return t.legal.groupBy("restriction_id").agg(F.count("*").alias("cards"))
+    """Every card but those that a list bars, so the pairs themselves need not be made."""
+    barred = t.ruling.filter("barred").groupBy("restriction_id").agg(F.count("*").alias("barred"))
+    every = t.card.agg(F.count("*").alias("every"))
+    lists = t.restriction.select("restriction_id").join(barred, "restriction_id", "left").withColumn("one", F.lit(1))
+    return lists.join(every.withColumn("one", F.lit(1)), "one").select("restriction_id", (F.col("every") - F.coalesce("barred", F.lit(0))).alias("cards"))
 
 
-@query("fa_06_flt_11_card_lists", f"{ADAPTER} SELECT card_id, list(restriction_id ORDER BY restriction_id) FILTER (NOT banned) AS legal_in, list(restriction_id ORDER BY restriction_id) FILTER (banned) AS banned_in FROM verdict GROUP BY 1 HAVING count(*) FILTER (NOT banned) > 0")
+@query("jn_17_banned_pairs", f"{ADAPTER} SELECT card_id, restriction_id FROM verdict WHERE banned")
+def banned_pairs(t):
+    return t.ruling.filter("banned").select("card_id", "restriction_id")
+
+
+@query("fa_06_flt_11_card_lists", f"{ADAPTER} SELECT card_id, list(restriction_id ORDER BY restriction_id) FILTER (legal) AS legal_in, list(restriction_id ORDER BY restriction_id) FILTER (banned) AS banned_in FROM verdict GROUP BY 1 HAVING count_if(legal) > 0")
 def card_lists(t):
     some = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("restriction_id"))))
-    v = t.verdict.groupBy("card_id").agg(some(~F.col("banned")).alias("legal_in"), some(F.col("banned")).alias("banned_in"))
-    return v.filter(F.size("legal_in") > 0).withColumn("banned_in", F.when(F.size("banned_in") > 0, F.col("banned_in")))
+    v = t.ruling.groupBy("card_id").agg(some(F.col("barred")).alias("barred_in"), some(F.col("banned")).alias("banned_in"))
+    every = t.restriction.agg(F.array_sort(F.collect_list("restriction_id")).alias("every")).withColumn("one", F.lit(1))
+    c = t.card.select("card_id", F.lit(1).alias("one")).join(every, "one").join(v, "card_id", "left")
+    none = F.array().cast("array<string>")
+    c = c.select("card_id", F.array_except("every", F.coalesce("barred_in", none)).alias("legal_in"), F.when(F.size("banned_in") > 0, F.col("banned_in")).alias("banned_in"))
+    return c.filter(F.size("legal_in") > 0)
+
+
+CHOICE = f"""{ADAPTER}, ev AS (SELECT tid, date, CASE bucket % 3 WHEN 0 THEN restriction_id WHEN 1 THEN 'casual' END AS set_list FROM tournament),
+sp AS (SELECT *, lead(date_start) OVER (ORDER BY date_start) AS until, lag(restriction_id) OVER (ORDER BY date_start) AS previous, lead(restriction_id) OVER (ORDER BY date_start) AS following FROM restriction),
+gv AS (SELECT ev.tid, coalesce(r.restriction_id, sp.restriction_id) AS given, sp.restriction_id AS current, previous, following FROM ev LEFT JOIN sp ON date >= date_start AND (until IS NULL OR date < until) LEFT JOIN restriction r ON r.restriction_id = set_list),
+ca AS (SELECT tid, given, candidate, min(place) AS place FROM (SELECT tid, given, unnest([given, current, previous, following]) AS candidate, unnest([0, 1, 2, 3]) AS place FROM gv) WHERE candidate IS NOT NULL GROUP BY ALL),
+judged AS (SELECT DISTINCT deck_id, side, identity_card, candidate AS restriction_id, NULL::VARCHAR AS entry_identity FROM deck JOIN ca USING (tid)),{RULES},
+good AS (SELECT ca.*, count_if(issues = '') AS legal, count(*) AS decks FROM ca JOIN deck USING (tid) JOIN issues ON issues.deck_id = deck.deck_id AND issues.restriction_id = ca.candidate GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY legal DESC, place) AS k, max(legal) FILTER (place = 0) OVER (PARTITION BY tid) AS was FROM good)"""
+
+
+@query("rl_11_given_list", f"{CHOICE} SELECT tid, given FROM gv")
+def given_list(t):
+    return rules.given_list(listed_events(t), t.restriction).select("tid", "given")
 
 
-NEIGHBOURS = """, near AS (SELECT a.restriction_id, b.restriction_id AS candidate, CASE b.year - a.year WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS place FROM restriction a JOIN restriction b ON abs(b.year - a.year) <= 1)"""
+def listed_events(t):
+    """Organisers set a standard list, a casual one or none."""
+    set_list = F.when(F.col("bucket") % 3 == 0, F.col("restriction_id")).when(F.col("bucket") % 3 == 1, "casual")
+    return t.tournament.select("tid", "date", set_list.alias("set_list"))
 
 
-@query("rl_11_rl_12_wn_09_ag_26_better_list", f"""{ADAPTER}{NEIGHBOURS}, c AS (SELECT deck.deck_id, deck.tid, near.* FROM deck JOIN tournament USING (tid) JOIN near ON near.restriction_id = tournament.restriction_id),
-bad AS (SELECT DISTINCT c.deck_id, c.candidate FROM c JOIN deck_card USING (deck_id) JOIN verdict v ON v.card_id = deck_card.card_id AND v.restriction_id = c.candidate AND v.banned),
-n AS (SELECT tid, restriction_id AS given, c.candidate, place, count(*) FILTER (bad.deck_id IS NULL) AS legal, count(*) AS decks FROM c LEFT JOIN bad ON bad.deck_id = c.deck_id AND bad.candidate = c.candidate GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY tid, given ORDER BY legal DESC, place, candidate DESC) AS k, max(legal) FILTER (place = 0) OVER (PARTITION BY tid, given) AS now FROM n)
-SELECT tid, given, CASE WHEN legal - now >= greatest(2.0, decks * 0.1) THEN candidate ELSE given END AS chosen FROM b WHERE k = 1""")
-def better_list(t):
-    a, b = t.restriction.select("restriction_id", "year"), t.restriction.select(F.col("restriction_id").alias("candidate"), F.col("year").alias("other"))
-    gap = F.col("other") - F.col("year")
-    near = a.join(b, F.abs(gap) <= 1).select("restriction_id", "candidate", F.when(gap == 0, 0).when(gap == -1, 1).otherwise(2).alias("place"))
-    return rules.better_list(t.deck.join(t.tournament.select("tid", "restriction_id"), "tid").select("deck_id", "tid", "restriction_id"), t.deck_card, t.verdict, near)
+@query("rl_12_wn_09_ag_26_chosen_list", f"{CHOICE} SELECT tid, given, CASE WHEN legal - was >= greatest(2, decks * 0.1) THEN candidate ELSE given END AS chosen, was AS legal_before, legal AS legal_after FROM top WHERE k = 1")
+def chosen_list(t):
+    return rules.chosen_list(listed_events(t), t.deck, t.deck_card, t.card, t.ruling, t.restriction)
 
 
 LOG = """WITH l AS (SELECT user_id AS game_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'turn' WHEN 'click' THEN 'gain' WHEN 'purchase' THEN 'spend' WHEN 'view' THEN 'draw' WHEN 'error' THEN 'damage' END AS kind, floor(value)::BIGINT AS amount FROM events),

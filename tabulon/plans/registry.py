@@ -26,4 +26,5 @@ def query(name: str, oracle: str | None = None):
 
 
 def cube(tables: Canonical, scope: str = "all") -> Counts:
-    return Counts(tables, MIN_PLAYERS, COVERAGE, COVERAGE / 2, scope)
+    """The count cube of the input, its tables stored once."""
+    return Counts(tables, MIN_PLAYERS, COVERAGE, COVERAGE / 2, scope, tables.keep)

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def two_events(spark):
-    """Two events: the first with a cut, the second without; one illegal deck; an intentional draw."""
+    """Two events: the first with a cut, the second without; one illegal deck; an intentional draw. Fixed values, as are the counts below."""
     make = spark.createDataFrame
     tournament = make([("T1", "2026-08-10", "megacity", "std", 8, 2, 1.0), ("T2", "2026-09-05", "gnk", "std", 8, 0, 1.0)], "tid string, date string, tier string, restriction_id string, players int, cut_size int, decklist_coverage double").withColumn("date", F.to_date("date"))
     entry = make([("T1", n, n <= 2, "corp_id", "runner_id") for n in (1, 2, 3, 4)] + [("T2", n, False, "corp_id", "runner_id") for n in (1, 2)], "tid string, entry_no int, made_cut boolean, corp_identity string, runner_identity string")
@@ -29,8 +29,8 @@ def two_events(spark):
     game = make([(t, int(a), int(b), r) for t, a, b, r in (x.split() for x in results.split(","))], "tid string, corp_entry int, runner_entry int, result string")
     cards = ["c1", "c2", "r1", "corp_id", "runner_id"]
     card = make([(c, "f") for c in cards], "card_id string, faction_id string")
-    legal = make([(c, "std") for c in cards], "card_id string, restriction_id string")
-    return SimpleNamespace(tournament=tournament, entry=entry, deck=deck, deck_card=deck_card, game=game, card=card, legal=legal)
+    ruling = make([], "card_id string, restriction_id string, barred boolean")
+    return SimpleNamespace(tournament=tournament, entry=entry, deck=deck, deck_card=deck_card, game=game, card=card, ruling=ruling)
 
 
 def test_card_counts_by_hand(two_events):
@@ -59,7 +59,7 @@ def test_months_add_up(spark):
     t = Canonical(spark, SF)
     by_month = Counts(t, 8, 0.6).card_counts
     months = by_month.groupBy("side", "card_id").agg(*[F.sum(c).alias(c) for c in CARD_COLUMNS])
-    merged = SimpleNamespace(tournament=t.tournament.withColumn("date", F.to_date(F.lit("2000-01-01"))).withColumn("tier", F.lit("x")), entry=t.entry, deck=t.deck, deck_card=t.deck_card, game=t.game, card=t.card, legal=t.legal)
+    merged = SimpleNamespace(tournament=t.tournament.withColumn("date", F.to_date(F.lit("2000-01-01"))).withColumn("tier", F.lit("x")), entry=t.entry, deck=t.deck, deck_card=t.deck_card, game=t.game, card=t.card, ruling=t.ruling)
     whole = Counts(merged, 8, 0.6).card_counts.groupBy("side", "card_id").agg(*[F.sum(c).alias(c) for c in CARD_COLUMNS])
     assert months.exceptAll(whole).count() == 0 and whole.exceptAll(months).count() == 0
 
