@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import checkpointed, connected_components, short_batches, table
+from tabulon.storage import small
 
 COSINE = 0.9
 #: Vectors that the quantisers are fitted on, about; chosen by a hash of the vector.
@@ -39,7 +40,7 @@ SAMPLE = 20_000
 PROBES = 16
 PER_LIST, LEAST, MOST = 256, 4, 1_024
 SUBSPACES, CODES = 16, 256
-BLOCK, CHUNK = 1_024, 8_192
+BLOCK, CHUNK = 512, 8_192
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -222,8 +223,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         """Rows (size, list, node, ...) of both, in tasks of a block of members and a chunk of askers of a list."""
         stored, asked = members.groupBy("size", "list").agg(F.count("*").alias("stored")), askers.groupBy("size", "list").agg(F.count("*").alias("asked"))
         plan = stored.join(asked, ["size", "list"]).select("size", "list", F.ceil(F.col("stored") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("chunks"))
-        # a row for each list in use; by far the most have one task, so only the others are joined by
-        plan = checkpointed(plan.filter("blocks > 1 or chunks > 1"))
+        # by far the most lists have one task, so only the others are joined by
+        plan = small(checkpointed(plan.filter("blocks > 1 or chunks > 1")))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
         of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce(n, F.lit(1))).cast("int")
         a = members.join(plan, ["size", "list"], "left").withColumn("block", of("blocks", "block")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
