@@ -1,6 +1,6 @@
 """All queries of the engine by name."""
 
-from tabulon.plans import cube_queries, record_queries
+from tabulon.plans import cube_queries, log_queries, record_queries
 from tabulon.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cube_queries", "record_queries"]
+__all__ = ["ORACLES", "QUERIES", "cube_queries", "log_queries", "record_queries"]

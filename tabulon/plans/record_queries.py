@@ -152,7 +152,7 @@ def copy_numbers(t):
     return e.filter("n > 1").drop("n")
 
 
-@query("log_20_32_54_action_counts", f"{LOG} SELECT game_id, count(*) FILTER (kind = 'gain') AS gains, count(*) FILTER (kind = 'draw') AS draws, sum(CASE WHEN kind = 'damage' THEN amount ELSE 0 END)::BIGINT AS damage, max(pool) AS peak_pool, max(turn) AS rounds FROM n GROUP BY 1")
+@query("wn_14_event_type_counts", f"{LOG} SELECT game_id, count(*) FILTER (kind = 'gain') AS gains, count(*) FILTER (kind = 'draw') AS draws, sum(CASE WHEN kind = 'damage' THEN amount ELSE 0 END)::BIGINT AS damage, max(pool) AS peak_pool, max(turn) AS rounds FROM n GROUP BY 1")
 def action_counts(t):
     return log(t).groupBy("game_id").agg(F.count_if(F.col("kind") == "gain").alias("gains"), F.count_if(F.col("kind") == "draw").alias("draws"), F.sum(F.when(F.col("kind") == "damage", F.col("amount")).otherwise(0)).alias("damage"), F.max("pool").alias("peak_pool"), F.max("turn").alias("rounds"))
 
