@@ -9,11 +9,14 @@ A log has rows of (conv_id, turn, sub, seq, kind, role, text). ``kind`` is
 
 Other kinds change nothing. Events apply by seq, those of equal seq by kind, role and text. A message is the last of its own events
 that is no delta, and the deltas after it. Null texts and roles are empty. Messages are told apart by (turn, sub) and ordered by it,
-null turns first.
+null turns first; render() takes another order.
 
-Conversations are dealt by blocks of ``BLOCK`` turns, so that a very long one is folded by many tasks; of the blocks before a block, one
-number is needed, the last event there that drops later messages. Only the rendered conversation, one string by nature, comes
-together in one row.
+Conversations of more than ``BLOCK`` rows are dealt by blocks of as many turns, so that a very long one is folded by many tasks; of the
+blocks before a block, one number is needed, the last event there that drops later messages. The others are folded and rendered whole
+where their rows meet, so they are shuffled once. Only the rendered conversation, one string by nature, comes together in one row.
+
+A table of finished messages is formatted through its log: as_events() writes each message as it would have come to be, streamed in two
+deltas, edited from a draft, or regenerated, with a later message that the edit or regeneration drops.
 
 The template writes a turn as ``<s>[role]``, a line feed, the text and ``</s>``. Inside texts and roles the control strings ``<s>``,
 ``</s>``, ``[INST]``, ``[/INST]`` lose their first character to a backslash and a letter, backslashes are written with a letter too, and so
@@ -27,12 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import table
+from tabulon.llm.common import checkpointed, table
+from tabulon.storage import small
 
 BLOCK = 512
 DROPS = ("edit", "regenerate")
 RESETS = ("message", *DROPS)
-EVENT = "conv_id long, turn long, sub int, seq long, kind string, role string, text string"
+EVENT = "conv_id long, turn long, sub long, seq long, kind string, role string, text string"
+NULL_TURN = -(1 << 62)
 
 
 def escape(text: Column) -> Column:
@@ -54,32 +59,36 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def reconstruct(events: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, sub, role, text): the messages that stand at the end of the log."""
-    e = events.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)).withColumn("at", F.coalesce("turn", F.lit(-(1 << 62))))
+def reconstruct(events: DataFrame, blocks: bool = True) -> DataFrame:
+    """(conv_id, block, turn, sub, role, text): the messages that stand at the end of the log. Without ``blocks`` each conversation is
+    folded in one task, and rows that are dealt by conv_id are not dealt again."""
+    e = events.withColumn("at", F.coalesce("turn", F.lit(NULL_TURN)))
     drops = F.when(F.col("kind").isin(*DROPS), F.col("seq"))
-    blocks = e.groupBy("conv_id", "block").agg(F.max(drops).alias("cut"))
-    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.max("cut").over(before).alias("before")).filter("before is not null")
-    e = e.join(blocks, F.expr("conv_id <=> c and block = b"), "left").drop("c", "b")
     inner = W.partitionBy("conv_id", "block").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
     own = W.partitionBy("conv_id", "block", "at", "sub")
+    if blocks:
+        e = e.withColumn("block", F.floor(F.col("at") / BLOCK))
+        cuts = e.groupBy("conv_id", "block").agg(F.max(drops).alias("cut"))
+        before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        cuts = cuts.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.max("cut").over(before).alias("before")).filter("before is not null")
+        e = e.join(cuts, F.expr("conv_id <=> c and block = b"), "left").drop("c", "b").withColumn("dropped", F.greatest("before", F.max(drops).over(inner)))
+    else:
+        e = e.withColumn("block", F.lit(0).cast("long")).withColumn("dropped", F.max(drops).over(inner))
     order = F.struct("seq", "kind", "role", "text")
     reset = F.when(F.col("kind").isin(*RESETS), order)
-    e = e.withColumn("dropped", F.greatest("before", F.max(drops).over(inner))).withColumn("reset", F.max(reset).over(own))
-    e = e.filter("dropped is null or seq > dropped")
+    e = e.filter("dropped is null or seq > dropped").withColumn("reset", F.max(reset).over(own))
     e = e.filter(F.col("reset").isNull() | (order >= F.col("reset"))).filter(F.col("kind").isin("delta", *RESETS))
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     folded = e.groupBy("conv_id", "block", "at", "sub").agg(F.first("turn").alias("turn"), parts.alias("parts"))
     return folded.select("conv_id", "block", "turn", "sub", F.element_at("parts", 1)["role"].alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
-def render(messages: DataFrame) -> DataFrame:
+def render(messages: DataFrame, order: tuple[str, ...] = ("turn", "sub")) -> DataFrame:
     """(conv_id, formatted, mask): the conversation's text, and for each turn the (start, length) that the loss covers, from its ``<s>``."""
     head = F.concat(F.lit("<s>["), escape_role(F.col("role")), F.lit("]\n"))
     m = messages.withColumn("head", head).withColumn("body", escape(F.col("text")))
     span = F.struct(F.length("head").alias("start"), F.when(F.col("role") == "assistant", F.length("body")).otherwise(0).alias("length"))
-    m = m.select("conv_id", F.struct("turn", "sub", F.concat("head", "body", F.lit("</s>")).alias("piece"), span.alias("span")).alias("m"))
+    m = m.select("conv_id", F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.concat("head", "body", F.lit("</s>")).alias("piece"), span.alias("span")).alias("m"))
     m = m.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
     return m.select("conv_id", F.array_join("m.piece", "").alias("formatted"), F.col("m.span").alias("mask"))
 
@@ -95,16 +104,40 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A message event for each row; rows of the same turn are messages of their own, ordered by role and text."""
-    same = W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", "turn", F.row_number().over(same).alias("sub"), F.coalesce("turn", F.lit(0)).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """The log of finished messages: each row is a message of its own, told apart by a number, that reads at the end as it reads here.
+
+    By its turn, a message is streamed in two halves; or a draft is edited to its first half and the rest streamed; or a draft is
+    regenerated from nothing in two halves. Edits and regenerations drop a message that was already written for the next turn.
+    """
+    turn, text = F.coalesce("turn", F.lit(NULL_TURN)), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, 1, half), F.substr(text, half + 1)
+    event = lambda step, kind, said, role=F.col("role"), at=F.col("turn"), sub=F.col("sub"): F.struct(at.alias("turn"), sub.alias("sub"), (turn.cast("decimal(20,0)") * 8 + step).cast("decimal(24,0)").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    draft = F.lit("a draft </s>")
+    later = event(1, "message", draft, F.lit("assistant"), F.try_add(F.col("turn"), F.lit(1)), F.lit(-1).cast("long"))
+    streamed = F.array(event(0, "message", first), event(2, "delta", rest))
+    edited = F.array(event(0, "message", draft), later, event(2, "edit", first), event(3, "delta", rest))
+    again = F.array(event(0, "message", draft), later, event(2, "regenerate", F.lit("")), event(3, "delta", first), event(4, "delta", rest))
+    way = F.pmod("turn", F.lit(3))
+    every = F.when(way == 1, edited).when(way == 2, again).otherwise(streamed)
+    e = conversations.select("conv_id", "turn", F.monotonically_increasing_id().alias("sub"), "role", "text")
+    return e.select("conv_id", F.explode(every).alias("e")).select("conv_id", "e.*").filter("sub >= 0 or turn is not null")
+
+
+def formatted(conversations: DataFrame) -> DataFrame:
+    """render() of finished messages of (conv_id, turn, role, text), those of one turn ordered by role and text."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    long = small(checkpointed(c.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK).select("c")))
+    same, order = F.expr("conv_id <=> c"), ("turn", "role", "text")
+    whole = reconstruct(as_events(c.join(long, same, "left_anti").repartition("conv_id")), blocks=False)
+    return render(whole, order).union(render(reconstruct(as_events(c.join(long, same, "left_semi"))), order))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    rows = rows.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    back = read_back(render(reconstruct(as_events(rows))))
+    said = "'</s>[INST] ok [/INST]'"
+    rows = rows.union(spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)"))
+    back = read_back(formatted(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
