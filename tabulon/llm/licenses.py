@@ -18,6 +18,7 @@ of any length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -26,28 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import checkpointed, table
+from tabulon.llm.license_texts import HEADERS, NOTICES, WHOLE
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
 #: The most templates and the most words of all of them together: their tables are held by each task.
 MOST_TEMPLATES, MOST_WORDS = 2_000, 10_000_000
 
-#: Public license notices as their authors ask to print them.
-TEMPLATES = [
-    ("mit-line", "Released under the MIT License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-]
-#: Notices of fewer words than a shingle. ORACLE has TEMPLATES only: its SQL knows none so short.
-NOTICES = [("all-rights-reserved", "All rights reserved.")]
+#: Whole licenses, file headers and notices of a line, the shortest of three words.
+TEMPLATES = WHOLE + HEADERS + NOTICES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,22 +108,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str
         first.setdefault(r["wide"], set()).update(r["first"])
     if total > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words of templates: scan with a part of them at a time")
-    literal = lambda values: F.array(*[F.lit(x) for x in sorted(values)])
     sizes = sorted({min(wide, SHINGLE) for wide in first})
-    known = {k: literal(set().union(*[x for wide, x in first.items() if min(wide, SHINGLE) == k])) for k in sizes}
+    # looked up by hash: Spark turns a long list of literals into a set
+    known = {k: sorted(set().union(*[x for wide, x in first.items() if min(wide, SHINGLE) == k])) for k in sizes}
     d = docs.select(F.col(key).alias("doc_id"), once(words(F.col(text))).alias("w")).filter(F.size("w") >= sizes[0])
     for k in sizes:
         d = d.select("*", once(hashes(F.col("w"), k)).alias(f"h{k}"))
-    d = d.filter(reduce(or_, [F.arrays_overlap(f"h{k}", known[k]) for k in sizes]))
+    one_of = lambda values: lambda x: x.isin(values)
+    d = d.filter(reduce(or_, [F.exists(f"h{k}", one_of(known[k])) for k in sizes]))
 
     def hit(k: int) -> Column:
-        return F.filter(F.transform(f"h{k}", lambda x, i: F.when(F.array_contains(known[k], x), F.struct(i.alias("i"), x.alias("x")))), lambda i: i.isNotNull())
+        return F.filter(F.transform(f"h{k}", lambda x, i: F.when(x.isin(known[k]), F.struct(i.alias("i"), x.alias("x")))), lambda i: i.isNotNull())
 
     for k in sizes:
         d = d.select("*", once(hit(k)).alias(f"hit{k}"))
 
     def windows_of(wide: int) -> Column:
-        places = F.transform(F.filter(f"hit{min(wide, SHINGLE)}", lambda p: F.array_contains(literal(first[wide]), p["x"])), lambda p: p["i"])
+        places = F.transform(F.filter(f"hit{min(wide, SHINGLE)}", lambda p: p["x"].isin(sorted(first[wide]))), lambda p: p["i"])
         return F.transform(window_starts(places, wide), lambda s: F.struct(F.lit(wide).alias("wide"), s.alias("start"), F.slice("w", s + 1, 2 * wide).alias("w")))
 
     d = d.select("doc_id", F.explode(F.concat(*map(windows_of, sorted(first)))).alias("at")).select("doc_id", "at.wide", "at.start", "at.w")
@@ -152,22 +140,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), TEMPLATES + NOTICES)
+    return scan(table(spark, sf_dir, "documents"), TEMPLATES)
 
 
+_WORDS = r"""string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"""
+_SIZES = sorted({min(SHINGLE, len(re.findall(r"\w+", text))) for _, text in TEMPLATES})
+
 ORACLE = (
-    r"""
-WITH t0(license, text) AS (VALUES """
+    "WITH t0(license, text) AS (VALUES "
     + ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in TEMPLATES)
-    + r"""),
-t1 AS (SELECT license, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM t0),
-t AS (SELECT license, len(w) AS wide, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS own FROM t1),
-d AS (SELECT doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
-s AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-x AS (SELECT license, wide, greatest(1, wide // 2) AS step, len(own) AS n, unnest(own) AS shingle FROM t),
-hit AS (SELECT doc_id, license, wide, step, n, shingle, place FROM s JOIN x USING (shingle)),
-win AS (SELECT DISTINCT doc_id, license, wide, n, shingle, k * step AS start
-        FROM (SELECT *, unnest(range(ceil(greatest(place + 5 - 2 * wide, 0) / step)::BIGINT, place // step + 1)) AS k FROM hit)),
+    + f"""),
+t1 AS (SELECT license, {_WORDS} AS w FROM t0),
+t2 AS (SELECT license, w, len(w) AS wide, least({SHINGLE}, len(w)) AS k FROM t1),
+t AS (SELECT license, wide, k, list_distinct(list_transform(range(1, wide - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS own FROM t2),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS ("""
+    + " UNION ALL ".join(f"SELECT doc_id, {k} AS k, i - 1 AS place, array_to_string(w[i:i + {k - 1}], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d)" for k in _SIZES)
+    + """),
+x AS (SELECT license, wide, k, greatest(1, wide // 2) AS step, len(own) AS n, unnest(own) AS shingle FROM t),
+hit AS (SELECT doc_id, license, wide, k, step, n, shingle, place FROM s JOIN x USING (k, shingle)),
+win AS (SELECT DISTINCT doc_id, license, wide, n, shingle, j * step AS start
+        FROM (SELECT *, unnest(range(ceil(greatest(place + k - 2 * wide, 0) / step)::BIGINT, place // step + 1)) AS j FROM hit)),
 held AS (SELECT doc_id, license, wide, start, count(*)::DOUBLE / n AS containment FROM win GROUP BY doc_id, license, wide, n, start),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS r FROM held WHERE containment >= 0.8)
 SELECT doc_id, license, containment, start::BIGINT AS first_word, (start + 2 * wide - 1)::BIGINT AS last_word FROM best WHERE r = 1
