@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, langid, mixing, simhash
-from tabulon.llm.common import WORD, table
+from tabulon.llm.common import checkpointed, table
 
 #: A text stays if the model is at least so sure of its language.
 SURE = 0.5
@@ -22,6 +22,9 @@ SURE = 0.5
 #: or Han letters, was 3.3.
 FAR = 3.2
 
+#: Rows up to which the list of those that go is broadcast.
+MOST_LISTED = 200_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters, those whose language the model is not sure of and those unlike what it learnt of that language. The
@@ -33,19 +36,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: of the least doc_id, and of rows with that id the one of the least hash; of equal rows, one. Rows with a
-    null id stay only where nothing else in their group has an id."""
+    null id stay only where nothing else in their group has an id.
+
+    What goes is decided on narrow rows (a 128-bit hash a row, so null and repeated ids are rows like any other). Texts are shuffled only
+    where the rows that go, or are equal, are more than MOST_LISTED; else their list is broadcast.
+    """
     columns = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
     hashed = docs.withColumn("_h1", F.xxhash64(*columns)).withColumn("_h2", F.xxhash64(F.lit("second"), *columns))
-    member = simhash.near_duplicates(hashed, also=("_h1", "_h2")).groupBy("root", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_h1", "_h2", "_n")).alias("first")
-    keep = member.groupBy("root").agg(first).select("first._h1", "first._h2", "first._n")
-    kept = hashed.join(keep.hint("shuffle_hash"), ["_h1", "_h2"])
-    once = kept.filter("_n = 1").select(docs.columns)
-    return once.union(kept.filter("_n > 1").dropDuplicates(["_h1", "_h2"]).select(docs.columns))
+    rows = simhash.near_duplicates(hashed, also=("_h1", "_h2")).groupBy("root", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_h1", "_h2")
+    groups = rows.groupBy("root").agg(F.min(place).alias("first"), F.sum("_n").alias("_all")).filter("_all > 1").select("root", F.col("first._h1").alias("_f1"), F.col("first._h2").alias("_f2"))
+    # of the rows of larger groups: whether they are the one that stays, and whether there are more of its like
+    listed = rows.join(groups, "root").select("_h1", "_h2", ((F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))).alias("_stays"), "_n")
+    listed = checkpointed(listed.filter("not _stays or _n > 1"))
+    few = listed.limit(MOST_LISTED + 1).count() <= MOST_LISTED
+    judged = hashed.join(F.broadcast(listed) if few else listed.hint("shuffle_hash"), ["_h1", "_h2"], "left")
+    once = judged.filter("_stays is null").select(docs.columns)
+    return once.union(judged.filter("_stays").dropDuplicates(["_h1", "_h2"]).select(docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each repetition that the mix takes; of the document at a source's border the last one holds its first words only."""
+    """A row for each repetition that the mix takes; of the document at a source's border the last one holds its first words only. Words are
+    counted once for the sources' sizes and once where rows are written: that costs less than to write and read all texts once more."""
     rows = mixing.measured(docs)
     rows = mixing.take(rows, mixing.rates(rows.select("_row.*"), mixing.three_one_two)).filter("_mix.taken > 0")
     rows = rows.select("*", F.col("_mix.size").alias("_size"), F.col("_mix.taken").alias("_taken"))

@@ -92,12 +92,6 @@ def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([x.tobytes() for x in paragraph_sums([t or "" for t in texts])], dtype=object)
 
 
-@pandas_udf(T.BinaryType())
-def combined(a: pd.Series, b: pd.Series, sign: pd.Series) -> pd.Series:
-    """combine() for columns; null where a fingerprint is null."""
-    return pd.Series([None if x is None or y is None else combine(np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None], s).tobytes() for x, y, s in zip(a, b, sign, strict=True)], dtype=object)
-
-
 def ordered_slices(docs: DataFrame, key: str, slices: int) -> DataFrame:
     """docs dealt by ranges of the key (column ``slice``); each range has the next one's first row too, marked ``tail``; the last one the first's.
 
