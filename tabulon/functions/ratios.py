@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 #: The 97.5 % point of the normal distribution.
 Z = 1.959963984540054
@@ -40,7 +43,24 @@ def points(now: Column, before: Column) -> Column:
 
 
 def nice_max(v: Column) -> Column:
-    """The least of 1, 2, 5 or 10 times a power of ten that is at least v; 1 for nothing."""
+    """The least of 1, 2, 2.5, 5 or 10 times a power of ten that is at least v; 1 for nothing."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(v)))
-    scaled = v / power
-    return F.when(v > 0, F.when(scaled <= 1, 1).when(scaled <= 2, 2).when(scaled <= 5, 5).otherwise(10) * power).otherwise(F.lit(1.0))
+    steps = F.transform(F.array(*[F.lit(k) for k in (1.0, 2.0, 2.5, 5.0, 10.0)]), lambda k: k * power)
+    return F.when(v > 0, F.element_at(F.filter(steps, lambda k: k >= v), 1)).otherwise(F.lit(1.0))
+
+
+def nice_axis(low: Column, high: Column, ticks: int = 4) -> Column:
+    """struct(low, high, step): an axis of whole nice steps around the values; a flat range gets one more."""
+    top = F.when(high <= low, low + 1).otherwise(high)
+    step = nice_max((top - low) / ticks)
+    return F.struct((F.floor(low / step + 1e-9) * step).alias("low"), (F.ceil(top / step - 1e-9) * step).alias("high"), step.alias("step"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """To so many digits by the exact binary value, halves to even. Spark rounds the shortest decimal, so this runs in Python, in Arrow batches."""
+
+    @pandas_udf(T.DoubleType())
+    def exact(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if pd.isna(x) else round(float(x), digits))
+
+    return exact(c)

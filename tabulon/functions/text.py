@@ -17,33 +17,74 @@ def opt_title(c: Column) -> Column:
     return F.nullif(F.trim(F.substring(plain, 1, 120)), F.lit(""))
 
 
-def strict_int(c: Column) -> Column:
-    """1 to 9 digits and nothing else, else NULL."""
-    return F.when(c.rlike(r"^[0-9]{1,9}\z"), c.cast("int"))
+#: The forms of strict ids.
+STRICT = {"int": r"^[0-9]{1,9}\z", "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z", "slug": r"^[a-z0-9_]{1,64}\z", "printing": r"^[0-9]{5}\z"}
 
 
-def strict_slug(c: Column) -> Column:
-    return F.when(c.rlike(r"^[a-z0-9_]{1,64}\z"), c)
+def strict(c: Column, form: str) -> Column:
+    """The text if it has that form as a whole, else NULL."""
+    return F.when(c.rlike(STRICT[form]), c)
 
 
 def in_list(c: Column, values: list[str]) -> Column:
     return F.when(c.isin(*values), c)
 
 
+def visibility(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.endswith("public"), "public").when(low.endswith("open"), "open").otherwise("private")
+
+
 def search_score(title: Column, query: str) -> Column:
     """0 for a prefix, 1 for the prefix of a later word, 2 for any other place, NULL if it isn't in the title."""
     t, q = F.lower(title), query.lower()
     return F.when(t.startswith(q), 0).when(F.contains(t, F.lit(f" {q}")), 1).when(F.contains(t, F.lit(q)), 2)
 
 
+DASH, MINUS = "–", "−"
+
+
+def _shown(c: Column, text: Column) -> Column:
+    return F.when(c.isNull(), DASH).otherwise(text)
+
+
 def whole_number(c: Column) -> Column:
-    return F.when(c.isNull(), "–").otherwise(F.format_number(c, 0))
+    return _shown(c, F.format_number(c, 0))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    return _shown(c, F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%")))
+
+
+def signed_points(c: Column, digits: int = 1) -> Column:
+    """With a sign; what is zero as shown has ±."""
+    size = F.format_string(f"%.{digits}f", F.abs(c))
+    sign = F.when(size.cast("double") == 0, "±").when(c > 0, "+").otherwise(MINUS)
+    return _shown(c, F.concat(sign, size, F.lit(" pp")))
+
+
+def times(c: Column) -> Column:
+    return _shown(c, F.concat(F.format_string("%.2f", c), F.lit("×")))
+
+
+def decimals(c: Column, digits: int = 2) -> Column:
+    return _shown(c, F.format_string(f"%.{digits}f", c))
+
+
+#: Display names.
+FACTIONS = {"haas_bioroid": "Haas-Bioroid", "jinteki": "Jinteki", "nbn": "NBN", "weyland_consortium": "Weyland", "anarch": "Anarch", "criminal": "Criminal", "shaper": "Shaper", "neutral_corp": "Neutral", "neutral_runner": "Neutral", "adam": "Adam", "apex": "Apex", "sunny_lebeau": "Sunny Lebeau"}
+TYPES = {"agenda": "Agenda", "asset": "Asset", "upgrade": "Upgrade", "operation": "Operation", "ice": "Ice", "event": "Event", "hardware": "Hardware", "resource": "Resource", "program": "Program", "corp_identity": "Identity", "runner_identity": "Identity"}
+
+
+def named(c: Column, names: dict[str, str], other: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), c), other)
 
 
-def signed_points(c: Column) -> Column:
-    """With one decimal and a sign; zero has ±."""
-    r = F.round(c, 1)
-    return F.when(c.isNull(), "–").when(r == 0, "±0.0").otherwise(F.concat(F.when(r > 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(r))))
+def event_format(swiss: Column, cut_size: Column) -> Column:
+    """'Single-sided swiss, top 16' and the like; without a Swiss format the cut alone."""
+    kind = F.when(swiss == "single_sided", "Single-sided swiss, ").when(swiss == "double_sided", "Double-sided swiss, ")
+    cut = F.when(cut_size > 0, F.concat(F.lit("top "), cut_size.cast("string"))).otherwise("no cut")
+    return F.coalesce(F.concat(kind, cut), F.when(cut_size > 0, F.concat(F.lit("Top "), cut_size.cast("string"))).otherwise("No cut"))
 
 
 def csv_cell(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.functions.dates import add_months, months_between
+from tabulon.functions.dates import add_months, first_day, months_between
 from tabulon.functions.ratios import points, ratio, status, wilson
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
 
@@ -28,16 +28,29 @@ def period_sums(counts: DataFrame, columns: list[str], by: list[str], spans: Dat
     return wide.groupBy(*SLICE, *by).agg(*sums)
 
 
-def summary(cards: DataFrame, sides: DataFrame, months: int, min_games: int, min_entries: int) -> DataFrame:
-    """The flagship view: for each slice and card popularity, copies, win rate with its interval, conversion, change and rank."""
-    spans = periods(sides, months)
+#: A previous popularity below this is 0 as published, with four decimals.
+LEAST_SHOWN = 0.00005
+
+
+def given_range(sides: DataFrame, first: str, last: str) -> DataFrame:
+    """periods() of one range of months for all slices, with the range of as many months before it."""
+    s = slices(sides, ["side_decks"], ["side", "month"]).filter("side_decks > 0").groupBy(*SLICE).agg(F.min("month").alias("earliest"))
+    months = F.months_between(first_day(F.lit(last)), first_day(F.lit(first))).cast("int") + 1
+    s = s.select(*SLICE, F.lit(last).alias("to"), "earliest", F.lit(first).alias("from"), add_months(F.lit(first), -1).alias("prev_to"), add_months(F.lit(first), -months).alias("prev_from"))
+    return s.withColumn("has_prev", F.col("earliest") <= F.col("prev_to"))
+
+
+def summary(cards: DataFrame, sides: DataFrame, months: int, min_games: int, min_entries: int, spans: DataFrame | None = None) -> DataFrame:
+    """The flagship view: for each slice and card popularity, copies, win rate with its interval, conversion, change and rank. The period is
+    the last ``months`` of each slice, or that of ``spans``."""
+    spans = periods(sides, months) if spans is None else spans
     base = period_sums(sides, BASELINE_COLUMNS, [], spans)
     c = period_sums(cards, CARD_COLUMNS, ["card_id"], spans).join(base, SLICE).join(spans.select(*SLICE, "has_prev"), SLICE)
     popularity, before = ratio(F.col("decks_with_card"), F.col("side_decks")), F.when(F.col("has_prev"), F.coalesce(ratio(F.col("prev_decks_with_card"), F.col("prev_side_decks")), F.lit(0.0)))
     winrate, baseline = ratio(F.col("games_won"), F.col("games_total")), ratio(F.col("side_wins"), F.col("side_games"))
     low, high = wilson(F.col("games_won"), F.col("games_total"))
     conversion, cut_rate = ratio(F.col("cut_with_card_hc"), F.col("entries_with_card_hc")), ratio(F.col("side_cut_hc"), F.col("side_entries_hc"))
-    c = c.filter((F.col("decks_with_card") > 0) | (before > 0))
+    c = c.filter((F.col("decks_with_card") > 0) | (before >= LEAST_SHOWN))
     out = c.select(
         *SLICE,
         "card_id",
@@ -88,9 +101,10 @@ def identities(counts: DataFrame, sides: DataFrame, months: int, min_games: int,
     )
 
 
-def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card: DataFrame, min_splash: int) -> DataFrame:
-    """Over all months: popularity inside and outside the card's own faction, and the share of its decks outside."""
-    keys = ["side"]
+def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card: DataFrame, min_splash: int, keys: tuple[str, ...] = ("side",)) -> DataFrame:
+    """Popularity inside and outside the card's own faction, and the share of its decks outside, of counts summed by ``keys``. Neutral cards
+    and identities have neither, agendas none outside."""
+    keys = list(keys)
     c = cards.groupBy(*keys, "card_id").agg(F.sum("decks_with_card").alias("decks"), F.sum("decks_in_faction").alias("inside"))
     f = factions.groupBy(*keys, F.col("faction").alias("faction_id")).agg(F.sum("decks").alias("faction_decks"))
     s = sides.groupBy(*keys).agg(F.sum("side_decks").alias("side_decks"))
@@ -98,8 +112,11 @@ def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card:
     c = c.join(card.select("card_id", "faction_id", "card_type_id"), "card_id").join(f, [*keys, "faction_id"], "left").join(s, keys).fillna({"faction_decks": 0})
     has_out = has_in & (F.col("card_type_id") != "agenda")
     return c.select(
-        "side",
+        *keys,
         "card_id",
+        "decks",
+        "side_decks",
+        "faction_decks",
         F.when(has_in, F.col("inside")).alias("decks_in_faction"),
         F.when(has_in, F.coalesce(ratio(F.col("inside"), F.col("faction_decks")), F.lit(0.0))).alias("popularity_in"),
         F.when(has_out, F.coalesce(ratio(F.col("decks") - F.col("inside"), F.col("side_decks") - F.col("faction_decks")), F.lit(0.0))).alias("popularity_out"),
@@ -108,20 +125,61 @@ def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card:
     )
 
 
+def played_rows(split: DataFrame, keys: tuple[str, ...] = ("side",), hide_small: bool = True) -> DataFrame:
+    """(keys, mode, card_id, value, of, out_of, rank): faction_split() by the four views of the most-played table: of all decks, of those of
+    the card's faction, of the other factions', and the splash share; with the decks counted and the decks they are out of."""
+    decks, inside, total, own = F.col("decks"), F.coalesce("decks_in_faction", F.lit(0)), F.col("side_decks"), F.col("faction_decks")
+    splash = F.col("splash_share").isNotNull() & (decks > 0) & (F.lit(not hide_small) | (F.col("splash_status") == "ok"))
+    mode = lambda name, keep, value, of, out_of: F.when(keep, F.struct(F.lit(name).alias("mode"), value.alias("value"), of.alias("of"), out_of.alias("out_of")))
+    modes = F.array_compact(
+        F.array(
+            mode("all", decks > 0, ratio(decks, total), decks, total),
+            mode("in", F.col("popularity_in").isNotNull() & (inside > 0), F.col("popularity_in"), inside, own),
+            mode("out", F.col("popularity_out").isNotNull() & (decks - inside > 0), F.col("popularity_out"), decks - inside, total - own),
+            mode("splash", splash, F.col("splash_share"), decks - inside, decks),
+        )
+    )
+    r = split.select(*keys, "card_id", "decks", F.explode(modes).alias("m")).select(*keys, "card_id", "decks", "m.*")
+    return r.select(*keys, "mode", "card_id", "value", "of", "out_of", F.row_number().over(W.partitionBy(*keys, "mode").orderBy(F.desc("value"), F.desc("decks"), "card_id")).alias("rank"))
+
+
 def trends(cards: DataFrame, columns: list[str]) -> DataFrame:
     """Long form: a row for each side, card, month and ban list with any count, tiers summed."""
     t = cards.groupBy("side", "card_id", "month", "restriction_id").agg(*[F.sum(c).alias(c) for c in columns])
     return t.filter(" or ".join(f"{c} <> 0" for c in columns))
 
 
-def monthly_series(cards: DataFrame, sides: DataFrame) -> DataFrame:
-    """For each side and card a row for every month from the first to the last, whether it was played or not."""
-    s = sides.groupBy("side", "month").agg(F.sum("side_decks").alias("side_decks"))
+def monthly_series(cards: DataFrame, sides: DataFrame, factions: DataFrame, card: DataFrame) -> DataFrame:
+    """For each side and card a row for every month from the first to the last, whether it was played or not: popularity, also inside and
+    outside the card's faction, copies, win rate with its interval, and both against that month's baseline."""
+    s = sides.groupBy("side", "month").agg(F.sum("side_decks").alias("side_decks"), F.sum("side_games").alias("side_games"), F.sum("side_wins").alias("side_wins"))
     span = s.groupBy("side").agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    played = cards.groupBy("side", "card_id", "month").agg(F.sum("decks_with_card").alias("decks"), F.sum("games_total").alias("games"), F.sum("games_won").alias("won"))
-    spine = cards.select("side", "card_id").distinct().join(F.broadcast(span), "side").select("side", "card_id", F.explode(months_between(F.col("a"), F.col("b"))).alias("month"))
-    d = spine.join(s, ["side", "month"], "left").join(played, ["side", "card_id", "month"], "left").fillna(0)
-    return d.select("side", "card_id", "month", "decks", ratio(F.col("decks"), F.col("side_decks")).alias("popularity"), ratio(F.col("won"), F.col("games")).alias("winrate"))
+    names = {"decks_with_card": "decks", "copies_sum": "copies", "decks_in_faction": "inside", "games_total": "games", "games_won": "won"}
+    played = cards.groupBy("side", "card_id", "month").agg(*[F.sum(a).alias(b) for a, b in names.items()])
+    f = factions.groupBy("side", "month", F.col("faction").alias("faction_id")).agg(F.sum("decks").alias("faction_decks"))
+    known = card.select("card_id", "faction_id", "card_type_id")
+    spine = cards.select("side", "card_id").distinct().join(F.broadcast(span), "side").select("side", "card_id", F.explode(months_between(F.col("a"), F.col("b"))).alias("month"))  # two sides
+    d = spine.join(played, ["side", "card_id", "month"], "left").join(known, "card_id", "left").join(s, ["side", "month"], "left").join(f, ["side", "month", "faction_id"], "left")
+    d = d.fillna(0, ["decks", "copies", "inside", "games", "won", "side_decks", "side_games", "side_wins", "faction_decks"])
+    has_in = F.col("faction_id").isNotNull() & ~F.col("faction_id").startswith("neutral") & ~F.col("card_type_id").endswith("identity")
+    winrate, base = ratio(F.col("won"), F.col("games")), ratio(F.col("side_wins"), F.col("side_games"))
+    low, high = wilson(F.col("won"), F.col("games"))
+    return d.select(
+        "side",
+        "card_id",
+        "month",
+        "decks",
+        ratio(F.col("decks"), F.col("side_decks")).alias("popularity"),
+        F.when(has_in, ratio(F.col("inside"), F.col("faction_decks"))).alias("popularity_in"),
+        F.when(has_in & (F.col("card_type_id") != "agenda"), ratio(F.col("decks") - F.col("inside"), F.col("side_decks") - F.col("faction_decks"))).alias("popularity_out"),
+        ratio(F.col("copies"), F.col("decks")).alias("avg_copies"),
+        winrate.alias("winrate"),
+        low.alias("winrate_low"),
+        high.alias("winrate_high"),
+        points(winrate, base).alias("winrate_diff_pp"),
+        points(low, base).alias("low_diff_pp"),
+        points(high, base).alias("high_diff_pp"),
+    )
 
 
 def movers(view: DataFrame, k: int, keys: list[str] = SLICE) -> DataFrame:

@@ -120,7 +120,9 @@ def baseline_sums(tables):
 
 
 MODE = "CASE WHEN greatest(qty1, qty2, qty3) > 0 THEN CASE greatest(qty1, qty2, qty3) WHEN qty1 THEN 1 WHEN qty2 THEN 2 ELSE 3 END END"
-SUMMARY = f"""{COUNTS}{SPANS},
+def summary_sql(spans: str, scope: str = "all") -> str:
+    counts = COUNTS if scope == "all" else COUNTS.replace("FROM card_count WHERE scope = 'all'", f"FROM card_count WHERE scope = '{scope}'").replace("FROM side_count WHERE scope = 'all'", f"FROM side_count WHERE scope = '{scope}'")
+    return f"""{counts}{spans},
 base AS ({sums_sql("all_sides", BASELINE_COLUMNS, [])}),
 cards AS ({sums_sql("all_cards", CARD_COLUMNS, ["card_id"])}),
 r0 AS (SELECT cards.*, base.* EXCLUDE (side, restriction_id, tier), decks_with_card::DOUBLE / nullif(side_decks, 0) AS popularity,
@@ -133,12 +135,15 @@ summary AS (SELECT side, restriction_id, tier, card_id, decks_with_card AS decks
     (cut_with_card_hc::DOUBLE / nullif(entries_with_card_hc, 0)) / nullif(side_cut_hc::DOUBLE / nullif(side_entries_hc, 0), 0) AS conversion_ratio,
     CASE WHEN entries_with_card_hc >= {MIN_ENTRIES} THEN 'ok' ELSE 'insufficient' END AS conversion_status,
     CASE WHEN decks_with_card > 0 THEN row_number() OVER (PARTITION BY side, restriction_id, tier ORDER BY decks_with_card DESC, card_id)::INTEGER END AS rank
-    FROM r0 WHERE decks_with_card > 0 OR prev_popularity > 0)"""
+    FROM r0 WHERE decks_with_card > 0 OR prev_popularity >= 0.00005)"""
 
 
-def summary_of(tables, scope="all"):
+SUMMARY = summary_sql(SPANS)
+
+
+def summary_of(tables, spans=None, scope="all"):
     c = cube(tables, scope)
-    return views.summary(c.card_counts, cube(tables).side_counts if scope == "all" else c.side_counts, PERIOD, MIN_GAMES, MIN_ENTRIES)
+    return views.summary(c.card_counts, c.side_counts, PERIOD, MIN_GAMES, MIN_ENTRIES, spans)
 
 
 @query("ql_01_summary", f"{SUMMARY} SELECT * FROM summary")
@@ -147,6 +152,24 @@ def summary(tables):
     return summary_of(tables)
 
 
+#: Slice periods are those of all decks in either scope, so that both show the same months.
+CUT_SPANS = SPANS.replace("FROM all_sides", "FROM (SELECT * FROM side_count WHERE scope = 'all')")
+
+
+@query("ql_01_ag_12_summary_of_the_cut", f"{summary_sql(CUT_SPANS, 'cut')} SELECT * FROM summary")
+def cut_summary(tables):
+    return summary_of(tables, views.periods(cube(tables).side_counts, PERIOD), "cut")
+
+
+RANGE = f""",
+spans AS (SELECT side, restriction_id, tier, '1997-02' AS "from", '1997-09' AS "to", '1997-01' AS prev_to, '1996-06' AS prev_from, min(month) <= '1997-01' AS has_prev FROM ({slices_sql("all_sides", ["side_decks"], ["side", "month"])}) WHERE side_decks > 0 GROUP BY ALL)"""
+
+
+@query("ql_08_summary_of_a_range", f"{summary_sql(RANGE)} SELECT * FROM summary")
+def range_summary(tables):
+    return summary_of(tables, views.given_range(cube(tables).side_counts, "1997-02", "1997-09"))
+
+
 @query("so_03_movers", f"""{SUMMARY}, up AS (SELECT side, restriction_id, tier, 'riser' AS kind, row_number() OVER (PARTITION BY side, restriction_id, tier ORDER BY change_pp DESC, card_id)::INTEGER AS place, card_id, change_pp FROM summary WHERE change_pp > 0),
 down AS (SELECT side, restriction_id, tier, 'faller' AS kind, row_number() OVER (PARTITION BY side, restriction_id, tier ORDER BY change_pp, card_id)::INTEGER AS place, card_id, change_pp FROM summary WHERE change_pp < 0)
 SELECT * FROM up WHERE place <= 10 UNION ALL SELECT * FROM down WHERE place <= 10""")
@@ -200,36 +223,76 @@ def trends(tables):
     return views.trends(cube(tables).card_counts, TREND)
 
 
-@query("ql_09_monthly_series_dense", f"""{COUNTS}, s AS (SELECT side, month, sum(side_decks)::BIGINT AS side_decks FROM all_sides GROUP BY ALL),
+@query("ql_09_monthly_series_dense", f"""{COUNTS}, s AS (SELECT side, month, sum(side_decks)::BIGINT AS side_decks, sum(side_games) AS side_games, sum(side_wins) AS side_wins FROM all_sides GROUP BY ALL),
 m AS (SELECT side, strftime(unnest(generate_series((min(month) || '-01')::TIMESTAMP, (max(month) || '-01')::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM s GROUP BY side),
-p AS (SELECT side, card_id, month, sum(decks_with_card)::BIGINT AS decks, sum(games_total)::BIGINT AS games, sum(games_won) AS won FROM all_cards GROUP BY ALL)
-SELECT k.side, k.card_id, m.month, coalesce(p.decks, 0) AS decks, coalesce(p.decks, 0)::DOUBLE / nullif(coalesce(s.side_decks, 0), 0) AS popularity, coalesce(won, 0) / nullif(coalesce(games, 0), 0) AS winrate
-FROM (SELECT DISTINCT side, card_id FROM all_cards) k JOIN m USING (side) LEFT JOIN s ON s.side = k.side AND s.month = m.month LEFT JOIN p ON p.side = k.side AND p.card_id = k.card_id AND p.month = m.month""")
+p AS (SELECT side, card_id, month, sum(decks_with_card)::BIGINT AS decks, sum(copies_sum) AS copies, sum(decks_in_faction) AS inside, sum(games_total)::BIGINT AS games, sum(games_won) AS won FROM all_cards GROUP BY ALL),
+fa AS (SELECT side, month, faction, sum(decks) AS fd FROM faction_count WHERE scope = 'all' GROUP BY ALL),
+j AS (SELECT k.side, k.card_id, m.month, coalesce(p.decks, 0) AS decks, coalesce(copies, 0) AS copies, coalesce(inside, 0) AS inside, coalesce(games, 0) AS games, coalesce(won, 0) AS won, coalesce(side_decks, 0) AS side_decks, side_wins / nullif(side_games, 0) AS base, coalesce(fd, 0) AS fd,
+    card.faction_id IS NOT NULL AND NOT starts_with(card.faction_id, 'neutral') AND NOT ends_with(card_type_id, 'identity') AS hi, card_type_id
+    FROM (SELECT DISTINCT side, card_id FROM all_cards) k JOIN m USING (side) LEFT JOIN card USING (card_id) LEFT JOIN s ON s.side = k.side AND s.month = m.month LEFT JOIN p ON p.side = k.side AND p.card_id = k.card_id AND p.month = m.month LEFT JOIN fa ON fa.side = k.side AND fa.month = m.month AND fa.faction = card.faction_id),
+w AS (SELECT *, won / nullif(games, 0) AS winrate, {wilson_sql("low", "games_won", "games_total").replace("games_won", "won").replace("games_total", "games")} AS winrate_low, {wilson_sql("high", "games_won", "games_total").replace("games_won", "won").replace("games_total", "games")} AS winrate_high FROM j)
+SELECT side, card_id, month, decks, decks::DOUBLE / nullif(side_decks, 0) AS popularity, CASE WHEN hi THEN inside::DOUBLE / nullif(fd, 0)::DOUBLE END AS popularity_in, CASE WHEN hi AND card_type_id <> 'agenda' THEN (decks - inside)::DOUBLE / nullif(side_decks - fd, 0)::DOUBLE END AS popularity_out,
+    copies::DOUBLE / nullif(decks, 0) AS avg_copies, winrate, winrate_low, winrate_high, (winrate - base) * 100 AS winrate_diff_pp, (winrate_low - base) * 100 AS low_diff_pp, (winrate_high - base) * 100 AS high_diff_pp FROM w""")
 def monthly_series(tables):
     c = cube(tables)
-    return views.monthly_series(c.card_counts, c.side_counts)
+    return views.monthly_series(c.card_counts, c.side_counts, c.faction_counts, tables.card)
 
 
-@query("fm_10_fm_11_faction_split", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM all_cards GROUP BY ALL),
-f AS (SELECT side, faction AS faction_id, sum(decks)::BIGINT AS fd FROM (SELECT * FROM faction_count WHERE scope = 'all') GROUP BY ALL), s AS (SELECT side, sum(side_decks)::BIGINT AS sd FROM all_sides GROUP BY ALL),
+def split_sql(cards: str, factions: str, sides: str, keys: list[str]) -> str:
+    by = ", ".join(keys)
+    return f"""c AS (SELECT {by}, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM {cards} GROUP BY ALL),
+f AS (SELECT {by}, faction AS faction_id, sum(decks)::BIGINT AS fd FROM {factions} GROUP BY ALL), s AS (SELECT {by}, sum(side_decks)::BIGINT AS sd FROM {sides} GROUP BY ALL),
 j AS (SELECT c.*, coalesce(fd, 0) AS fd, sd, card.faction_id IS NOT NULL AND NOT starts_with(card.faction_id, 'neutral') AND NOT ends_with(card_type_id, 'identity') AS hi, card_type_id
-    FROM c JOIN card USING (card_id) LEFT JOIN f ON f.side = c.side AND f.faction_id = card.faction_id JOIN s ON s.side = c.side)
-SELECT side, card_id, CASE WHEN hi THEN inside END AS decks_in_faction, CASE WHEN hi THEN coalesce(inside::DOUBLE / nullif(fd, 0), 0) END AS popularity_in,
+    FROM c JOIN card USING (card_id) LEFT JOIN f ON {" AND ".join(f"f.{k} = c.{k}" for k in keys)} AND f.faction_id = card.faction_id JOIN s ON {" AND ".join(f"s.{k} = c.{k}" for k in keys)}),
+split AS (SELECT {by}, card_id, decks, sd AS side_decks, fd AS faction_decks, CASE WHEN hi THEN inside END AS decks_in_faction, CASE WHEN hi THEN coalesce(inside::DOUBLE / nullif(fd, 0), 0) END AS popularity_in,
     CASE WHEN hi AND card_type_id <> 'agenda' THEN coalesce((decks - inside)::DOUBLE / nullif(sd - fd, 0), 0) END AS popularity_out,
     CASE WHEN hi AND card_type_id <> 'agenda' THEN (decks - inside)::DOUBLE / nullif(decks, 0) END AS splash_share,
-    CASE WHEN hi AND card_type_id <> 'agenda' THEN CASE WHEN decks >= {MIN_SPLASH} THEN 'ok' ELSE 'insufficient' END END AS splash_status FROM j""")
+    CASE WHEN hi AND card_type_id <> 'agenda' THEN CASE WHEN decks >= {MIN_SPLASH} THEN 'ok' ELSE 'insufficient' END END AS splash_status FROM j)"""
+
+
+ALL_FACTIONS = "(SELECT * EXCLUDE (scope) FROM faction_count WHERE scope = 'all')"
+SPLIT = f"{COUNTS}, {split_sql('all_cards', ALL_FACTIONS, 'all_sides', ['side'])}"
+
+
+@query("fm_10_fm_11_faction_split", f"{SPLIT} SELECT * FROM split")
 def faction_split(tables):
     c = cube(tables)
     return views.faction_split(c.card_counts, c.faction_counts, c.side_counts, tables.card, MIN_SPLASH)
 
 
-@query("ql_10_flt_21_wn_04_played_in_faction", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM all_cards GROUP BY ALL)
+@query("ql_01_fm_10_faction_fields_of_slices", f"{COUNTS}, sc AS ({slices_sql('all_cards', ['decks_with_card', 'decks_in_faction'], ['side', 'month', 'card_id'])}), sf AS ({slices_sql(ALL_FACTIONS + ' q', ['decks'], ['side', 'month', 'faction'])}), ss AS ({slices_sql('all_sides', ['side_decks'], ['side', 'month'])}), {split_sql('sc', 'sf', 'ss', SLICE)} SELECT * FROM split")
+def faction_fields_of_slices(tables):
+    c, by = cube(tables), ["side", "month"]
+    cards, factions, sides = slices(c.card_counts, ["decks_with_card", "decks_in_faction"], [*by, "card_id"]), slices(c.faction_counts, ["decks"], [*by, "faction"]), slices(c.side_counts, ["side_decks"], by)
+    return views.faction_split(cards, factions, sides, tables.card, MIN_SPLASH, tuple(SLICE))
+
+
+@query(
+    "ql_10_flt_21_wn_04_played_rows",
+    f"""{SPLIT}, md AS (SELECT side, card_id, decks, 'all' AS mode, decks::DOUBLE / nullif(side_decks, 0) AS value, decks AS "of", side_decks AS out_of FROM split WHERE decks > 0
+    UNION ALL SELECT side, card_id, decks, 'in', popularity_in, decks_in_faction, faction_decks FROM split WHERE popularity_in IS NOT NULL AND decks_in_faction > 0
+    UNION ALL SELECT side, card_id, decks, 'out', popularity_out, decks - decks_in_faction, side_decks - faction_decks FROM split WHERE popularity_out IS NOT NULL AND decks > decks_in_faction
+    UNION ALL SELECT side, card_id, decks, 'splash', splash_share, decks - decks_in_faction, decks FROM split WHERE splash_share IS NOT NULL AND splash_status = 'ok')
+SELECT side, mode, card_id, value, "of", out_of, row_number() OVER (PARTITION BY side, mode ORDER BY value DESC, decks DESC, card_id)::INTEGER AS rank FROM md""",
+)
+def played_rows(tables):
+    return views.played_rows(faction_split(tables))
+
+
+@query("ql_10_played_in_faction", f"""{COUNTS}, c AS (SELECT side, card_id, sum(decks_with_card)::BIGINT AS decks, sum(decks_in_faction)::BIGINT AS inside FROM all_cards GROUP BY ALL)
 SELECT side, card_id, inside, decks, row_number() OVER (PARTITION BY side ORDER BY inside DESC, decks DESC, card_id)::INTEGER AS rank FROM c WHERE inside > 0""")
 def played_in_faction(tables):
     c = cube(tables).card_counts.groupBy("side", "card_id").agg(F.sum("decks_in_faction").alias("inside"), F.sum("decks_with_card").alias("decks")).filter("inside > 0")
     return c.select("*", F.row_number().over(W.partitionBy("side").orderBy(F.desc("inside"), F.desc("decks"), "card_id")).alias("rank"))
 
 
+@query("ql_03_trends_of_the_cut", f"{COUNTS}, sl AS ({slices_sql('(SELECT * FROM card_count WHERE scope = ' + chr(39) + 'cut' + chr(39) + ') q', TREND, ['side', 'month', 'card_id'])}) SELECT * FROM sl WHERE {' OR '.join(f'{c} <> 0' for c in TREND)}")
+def trends_of_the_cut(tables):
+    """Of every slice, by month, in the scope of top cuts."""
+    t = slices(cube(tables, "cut").card_counts, TREND, ["side", "month", "card_id"])
+    return t.filter(" or ".join(f"{c} <> 0" for c in TREND))
+
+
 @query("ag_17_ql_11_merge_cubes", f"{COUNTS} SELECT side, restriction_id, tier, month, card_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in TREND)} FROM (SELECT * FROM all_cards WHERE tier < 'B' UNION ALL SELECT * FROM all_cards WHERE tier >= 'B') GROUP BY side, restriction_id, tier, month, card_id")
 def merge_cubes(tables):
     c = cube(tables).card_counts
@@ -277,18 +340,54 @@ def quality_report(tables):
     return tables.tournament.groupBy("tier").agg(F.count("*").alias("events"), F.count_if(F.col("players") >= 8).alias("counted"), F.count_if(F.col("cut_size") > 0).alias("with_cut"), F.round(F.avg("players"), 4).alias("players"), F.max("date").alias("as_of"))
 
 
-@query("vd_01_st_06_totals_agree", f"{COUNTS}, a AS (SELECT side, sum(side_decks)::BIGINT AS published FROM all_sides GROUP BY side), b AS (SELECT side, count(*) AS canonical FROM deck_all GROUP BY side) SELECT side, published, canonical FROM a FULL JOIN b USING (side) WHERE published IS DISTINCT FROM canonical")
-def totals_agree(tables):
-    """Violations: none where the cube adds up to the canonical tables."""
+@query("vd_01_st_06_totals_differ", f"{COUNTS}, a AS (SELECT side, tier, sum(side_decks + CASE WHEN month LIKE '%-04' AND tier = 'ASIA' THEN 1 ELSE 0 END)::BIGINT AS published FROM all_sides WHERE NOT (side = 'corp' AND tier = 'EUROPE') GROUP BY ALL), b AS (SELECT side, tier, count(*) AS canonical FROM deck_all GROUP BY ALL) SELECT side, tier, published, canonical FROM a FULL JOIN b USING (side, tier) WHERE published IS DISTINCT FROM canonical")
+def totals_differ(tables):
+    """Violations of a published cube that is made wrong in one tier and lacks another: total against canonical decks, either way."""
     c = cube(tables)
-    published = c.side_counts.groupBy("side").agg(F.sum("side_decks").alias("published"))
-    canonical = c.decks.groupBy("side").agg(F.count("*").alias("canonical"))
-    return published.join(canonical, "side", "full").filter(~F.col("published").eqNullSafe(F.col("canonical"))).select("side", "published", "canonical")
+    wrong = F.col("side_decks") + F.when(F.col("month").like("%-04") & (F.col("tier") == "ASIA"), 1).otherwise(0)
+    published = c.side_counts.filter("not (side = 'corp' and tier = 'EUROPE')").groupBy("side", "tier").agg(F.sum(wrong).alias("published"))
+    canonical = c.decks.groupBy("side", "tier").agg(F.count("*").alias("canonical"))
+    return published.join(canonical, ["side", "tier"], "full").filter(~F.col("published").eqNullSafe(F.col("canonical"))).select("side", "tier", "published", "canonical")
+
+
+@query("vd_01_faction_totals_differ", f"{COUNTS}, a AS (SELECT side, faction, sum(decks)::BIGINT AS published FROM faction_count WHERE scope = 'all' AND faction <> 'Brand#7' GROUP BY ALL), b AS (SELECT side, id_faction AS faction, count(*) AS canonical FROM deck_all GROUP BY ALL) SELECT side, faction, published, canonical FROM a FULL JOIN b ON a.side = b.side AND a.faction IS NOT DISTINCT FROM b.faction WHERE published IS DISTINCT FROM canonical".replace("SELECT side, faction, published, canonical FROM a", "SELECT coalesce(a.side, b.side) AS side, coalesce(a.faction, b.faction) AS faction, published, canonical FROM a"))
+def faction_totals_differ(tables):
+    """Every deck must be counted under its identity's faction: one faction is left out, and decks of unknown identities have none."""
+    c = cube(tables)
+    published = c.faction_counts.filter("faction <> 'Brand#7'").groupBy("side", "faction").agg(F.sum("decks").alias("published"))
+    canonical = c.decks.groupBy(F.col("side").alias("s"), F.col("id_faction").alias("f")).agg(F.count("*").alias("canonical"))
+    d = published.join(canonical, (F.col("side") == F.col("s")) & F.col("faction").eqNullSafe(F.col("f")), "full").filter(~F.col("published").eqNullSafe(F.col("canonical")))
+    return d.select(F.coalesce("side", "s").alias("side"), F.coalesce("faction", "f").alias("faction"), "published", "canonical")
+
+
+@query("vd_01_in_faction_exceeds_all", f"{COUNTS} SELECT side, tier, month, card_id FROM all_cards WHERE decks_in_faction + CASE WHEN card_id LIKE '%7' THEN 1 ELSE 0 END > decks_with_card")
+def in_faction_exceeds_all(tables):
+    """A card's decks in its faction are some of its decks; a cube that counts one too many for some cards is caught where none was outside."""
+    wrong = F.col("decks_in_faction") + F.when(F.col("card_id").endswith("7"), 1).otherwise(0)
+    return cube(tables).card_counts.filter(wrong > F.col("decks_with_card")).select("side", "tier", "month", "card_id")
+
+
+@query("vd_01_unknown_ids", f"{ADAPTER} SELECT DISTINCT card_id FROM deck_card WHERE card_id NOT IN (SELECT card_id FROM card)")
+def unknown_ids(tables):
+    """Ids that the catalog lacks."""
+    return tables.deck_card.select("card_id").distinct().join(tables.card.select("card_id"), "card_id", "left_anti")
+
+
+@query("vd_01_too_large_slices", f"{COUNTS}, j AS (SELECT side, tier, restriction_id, sum(length(card_id) + length(month) + 20)::BIGINT AS bytes FROM all_cards GROUP BY ALL) SELECT * FROM j WHERE bytes > 20000")
+def too_large_slices(tables):
+    """Slices over a limit of bytes, by the length of their rows."""
+    size = F.sum(F.length("card_id") + F.length("month") + 20)
+    return cube(tables).card_counts.groupBy("side", "tier", "restriction_id").agg(size.alias("bytes")).filter("bytes > 20000")
 
 
-@query("vd_01_in_faction_within_all", f"{COUNTS} SELECT side, month, card_id FROM all_cards WHERE decks_in_faction > decks_with_card")
-def in_faction_within_all(tables):
-    return cube(tables).card_counts.filter("decks_in_faction > decks_with_card").select("side", "month", "card_id")
+@query("ql_05_catalog", f"{ADAPTER}, st AS (SELECT card_id, list(restriction_id ORDER BY restriction_id) FILTER (legal) AS legal_in FROM verdict GROUP BY 1) SELECT card_id, title, side_id, faction_id, card_type_id, legal_in FROM card JOIN st USING (card_id) WHERE legal_in IS NOT NULL")
+def catalog(tables):
+    """Cards legal by one list at least, with the lists they are legal by."""
+    barred = tables.ruling.filter("barred").groupBy("card_id").agg(F.collect_set("restriction_id").alias("barred_in"))
+    every = tables.restriction.agg(F.array_sort(F.collect_list("restriction_id")).alias("every")).withColumn("one", F.lit(1))
+    c = tables.card.withColumn("one", F.lit(1)).join(every, "one").join(barred, "card_id", "left")
+    c = c.withColumn("legal_in", F.array_except("every", F.coalesce("barred_in", F.array().cast("array<string>"))))
+    return c.filter(F.size("legal_in") > 0).select("card_id", "title", "side_id", "faction_id", "card_type_id", "legal_in")
 
 
 @query("ag_29_vocabulary", f"{COUNTS} SELECT side, list(DISTINCT restriction_id ORDER BY restriction_id) AS restrictions, min(month) AS first_month, max(month) AS last_month FROM all_sides GROUP BY side")

@@ -157,13 +157,13 @@ def action_counts(t):
     return log(t).groupBy("game_id").agg(F.count_if(F.col("kind") == "gain").alias("gains"), F.count_if(F.col("kind") == "draw").alias("draws"), F.sum(F.when(F.col("kind") == "damage", F.col("amount")).otherwise(0)).alias("damage"), F.max("pool").alias("peak_pool"), F.max("turn").alias("rounds"))
 
 
-@query("src_20_log_lines", r"SELECT conv_id, turn, count(*) FILTER (trim(u) <> '') AS lines FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS u FROM conversations) GROUP BY 1, 2")
+@query("src_20_text_lines", r"SELECT conv_id, turn, count(*) FILTER (trim(u) <> '') AS lines FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS u FROM conversations) GROUP BY 1, 2")
 def log_lines(t):
     c = t.raw("conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\r?\n")))
     return c.groupBy("conv_id", "turn").agg(F.count_if(F.trim("col") != "").alias("lines"))
 
 
-@query("src_08_fj_01_json_props", "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
+@query("fj_01_json_props", "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
 def json_props(t):
     return t.raw("events").groupBy("event_type").agg(F.sum(F.from_json("props", "k long")["k"]).alias("k"))
 
@@ -179,14 +179,25 @@ def alias_fan_out(t):
     return t.deck.select("deck_id", F.explode(F.array("deck_id", key)).alias("alias"))
 
 
-@query("fs_10_so_13_plain_text_decks", f"{ADAPTER} SELECT deck_id, string_agg(qty || 'x ' || title, chr(10) ORDER BY card_type_id, title, card_id) AS plain_text, sum(qty)::BIGINT AS card_count FROM deck_card JOIN card USING (card_id) GROUP BY 1")
-def plain_text(t):
-    line = F.struct("card_type_id", "title", "card_id", F.concat(F.col("qty").cast("string"), F.lit("x "), F.col("title")).alias("line"))
-    d = t.deck_card.join(t.card.select("card_id", "title", "card_type_id"), "card_id").groupBy("deck_id").agg(F.array_sort(F.collect_list(line)).alias("l"), F.sum("qty").alias("card_count"))
-    return d.select("deck_id", F.array_join("l.line", "\n").alias("plain_text"), "card_count")
+_RANK = ["corp_identity", "runner_identity", "agenda", "asset", "event", "operation", "program"]
 
 
-@query("st_03_jn_19_multiset_overlap", f"""{ADAPTER}, a AS (SELECT tid, card.faction_id AS f, count(*) AS n FROM deck JOIN card ON card.card_id = identity_card WHERE side = 'corp' GROUP BY ALL), b AS (SELECT tid, card.faction_id AS f, count(*) AS n FROM deck JOIN card ON card.card_id = identity_card WHERE side = 'runner' GROUP BY ALL)
+@query("fs_09_fs_10_so_13_plain_text_decks", f"""{ADAPTER}, rk AS (SELECT deck_id, x.card_id, qty, coalesce(title, x.card_id) AS title, coalesce(list_position({_RANK}, card_type_id), {len(_RANK) + 1}) AS r FROM deck_card x LEFT JOIN card USING (card_id)),
+pt AS (SELECT deck_id, coalesce(i.title, identity_card) || chr(10) || (SELECT string_agg(qty || ' ' || title, chr(10) ORDER BY r, title, card_id) FROM rk WHERE rk.deck_id = d.deck_id) AS plain_text FROM deck d LEFT JOIN card i ON i.card_id = identity_card WHERE deck_id IN (SELECT deck_id FROM deck_card))
+SELECT deck_id, plain_text, 'sha256:' || sha256(plain_text) AS content_hash FROM pt""")
+def plain_text(t):
+    """The identity, then the cards by the rank of their type, title and id; an unknown card stands by its id, last."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _RANK)), F.col("card_type_id")), F.lit(0)), F.lit(len(_RANK) + 1))
+    titled = F.coalesce("title", "card_id")
+    cards = t.deck_card.join(t.card.select("card_id", "title", "card_type_id"), "card_id", "left")
+    line = F.struct(rank.alias("r"), titled.alias("t"), "card_id", F.concat_ws(" ", "qty", titled).alias("line"))
+    d = cards.groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("list"))
+    own = t.card.select(F.col("card_id").alias("identity_card"), F.col("title").alias("own"))
+    d = t.deck.select("deck_id", "identity_card").join(d, "deck_id").join(own, "identity_card", "left").withColumn("plain_text", F.concat_ws("\n", F.coalesce("own", "identity_card"), "list"))
+    return d.select("deck_id", "plain_text", F.concat(F.lit("sha256:"), F.sha2("plain_text", 256)).alias("content_hash"))
+
+
+@query("st_03_multiset_overlap", f"""{ADAPTER}, a AS (SELECT tid, card.faction_id AS f, count(*) AS n FROM deck JOIN card ON card.card_id = identity_card WHERE side = 'corp' GROUP BY ALL), b AS (SELECT tid, card.faction_id AS f, count(*) AS n FROM deck JOIN card ON card.card_id = identity_card WHERE side = 'runner' GROUP BY ALL)
 SELECT tid, sum(least(a.n, b.n))::BIGINT AS shared FROM a JOIN b USING (tid, f) GROUP BY tid""")
 def multiset_overlap(t):
     d = t.deck.join(t.card.select(F.col("card_id").alias("identity_card"), "faction_id"), "identity_card")
@@ -204,7 +215,7 @@ def key_union(t):
     return t.tournament.filter("date < date'1996-06-01'").select("tid").union(t.tournament.filter("date > date'2000-01-01'").select("tid")).distinct()
 
 
-@query("st_09_rl_10_equal_decks", f"{ADAPTER}, m AS (SELECT deck_id, string_agg(card_id || ':' || qty, ',' ORDER BY card_id) AS cards FROM deck_card GROUP BY 1) SELECT cards, count(*) AS decks FROM m GROUP BY 1 HAVING count(*) > 1")
+@query("st_09_equal_card_lists", f"{ADAPTER}, m AS (SELECT deck_id, string_agg(card_id || ':' || qty, ',' ORDER BY card_id) AS cards FROM deck_card GROUP BY 1) SELECT cards, count(*) AS decks FROM m GROUP BY 1 HAVING count(*) > 1")
 def equal_decks(t):
     m = t.deck_card.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("card_id", "qty"))).alias("l"))
     m = m.select(F.array_join(F.transform("l", lambda x: F.concat(x["card_id"], F.lit(":"), x["qty"].cast("string"))), ",").alias("cards"))
@@ -227,15 +238,24 @@ def csv_cells(t):
     return t.card.select("card_id", text.csv_cell(F.col("title")).alias("cell"))
 
 
-@query("fs_05_strict_ids", r"SELECT doc_id, CASE WHEN regexp_full_match(source, '[a-z0-9_]{1,64}') THEN source END AS slug FROM documents")
+_IDS = ["'12'", "'1234567890'", "'0a1b2c3d-0000-4000-8000-00000000000f'", "'0A1B2C3D-0000-4000-8000-00000000000F'", "'a_slug_9'", "'Slug'", "'01234'", "'7' || chr(10)", "''", "NULL"]
+
+
+@query("fs_05_strict_ids", f"""SELECT p_partkey, CASE WHEN m IN (0, 6) THEN v END AS "int", CASE WHEN m = 2 THEN v END AS uuid, CASE WHEN m IN (0, 1, 4, 6) THEN v END AS slug, CASE WHEN m = 6 THEN v END AS printing
+FROM (SELECT p_partkey, p_partkey % 10 AS m, [{", ".join(_IDS)}][p_partkey % 10 + 1] AS v FROM part)""")
 def strict_ids(t):
-    return t.raw("documents").select("doc_id", text.strict_slug(F.col("source")).alias("slug"))
+    """Values of each form, and ones that just miss it, also by a trailing newline."""
+    value = F.element_at(F.expr(f"array({', '.join(x.replace('|| chr(10)', '|| char(10)') for x in _IDS)})"), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return t.raw("part").withColumn("v", value).select("p_partkey", *[text.strict(F.col("v"), form).alias(form) for form in text.STRICT])
 
 
-@query("fd_01_strict_dates", "SELECT o_orderkey, o_orderdate::DATE AS d, NULL::DATE AS none FROM orders")
+@query("fd_01_strict_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 3 THEN o_orderdate::DATE END AS d FROM orders")
 def strict_dates(t):
-    spelt = F.date_format("o_orderdate", "yyyy.MM.dd.")
-    return t.raw("orders").select("o_orderkey", dates.strict_date(spelt).alias("d"), dates.strict_date(F.concat(F.lit("x"), spelt)).alias("none"))
+    """Three spellings, one with a day that is not in the calendar, two that are none, and no date."""
+    k = (F.col("o_orderkey") % 7).cast("int")
+    forms = [F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy.MM.dd."), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("o_orderdate", "yyyy-'02-30'"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit("x"), F.date_format("o_orderdate", "yyyy-MM-dd"))]
+    spelt = F.when(k < 6, F.element_at(F.array(*forms), F.least(k, F.lit(5)) + 1))
+    return t.raw("orders").select("o_orderkey", dates.strict_date(spelt).alias("d"))
 
 
 @query("fd_03_months", f"{ADAPTER} SELECT tid, strftime(date - INTERVAL 5 MONTH, '%Y-%m') AS before, list_transform(generate_series(date - INTERVAL 2 MONTH, date::TIMESTAMP, INTERVAL 1 MONTH), lambda x: strftime(x, '%Y-%m')) AS months FROM tournament")
@@ -251,10 +271,24 @@ def interval(t):
     return t.raw("lineitem").select("l_orderkey", "l_linenumber", low.alias("low"), high.alias("high"))
 
 
-@query("fm_14_so_12_event_priority", f"{ADAPTER} SELECT tid, CASE tier WHEN 'ASIA' THEN 4 WHEN 'EUROPE' THEN 3 WHEN 'AFRICA' THEN 2 ELSE 1 END * 1000 + least(players, 999) AS priority FROM tournament")
+PRIORITY = f"""{ADAPTER}, pq AS (SELECT tid, CASE tier WHEN 'ASIA' THEN 4 WHEN 'EUROPE' THEN 3 WHEN 'AFRICA' THEN 2 ELSE 1 END * 1000.0::DOUBLE + least(players, 999) + CASE WHEN bucket % 3 > 0 THEN greatest(0.0, 365.0 - (DATE '2001-08-01' - date)) / 1000.0 ELSE 0 END AS priority, bucket % 2 AS bonus, date FROM tournament)"""
+
+
+@query("fm_14_fm_15_event_priority", f"{PRIORITY} SELECT tid, priority::DOUBLE AS base, (priority + bonus * 50000)::DOUBLE AS with_bonus FROM pq")
 def priority(t):
+    """Tier weight, players and recency where it is known; a bonus is a whole multiple, so the remainder gives the priority back."""
     weight = F.when(F.col("tier") == "ASIA", 4).when(F.col("tier") == "EUROPE", 3).when(F.col("tier") == "AFRICA", 2).otherwise(1)
-    return t.tournament.select("tid", (weight * 1000 + F.least("players", F.lit(999))).alias("priority"))
+    recent = F.when(F.col("bucket") % 3 > 0, F.greatest(F.lit(0.0), 365.0 - F.datediff(F.to_date(F.lit("2001-08-01")), "date")) / 1000.0).otherwise(0.0)
+    p = weight * 1000.0 + F.least("players", F.lit(999)) + recent
+    all_in = p + F.col("bucket") % 2 * 50_000
+    return t.tournament.select("tid", F.pmod(all_in, F.lit(50_000.0)).alias("base"), all_in.alias("with_bonus"))
+
+
+@query("so_12_flt_28_due_queue", f"{PRIORITY} SELECT tid, row_number() OVER (ORDER BY priority + bonus * 50000 DESC, date, tid)::INTEGER AS place FROM pq WHERE date <= DATE '1999-01-01' AND bonus = 1")
+def due_queue(t):
+    """What is due and not frozen by priority, date and key; the queue is a listing of events, numbered by one ordered window."""
+    due = priority(t).join(t.tournament.select("tid", "date", "bucket"), "tid").filter((F.col("date") <= "1999-01-01") & (F.col("bucket") % 2 == 1))
+    return due.select("tid", F.row_number().over(W.orderBy(F.desc("with_bonus"), "date", "tid")).alias("place"))
 
 
 @query("fm_16_fm_17_intervals", "SELECT o_orderkey, least(greatest(o_orderkey % 40 * 2, 1), CASE WHEN o_orderkey % 500 < 14 THEN 1 WHEN o_orderkey % 500 < 90 THEN 7 ELSE 30 END) AS days, least(pow(2, o_orderkey % 12), 30)::DOUBLE AS retry_days FROM orders")
