@@ -1,4 +1,4 @@
-"""Declared schemas of the canonical tables."""
+"""Declared schemas of the canonical tables and of source records. Names and types of stored columns."""
 
 CANONICAL = {
     "tournament": "tid string, cobra_id long, abr_id long, date date, type string, tier string, format string, restriction_id string, card_set string, country string, online boolean, players int, cut_size int, has_games boolean, deck_visibility string, decklist_coverage double, name string, swiss_format string",
@@ -15,3 +15,6 @@ PRIMARY_KEYS = {
     "deck_card": ["deck_id", "card_id"],
     "game": ["tid", "stage", "round", "table", "side"],
 }
+
+#: Columns that an imported deck file must have.
+IMPORT_COLUMNS = ["name", "identity", "card", "card_count"]

@@ -1 +1 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming: state of watched items, and counts of events in windows with late data."""
