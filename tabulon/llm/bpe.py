@@ -34,7 +34,7 @@ FEW = 32
 REMEMBERED = 100_000
 #: A text of more characters is split in several steps, so that its pieces are never all in memory.
 LONG = 4_000_000
-CHUNK = 500_000
+CHUNK = 200_000
 
 
 class ByteBpe:
@@ -239,7 +239,8 @@ def loaded(data: bytes, pattern: str) -> ByteBpe:
 def decoder(data: bytes) -> Decoder:
     key = (hash(data), len(data))
     if key not in _loaded:
-        _loaded[key] = Decoder(parse_ranks(data))
+        same = next((x for k, x in _loaded.items() if k[:2] == key and isinstance(x, ByteBpe)), None)
+        _loaded[key] = Decoder(same.ranks if same else parse_ranks(data))
     return _loaded[key]
 
 
@@ -269,8 +270,7 @@ class Tokenizer:
 
         @pandas_udf("ids binary, decoded binary")
         def bpe_round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            bpe = loaded(shared.value, pattern)
-            back = Decoder(bpe.ranks)
+            bpe, back = loaded(shared.value, pattern), decoder(shared.value)
             for texts in batches:
                 ids = list(bpe.encode_all(texts.tolist()))
                 yield pd.DataFrame({"ids": ids, "decoded": [back.decode(x) for x in ids]}, dtype=object)

@@ -37,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def short_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of whole texts at a time, unless the session has smaller batches already."""
     unit = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         number, letter = re.match(r"(-?\d+)([kmg]?)", spark.conf.get(key).lower()).groups()
         now = int(number) * unit[letter]
         if now <= 0 or now > most:

@@ -31,7 +31,7 @@ PER_LANGUAGE = 2_000
 SMOOTHING = 0.5
 #: A longer text counts as one of so many characters, or a few very long ones would make up their language. Weights are whole UNITs.
 LOUDEST, UNIT = 4_000, 4_096
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 UNKNOWN = "und"
 
 
