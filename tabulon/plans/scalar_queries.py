@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.functions import ratios, text
+from tabulon.functions import dates, links, ratios, text
+from tabulon.operators import assembly
 from tabulon.plans.registry import query
 from tabulon.sources.adapters import ADAPTER
 
@@ -338,3 +339,54 @@ def ban_periods_of_cards(t):
     return p.select("card_id", F.greatest("a", F.lit("1995-03")).alias("from"), F.least("b", F.lit("2001-08")).alias("to"), "lists")
 
 
+
+
+@query("snk_10_src_21_flt_31_share_links", "SELECT conv_id, turn, coalesce(role, '') AS role, CASE WHEN text IS NULL OR conv_id % 5 = 1 THEN NULL ELSE text END AS text FROM conversations")
+def share_links(t):
+    """Texts packed into links and read again; every fifth conversation's links are broken."""
+    c = t.raw("conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), links.packed(F.col("text")).alias("link"))
+    broken = F.when(F.col("conv_id") % 5 == 1, F.regexp_replace("link", r"^gz\.", "zip.")).otherwise(F.col("link"))
+    return c.select("conv_id", "turn", "role", links.unpacked(broken).alias("text"))
+
+
+@query("fs_18_random_ids")
+def random_ids(t):
+    """Eight characters of 62, seeded; which they are no SQL says, a test checks their form."""
+    return t.raw("part").select("p_partkey", F.randstr(8, 7).alias("id"))
+
+
+@query("src_13_src_15_src_16_listings", f"""{ADAPTER} SELECT tid, CASE WHEN bucket % 4 <> 2 THEN players END AS players, CASE WHEN bucket % 4 <> 2 THEN date END AS date, CASE WHEN bucket % 4 <> 2 THEN bucket % 4 = 1 END AS private, CASE WHEN bucket % 4 = 2 THEN 'not_readable' END AS reason FROM tournament""")
+def listings(t):
+    """An index in JSON as typed rows; items that don't parse are set apart one by one, the others are kept."""
+    item = F.to_json(F.struct("tid", F.col("players").cast("string").alias("players"), F.date_format("date", "yyyy.MM.dd.").alias("date"), (F.col("bucket") % 4 == 1).alias("private")))
+    raw = t.tournament.select("tid", F.when(F.col("bucket") % 4 == 2, F.concat(F.lit("["), item)).otherwise(item).alias("raw"))
+    r = raw.withColumn("r", F.from_json("raw", "tid string, players string, date string, private boolean, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    fine = F.col("r._bad").isNull()
+    return r.select("tid", F.when(fine, text.strict(F.col("r.players"), "int").cast("int")).alias("players"), F.when(fine, dates.strict_date(F.col("r.date"))).alias("date"), F.when(fine, F.col("r.private")).alias("private"), F.when(~fine, "not_readable").alias("reason"))
+
+
+@query("src_14_exports", f"""{ADAPTER}, rd AS (SELECT tid, o_orderkey, entry_no, (entry_no - 1) // 4 AS place, o_orderkey % 6 = 0 AS flagged, 1 + y % 2 AS prelim FROM numbered), ro AS (SELECT tid, place, prelim, bool_or(flagged) AS flagged FROM rd GROUP BY ALL),
+el AS (SELECT *, flagged OR count_if(NOT flagged) OVER (PARTITION BY tid ORDER BY place) - (NOT flagged)::INTEGER >= prelim AS elimination FROM ro), nu AS (SELECT *, count(*) OVER (PARTITION BY tid, elimination ORDER BY place)::INTEGER AS round FROM el)
+SELECT tid, elimination::INTEGER + 1 AS stage, round, entry_no AS p1 FROM rd JOIN nu USING (tid, place)""")
+def exports(t):
+    """Nested exports: an event's rounds are arrays of pairings; which stage a round is of and its number come from the rounds' order."""
+    seat = F.struct(F.col("entry_no").alias("p1"), (F.col("o_orderkey") % 6 == 0).alias("eliminationGame"))
+    rounds = t._seats.groupBy("tid", "y", F.floor((F.col("entry_no") - 1) / 4).alias("place")).agg(F.collect_list(seat).alias("pairings"))
+    docs = rounds.groupBy("tid", "y").agg(F.array_sort(F.collect_list(F.struct("place", "pairings"))).alias("r"))
+    docs = docs.select("tid", F.to_json(F.struct((1 + F.col("y") % 2).alias("preliminaryRounds"), F.col("r.pairings").alias("rounds"))).alias("doc"))
+    d = docs.select("tid", F.from_json("doc", "preliminaryRounds int, rounds array<array<struct<p1: int, eliminationGame: boolean>>>").alias("d"))
+    d = d.select("tid", F.col("d.preliminaryRounds").alias("prelim"), F.posexplode("d.rounds").alias("place", "games"))
+    d = d.withColumn("flagged", F.exists("games", lambda g: g["eliminationGame"]))
+    n = assembly.numbered_rounds(d.select("tid", "place", "flagged", "prelim"))
+    return d.select("tid", "place", F.explode("games").alias("g")).join(n, ["tid", "place"]).select("tid", "stage", "round", F.col("g.p1").alias("p1"))
+
+
+@query("src_11_catalog_kinds", "SELECT p_partkey, p_partkey % 3 AS k, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN p_size END AS size, CASE p_partkey % 3 WHEN 2 THEN 'card' || p_partkey END AS card FROM part")
+def catalog_kinds(t):
+    """Items of several kinds in one feed, each read with its kind's own columns."""
+    k = F.col("p_partkey") % 3
+    body = F.when(k == 0, F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_size").alias("size")))).when(k == 1, F.to_json(F.struct(F.col("p_name").alias("name")))).otherwise(F.to_json(F.struct(F.concat(F.lit("card"), F.col("p_partkey")).alias("card_id"))))
+    feed = t.raw("part").select("p_partkey", k.alias("k"), body.alias("body"))
+    read = lambda kind, schema, **columns: feed.filter(F.col("k") == kind).withColumn("r", F.from_json("body", schema)).select("p_partkey", "k", *[F.col(f"r.{v}").alias(n) for n, v in columns.items()])
+    cards, sets_, printings = read(0, "title string, size int", name="title", size="size"), read(1, "name string", name="name"), read(2, "card_id string", card="card_id")
+    return cards.unionByName(sets_, allowMissingColumns=True).unionByName(printings, allowMissingColumns=True)
