@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 #: Texts learnt for each language, about; chosen by a hash of their id among all labelled ones.
 PER_LANGUAGE = 2_000
 SMOOTHING = 0.5
+#: The most labels: the matrix, the driver's counts and the broadcast hold a row for each.
+MOST_LABELS = 1_000
 #: A longer text counts as one of so many characters, or a few very long ones would make up their language. Weights are whole UNITs.
 LOUDEST, UNIT = 4_000, 4_096
 CHUNK = 1 << 17
@@ -117,7 +119,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     the same in each run. The driver gets a row for each label and bucket: languages are few, buckets fixed.
     """
     rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).cast("string").alias("key"))
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(totals) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     labels = sorted(totals)
     if not labels:
         return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(0))

@@ -25,6 +25,8 @@ SEED = "mix-1"
 PREFIX = 3
 #: Sources up to which their table is broadcast.
 FEW = 1_000
+#: The most sources: the driver fills their targets, a row for each.
+MOST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -68,7 +70,9 @@ def rates(rows: DataFrame, weights, share: Fraction = Fraction(3, 2), max_epochs
     """
     place = rows.select("source", "place", "size", F.substring("place", 1, PREFIX).alias("prefix"))
     prefixes = checkpointed(place.groupBy("source", "prefix").agg(F.sum("size").alias("size")))
-    sums = prefixes.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    sums = prefixes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix coarser ones")
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in sums]
     targets = water_fill(sizes, list(weights(len(sums))), share * sum(sizes), max_epochs)
