@@ -55,6 +55,8 @@ TEMPLATES = [
     ("nano", "runner", "{p} uses Nanomanagement to gain ."),
     ("install", None, "{p} spends  to install a card in the root of Server {n}."),
     ("rez", "corp", "{p} pays {n}  to rez Wall protecting HQ at position 0."),
+    ("own_card", "runner", "{p} spends  and pays {n}  to install Kati Jones (paying 2 less) on Server 2."),
+    ("trash_wall", "runner", "{p} trashes Wall and Kati Jones."),
     ("mulligan", None, "{p} takes a mulligan."),
     ("stranger", None, "Spectator uses Hedge Fund to gain {n} ."),
     ("chat", None, "good luck and have fun"),
@@ -110,7 +112,7 @@ class Log:
 
     @property
     def context(self) -> DataFrame:
-        return g.context(self.results, self.stats, self.pools, g.trailing(self.agendas, self.players), g.tag_totals(self.stats, self.players), g.damage(self.lines))
+        return g.context(self.results, self.stats, self.pools, g.trailing(self.agendas, self.players), g.tag_totals(self.stats, self.players), g.damage(self.lines), g.opposing_trashes(self.lines, g.opened(self.lines)))
 
 
 def _list(values) -> str:
@@ -133,7 +135,7 @@ cre AS MATERIALIZED (SELECT game_id, line_no, seq, q.* FROM ply, LATERAL (
     SELECT coalesce(runner_p, p), 1, n, false WHERE what = 'aside' AND side IS DISTINCT FROM 'runner' UNION ALL
     SELECT p, 2, n, false WHERE what = 'take' UNION ALL
     SELECT coalesce(runner_p, p), 4, -n, true WHERE what = 'lose' UNION ALL
-    SELECT p, 5, CASE what WHEN 'shares' THEN -2 ELSE -n END, false WHERE what IN ('play', 'shares', 'untag', 'advance', 'resource', 'rez') UNION ALL
+    SELECT p, 5, CASE what WHEN 'shares' THEN -2 ELSE -n END, false WHERE what IN ('play', 'shares', 'untag', 'advance', 'resource', 'rez', 'own_card') UNION ALL
     SELECT coalesce(runner_p, p), 6, -n, false WHERE what = 'force' UNION ALL
     SELECT p, 6, -n, false WHERE what = 'pay' UNION ALL
     SELECT p, 7, n, false WHERE what = 'credit') q),
@@ -158,9 +160,11 @@ res AS MATERIALIZED (SELECT game_id, player, side, rounds, won, final_score, fla
     WHEN max(final_score) FILTER (won) OVER (PARTITION BY game_id) >= 7 THEN 'agenda' END AS win_reason FROM res0),
 sta AS MATERIALIZED (SELECT game_id, p AS player, count_if(what = 'click') AS click_credits, count_if(what = 'click') AS click_credits_gained, count_if(what = 'draw_click') AS draw_clicks, sum(CASE what WHEN 'nano' THEN 2 ELSE 0 END) AS clicks_gained,
     count_if(what = 'untag') AS tag_removals, sum(n * (what = 'untag')::INTEGER) AS tag_removal_cost, count_if(what = 'resource') AS trash_resources, sum(n * (what = 'resource')::INTEGER) AS trash_resource_cost, count_if(what = 'advance') AS advances, sum(n * (what = 'advance')::INTEGER) AS advance_cost,
-    count_if(what = 'purge') AS purges, count_if(what = 'install') AS installs, count_if(what = 'rez') AS rezzed, sum(CASE what WHEN 'draw_click' THEN 1 WHEN 'mandatory' THEN 1 WHEN 'draw' THEN 3 ELSE 0 END) AS draws, sum(n * (what = 'give_tags')::INTEGER) AS tags_given, sum(n * (what = 'take_tags')::INTEGER) AS tags_taken,
+    count_if(what = 'purge') AS purges, count_if(what IN ('install', 'own_card')) AS installs, count_if(what = 'rez') AS rezzed, sum(CASE what WHEN 'draw_click' THEN 1 WHEN 'mandatory' THEN 1 WHEN 'draw' THEN 3 ELSE 0 END) AS draws, sum(n * (what = 'give_tags')::INTEGER) AS tags_given, sum(n * (what = 'take_tags')::INTEGER) AS tags_taken,
     count_if(what = 'run') AS runs, count_if(what = 'play') AS plays, 0 AS access_hq, count_if(what = 'access') AS access_rd, 0 AS access_archives, count_if(what = 'root') AS access_remote, count_if(what = 'breach') AS breach_hq, 0 AS breach_rd, 0 AS breach_archives,
-    count_if(what = 'shares' AND side = 'runner') AS zone_trashes FROM ply GROUP BY ALL),
+    count(*) FILTER (what = 'shares' AND side = 'runner') AS zone_trashes FROM ply GROUP BY ALL),
+opn AS MATERIALIZED (SELECT game_id, p AS player, line_no, t AS turn, CASE what WHEN 'rez' THEN 'Wall' ELSE 'Kati Jones' END AS card, what, n FROM ply WHERE what IN ('rez', 'own_card')),
+opp AS (SELECT game_id, p AS player, count(*) AS trashes FROM ply WHERE (what = 'shares' AND side = 'runner') OR (what = 'trash_wall' AND EXISTS (SELECT 1 FROM opn WHERE opn.game_id = ply.game_id AND opn.card = 'Wall' AND opn.line_no <= ply.line_no)) GROUP BY ALL),
 dmg AS (SELECT game_id, runner_p AS player, sum(CASE what WHEN 'damage' THEN 3 ELSE 1 END)::BIGINT AS damage_taken FROM ply WHERE what IN ('damage', 'grip') AND runner_p IS NOT NULL GROUP BY ALL),
 tag AS (SELECT w.game_id, w.p AS player, CASE w.side WHEN 'runner' THEN coalesce(sum(tags_given), 0) + coalesce(sum(tags_taken) FILTER (sta.player = w.p), 0) WHEN 'corp' THEN coalesce(sum(tags_given), 0) END::BIGINT AS tags FROM who w LEFT JOIN sta ON sta.game_id = w.game_id GROUP BY w.game_id, w.p, w.side),
 tra AS (SELECT game_id, me AS player, bool_or(own <= 0 AND theirs >= 6) AS trailed, sum(CASE WHEN p <> me AND points > 0 THEN points ELSE 0 END)::BIGINT AS opponent_gained FROM (
@@ -234,9 +238,20 @@ def trailed(t):
     return g.trailing(log.agendas, log.players)
 
 
+@query("log_10_log_11_opened_cards", LOG + " SELECT game_id, player, line_no, turn, CASE what WHEN 'rez' THEN 'rez' ELSE 'install' END AS kind, card, CASE what WHEN 'rez' THEN 'HQ' END AS server, n AS cost FROM opn")
+def opened_cards(t):
+    return g.opened(Log(t).lines).drop("seq")
+
+
+@query("log_18_opposing_trashes", LOG + " SELECT * FROM opp")
+def opposing_trashes(t):
+    log = Log(t)
+    return g.opposing_trashes(log.lines, g.opened(log.lines))
+
+
 CONTEXT = LOG + """, pk AS (SELECT game_id, player, max(greatest(start, expected, top + coalesce(least(0, expected - last), 0))) AS peak_pool, arg_max(last, segment) AS final_pool FROM stretch GROUP BY ALL),
-ctx AS (SELECT res.*, coalesce(click_credits, 0) AS click_credits, coalesce(draw_clicks, 0) AS draw_clicks, coalesce(zone_trashes, 0) AS trashes, coalesce(sum(zone_trashes) OVER (PARTITION BY game_id), 0) - coalesce(zone_trashes, 0) AS opponent_trashes, coalesce(peak_pool, 0) AS peak_pool, final_pool,
-    coalesce(trailed, false) AS trailed, coalesce(opponent_gained, 0) AS opponent_gained, tags, coalesce(damage_taken, 0) AS damage_taken FROM res LEFT JOIN sta USING (game_id, player) LEFT JOIN pk USING (game_id, player) LEFT JOIN tra USING (game_id, player) LEFT JOIN tag USING (game_id, player) LEFT JOIN dmg USING (game_id, player))"""
+ctx AS (SELECT res.*, coalesce(click_credits, 0) AS click_credits, coalesce(draw_clicks, 0) AS draw_clicks, coalesce(trashes, 0) AS trashes, coalesce(sum(trashes) OVER (PARTITION BY game_id), 0) - coalesce(trashes, 0) AS opponent_trashes, coalesce(peak_pool, 0) AS peak_pool, final_pool,
+    coalesce(trailed, false) AS trailed, coalesce(opponent_gained, 0) AS opponent_gained, tags, coalesce(damage_taken, 0) AS damage_taken FROM res LEFT JOIN sta USING (game_id, player) LEFT JOIN pk USING (game_id, player) LEFT JOIN tra USING (game_id, player) LEFT JOIN tag USING (game_id, player) LEFT JOIN dmg USING (game_id, player) LEFT JOIN opp USING (game_id, player))"""
 
 
 @query("log_52_achievement_context", CONTEXT + " SELECT game_id, player, side, won, win_reason, final_score, click_credits, draw_clicks, peak_pool, final_pool, trailed, opponent_gained, tags, trashes::BIGINT AS trashes, opponent_trashes::BIGINT AS opponent_trashes, damage_taken, mulligan FROM ctx")

@@ -82,7 +82,7 @@ def test_series_on_the_axis_of_turns(two):
 def contexts(two):
     log, who, lines, pool, agendas = two
     stat = g.stats(lines)
-    return g.context(g.results(log, who, lines, agendas), stat, pool, g.trailing(agendas, who), g.tag_totals(stat, who), g.damage(lines))
+    return g.context(g.results(log, who, lines, agendas), stat, pool, g.trailing(agendas, who), g.tag_totals(stat, who), g.damage(lines), g.opposing_trashes(lines, g.opened(lines)))
 
 
 def test_achievements_of_two_games(two):
@@ -163,3 +163,22 @@ def test_courtesies(spark):
 def test_three_players_and_no_lines_are_no_game(spark):
     turn = "{} started their turn 1 with 5  and 5 cards in HQ."
     assert steps(spark, a="\n".join(turn.format(p) for p in ("A", "B", "C")), b="")[1].count() == 0
+
+
+def test_opened_and_trashed_cards(spark):
+    """A name that both brought into play, one that the opponent alone did, before or after, one from a server, damage and placeholders."""
+    start = "Ann started her turn 1 with 2  and 5 cards in HQ.\nBob started his turn 1 with 3  and 5 cards in their Grip.\n"
+    lines = """Bob trashes Late Card.
+Ann spends  and pays 1  to install Both (paying 2 less).
+Bob spends  to install Both.
+Ann spends  to install a card in the root of Server 3.
+Ann pays 4  to rez Wall protecting R&D at position 2.
+Ann spends  to install Late Card.
+Bob trashes Both and Wall.
+Bob pays 4  to trash La Costa Grid from Server 1.
+Ann trashes Hers due to net damage.
+Bob trashes a card from HQ."""
+    log, who, got, *_ = steps(spark, a=start + lines)
+    cards = g.opened(got)
+    assert [(r.player, r.kind, r.card, r.server, r.cost) for r in cards.orderBy("line_no").collect()] == [("Ann", "install", "Both", None, 1), ("Bob", "install", "Both", None, 0), ("Ann", "rez", "Wall", "R&D", 4), ("Ann", "install", "Late Card", None, 0)]
+    assert [(r.player, r.trashes) for r in g.opposing_trashes(got, cards).collect()] == [("Bob", 2)]
