@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.dates import add_months, first_day, months_between
 from tabulon.functions.ratios import points, ratio, status, wilson
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
+from tabulon.operators.ranking import ranked
 
 SLICE = ["side", "restriction_id", "tier"]
 
@@ -140,7 +141,8 @@ def played_rows(split: DataFrame, keys: tuple[str, ...] = ("side",), hide_small:
         )
     )
     r = split.select(*keys, "card_id", "decks", F.explode(modes).alias("m")).select(*keys, "card_id", "decks", "m.*")
-    return r.select(*keys, "mode", "card_id", "value", "of", "out_of", F.row_number().over(W.partitionBy(*keys, "mode").orderBy(F.desc("value"), F.desc("decks"), "card_id")).alias("rank"))
+    r = ranked(r, [*keys, "mode"], [F.desc("value"), F.desc("decks"), F.asc("card_id")])
+    return r.select(*keys, "mode", "card_id", "value", "of", "out_of", "rank")
 
 
 def trends(cards: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from tabulon.functions.dates import month
 from tabulon.functions.ratios import WILSON_SQL, ratio
 from tabulon.operators import views
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
+from tabulon.operators.ranking import ranked
 from tabulon.plans.registry import cube, query
 from tabulon.sources import adapters
 from tabulon.sources.adapters import ADAPTER, MIN_ENTRIES, MIN_GAMES, MIN_SPLASH, PERIOD
@@ -202,7 +203,7 @@ def winrate_order(tables):
 @query("so_06_nulls_last_sort", f"""{SUMMARY} SELECT side, card_id, conversion, row_number() OVER (PARTITION BY side ORDER BY conversion DESC NULLS LAST, card_id)::INTEGER AS place FROM summary WHERE restriction_id = 'all' AND tier = 'all'""")
 def nulls_last_sort(tables):
     s = summary_of(tables).filter("restriction_id = 'all' and tier = 'all'")
-    return s.select("side", "card_id", "conversion", F.row_number().over(W.partitionBy("side").orderBy(F.desc_nulls_last("conversion"), "card_id")).alias("place"))
+    return ranked(s.select("side", "card_id", "conversion"), ["side"], [F.desc_nulls_last("conversion"), F.asc("card_id")], "place")
 
 
 @query("ql_02_fm_09_wn_03_identities", f"""{COUNTS}{SPANS}, c AS (SELECT * FROM ({sums_sql("identity_count", IDENTITY_COLUMNS, ["identity"])}) WHERE entries > 0)
@@ -283,7 +284,7 @@ def played_rows(tables):
 SELECT side, card_id, inside, decks, row_number() OVER (PARTITION BY side ORDER BY inside DESC, decks DESC, card_id)::INTEGER AS rank FROM c WHERE inside > 0""")
 def played_in_faction(tables):
     c = cube(tables).card_counts.groupBy("side", "card_id").agg(F.sum("decks_in_faction").alias("inside"), F.sum("decks_with_card").alias("decks")).filter("inside > 0")
-    return c.select("*", F.row_number().over(W.partitionBy("side").orderBy(F.desc("inside"), F.desc("decks"), "card_id")).alias("rank"))
+    return ranked(c, ["side"], [F.desc("inside"), F.desc("decks"), F.asc("card_id")])
 
 
 @query("ql_03_trends_of_the_cut", f"{COUNTS}, sl AS ({slices_sql('(SELECT * FROM card_count WHERE scope = ' + chr(39) + 'cut' + chr(39) + ') q', TREND, ['side', 'month', 'card_id'])}) SELECT * FROM sl WHERE {' OR '.join(f'{c} <> 0' for c in TREND)}")

@@ -44,3 +44,12 @@ FEW = 10_000
 def small(df: DataFrame) -> DataFrame:
     """A table that is small by nature: counted, and broadcast if it has few rows, else joined by Spark's own choice."""
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that a lost executor costs a read, not a recomputation."""
+    shared_folder(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

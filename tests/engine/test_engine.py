@@ -109,3 +109,15 @@ def test_query_agrees_with_its_sql(spark, name):
     at = [x[0] for x in found.description]
     assert sorted(at) == names
     assert got == sorted(map(str, ([plain(r[at.index(c)]) for c in names] for r in found.fetchall())))
+
+
+def test_ranks_over_ranges(spark):
+    """As one window would number them, though a group lies in many ranges."""
+    from pyspark.sql import Window as W
+
+    from tabulon.operators.ranking import ranked
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 101).alias("v"), "id").repartition(6)
+    got = ranked(rows, ["k"], [F.desc_nulls_last("v"), F.asc("id")])
+    want = rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(F.desc_nulls_last("v"), "id")))
+    assert got.select("k", "v", "id", "rank").exceptAll(want).count() == 0 and got.count() == 500
