@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -141,14 +142,15 @@ def tier_sql(label: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({label}), '{w}') THEN '{name}'" for name, words in TIER_WORDS for w in words) + " ELSE 'online' END"
 
 
-#: Links to published lists and to shared decks, by number or UUID.
+#: The paths of published lists and of shared decks, by number or UUID.
 _REF = r"([0-9]{1,9}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
-DECK_LINKS = {"decklist": rf"^https://(?:www\.)?netrunnerdb\.com/[a-z]{{2}}/decklist/{_REF}(?:/[^?#\s]*)?\z", "deck": rf"^https://(?:www\.)?netrunnerdb\.com/[a-z]{{2}}/deck/view/{_REF}(?:/[^?#\s]*)?\z"}
+DECK_PATHS = {"decklist": "decklist", "deck": "deck/view"}
 
 
-def deck_link(url: Column) -> list[Column]:
-    """kind and ref of a link to a deck; both NULL for any other text."""
+def deck_link(url: Column, host: str) -> list[Column]:
+    """kind and ref of a link to a deck on that host, in any of its languages; both NULL for any other text."""
     kind, ref = F, F
-    for name, pattern in DECK_LINKS.items():
+    for name, path in DECK_PATHS.items():
+        pattern = rf"^https://(?:www\.)?{re.escape(host)}/[a-z]{{2}}/{path}/{_REF}(?:/[^?#\s]*)?\z"
         kind, ref = kind.when(url.rlike(pattern), name), ref.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1))
     return [kind.alias("kind"), ref.alias("ref")]

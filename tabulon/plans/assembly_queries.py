@@ -374,10 +374,10 @@ def import_report(t):
 def deck_links(t):
     k = F.col("o_orderkey").cast("string")
     uuid = F.concat(F.lit("0a1b2c3d-0000-4000-8000-"), F.lpad(k, 12, "0"))
-    host = F.lit("https://netrunnerdb.com/en/")
-    urls = [F.concat(host, F.lit("decklist/"), k, F.lit("/a-name")), F.concat(host, F.lit("deck/view/"), uuid), F.concat(host, F.lit("decklist/"), k, F.lit("?x=1")), F.concat(F.lit("http://netrunnerdb.com/en/decklist/"), k), F.concat(host, F.lit("decklist/"), k, F.lit("0123456789")), F.concat(host, F.lit("deck/view/"), uuid, F.lit("\n"))]
+    host = F.lit("https://decks.example/en/")
+    urls = [F.concat(host, F.lit("decklist/"), k, F.lit("/a-name")), F.concat(host, F.lit("deck/view/"), uuid), F.concat(host, F.lit("decklist/"), k, F.lit("?x=1")), F.concat(F.lit("http://decks.example/en/decklist/"), k), F.concat(host, F.lit("decklist/"), k, F.lit("0123456789")), F.concat(host, F.lit("deck/view/"), uuid, F.lit("\n"))]
     o = t.raw("orders").select("o_orderkey", F.element_at(F.array(*urls), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("url"))
-    return o.select("o_orderkey", *text.deck_link(F.col("url")))
+    return o.select("o_orderkey", *text.deck_link(F.col("url"), "decks.example"))
 
 
 @query("snk_09_formula_guard", "SELECT p_partkey, chr(34) || CASE p_partkey % 7 WHEN 0 THEN chr(39) || '=' WHEN 1 THEN chr(39) || '+' WHEN 2 THEN chr(39) || '-' WHEN 3 THEN chr(39) || '@' WHEN 4 THEN chr(39) || chr(9) WHEN 5 THEN '' ELSE 'a' || chr(34) || chr(34) || 'b ' END || p_name || chr(34) AS cell FROM part")
