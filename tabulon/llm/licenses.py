@@ -84,7 +84,8 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     """(license, wide, n, own, signature, first), a row a template."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with a part of them at a time")
-    t = spark.createDataFrame(templates, "license string, text string").select("license", once(words(F.col("text"))).alias("w"))
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])
+    t = spark.sql("SELECT 1").select(F.inline(rows)).select("license", once(words(F.col("text"))).alias("w"))
     sizes = list(range(1, SHINGLE + 1))
     h = F.filter(by_size(F.col("wide"), sizes, lambda k: hashes(F.col("w"), k)), lambda x: x.isNotNull())
     t = t.select("license", F.when(F.get("w", F.lit(0)) != "", F.size("w")).otherwise(0).alias("wide"), "w")
