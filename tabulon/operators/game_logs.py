@@ -30,7 +30,7 @@ POOL_START, WINNING_SCORE = 5, 7
 
 def number(text: Column, pattern: str, group: int = 1) -> Column:
     """The group as a number; NULL where the pattern isn't found or the group is empty."""
-    return F.regexp_extract(text, pattern, group).try_cast("int") if hasattr(Column, "try_cast") else F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
+    return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
 def said(text: Column, pattern: str, group: int = 1) -> Column:
