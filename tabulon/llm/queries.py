@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, chat, embeddings, fingerprints, langid, licenses, mixing, sharding, simhash, token_counts
+from tabulon.llm import bpe, chat, embeddings, fim, fingerprints, langid, licenses, mixing, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_sharding": sharding.ORACLE,
     "op8_embedding_dedup": embeddings.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
 }
