@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, chat, embeddings, fim, fingerprints, langid, licenses, mixing, sharding, simhash, token_counts
+from tabulon.llm import bpe, chat, embeddings, fim, fingerprints, langid, licenses, mixing, prefix_trie, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_embedding_dedup": embeddings.ORACLE,
     "op10_license_scan": licenses.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
