@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, chat, embeddings, fim, fingerprints, langid, licenses, mixing, prefix_trie, sharding, simhash, token_counts
+from tabulon.llm import bpe, chat, embeddings, fim, fingerprints, langid, licenses, mixing, prefix_trie, repeats, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_suffix_dedup": repeats.op13_suffix_dedup,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op10_license_scan": licenses.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_suffix_dedup": repeats.ORACLE,
 }
