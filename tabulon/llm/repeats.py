@@ -293,10 +293,12 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-# texts as hexadecimal digits, two a byte
+# texts as hexadecimal digits, two a byte; cut into blocks first, as reaching far into a string takes long
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(coalesce(text, '')) AS digits, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
-s AS (SELECT id, pos, md5(substr(digits, 2 * pos + 1, 800)) AS string FROM (SELECT id, digits, unnest(range(n_bytes - 399)) AS pos FROM d WHERE n_bytes >= 400)),
+b AS (SELECT id, first, least(256, n_bytes - 399 - first) AS n, substr(digits, 2 * first + 1, 1310) AS digits FROM
+      (SELECT id, digits, n_bytes, unnest(range(0, n_bytes - 399, 256)) AS first FROM d WHERE n_bytes >= 400)),
+s AS (SELECT id, first + j AS pos, md5(substr(digits, 2 * j + 1, 800)) AS string FROM (SELECT id, first, digits, unnest(range(n)) AS j FROM b)),
 r AS (SELECT id, pos FROM s WHERE string IN (SELECT string FROM s GROUP BY string HAVING count(*) > 1)),
 g AS (SELECT id, pos, sum(CASE WHEN pos - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY pos) AS span FROM
       (SELECT *, lag(pos) OVER (PARTITION BY id ORDER BY pos) AS before FROM r)),
