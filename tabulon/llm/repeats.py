@@ -9,10 +9,15 @@ move many times its size, so rounds do not begin at one byte and the first of th
    them; the least one stands for it. Equal strings have their least name at the same place, so of all positions only those that are the
    least of some string are sorted, about one in a hundred, each with its run: the strings next to each other that it stands for. Names that
    occur once drop out, and with them their strings.
-2. A run with another run of the same name and the same bytes repeats as a whole. Runs left over share a name, not all their bytes: one run
-   of each kind is opened into its strings, each with the pair of its names at offsets 0 and NAME, which together are LENGTH bytes. The
-   pairs are sorted; a string whose pair occurs again is a repeat.
-3. The repeats of a document are put together into spans, and what lies between them is kept.
+2. A run with another run of the same name and the same bytes repeats as a whole. Runs left over share a name, not all their bytes: of these,
+   and of one run of each kind that they may be held against, the bytes are fetched. They are named anew, by ``BLOCK`` strings at a time:
+   what these strings have in common, LENGTH - BLOCK + 1 bytes, is the name. Again unique names drop out, blocks of the same bytes repeat as
+   a whole, and the others go on.
+3. What is left are single strings, each with the pair of its names at offsets 0 and LENGTH - NAME, which together are LENGTH bytes. The pairs are
+   sorted; a string whose pair occurs again is a repeat.
+4. The repeats of a document are put together into spans, and what lies between them is kept.
+
+Tables between the rounds are written to the shared folder, and deleted when the next one is there.
 
 Sorts are by ranges and include the position, so equal names of any number are dealt to many tasks; a row is held against its neighbours only,
 and against the first and last rows of other ranges. Strings of one document count like those of others, overlapping ones too.
@@ -40,8 +45,11 @@ LENGTH = 400
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64((1 << 24) - 1)
+#: Strings that are named together in the second round.
+BLOCK = 16
 WHOLE, OPEN, OTHERS = 0, 1, 2
-RUN = "ref long, lo int, hi int, kind int"
+#: Rows of a batch of narrow rows; batches have at most 4 MB besides.
+NARROW_ROWS = 20_000
 SPANS = "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
@@ -110,7 +118,7 @@ def chunks(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]
 
 def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, lo, hi, name, bytes): runs of strings that one place stands for, from lo to hi, with its name and that of all bytes of the run."""
-    half = length // 2
+    half = -(-length // 2)
     for part in chunks([len(t) for t in texts], length):
         data = np.frombuffer(b"".join(texts[i][a : b + length - 1] for i, a, b in part), np.uint8)
         text, first, counts = np.array([p[0] for p in part]), np.array([p[1] for p in part]), np.array([p[2] - p[1] for p in part])
@@ -184,28 +192,71 @@ def kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = np.zeros(len(now), bool)
         mine[own] = True
         for kind, rows in ((WHOLE, whole), (OPEN, ~whole & (name_before | name_after)), (OTHERS, whole & others)):
-            part = now.loc[rows & mine, ["ref", "lo", "hi"]]
+            part = now.loc[rows & mine].drop(columns=["name", "bytes"])
             part["kind"] = kind
             yield part
 
 
-def opened(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Rows of (ref, text, runs) as (one, two, ref, at, asks): each string of the runs by the names of its halves."""
-    half = length // 2
+def fetched(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows of (ref, text, runs) as (ref, run, last, data): the bytes of each run, by its first and last string."""
     for frame in frames:
-        flat = [(ref, text, r["lo"], r["hi"], r["kind"]) for ref, text, rs in zip(frame["ref"], frame["text"], frame["runs"], strict=True) for r in rs]
-        while flat:
-            total, n = 0, 0
-            while n < len(flat) and (not n or total < CHUNK):
-                total += flat[n][3] - flat[n][2] + length
-                n += 1
-            part, flat = flat[:n], flat[n:]
-            data = np.frombuffer(b"".join(text[lo : hi + length] for _, text, lo, hi, _ in part), np.uint8)
-            lo, counts = np.array([p[2] for p in part]), np.array([p[3] - p[2] + 1 for p in part])
-            begins = np.cumsum(counts + length - 1) - (counts + length - 1)
-            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at, every = np.repeat(begins, counts) + inner, Names(data).all(half).view(np.int64)
-            yield pd.DataFrame({"one": every[at], "two": every[at + half], "ref": np.repeat([p[0] for p in part], counts), "at": (np.repeat(lo, counts) + inner).astype(np.int32), "asks": np.repeat([p[4] == OPEN for p in part], counts)})
+        rows = [(ref, r["lo"], r["hi"], text[r["lo"] : r["hi"] + length]) for ref, text, rs in zip(frame["ref"], frame["text"], frame["runs"], strict=True) for r in rs]
+        yield pd.DataFrame(rows, columns=["ref", "run", "last", "data"])
+
+
+def batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of about a chunk of ``data``."""
+    part = frame["data"].str.len().cumsum() // CHUNK
+    yield from (rows for _, rows in frame.groupby(part.to_numpy()))
+
+
+def expanded(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def blocks(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """fetched() rows as (name, bytes, ref, lo, hi, run): their strings by BLOCK, counted back from the place that stands for the run, so that
+    equal strings are in blocks of one number. A block is named by what all strings of its number have in common."""
+    half = -(-length // 2)
+    for frame in frames:
+        for part in batches(frame):
+            sizes = part["data"].str.len().to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            names = Names(np.frombuffer(b"".join(part["data"]), np.uint8))
+            every = names.all(half) & ~PLACES
+            place = np.array([np.argmin(every[b : b + length - half + 1]) for b in begins])
+            run, last = part["run"].to_numpy(), part["last"].to_numpy()
+            least_back, most_back = place - (last - run), place
+            first = least_back // BLOCK
+            counts = most_back // BLOCK - first + 1
+            of = np.repeat(np.arange(len(part)), counts)
+            number = first[of] + expanded(counts)
+            lo = np.maximum(0, place[of] - number * BLOCK - BLOCK + 1)
+            hi = np.minimum((last - run)[of], place[of] - number * BLOCK)
+            at, common = begins[of], begins[of] + place[of] - number * BLOCK
+            sign = number.astype(np.uint64) * np.uint64(2)
+            yield pd.DataFrame({
+                "name": Names.mixed(names.stretch(common, common + length - BLOCK + 1) ^ sign).view(np.int64),
+                "bytes": Names.mixed(names.stretch(at + lo, at + hi + length) ^ (place[of] - lo).astype(np.uint64)).view(np.int64),
+                "ref": part["ref"].to_numpy()[of], "lo": run[of] + lo, "hi": run[of] + hi, "run": run[of],
+            })
+
+
+def strings(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows of (ref, run, data, blocks) as (one, two, ref, at, asks): each string of the blocks by the names of its halves."""
+    half = -(-length // 2)
+    for frame in frames:
+        for part in batches(frame):
+            sizes = part["data"].str.len().to_numpy()
+            begins = np.cumsum(sizes) - sizes - part["run"].to_numpy()
+            every = Names(np.frombuffer(b"".join(part["data"]), np.uint8)).all(half).view(np.int64)
+            of = np.repeat(np.arange(len(part)), part["blocks"].str.len())
+            lo, hi, kind = (np.array([r[c] for rs in part["blocks"] for r in rs]) for c in ("lo", "hi", "kind"))
+            counts = hi - lo + 1
+            at = np.repeat(lo, counts) + expanded(counts)
+            place = np.repeat(begins[of], counts) + at
+            yield pd.DataFrame({"one": every[place], "two": every[place + length - half], "ref": np.repeat(part["ref"].to_numpy()[of], counts), "at": at.astype(np.int32), "asks": np.repeat(kind == OPEN, counts)})
 
 
 def repeated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,30 +282,54 @@ def identity(docs: DataFrame, key: str, text: str) -> Column:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, runs): for each text that holds repeats, by its identity(), the (lo, hi) of the strings that repeat: all from lo to hi."""
     spark = docs.sparkSession
-    short_batches(spark)
     folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
+    def deleted(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def judged(rows: DataFrame, name: str) -> DataFrame:
+        order = ["name", "bytes", "ref", "lo"]
+        kept = [c for c in rows.columns if c not in ("name", "bytes")]
+        schema = ", ".join([f"{c} {t}" for c, t in rows.select(*kept).dtypes] + ["kind int"])
+        return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(kinds, schema), name)
+
     texts = docs.select(identity(docs, key, text).alias("key"), F.col(f"`{text}`").cast("binary").alias("text")).filter(F.octet_length("text") >= length)
+    short_batches(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
     names = texts.withColumn("ref", F.monotonically_increasing_id()).mapInPandas(lambda frames: named(frames, length), "ref long, key binary, lo array<int>, hi array<int>, name array<long>, bytes array<long>")
     names = written(names, "names")
-    runs = names.select("ref", F.explode(F.arrays_zip("lo", "hi", "name", "bytes")).alias("r")).select("r.name", "r.bytes", "ref", "r.lo", "r.hi")
-    order = ["name", "bytes", "ref", "lo"]
-    judged = written(runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(kinds, RUN), "kinds")
-
-    to_open = judged.filter(F.col("kind") != WHOLE).groupBy("ref").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("runs"))
-    to_open = to_open.join(names.select("ref", "key"), "ref")
-    strings = texts.join(to_open, "key").select("ref", "text", "runs").mapInPandas(lambda frames: opened(frames, length), "one long, two long, ref long, at int, asks boolean")
-    order = ["one", "two", "ref", "at"]
-    found = written(strings.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(repeated, "one long, two long, ref long, at int, asks boolean, found boolean, edge boolean"), "found")
+    keys = written(names.select("ref", "key"), "keys")
+    try:
+        spark.conf.set(setting, str(NARROW_ROWS))
+        runs = names.select("ref", F.explode(F.arrays_zip("lo", "hi", "name", "bytes")).alias("r")).select("r.name", "r.bytes", "ref", "r.lo", "r.hi")
+        first = judged(runs, "first")
+        deleted("names")
+        spark.conf.set(setting, before)
+        open_runs = first.filter(F.col("kind") != WHOLE).groupBy("ref").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+        open_runs = open_runs.join(keys, "ref").join(texts, "key").select("ref", "text", "runs")
+        data = written(open_runs.mapInPandas(lambda frames: fetched(frames, length), "ref long, run int, last int, data binary"), "data")
+        spark.conf.set(setting, str(NARROW_ROWS))
+        second = judged(data.mapInPandas(lambda frames: blocks(frames, length), "name long, bytes long, ref long, lo int, hi int, run int"), "second")
+        opened = second.filter(F.col("kind") != WHOLE).groupBy("ref", "run").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("blocks"))
+        opened = data.join(opened, ["ref", "run"]).select("ref", "run", "data", "blocks")
+        single = opened.mapInPandas(lambda frames: strings(frames, length), "one long, two long, ref long, at int, asks boolean")
+        order = ["one", "two", "ref", "at"]
+        found = written(single.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(repeated, "one long, two long, ref long, at int, asks boolean, found boolean, edge boolean"), "found")
+        deleted("data")
+    finally:
+        spark.conf.set(setting, before)
     # like rows at the edges of ranges: two a range at most
     edges = found.filter("edge").groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two", F.lit(True).alias("again"))
     at_edges = found.filter("edge and asks").join(F.broadcast(edges), ["one", "two"], "left").filter("found or again").select("ref", "at", "at")
-    every = judged.filter(F.col("kind") == WHOLE).select("ref", "lo", "hi").union(found.filter("not edge").select("ref", "at", "at")).union(at_edges)
-    one_each = names.groupBy("key").agg(F.min("ref").alias("ref"))
+    whole = first.select("ref", "lo", "hi", "kind").union(second.select("ref", "lo", "hi", "kind")).filter(F.col("kind") == WHOLE).drop("kind")
+    every = whole.union(found.filter("not edge").select("ref", "at", "at")).union(at_edges)
+    one_each = keys.groupBy("key").agg(F.min("ref").alias("ref"))
     return every.groupBy("ref").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).join(one_each, "ref").select("key", "runs")
 
 
