@@ -61,6 +61,7 @@ TEMPLATES = [
     ("stranger", None, "Spectator uses Hedge Fund to gain {n} ."),
     ("chat", None, "good luck and have fun"),
     ("chat_gg", None, "gg, thank you"),
+    ("chat_oath", None, "o kurwa"),
     ("replay", None, "!{p} uses a command: /save-replay"),
     ("win", None, "{p} wins the game."),
     ("flatlined", "runner", "{p} is flatlined."),
@@ -126,7 +127,7 @@ e2 AS (SELECT *, CASE s WHEN 'corp' THEN '{NAMES["corp"]}' ELSE '{NAMES["runner"
 e3 AS MATERIALIZED (SELECT *, (sum(wide) OVER g - wide)::INTEGER AS line_no, count_if(what = 'start') OVER (PARTITION BY game_id, p ORDER BY ts, event_id) AS t, (count_if(what = 'start') OVER g)::BIGINT AS seq FROM e2 WINDOW g AS (PARTITION BY game_id ORDER BY ts, event_id)),
 bound AS (SELECT game_id, p, min(line_no) AS first_line FROM e3 WHERE what IN ('start', 'end') GROUP BY ALL),
 acts AS MATERIALIZED (SELECT e3.*, bound.first_line, what IN ('click', 'draw_click', 'untag', 'advance', 'resource', 'purge') AS basic FROM e3 LEFT JOIN bound USING (game_id, p)),
-lined AS MATERIALIZED (SELECT *, what NOT IN ('start', 'end', 'win', 'flatlined', 'decked', 'mulligan', 'stranger', 'chat', 'chat_gg', 'replay') AND coalesce(first_line < line_no, false) AS known FROM acts),
+lined AS MATERIALIZED (SELECT *, what NOT IN ('start', 'end', 'win', 'flatlined', 'decked', 'mulligan', 'stranger', 'chat', 'chat_gg', 'chat_oath', 'replay') AND coalesce(first_line < line_no, false) AS known FROM acts),
 sided AS MATERIALIZED (SELECT *, CASE WHEN count_if((basic AND known) OR what = 'start') OVER (PARTITION BY game_id, p ORDER BY line_no) > 0 THEN s END AS side FROM lined),
 who AS MATERIALIZED (SELECT game_id, p, arg_max(coalesce(side, ''), line_no) AS side, min(line_no) AS first_line, max(t) FILTER (what IN ('start', 'end')) AS rounds FROM sided WHERE known OR what IN ('start', 'end') GROUP BY ALL),
 ply AS MATERIALIZED (SELECT x.*, c.p AS corp_p, r.p AS runner_p FROM sided x LEFT JOIN who c ON c.game_id = x.game_id AND c.side = 'corp' AND c.first_line < x.line_no LEFT JOIN who r ON r.game_id = x.game_id AND r.side = 'runner' AND r.first_line < x.line_no WHERE known),
@@ -178,14 +179,14 @@ def joined_lines(t):
 
 
 @query("log_04_07_wn_12_13_read_lines", LOG + """ SELECT game_id, line_no, CASE WHEN known THEN 'player' WHEN what IN ('start', 'end', 'win', 'flatlined', 'decked', 'mulligan') THEN what END AS kind, p AS player, seq, CASE WHEN known THEN t END AS turn, CASE WHEN known THEN side END AS side,
-    CASE WHEN what IN ('start', 'end') THEN n END AS credits, CASE what WHEN 'start' THEN 5 WHEN 'end' THEN 4 END AS hand FROM sided WHERE what NOT IN ('stranger', 'chat', 'chat_gg', 'replay')""")
+    CASE WHEN what IN ('start', 'end') THEN n END AS credits, CASE what WHEN 'start' THEN 5 WHEN 'end' THEN 4 END AS hand FROM sided WHERE what NOT IN ('stranger', 'chat', 'chat_gg', 'chat_oath', 'replay')""")
 def read_lines(t):
     r, player = Log(t).read, F.col("kind") == "player"
     ours = r.filter(F.col("player").isin(*NAMES.values()))
     return ours.select("game_id", "line_no", "kind", "player", "seq", F.when(player, F.col("turn")).alias("turn"), F.when(player, F.col("side")).alias("side"), "credits", "hand")
 
 
-@query("log_03_wn_24_chat_badges", LOG + " SELECT game_id, p AS player, bool_or(what = 'chat') AS glhf, bool_or(what = 'chat_gg') AS gg, bool_or(what = 'chat_gg') AS ty, bool_or(what = 'replay') AS saved_replay FROM e3 WHERE what IN ('chat', 'chat_gg', 'replay') AND (what = 'replay' OR s = 'corp') GROUP BY ALL")
+@query("log_03_wn_24_chat_badges", LOG + " SELECT game_id, p AS player, bool_or(what = 'chat') AS glhf, bool_or(what = 'chat_gg') AS gg, bool_or(what = 'chat_gg') AS ty, bool_or(what = 'chat_oath') AS egg, bool_or(what = 'replay') AS saved_replay FROM e3 WHERE what IN ('chat', 'chat_gg', 'chat_oath', 'replay') AND (what = 'replay' OR s = 'corp') GROUP BY ALL")
 def chat_badges(t):
     """A name with a space in it is not taken for a chat line's."""
     return g.badges(Log(t).joined)
@@ -350,5 +351,6 @@ def card_amounts(t):
     k = F.col("p_partkey") % 4
     said = F.when(k == 0, line("gain")).when(k == 1, line("reveal a card and gain")).when(k == 2, line("draw a card then gain")).otherwise(paid)
     p = t.raw("part").select("p_partkey", said.alias("line"))
-    found = F.coalesce(*[F.when(F.col("line").rlike(x), F.struct(F.regexp_extract("line", x, 1).alias("card"), F.regexp_extract("line", x, 2).cast("int").alias("gain"))) for x in g.CARD_GAIN])
-    return p.select("p_partkey", found["card"].alias("card"), found["gain"].alias("gain"), g.number(F.col("line"), r"pays\s+(\d+)\s+to\s+use\s+(.+?)\s+to\s+").alias("cost"))
+    deeds = g.clauses(F.col("line"), F.lit("Ann"))
+    p = p.withColumn("found", g.gain_of_card(deeds)).withColumn("cost", g.digits(g.paid_for(deeds, "use")))
+    return p.select("p_partkey", "found.card", F.col("found.amount").alias("gain"), "cost")
