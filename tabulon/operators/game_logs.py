@@ -251,23 +251,44 @@ def credit_events(lines: DataFrame) -> DataFrame:
 
 def pools(log: DataFrame, events: DataFrame) -> DataFrame:
     """(game_id, player, line_no, place, seq, turn, printed, before, pool, change, segment): each player's credit pool, reset to the printed
-    value at the start and end of turns (place -1), and what each event really changed: a forced loss takes at most what is there."""
-    anchors = log.filter("kind in ('start', 'end')").select("game_id", "player", "line_no", "seq", F.lit(-1).alias("place"), F.col("credits").alias("amount"), F.lit(False).alias("forced"), F.when(F.col("kind") == "start", F.col("printed_turn")).alias("turn"))
-    every = anchors.unionByName(events.withColumn("turn", F.lit(None).cast("int")))
-    items = F.array_sort(F.collect_list(F.struct("line_no", "place", "seq", "amount", "forced", "turn")))
-    g = every.groupBy("game_id", "player").agg(items.alias("items"))
-    row = "line_no int, place int, seq long, turn int, printed int, before int, pool int, change int"
-    start = F.struct(F.lit(None).cast("int").alias("pool"), F.lit(0).alias("turn"), F.array().cast(f"array<struct<{row.replace(' int', ':int').replace(' long', ':long')}>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        anchor = x["place"] == -1
-        change = F.when(~anchor, F.when(x["forced"], F.greatest(x["amount"], F.least(F.lit(0), -s["pool"]))).otherwise(x["amount"]))
-        pool, turn = F.when(anchor, x["amount"]).otherwise(s["pool"] + change), F.coalesce(x["turn"], s["turn"])
-        made = F.struct(x["line_no"].cast("int").alias("line_no"), x["place"].alias("place"), x["seq"].cast("long").alias("seq"), turn.alias("turn"), F.when(anchor, x["amount"]).alias("printed"), s["pool"].alias("before"), pool.alias("pool"), change.alias("change"))
-        return F.struct(pool.cast("int").alias("pool"), turn.alias("turn"), F.concat(s["out"], F.array(made)).alias("out"))
-
-    p = g.select("game_id", "player", F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select("game_id", "player", "x.*")
-    return p.withColumn("segment", F.count("printed").over(W.partitionBy("game_id", "player").orderBy("line_no", "place").rowsBetween(W.unboundedPreceding, 0)))
+    value at the start and end of turns (place -1), and what each event really changed: a forced loss takes at most what is there, and nothing
+    of a pool that is below zero already.
+
+    Printed values cut a game into segments that don't depend on each other. Within one, the pool is the plain sum plus what forced losses
+    couldn't take. While the pool isn't below zero, that is the furthest that the sum has been below zero at a forced loss so far: a running
+    sum and a running maximum, so a segment of any length takes linear time. Only segments where a forced loss meets a pool below zero are
+    folded in order (logs that don't add up have such).
+    """
+    anchors = log.filter("kind in ('start', 'end')").select("game_id", "player", "line_no", "seq", F.lit(-1).alias("place"), F.lit(0).alias("amount"), F.lit(False).alias("forced"), F.col("credits").alias("printed"), F.when(F.col("kind") == "start", F.col("printed_turn")).alias("turn"))
+    every = anchors.unionByName(events.withColumn("printed", F.lit(None).cast("int")).withColumn("turn", F.lit(None).cast("int")))
+    at = W.partitionBy("game_id", "player").orderBy("line_no", "place")
+    so_far = at.rowsBetween(W.unboundedPreceding, 0)
+    every = every.withColumn("segment", F.count("printed").over(so_far)).withColumn("turn", F.coalesce(F.last("turn", ignorenulls=True).over(so_far), F.lit(0)))
+    within = W.partitionBy("game_id", "player", "segment").orderBy("line_no", "place")
+    until = within.rowsBetween(W.unboundedPreceding, 0)
+    every = every.withColumn("plain", F.first("printed").over(until) + F.sum("amount").over(until))
+    every = every.withColumn("pool", F.col("plain") + F.greatest(F.lit(0), F.max(F.when(F.col("forced"), -F.col("plain"))).over(until)))
+    below = F.col("forced") & (F.lag("pool").over(within) < 0)
+    every = every.withColumn("folded", F.coalesce(F.max(below).over(W.partitionBy("game_id", "player", "segment")), F.lit(False)))
+    columns = ["game_id", "player", "line_no", "place", "seq", "turn", "printed", "amount", "forced", "segment", "pool"]
+    p = every.filter("not folded").select(*columns).union(_folded(every.filter("folded")).select(*columns))
+    p = p.withColumn("before", F.lag("pool").over(at))
+    change = F.when(F.col("place") >= 0, F.when(~F.col("forced"), F.col("amount")).otherwise(F.coalesce(F.col("pool") - F.col("before"), F.lit(0))))
+    return p.select("game_id", "player", F.col("line_no").cast("int").alias("line_no"), "place", "seq", F.col("turn").cast("int").alias("turn"), "printed", F.col("before").cast("int").alias("before"), F.col("pool").cast("int").alias("pool"), change.cast("int").alias("change"), "segment")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """rows of whole segments with the pool event by event."""
+    item = F.struct("line_no", "place", "seq", "turn", "printed", "amount", "forced")
+    g = rows.groupBy("game_id", "player", "segment").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def step(pools_: Column, x: Column) -> Column:
+        now = F.element_at(pools_, -1)
+        lost = F.when(x["forced"], F.greatest(x["amount"], F.least(F.lit(0), -now))).otherwise(x["amount"])
+        return F.concat(pools_, F.array(F.coalesce(x["printed"].cast("long"), now + lost)))
+
+    pool = F.aggregate("items", F.array(F.lit(0).cast("long")), step)
+    return g.select("game_id", "player", "segment", F.explode(F.arrays_zip("items", F.slice(pool, 2, F.size("items")).alias("pool"))).alias("z")).select("game_id", "player", "segment", "z.items.*", "z.pool")
 
 
 def segments(pool: DataFrame) -> DataFrame:

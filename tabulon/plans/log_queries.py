@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulon.operators import card_copies as c
 from tabulon.operators import game_logs as g
 from tabulon.plans.registry import query
 
@@ -57,6 +58,10 @@ TEMPLATES = [
     ("rez", "corp", "{p} pays {n}  to rez Wall protecting HQ at position 0."),
     ("own_card", "runner", "{p} spends  and pays {n}  to install Kati Jones (paying 2 less) on Server 2."),
     ("trash_wall", "runner", "{p} trashes Wall and Kati Jones."),
+    ("kati", "runner", "{p} uses Kati Jones to gain {n} ."),
+    ("kati_cost", "runner", "{p} pays {n}  to use Kati Jones to make a run on HQ."),
+    ("kati_itself", "runner", "{p} uses Kati Jones to trash itself."),
+    ("wall_server", "runner", "{p} pays {n}  to trash Wall from HQ."),
     ("mulligan", None, "{p} takes a mulligan."),
     ("stranger", None, "Spectator uses Hedge Fund to gain {n} ."),
     ("chat", None, "good luck and have fun"),
@@ -98,7 +103,7 @@ class Log:
     """The steps of one input, each stored once."""
 
     def __init__(self, t):
-        keep = lambda name, make: t.keep(f"log_{name}", make)
+        self.keep = keep = lambda name, make: t.keep(f"log_{name}", make)
         self.joined = keep("joined", lambda: g.joined(pasted(t)))
         self.read = keep("read", lambda: g.read(self.joined))
         self.players = keep("players", lambda: g.players(self.read))
@@ -107,6 +112,14 @@ class Log:
         self.agendas = keep("agendas", lambda: g.agenda_events(self.lines))
         self.stats = keep("stats", lambda: g.stats(self.lines))
 
+    @property
+    def copies(self) -> DataFrame:
+        return self.keep("copies", lambda: c.lifetimes(self.read, self.players, self.lines))
+
+    @property
+    def uses(self) -> DataFrame:
+        return self.keep("uses", lambda: c.shared_out(c.uses(self.lines), self.copies))
+
     @property
     def results(self) -> DataFrame:
         return g.results(self.read, self.players, self.lines, self.agendas)
@@ -132,11 +145,11 @@ sided AS MATERIALIZED (SELECT *, CASE WHEN count_if((basic AND known) OR what =
 who AS MATERIALIZED (SELECT game_id, p, arg_max(coalesce(side, ''), line_no) AS side, min(line_no) AS first_line, max(t) FILTER (what IN ('start', 'end')) AS rounds FROM sided WHERE known OR what IN ('start', 'end') GROUP BY ALL),
 ply AS MATERIALIZED (SELECT x.*, c.p AS corp_p, r.p AS runner_p FROM sided x LEFT JOIN who c ON c.game_id = x.game_id AND c.side = 'corp' AND c.first_line < x.line_no LEFT JOIN who r ON r.game_id = x.game_id AND r.side = 'runner' AND r.first_line < x.line_no WHERE known),
 cre AS MATERIALIZED (SELECT game_id, line_no, seq, q.* FROM ply, LATERAL (
-    SELECT p AS player, 0 AS place, CASE what WHEN 'click' THEN 1 ELSE n END AS amount, false AS forced WHERE what IN ('click', 'gain') UNION ALL
+    SELECT p AS player, 0 AS place, CASE what WHEN 'click' THEN 1 ELSE n END AS amount, false AS forced WHERE what IN ('click', 'gain', 'kati') UNION ALL
     SELECT coalesce(runner_p, p), 1, n, false WHERE what = 'aside' AND side IS DISTINCT FROM 'runner' UNION ALL
     SELECT p, 2, n, false WHERE what = 'take' UNION ALL
     SELECT coalesce(runner_p, p), 4, -n, true WHERE what = 'lose' UNION ALL
-    SELECT p, 5, CASE what WHEN 'shares' THEN -2 ELSE -n END, false WHERE what IN ('play', 'shares', 'untag', 'advance', 'resource', 'rez', 'own_card') UNION ALL
+    SELECT p, 5, CASE what WHEN 'shares' THEN -2 ELSE -n END, false WHERE what IN ('play', 'shares', 'untag', 'advance', 'resource', 'rez', 'own_card', 'kati_cost', 'wall_server') UNION ALL
     SELECT coalesce(runner_p, p), 6, -n, false WHERE what = 'force' UNION ALL
     SELECT p, 6, -n, false WHERE what = 'pay' UNION ALL
     SELECT p, 7, n, false WHERE what = 'credit') q),
@@ -162,10 +175,10 @@ res AS MATERIALIZED (SELECT game_id, player, side, rounds, won, final_score, fla
 sta AS MATERIALIZED (SELECT game_id, p AS player, count_if(what = 'click') AS click_credits, count_if(what = 'click') AS click_credits_gained, count_if(what = 'draw_click') AS draw_clicks, sum(CASE what WHEN 'nano' THEN 2 ELSE 0 END) AS clicks_gained,
     count_if(what = 'untag') AS tag_removals, sum(n * (what = 'untag')::INTEGER) AS tag_removal_cost, count_if(what = 'resource') AS trash_resources, sum(n * (what = 'resource')::INTEGER) AS trash_resource_cost, count_if(what = 'advance') AS advances, sum(n * (what = 'advance')::INTEGER) AS advance_cost,
     count_if(what = 'purge') AS purges, count_if(what IN ('install', 'own_card')) AS installs, count_if(what = 'rez') AS rezzed, sum(CASE what WHEN 'draw_click' THEN 1 WHEN 'mandatory' THEN 1 WHEN 'draw' THEN 3 ELSE 0 END) AS draws, sum(n * (what = 'give_tags')::INTEGER) AS tags_given, sum(n * (what = 'take_tags')::INTEGER) AS tags_taken,
-    count_if(what = 'run') AS runs, count_if(what = 'play') AS plays, 0 AS access_hq, count_if(what = 'access') AS access_rd, 0 AS access_archives, count_if(what = 'root') AS access_remote, count_if(what = 'breach') AS breach_hq, 0 AS breach_rd, 0 AS breach_archives,
-    count(*) FILTER (what = 'shares' AND side = 'runner') AS zone_trashes FROM ply GROUP BY ALL),
+    count_if(what IN ('run', 'kati_cost')) AS runs, count_if(what = 'play') AS plays, 0 AS access_hq, count_if(what = 'access') AS access_rd, 0 AS access_archives, count_if(what = 'root') AS access_remote, count_if(what = 'breach') AS breach_hq, 0 AS breach_rd, 0 AS breach_archives,
+    count(*) FILTER (what IN ('shares', 'wall_server') AND side = 'runner') AS zone_trashes FROM ply GROUP BY ALL),
 opn AS MATERIALIZED (SELECT game_id, p AS player, line_no, t AS turn, CASE what WHEN 'rez' THEN 'Wall' ELSE 'Kati Jones' END AS card, what, n FROM ply WHERE what IN ('rez', 'own_card')),
-opp AS (SELECT game_id, p AS player, count(*) AS trashes FROM ply WHERE (what = 'shares' AND side = 'runner') OR (what = 'trash_wall' AND EXISTS (SELECT 1 FROM opn WHERE opn.game_id = ply.game_id AND opn.card = 'Wall' AND opn.line_no <= ply.line_no)) GROUP BY ALL),
+opp AS (SELECT game_id, p AS player, count(*) AS trashes FROM ply WHERE (what IN ('shares', 'wall_server') AND side = 'runner') OR (what IN ('trash_wall', 'wall_server') AND EXISTS (SELECT 1 FROM opn WHERE opn.game_id = ply.game_id AND opn.card = 'Wall' AND opn.line_no <= ply.line_no)) GROUP BY ALL),
 dmg AS (SELECT game_id, runner_p AS player, sum(CASE what WHEN 'damage' THEN 3 ELSE 1 END)::BIGINT AS damage_taken FROM ply WHERE what IN ('damage', 'grip') AND runner_p IS NOT NULL GROUP BY ALL),
 tag AS (SELECT w.game_id, w.p AS player, CASE w.side WHEN 'runner' THEN coalesce(sum(tags_given), 0) + coalesce(sum(tags_taken) FILTER (sta.player = w.p), 0) WHEN 'corp' THEN coalesce(sum(tags_given), 0) END::BIGINT AS tags FROM who w LEFT JOIN sta ON sta.game_id = w.game_id GROUP BY w.game_id, w.p, w.side),
 tra AS (SELECT game_id, me AS player, bool_or(own <= 0 AND theirs >= 6) AS trailed, sum(CASE WHEN p <> me AND points > 0 THEN points ELSE 0 END)::BIGINT AS opponent_gained FROM (
@@ -250,6 +263,52 @@ def opposing_trashes(t):
     return g.opposing_trashes(log.lines, g.opened(log.lines))
 
 
+# copies first in, first out, one event after the other: a list holds the copies in play of a game and card; Wall is the corp's alone, Kati Jones
+# the runner's; Kati Jones is never trashed from a server
+COPIES = LOG + """, ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_id, card ORDER BY line_no, put DESC) AS rn FROM (
+    SELECT game_id, card, line_no, turn, n AS cost, true AS put FROM opn UNION ALL
+    SELECT game_id, c, line_no, t, 0, false FROM ply, LATERAL (SELECT unnest(CASE what WHEN 'trash_wall' THEN ['Wall', 'Kati Jones'] WHEN 'wall_server' THEN ['Wall'] WHEN 'kati_itself' THEN ['Kati Jones'] ELSE [] END) AS c))),
+st AS (SELECT game_id, card, rn, CASE WHEN put THEN [line_no] ELSE []::INTEGER[] END AS here, NULL::INTEGER AS gone, line_no FROM ev WHERE rn = 1
+    UNION ALL SELECT e.game_id, e.card, e.rn, CASE WHEN e.put THEN list_append(s.here, e.line_no) ELSE s.here[2:] END, CASE WHEN NOT e.put THEN s.here[1] END, e.line_no FROM st s JOIN ev e ON e.game_id = s.game_id AND e.card = s.card AND e.rn = s.rn + 1),
+cop AS MATERIALIZED (SELECT o.game_id, o.player, o.card, o.line_no, o.turn, o.n AS cost, st.line_no AS closed_line,
+    CASE WHEN st.line_no IS NOT NULL THEN (SELECT coalesce(max(t), 0) FROM e3 WHERE e3.game_id = o.game_id AND e3.p = o.player AND e3.what = 'start' AND e3.line_no <= st.line_no) END AS left_turn FROM opn o LEFT JOIN st ON st.game_id = o.game_id AND st.card = o.card AND st.gone = o.line_no),
+us AS MATERIALIZED (SELECT game_id, p AS player, line_no, t AS turn, CASE WHEN what IN ('kati', 'kati_cost') THEN 'Kati Jones' WHEN what = 'shares' THEN 'Touchstone' ELSE 'Hedge Fund' END AS card, what = 'play' AS plays,
+    CASE WHEN what IN ('kati', 'gain', 'shares') THEN n END AS gain, CASE WHEN what IN ('kati_cost', 'play') THEN n END AS cost FROM ply WHERE what IN ('kati', 'kati_cost', 'gain', 'play', 'shares')),
+ux AS MATERIALIZED (SELECT *, CASE WHEN len(here) > 0 THEN here[(row_number() OVER (PARTITION BY game_id, player, card, here ORDER BY line_no) - 1) % len(here) + 1] ELSE late END AS copy FROM (
+    SELECT us.*, coalesce((SELECT list(c.line_no ORDER BY c.line_no) FROM cop c WHERE c.game_id = us.game_id AND c.player = us.player AND c.card = us.card AND c.line_no < us.line_no AND coalesce(c.closed_line > us.line_no, true)), []) AS here,
+        (SELECT arg_max(c.line_no, c.closed_line) FROM cop c WHERE c.game_id = us.game_id AND c.player = us.player AND c.card = us.card AND c.closed_line <= us.line_no AND c.left_turn = us.turn) AS late FROM us))"""
+
+
+@query(
+    "log_40_log_46_installed_rows",
+    COPIES
+    + """ SELECT c.game_id, c.player, c.card, CASE WHEN count(*) OVER k > 1 THEN (row_number() OVER (k ORDER BY c.line_no))::INTEGER END AS copy, c.turn, c.left_turn, greatest(1, coalesce(c.left_turn, w.rounds) - c.turn + 1) AS turns_in_play,
+    coalesce(g, 0)::BIGINT AS gained, (c.cost + coalesce(k, 0))::BIGINT AS cost, (coalesce(g, 0) - c.cost - coalesce(k, 0))::BIGINT AS net FROM cop c JOIN who w ON w.game_id = c.game_id AND w.p = c.player
+    LEFT JOIN (SELECT game_id, card, copy, sum(gain) AS g, sum(cost) AS k FROM ux WHERE copy IS NOT NULL GROUP BY ALL) u ON u.game_id = c.game_id AND u.card = c.card AND u.copy = c.line_no WINDOW k AS (PARTITION BY c.game_id, c.player, c.card)""",
+)
+def installed_rows(t):
+    log = Log(t)
+    return c.installed_rows(log.copies, log.uses)
+
+
+@query(
+    "log_47_operation_rows",
+    COPIES
+    + """, oe AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_id, player, card, turn ORDER BY line_no) AS rn FROM ux WHERE copy IS NULL),
+ow AS (SELECT game_id, player, card, turn, rn, [{'cost': coalesce(cost, 0), 'gain': coalesce(gain, 0), 'settled': gain IS NOT NULL}] AS times FROM oe WHERE rn = 1
+    UNION ALL SELECT e.game_id, e.player, e.card, e.turn, e.rn, CASE
+        WHEN e.gain IS NOT NULL AND list_position(list_transform(o.times, lambda x: x.settled), false) > 0 THEN list_transform(o.times, lambda x, i: CASE WHEN i = list_position(list_transform(o.times, lambda y: y.settled), false) THEN {'cost': x.cost, 'gain': e.gain, 'settled': true} ELSE x END)
+        WHEN e.gain IS NULL AND NOT e.plays THEN list_transform(o.times, lambda x, i: CASE WHEN i = len(o.times) THEN {'cost': x.cost + e.cost, 'gain': x.gain, 'settled': x.settled} ELSE x END)
+        ELSE list_append(o.times, {'cost': coalesce(e.cost, 0), 'gain': coalesce(e.gain, 0), 'settled': e.gain IS NOT NULL}) END
+    FROM ow o JOIN oe e ON e.game_id = o.game_id AND e.player = o.player AND e.card = o.card AND e.turn = o.turn AND e.rn = o.rn + 1),
+ol AS (SELECT game_id, player, card, turn, arg_max(times, rn) AS times FROM ow GROUP BY ALL)
+SELECT game_id, player, card, turn, CASE WHEN len(times) > 1 THEN i::INTEGER END AS nth, times[i].cost::BIGINT AS cost, times[i].gain::BIGINT AS gain, (times[i].gain - times[i].cost)::BIGINT AS net FROM ol, LATERAL (SELECT unnest(range(1, len(times) + 1)) AS i)""",
+)
+def operation_rows(t):
+    log = Log(t)
+    return c.operation_rows(Log(t).uses)
+
+
 CONTEXT = LOG + """, pk AS (SELECT game_id, player, max(greatest(start, expected, top + coalesce(least(0, expected - last), 0))) AS peak_pool, arg_max(last, segment) AS final_pool FROM stretch GROUP BY ALL),
 ctx AS (SELECT res.*, coalesce(click_credits, 0) AS click_credits, coalesce(draw_clicks, 0) AS draw_clicks, coalesce(trashes, 0) AS trashes, coalesce(sum(trashes) OVER (PARTITION BY game_id), 0) - coalesce(trashes, 0) AS opponent_trashes, coalesce(peak_pool, 0) AS peak_pool, final_pool,
     coalesce(trailed, false) AS trailed, coalesce(opponent_gained, 0) AS opponent_gained, tags, coalesce(damage_taken, 0) AS damage_taken FROM res LEFT JOIN sta USING (game_id, player) LEFT JOIN pk USING (game_id, player) LEFT JOIN tra USING (game_id, player) LEFT JOIN tag USING (game_id, player) LEFT JOIN dmg USING (game_id, player) LEFT JOIN opp USING (game_id, player))"""
