@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import name_key, title_key
+from tabulon.operators.components import components
+from tabulon.storage import checkpointed
 
 #: Names of other formats, and kinds of records that are reference data.
 OTHER_FORMATS = r"(?i)\b(start ?up|eternal|sealed|draft|cube|throwback|system gateway|1\.1\.1\.1)\b"
@@ -139,12 +141,27 @@ def link_candidates(own: DataFrame, other: DataFrame, own_pairs: DataFrame, othe
     """(id, other_id, shared, known): events of two registries that can be one, of equal size and within a day of the other's days, of which
     at least LINK_SHARE of the other's identity pairs are found in the own ones; multisets of (id, pair).
 
-    own: (id, date, size); other: (other_id, date, end_date, size). Both sides are dealt by size and month, so no event meets all others.
+    own: (id, date, size); other: (other_id, date, end_date, size).
+
+    Events meet by rare pairs, not by size alone. Of an event of k pairs at most k - ceil(LINK_SHARE k) may be missing in the own one, so of any
+    one pair more than that at least one is found there: these few, the rarest ones, are looked up among the own events' pairs, the n-th of
+    like pairs with the n-th. So candidates grow with the events and how common their rarest pairs are. Events that name no pair can be any of
+    their size and days, and are joined by these.
     """
-    spans = other.withColumn("a", F.date_sub("date", 1)).withColumn("b", F.date_add(F.coalesce("end_date", "date"), 1))
+    spans = other.select("other_id", F.col("size").alias("other_size"), F.date_sub("date", 1).alias("a"), F.date_add(F.coalesce("end_date", "date"), 1).alias("b"))
     months = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))
-    spans = spans.select("other_id", F.col("size").alias("other_size"), "a", "b", F.explode(months).alias("month"))
-    near = own.withColumn("own_month", F.trunc("date", "month")).join(spans, (F.col("size") == F.col("other_size")) & (F.col("own_month") == F.col("month")) & F.col("date").between(F.col("a"), F.col("b"))).select("id", "other_id")
+    spans, days = spans.withColumn("month", F.explode(months)), own.select("id", "date", F.col("size").alias("other_size"), F.trunc("date", "month").alias("month"))
+    numbered = lambda df, key: df.withColumn("n", F.row_number().over(W.partitionBy(key, "pair").orderBy(key)))
+    ours = numbered(own_pairs.select("id", "pair"), "id").join(days, "id")
+    common = ours.groupBy("pair", "n", "other_size").agg(F.count("*").alias("common"))
+    theirs = numbered(other_pairs.select("other_id", "pair"), "other_id").join(other.select("other_id", F.col("size").alias("other_size")), "other_id").join(common, ["pair", "n", "other_size"], "left")
+    event = W.partitionBy("other_id")
+    theirs = theirs.withColumn("k", F.count("*").over(event)).withColumn("place", F.row_number().over(event.orderBy(F.coalesce("common", F.lit(0)), "pair", "n")))
+    rare = theirs.filter(F.col("place") <= F.col("k") - F.ceil(F.col("k") * F.lit(LINK_SHARE)) + 1).select("other_id", "pair", "n")
+    within = F.col("date").between(F.col("a"), F.col("b"))
+    met = rare.join(spans, "other_id").join(ours, ["pair", "n", "other_size", "month"]).filter(within).select("id", "other_id")
+    unnamed = spans.join(other_pairs.select("other_id").distinct(), "other_id", "left_anti").join(days, ["other_size", "month"]).filter(within).select("id", "other_id")
+    near = checkpointed(met.union(unnamed).distinct())
     count = lambda df, key, n: df.groupBy(key, "pair").agg(F.count("*").alias(n))
     theirs = near.join(count(other_pairs, "other_id", "theirs"), "other_id")
     both = theirs.join(count(own_pairs, "id", "ours"), ["id", "pair"], "left")
@@ -165,10 +182,12 @@ def direct_links(own: DataFrame, other: DataFrame) -> DataFrame:
 def resolved_links(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     """(id, other_id): candidates in order of id, each linked if exactly one of its candidates is free by then.
 
-    The order makes this sequential, so it is one small pass over pairs of numbers for each event size; candidates are a handful an event.
-    ``candidates`` has (size, id, other_id), ``taken`` the other_ids that are linked already.
+    Whether an event's candidates are free depends on earlier events with a common candidate only, so each component of events that are tied by
+    common candidates is resolved by itself, in order; a task holds whole components, of pairs of numbers, and no component meets another.
+    ``candidates`` has (id, other_id), ``taken`` the other_ids that are linked already.
     """
-    free = candidates.join(taken.select("other_id").distinct(), "other_id", "left_anti").select("size", "id", "other_id")
+    free = checkpointed(candidates.join(taken.select("other_id").distinct(), "other_id", "left_anti").select("id", "other_id").distinct())
+    roots = components(free.select((F.col("id") * 2).alias("a"), (F.col("other_id") * 2 + 1).alias("b")))
 
     def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -179,7 +198,10 @@ def resolved_links(candidates: DataFrame, taken: DataFrame) -> DataFrame:
                 out.append((own, left[0]))
         return pd.DataFrame(out, columns=["id", "other_id"]).astype("int64")
 
-    return free.groupBy("size").applyInPandas(greedy, "id long, other_id long")
+    tied = free.withColumn("node", F.col("id") * 2).join(roots, "node")
+    # a component of one pair needs no order
+    tied = tied.withColumn("pairs", F.count("*").over(W.partitionBy("root")))
+    return tied.filter("pairs = 1").select("id", "other_id").union(tied.filter("pairs > 1").select("root", "id", "other_id").groupBy("root").applyInPandas(greedy, "id long, other_id long"))
 
 
 def matching_entries(entries: DataFrame, others: DataFrame) -> DataFrame:

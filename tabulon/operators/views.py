@@ -71,8 +71,7 @@ def summary(cards: DataFrame, sides: DataFrame, months: int, min_games: int, min
         ratio(conversion, cut_rate).alias("conversion_ratio"),
         status(F.col("entries_with_card_hc"), min_entries).alias("conversion_status"),
     )
-    rank = F.row_number().over(W.partitionBy(*SLICE).orderBy(F.desc("decks"), "card_id"))
-    return out.withColumn("rank", F.when(F.col("decks") > 0, rank))
+    return ranked(out, SLICE, [F.desc("decks"), F.asc("card_id")]).withColumn("rank", F.when(F.col("decks") > 0, F.col("rank")))
 
 
 def copies_mode(one: Column, two: Column, three: Column) -> Column:
@@ -87,7 +86,7 @@ def identities(counts: DataFrame, sides: DataFrame, months: int, min_games: int,
     side = c.groupBy(*SLICE).agg(F.sum("entries").alias("all_entries"))
     c = c.join(side, SLICE)
     low, high = wilson(F.col("games_won"), F.col("games_total"))
-    return c.select(
+    rows = c.select(
         *SLICE,
         "identity",
         "entries",
@@ -98,8 +97,8 @@ def identities(counts: DataFrame, sides: DataFrame, months: int, min_games: int,
         status(F.col("games_total"), min_games).alias("winrate_status"),
         ratio(F.col("cut_made"), F.col("cut_entries")).alias("conversion"),
         status(F.col("cut_entries"), min_entries).alias("conversion_status"),
-        F.row_number().over(W.partitionBy(*SLICE).orderBy(F.desc("entries"), "identity")).alias("rank"),
     )
+    return ranked(rows, SLICE, [F.desc("entries"), F.asc("identity")])
 
 
 def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card: DataFrame, min_splash: int, keys: tuple[str, ...] = ("side",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import text
 from tabulon.operators import assembly as a
 from tabulon.operators import rules
+from tabulon.operators.ranking import ranked
 from tabulon.plans.registry import query
 from tabulon.sources.adapters import ADAPTER, pick
 
@@ -147,8 +148,7 @@ cand AS (SELECT nr.id, nr.other_id, coalesce(known, 0)::BIGINT AS known, coalesc
 
 
 def registries(t):
-    # events are numbered for the derived ids only; there are as many as groups of customers and quarters
-    own = t.keep("numbered_events", lambda: t.tournament.select("tid", F.row_number().over(W.orderBy("tid")).cast("long").alias("id"), "date", F.col("players").alias("size")))
+    own = t.keep("numbered_events", lambda: ranked(t.tournament.select("tid", "date", F.col("players").alias("size")), [], [F.col("tid")], "id").select("tid", F.col("id").cast("long").alias("id"), "date", "size"))
     k = F.col("id")
     oth = own.select((k + 1_000_000).alias("other_id"), F.date_sub("date", (k % 4).cast("int")).alias("date"), F.when(k % 3 == 0, F.date_add("date", 1)).alias("end_date"), F.when(k % 10 == 9, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "id", "tid")
     pair = F.concat_ws("/", F.coalesce("corp_identity", F.lit("")), F.coalesce("runner_identity", F.lit("")))

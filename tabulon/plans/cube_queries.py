@@ -188,16 +188,16 @@ def scatter_points(tables):
     FROM summary WHERE decks > 0 AND winrate_diff_pp IS NOT NULL) SELECT side, restriction_id, tier, card_id, popularity, winrate_diff_pp FROM p WHERE a <= 5 OR b <= 5""")
 def top_per_axis(tables):
     s = summary_of(tables).filter("decks > 0 and winrate_diff_pp is not null")
-    w = W.partitionBy(*SLICE)
-    s = s.withColumn("a", F.row_number().over(w.orderBy(F.desc("popularity"), "card_id"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("winrate_diff_pp"), "card_id")))
-    return s.filter("a <= 5 or b <= 5").select(*SLICE, "card_id", "popularity", "winrate_diff_pp")
+    # a limit a window, so that each task passes on five rows a slice
+    first = lambda by: s.withColumn("n", F.row_number().over(W.partitionBy(*SLICE).orderBy(F.desc(by), "card_id"))).filter("n <= 5").drop("n")
+    return first("popularity").union(first("winrate_diff_pp")).select(*SLICE, "card_id", "popularity", "winrate_diff_pp").distinct()
 
 
 @query("so_05_flt_23_winrate_order", f"""{SUMMARY} SELECT side, restriction_id, tier, card_id, games, winrate_status, row_number() OVER (PARTITION BY side, restriction_id, tier ORDER BY (winrate_status <> 'ok')::INTEGER, coalesce(winrate_diff_pp, -1e9) DESC, games DESC, card_id)::INTEGER AS place FROM summary WHERE games > 0""")
 def winrate_order(tables):
     s = summary_of(tables).filter("games > 0")
-    order = W.partitionBy(*SLICE).orderBy((F.col("winrate_status") != "ok").cast("int"), F.desc(F.coalesce("winrate_diff_pp", F.lit(-1e9))), F.desc("games"), "card_id")
-    return s.select(*SLICE, "card_id", "games", "winrate_status", F.row_number().over(order).alias("place"))
+    order = [(F.col("winrate_status") != "ok").cast("int").asc(), F.desc(F.coalesce("winrate_diff_pp", F.lit(-1e9))), F.desc("games"), F.asc("card_id")]
+    return ranked(s.select(*SLICE, "card_id", "games", "winrate_status", "winrate_diff_pp"), SLICE, order, "place").drop("winrate_diff_pp")
 
 
 @query("so_06_nulls_last_sort", f"""{SUMMARY} SELECT side, card_id, conversion, row_number() OVER (PARTITION BY side ORDER BY conversion DESC NULLS LAST, card_id)::INTEGER AS place FROM summary WHERE restriction_id = 'all' AND tier = 'all'""")
@@ -324,8 +324,7 @@ EVENTS = f"{ADAPTER}, n AS (SELECT tid, count(*) AS legal_decks FROM deck WHERE
 def tournaments(tables):
     n = tables.deck.filter("legal").groupBy("tid").agg(F.count("*").alias("legal_decks"))
     t = tables.tournament.join(n, "tid", "left").fillna({"legal_decks": 0})
-    # a listing of events, which are few by nature, so one ordered window numbers them
-    return t.select("tid", "date", "name", "tier", "restriction_id", "players", "cut_size", "legal_decks", F.row_number().over(W.orderBy(F.desc("date"), "tid")).alias("place"))
+    return ranked(t.select("tid", "date", "name", "tier", "restriction_id", "players", "cut_size", "legal_decks"), [], [F.desc("date"), F.asc("tid")], "place")
 
 
 @query("ql_14_ag_22_flt_24_event_totals", f"{EVENTS} SELECT count(*) AS events, sum(players)::BIGINT AS players, sum(coalesce(legal_decks, 0))::BIGINT AS decklists, sum(coalesce(legal_decks, 0))::DOUBLE / nullif(2 * sum(players), 0)::DOUBLE AS share FROM tournament LEFT JOIN n USING (tid) WHERE strftime(date, '%Y-%m') BETWEEN '1996-01' AND '1999-12' AND cut_size > 0")

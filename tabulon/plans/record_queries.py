@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import dates, ratios, text
 from tabulon.operators import logs, rules
+from tabulon.operators.ranking import ranked
 from tabulon.plans.registry import query
 from tabulon.sources.adapters import ADAPTER
 
@@ -286,9 +287,9 @@ def priority(t):
 
 @query("so_12_flt_28_due_queue", f"{PRIORITY} SELECT tid, row_number() OVER (ORDER BY priority + bonus * 50000 DESC, date, tid)::INTEGER AS place FROM pq WHERE date <= DATE '1999-01-01' AND bonus = 1")
 def due_queue(t):
-    """What is due and not frozen by priority, date and key; the queue is a listing of events, numbered by one ordered window."""
+    """What is due and not frozen by priority, date and key; numbered over ranges."""
     due = priority(t).join(t.tournament.select("tid", "date", "bucket"), "tid").filter((F.col("date") <= "1999-01-01") & (F.col("bucket") % 2 == 1))
-    return due.select("tid", F.row_number().over(W.orderBy(F.desc("with_bonus"), "date", "tid")).alias("place"))
+    return ranked(due.select("tid", "with_bonus", "date"), [], [F.desc("with_bonus"), F.asc("date"), F.asc("tid")], "place").select("tid", "place")
 
 
 @query("fm_16_fm_17_intervals", "SELECT o_orderkey, least(greatest(o_orderkey % 40 * 2, 1), CASE WHEN o_orderkey % 500 < 14 THEN 1 WHEN o_orderkey % 500 < 90 THEN 7 ELSE 30 END) AS days, least(pow(2, o_orderkey % 12), 30)::DOUBLE AS retry_days FROM orders")

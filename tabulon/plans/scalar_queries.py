@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import dates, links, ratios, text
 from tabulon.operators import assembly
+from tabulon.operators.ranking import ranked
 from tabulon.plans.registry import query
 from tabulon.sources.adapters import ADAPTER
 
@@ -229,13 +230,13 @@ def hide_zero(t):
     return g.filter("gained <> 0")
 
 
-@query("snk_02_padded_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN 'a-long-key-of-' || o_orderkey ELSE lpad(o_orderkey::VARCHAR, 12, '0') END, o_orderkey)::INTEGER AS place FROM orders WHERE o_orderkey < 900")
+@query("snk_02_padded_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN 'a-long-key-of-' || o_orderkey ELSE lpad(o_orderkey::VARCHAR, 12, '0') END, o_orderkey)::INTEGER AS place FROM orders")
 def padded_order(t):
-    """Numbers in text order by zeros before them, nothing for null, longer keys as they are; the range is the listing that is numbered."""
+    """Numbers in text order by zeros before them, nothing for null, longer keys as they are."""
     k = F.col("o_orderkey")
     key = F.when(k % 9 == 1, F.concat(F.lit("a-long-key-of-"), k)).when(k % 9 != 0, k.cast("string"))
     padded = F.coalesce(F.when(F.length(key) < 12, F.lpad(key, 12, "0")).otherwise(key), F.lit(""))
-    return t.raw("orders").filter("o_orderkey < 900").select("o_orderkey", F.row_number().over(W.orderBy(padded, "o_orderkey")).alias("place"))
+    return ranked(t.raw("orders").select("o_orderkey", padded.alias("padded")), [], [F.asc("padded"), F.asc("o_orderkey")], "place").drop("padded")
 
 
 @query("vd_03_vd_04_quarantine", "SELECT event_id, event_id % 7 = 0 AS bad, CASE WHEN event_id % 7 = 0 THEN sha256('{broken ' || event_id) END AS payload_hash, CASE WHEN event_id % 7 > 0 THEN (props->>'$.k')::BIGINT END AS k FROM events")
