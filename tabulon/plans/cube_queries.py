@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.dates import month
 from tabulon.functions.ratios import WILSON_SQL, ratio
-from tabulon.operators import views
+from tabulon.operators import incremental, views
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
 from tabulon.operators.ranking import ranked
-from tabulon.plans.registry import cube, query
+from tabulon.plans.registry import ORACLES, cube, query
 from tabulon.sources import adapters
-from tabulon.sources.adapters import ADAPTER, MIN_ENTRIES, MIN_GAMES, MIN_SPLASH, PERIOD
+from tabulon.sources.adapters import ADAPTER, COVERAGE, MIN_ENTRIES, MIN_GAMES, MIN_PLAYERS, MIN_SPLASH, PERIOD, Canonical
 
 COUNTS = adapters.COUNTS + ",\nall_cards AS (SELECT * EXCLUDE (scope) FROM card_count WHERE scope = 'all'),\nall_sides AS (SELECT * EXCLUDE (scope) FROM side_count WHERE scope = 'all')"
 
@@ -306,6 +306,45 @@ def range_sums(tables):
     return s.groupBy("side").agg(*[F.sum(c).alias(c) for c in BASELINE_COLUMNS])
 
 
+class Yesterday(Canonical):
+    """The tables before a hundredth of the orders was corrected: their prices, which place entries, and whether their decks are legal."""
+
+    def raw(self, name: str):
+        df = super().raw(name)
+        if name != "orders":
+            return df
+        changed = F.col("o_orderkey") % 100 == 7
+        status = F.when(changed, F.when(F.col("o_orderstatus") == "P", "F").otherwise("P")).otherwise(F.col("o_orderstatus"))
+        return df.withColumn("o_orderstatus", status).withColumn("o_totalprice", F.when(changed, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")))
+
+    def keep(self, name: str, make):
+        return super().keep(f"yesterday_{name}", make)
+
+
+def updated(tables, name: str):
+    """A table of yesterday's cube and what changed since, merged."""
+    before = Yesterday(tables.spark, tables.sf_dir)
+    decks = before.deck.filter(F.col("deck_id").cast("long") % 100 == 7)
+    tids = incremental.touched_events({"deck": decks}, [])
+    change = incremental.deltas(before, tables, tids, min_players=MIN_PLAYERS, coverage=COVERAGE, identity_coverage=COVERAGE / 2)[name]
+    return incremental.merged(getattr(cube(before), name), change, name)
+
+
+@query("src_03_ag_16_card_counts_by_deltas", ORACLES["jn_07_card_counts"])
+def card_counts_by_deltas(tables):
+    return updated(tables, "card_counts")
+
+
+@query("src_03_ag_16_side_counts_by_deltas", ORACLES["jn_08_side_baseline_dense"])
+def side_counts_by_deltas(tables):
+    return updated(tables, "side_counts")
+
+
+@query("src_03_ag_16_identity_counts_by_deltas", ORACLES["jn_09_jn_10_ag_10_identity_counts"])
+def identity_counts_by_deltas(tables):
+    return updated(tables, "identity_counts")
+
+
 @query("ag_19_copies_mode", f"{COUNTS} SELECT side, month, card_id, restriction_id, tier, {MODE} AS copies_mode FROM all_cards")
 def copies_mode(tables):
     return cube(tables).card_counts.select(*CELL, "card_id", views.copies_mode(F.col("qty1"), F.col("qty2"), F.col("qty3")).alias("copies_mode"))
