@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from tabulon.operators import incremental, views
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
 from tabulon.operators.ranking import ranked
 from tabulon.plans.registry import ORACLES, cube, query
-from tabulon.sources import adapters
+from tabulon.sources import adapters, addresses
 from tabulon.sources.adapters import ADAPTER, COVERAGE, MIN_ENTRIES, MIN_GAMES, MIN_PLAYERS, MIN_SPLASH, PERIOD, Canonical
+from tabulon.storage import shared_folder
 
 COUNTS = adapters.COUNTS + ",\nall_cards AS (SELECT * EXCLUDE (scope) FROM card_count WHERE scope = 'all'),\nall_sides AS (SELECT * EXCLUDE (scope) FROM side_count WHERE scope = 'all')"
 
@@ -306,6 +309,20 @@ def range_sums(tables):
     return s.groupBy("side").agg(*[F.sum(c).alias(c) for c in BASELINE_COLUMNS])
 
 
+ADDRESS = "#r1996/EUROPE/1996-03..1996-11/runner/show:in"
+
+
+@query("ql_16_ql_17_ql_07_flt_32_addressed_slice", f"{COUNTS} SELECT card_id, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in CARD_COLUMNS)} FROM card_count WHERE scope = 'all' AND restriction_id = 'r1996' AND tier = 'EUROPE' AND month BETWEEN '1996-03' AND '1996-11' AND side = 'runner' GROUP BY card_id")
+def addressed_slice(tables):
+    """A slice by its address, from the cube stored by ban list, tier and month."""
+    counts = cube(tables).card_counts
+    folder = f"{shared_folder(tables.spark)}/tabulon-slices-{uuid.uuid4().hex}"
+    addresses.store(counts, folder)
+    told = addresses.manifest(counts, "1", {"min_games": MIN_GAMES}, PERIOD)
+    rows = addresses.rows(tables.spark, folder, addresses.parse(ADDRESS, told))
+    return rows.groupBy("card_id").agg(*[F.sum(c).alias(c) for c in CARD_COLUMNS])
+
+
 class Yesterday(Canonical):
     """The tables before a hundredth of the orders was corrected: their prices, which place entries, and whether their decks are legal."""
 
