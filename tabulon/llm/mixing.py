@@ -6,8 +6,10 @@ floor(target / size) times, and for what is left once more the documents that co
 the border gives only its first words, so that a source takes its target to the word.
 
 The border is found without sorting a source: sizes are summed by hash prefix, the prefix that holds the border is picked from a
-prefix sum over at most 4096 rows a source, and only its documents (a 4096th of the source) are ranked. Documents with equal ids share
-one place; at the border they share its words in proportion. Null and word-less texts have size 0 and take nothing; a null source is
+prefix sum over at most 4096 rows a source, and only its documents (a 4096th of the source) are ranked. Documents of one place share the words
+at the border in proportion, each rounded down. ``apart`` gives each row a place of its own, by id and text and, for rows alike in both, which are
+interchangeable, by number: so the border is one row, and rows of one id, or of none, are spread over all prefixes. It needs rows that are
+stored (checkpointed), as the number is that of the row where it was read. Null and word-less texts have size 0 and take nothing; a null source is
 a source of its own, ordered last.
 """
 
@@ -57,8 +59,12 @@ def hash_key(key: Column) -> Column:
     return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", apart: bool = False) -> DataFrame:
     """docs and a struct ``_row`` of source, size and place."""
+    if apart:
+        both = F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+        place = F.concat(F.md5(both.cast("binary")), F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+        return docs.withColumn("_row", F.struct(F.col(source).alias("source"), words(F.col(text)).alias("size"), place.alias("place")))
     return docs.withColumn("_row", F.struct(F.col(source).alias("source"), words(F.col(text)).alias("size"), hash_key(F.col(key)).alias("place")))
 
 
@@ -112,13 +118,13 @@ def three_one_two(n: int) -> list[int]:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = checkpointed(measured(table(spark, sf_dir, "documents")).select("doc_id", "_row"))
+    rows = checkpointed(measured(table(spark, sf_dir, "documents"), apart=True).select("doc_id", "_row"))
     return take(rows, rates(rows.select("_row.*"), three_one_two)).select("doc_id", "_mix.*")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+                  md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) || '-' || lpad((row_number() OVER (PARTITION BY doc_id, coalesce(text, '')))::VARCHAR, 20, '0') AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 o AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS k FROM w WHERE source_size > 0),

@@ -1,11 +1,12 @@
 """Sharding by proportional stratified interleaving: every shard holds the sources in the proportions of the whole.
 
-Rows are shuffled within their source by a seeded hash of their id. The row at place r of n in its source gets the fraction
+Rows are shuffled within their source by a seeded hash of their id and all their other columns, so rows of one id, or of none, are spread
+like any others. The row at place r of n in its source gets the fraction
 (r + 1/2) / n; all rows are ordered by it, and the order is cut into shards of equal row counts, at most one apart. Both orders are
 made without sorting a source, or all rows, in one task: rows are counted by (source, hash prefix) and by slice of the fraction, the
 counts are summed up, and only the rows of one prefix or slice are ranked together. A source's rows are even over both.
 
-Rows with equal ids are ordered by their other columns; rows alike in all of them are interchangeable. Null texts have no bytes; a
+Rows alike in all columns are interchangeable; they have one hash, and are numbered together. Null texts have no bytes; a
 null source is a source of its own. Equal texts are dealt like any other rows: the law is that of row counts.
 """
 
@@ -25,7 +26,7 @@ SLICES = 4096
 def shard(rows: DataFrame, shards: int, key: str = "doc_id", source: str = "source") -> DataFrame:
     """rows with a struct ``_shard`` of shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     own = [F.col(f"`{c}`") for c in rows.columns]
-    rows = rows.select(F.struct(*own).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("source"), F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("place"))
+    rows = rows.select(F.struct(*own).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("source"), F.md5(F.concat_ws("|", F.lit(SEED), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (key, *[c for c in rows.columns if c != key])]).cast("binary")).alias("place"))
     rows = rows.withColumn("prefix", F.substring("place", 1, PREFIX))
     counts = rows.groupBy("source", "prefix").agg(F.count("*").alias("n"))
     before = counts.select("source", "prefix", (F.sum("n").over(W.partitionBy("source").orderBy("prefix")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("source")).alias("of"))
@@ -49,14 +50,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-# crc32 by its table of 256 remainders; rows with equal ids would be ordered by size and crc32 here, which no result needs
+# crc32 by its table of 256 remainders
 ORACLE = """
 WITH polynomial AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]),
          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
 d AS (SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 8 AS size, coalesce(text, '') AS text,
-             md5('shard-1:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
-c AS (SELECT d.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(text), '..'), lambda k: ('0x' || k)::BIGINT)),
+             coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') AS own FROM documents),
+e AS (SELECT d.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(text), '..'), lambda k: ('0x' || k)::BIGINT)),
              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, polynomial),
+c AS (SELECT *, md5('shard-1|' || own || '|' || size || '|' || text_crc32) AS place FROM e),
 f AS (SELECT doc_id, source, size, text_crc32, place, (row_number() OVER (PARTITION BY source ORDER BY place, size, text_crc32) - 0.5::DOUBLE)
              / count(*) OVER (PARTITION BY source) AS fraction FROM c),
 g AS (SELECT *, row_number() OVER (ORDER BY fraction, coalesce('s' || source, ''), place, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
