@@ -10,6 +10,7 @@ from tabulon.functions.dates import add_months, first_day, months_between
 from tabulon.functions.ratios import points, ratio, status, wilson
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
 from tabulon.operators.ranking import ranked
+from tabulon.storage import checkpointed
 
 SLICE = ["side", "restriction_id", "tier"]
 
@@ -71,7 +72,8 @@ def summary(cards: DataFrame, sides: DataFrame, months: int, min_games: int, min
         ratio(conversion, cut_rate).alias("conversion_ratio"),
         status(F.col("entries_with_card_hc"), min_entries).alias("conversion_status"),
     )
-    return ranked(out, SLICE, [F.desc("decks"), F.asc("card_id")]).withColumn("rank", F.when(F.col("decks") > 0, F.col("rank")))
+    # dealing by ranges reads its input twice
+    return ranked(checkpointed(out), SLICE, [F.desc("decks"), F.asc("card_id")]).withColumn("rank", F.when(F.col("decks") > 0, F.col("rank")))
 
 
 def copies_mode(one: Column, two: Column, three: Column) -> Column:
