@@ -16,6 +16,7 @@ Null texts are like empty ones: one empty paragraph. The sums are exact for text
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,30 +93,58 @@ def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([x.tobytes() for x in paragraph_sums([t or "" for t in texts])], dtype=object)
 
 
-def ordered_slices(docs: DataFrame, key: str, slices: int) -> DataFrame:
-    """docs dealt by ranges of the key (column ``slice``); each range has the next one's first row too, marked ``tail``; the last one the first's.
+#: Stands for no id, before all ids.
+NO_ID = -(1 << 63)
+#: Follows all parts of a value that is cut.
+REST = 1 << 19
 
-    The ranges' limits are quantiles, a number a range. Each row goes to one range, and one row of each to the range before.
-    """
-    spark = docs.sparkSession
-    limits = docs.agg(F.percentile_approx(key, [k / slices for k in range(1, slices)], 100 * slices)).first()[0] if slices > 1 else None
-    limits = sorted(set(limits or []))
+
+def _cuts(limits: list) -> tuple[list, dict]:
+    """The limits of slices, and for each value that several slices would be full of, how many."""
+    held = Counter(x for x in limits or [] if x is not None)
+    return sorted(held), {value: n for value, n in held.items() if n > 1}
+
+
+def _below(limits: list, value: str) -> str:
+    """SQL for how many limits lie at or below the value, counted in two steps: groups of limits, then limits of a group."""
+    if not limits:
+        return "0"
     step = max(1, int(len(limits) ** 0.5))
     groups = [limits[i : i + step] for i in range(0, len(limits), step)]
-    if groups:  # the limits at or below the key are counted in two steps, groups of limits and limits of a group
-        array = lambda v: f"array({', '.join(f'{x}L' for x in v)})"
-        group = f"size(filter({array([g[0] for g in groups])}, x -> x <= {key}))"
-        inner = f"size(filter(element_at(array({', '.join(map(array, groups))}), g), x -> x <= {key}))"
-        dealt = docs.withColumn("g", F.expr(group)).withColumn("slice", F.when(F.col("g") > 0, (F.col("g") - 1) * step + F.expr(inner)).otherwise(0)).drop("g")
-    else:
-        dealt = docs.withColumn("slice", F.lit(0))
-    # rows with equal keys are ordered by their text, those without a key come first
-    order = lambda *c: F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("k"), *c)
-    firsts = sorted((tuple(r["first"]), r["slice"]) for r in dealt.groupBy("slice").agg(F.min(order(F.xxhash64("text").alias("h"))).alias("first")).collect())
+    array = lambda v: f"array({', '.join('bigint(' + repr(str(x)) + ')' for x in v)})"
+    group = f"size(filter({array([g[0] for g in groups])}, x -> x <= {value}))"
+    inner = f"size(filter(element_at(array({', '.join(map(array, groups))}), {group}), x -> x <= {value}))"
+    return f"CASE WHEN {group} > 0 THEN ({group} - 1) * {step} + {inner} ELSE 0 END"
+
+
+def ordered_slices(docs: DataFrame, slices: int) -> DataFrame:
+    """docs (doc_id, text) dealt by ranges of their order (column ``slice``, those with more of it later), which is that of the ids, none
+    first, then of a hash of the text, ``h``; each slice has the next one's first row too, marked ``tail``; the last one the first's.
+
+    The ranges' limits are quantiles, a number a range. An id that would fill several slices is cut by quantiles of its hashes, and rows
+    that are alike in id and text, which may follow each other in any order, by their place in the input. Ids from 2^53 on are not cut so.
+    """
+    spark = docs.sparkSession
+    d = docs.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text")).withColumn("h48", F.shiftright("h", 16)).withColumn("place", F.monotonically_increasing_id())
+    fractions = lambda n: [i / n for i in range(1, n)]
+    quantiles = lambda c, n: F.percentile_approx(c, fractions(n), 100 * n)
+    limits, hot = _cuts(d.agg(quantiles("k", slices)).first()[0] if slices > 1 else None)
+    # a slice begins at its limit, so the rows of one that are not of the value that is cut come after those that are
+    by_hash, by_place = F.lit(REST), F.lit(REST)
+    if hot:
+        most = max(hot.values())
+        for row in d.filter(F.col("k").isin(*hot)).groupBy("k").agg(quantiles("h48", most).alias("q")).collect():
+            inner, alike = _cuts(row["q"])
+            by_hash = F.when(F.col("k") == row["k"], F.expr(_below(inner, "h48"))).otherwise(by_hash)
+            for value, n in alike.items():
+                by_place = F.when((F.col("k") == row["k"]) & (F.col("h48") == value), F.pmod("place", F.lit(n))).otherwise(by_place)
+    number = lambda c, bits: F.shiftleft(c.cast("long"), bits)
+    dealt = d.withColumn("slice", number(F.expr(_below(limits, "k")), 40) + number(by_hash, 20) + by_place.cast("long")).drop("h48")
+    firsts = sorted((r["slice"], *r["first"]) for r in dealt.groupBy("slice").agg(F.min(F.struct("k", "h", "place")).alias("first")).collect())
     if not firsts:
         return dealt.withColumn("tail", F.lit(False))
-    before = spark.createDataFrame([(first[1], first[2], firsts[i - 1][1]) for i, (first, _) in enumerate(firsts)], "k long, h long, to int")
-    tails = docs.join(F.broadcast(before), F.expr(f"{key} <=> k and xxhash64(text) = h")).dropDuplicates(["to"]).withColumn("slice", F.col("to"))
+    before = spark.createDataFrame([(*first, firsts[i - 1][0]) for i, (_, *first) in enumerate(firsts)], "k long, h long, place long, to long")
+    tails = d.join(F.broadcast(before), ["k", "h", "place"]).withColumn("slice", F.col("to"))
     return dealt.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)).select(*dealt.columns, "tail"))
 
 
@@ -127,7 +156,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ordered_slices(docs, "doc_id", 4 * partitions).repartition(partitions, "slice").sortWithinPartitions("slice", "tail", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = ordered_slices(docs, 4 * partitions).repartition(partitions, "slice").sortWithinPartitions("slice", "tail", "k", "h")
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

@@ -60,6 +60,43 @@ def test_shards_of_hot_ids(spark, hot):
         assert sum(any(r.doc_id == key and often[r.text_crc32] == 1 for r in v) for v in shards.values()) >= 12
 
 
+def test_slices_of_hot_ids(spark, hot):
+    """A third of all rows without an id, a third with one, half of these alike: no slice is much larger than another, and all is in order."""
+    from pyspark.sql import functions as F
+
+    from tabulon.llm import fingerprints as fp
+
+    docs = spark.read.parquet(f"{hot}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fp.ordered_slices(docs, 16).collect()
+    own = [r for r in rows if not r.tail]
+    sizes = Counter(r.slice for r in own)
+    assert len(own) == 1800 and len(sizes) >= 14 and max(sizes.values()) <= 2 * 1800 / 16
+    slices = sorted(sizes)
+    tails = {r.slice: r for r in rows if r.tail}
+    assert sorted(tails) == slices
+    for i, at in enumerate(slices):
+        key = lambda r: (r.k, r.h)
+        later = [r for r in own if r.slice == slices[(i + 1) % len(slices)]]
+        assert key(tails[at]) == min(map(key, later)) and (i + 1 == len(slices) or max(key(r) for r in own if r.slice == at) <= key(tails[at]))
+
+
+def test_fingerprints_of_hot_ids(spark, hot):
+    """The edited texts are those of one order of all rows, by id and then by the hash of the text."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tabulon.llm import fingerprints as fp
+
+    rows = spark.read.parquet(f"{hot}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = Counter()
+    for k, r in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)].text, len(r.text) // 2
+        want[r.doc_id, hashlib.sha256((r.text[: len(r.text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fp.op4_fingerprints(spark, hot).collect()) == want
+
+
 @pytest.mark.parametrize("lists", [256, 1_024, 10_000, 100_000])
 def test_recall_of_border_links(lists):
     """Pairs of cosine 0.901 to 0.92 among vectors without clusters: either end's probes hold the other's list."""
