@@ -76,7 +76,8 @@ class Rechecks(StatefulProcessor):
         self.watch = handle.getValueState("watch", WATCH)
 
     def _held(self) -> dict | None:
-        return dict(zip(FIELDS, self.watch.get(), strict=True)) if self.watch.exists() else None
+        held = self.watch.get()
+        return dict(zip(FIELDS, held, strict=True)) if held else None
 
     def _keep(self, before: dict | None, w: dict) -> None:
         old = before and before["due"]
