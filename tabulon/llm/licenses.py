@@ -32,6 +32,8 @@ from tabulon.llm.license_texts import HEADERS, NOTICES, WHOLE
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
 #: The most templates and the most words of all of them together: their tables are held by each task.
 MOST_TEMPLATES, MOST_WORDS = 2_000, 10_000_000
+#: Templates of up to so many words in all, some 50 MB of shingles, are broadcast; others are joined by Spark's own choice.
+BROADCAST_WORDS = 1_000_000
 
 #: Whole licenses, file headers and notices of a line, the shortest of three words.
 TEMPLATES = WHOLE + HEADERS + NOTICES
@@ -81,18 +83,18 @@ def window_starts(places: Column, wide: int) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(license, wide, n, own, signature, first), a row a template."""
+    """(template, license, wide, n, own, signature, first), a row a template."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with a part of them at a time")
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])
-    t = spark.sql("SELECT 1").select(F.inline(rows)).select("license", once(words(F.col("text"))).alias("w"))
+    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)])
+    t = spark.sql("SELECT 1").select(F.inline(rows)).select("template", "license", once(words(F.col("text"))).alias("w"))
     sizes = list(range(1, SHINGLE + 1))
     h = F.filter(by_size(F.col("wide"), sizes, lambda k: hashes(F.col("w"), k)), lambda x: x.isNotNull())
-    t = t.select("license", F.when(F.get("w", F.lit(0)) != "", F.size("w")).otherwise(0).alias("wide"), "w")
-    t = t.select("license", "wide", once(F.array_distinct(by_size(F.col("wide"), sizes, lambda k: shingles(F.col("w"), k)))).alias("own"), "w").select("*", once(F.array_distinct(h)).alias("h"))
+    t = t.select("template", "license", F.when(F.get("w", F.lit(0)) != "", F.size("w")).otherwise(0).alias("wide"), "w")
+    t = t.select("template", "license", "wide", once(F.array_distinct(by_size(F.col("wide"), sizes, lambda k: shingles(F.col("w"), k)))).alias("own"), "w").select("*", once(F.array_distinct(h)).alias("h"))
     # the hash of the least shingle of each band, by which windows are found
     first = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform("h", lambda x: F.struct(F.xxhash64(x, b).alias("v"), x.alias("x"))))["x"])
-    return checkpointed(t.select("license", "wide", F.size("own").alias("n"), "own", signature(F.col("h")).alias("signature"), F.array_distinct(first).alias("first")))
+    return checkpointed(t.select("template", "license", "wide", F.size("own").alias("n"), "own", signature(F.col("h")).alias("signature"), F.array_distinct(first).alias("first")))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -131,10 +133,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str
     d = d.select("doc_id", F.explode(F.concat(*map(windows_of, sorted(first)))).alias("at")).select("doc_id", "at.wide", "at.start", "at.w")
     d = d.select("doc_id", "wide", "start", "w", once(F.array_distinct(by_size(F.col("wide"), sizes, lambda k: shingles(F.col("w"), k)))).alias("shingles"))
     d = d.select("doc_id", "wide", "start", "shingles", once(F.filter(by_size(F.col("wide"), sizes, lambda k: hashes(F.col("w"), k)), lambda x: x.isNotNull())).alias("h"))
-    bands = d.select("doc_id", "start", "shingles", "wide", F.explode(signature(F.col("h"))).alias("s")).select("doc_id", "start", "shingles", "wide", "s.*")
-    keys = t.select("license", "wide", "n", "own", F.explode("signature").alias("s")).select("license", "n", "own", "wide", "s.*")
-    # bounded: at most MOST_TEMPLATES templates; a window that agrees in several bands is verified as often
-    held = bands.join(F.broadcast(keys), ["wide", "band", "least"]).withColumn("containment", F.size(F.array_intersect("shingles", "own")) / F.col("n"))
+    d = d.select("doc_id", "start", "shingles", "wide", once(signature(F.col("h"))).alias("found"))
+    bands = d.select("*", F.explode("found").alias("s")).select("doc_id", "start", "shingles", "wide", "found", "s.*")
+    # bounded: BANDS numbers a template, of at most MOST_TEMPLATES
+    keys = t.select("template", "wide", F.explode("signature").alias("s")).select("template", "wide", "s.*")
+    whole = t.select("template", "license", "n", "own", "signature")
+    agree = F.zip_with("found", "signature", lambda a, b: a["least"] == b["least"])
+    held = bands.join(F.broadcast(keys), ["wide", "band", "least"]).join(F.broadcast(whole) if total <= BROADCAST_WORDS else whole, "template")
+    # a window and a template that agree in several bands are verified at the first of them
+    held = held.filter(F.array_position(agree, True) == F.col("band") + 1).withColumn("containment", F.size(F.array_intersect("shingles", "own")) / F.col("n"))
     best = F.struct(F.col("containment"), (-F.col("start")).alias("start"), "wide")
     found = held.filter(F.col("containment") >= containment).groupBy("doc_id", "license").agg(F.max(best).alias("m"))
     return found.select("doc_id", "license", F.col("m.containment").alias("containment"), (-F.col("m.start")).cast("long").alias("first_word"), (2 * F.col("m.wide") - F.col("m.start") - 1).cast("long").alias("last_word"))
