@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 #: The 97.5 % point of the normal distribution.
 Z = 1.959963984540054
@@ -56,11 +55,51 @@ def nice_axis(low: Column, high: Column, ticks: int = 4) -> Column:
     return F.struct((F.floor(low / step + 1e-9) * step).alias("low"), (F.ceil(top / step - 1e-9) * step).alias("high"), step.alias("step"))
 
 
-def rounded(c: Column, digits: int) -> Column:
-    """To so many digits by the exact binary value, halves to even. Spark rounds the shortest decimal, so this runs in Python, in Arrow batches."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
 
-    @pandas_udf(T.DoubleType())
-    def exact(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if pd.isna(x) else round(float(x), digits))
+def _halves(v: Column) -> tuple[Column, Column]:
+    """The upper and the lower half of a double's digits: their sum is the value, and products of halves are exact."""
+    upper = v * 134217729.0 - (v * 134217729.0 - v)
+    return upper, v - upper
 
-    return exact(c)
+
+def rounded(c: Column, digits: int) -> Column:
+    """To so many digits, 22 at most, by the exact binary value, halves to even; NULL for NaN. (Spark's own functions round the shortest decimal.)
+
+    value * 10^digits is held exactly, as a double and what its rounding left off (Dekker's product), so its distance to the half is known
+    exactly too. Whole numbers up to 2^54 are divided again, rounded once; larger products mean doubles that lie so far apart
+    that the nearest one is the value itself.
+    """
+    if not 0 <= digits <= 22:
+        raise ValueError("digits must be 0 to 22")
+    scale = 10.0**digits
+    s = F.lit(scale)
+
+    def scaled(x: Column) -> Column:
+        (xu, xl), (su, sl) = _halves(x), _halves(s)
+        return _let(x * s, lambda p: F.struct(p.alias("p"), (((xu * su - p) + xu * sl + xl * su) + xl * sl).alias("rest")))
+
+    def near(x: Column, p: Column, rest: Column) -> Column:
+        """x to so many digits, from the product of it and the scale and what that left off."""
+        whole = F.floor(p)
+
+        def placed(part: Column) -> Column:
+            below, rest, odd = part["below"], part["rest"], F.pmod(part["whole"], F.lit(2)) == 1
+            # the difference from 0.5 is exact wherever the rest decides; a product that is whole leaves all that counts to the rest
+            over = (below - 0.5) + rest
+            up = F.when(below > 0, (over > 0) | ((over == 0) & odd)).otherwise((rest > 0.5) | ((rest == 0.5) & odd))
+            down = (below == 0) & ((rest < -0.5) | ((rest == -0.5) & odd))
+            return part["whole"] + F.when(up, 1).when(down, -1).otherwise(0)
+
+        n = _let(F.struct((p - whole).alias("below"), whole.alias("whole"), rest.alias("rest")), placed)
+        # halves below 2^53 are divided exactly rounded; above, as decimals
+        back = _let(n, lambda k: F.when(F.abs(k) <= 1 << 53, k.cast("double") / s).otherwise(F.concat(k.cast("string"), F.lit(f"E-{digits}")).cast("double")))
+        return F.when(back == 0, x * 0.0).otherwise(back)
+
+    def of(x: Column) -> Column:
+        return F.when(F.isnan(x), F.lit(None).cast("double")).when(F.abs(x * s) >= 2.0**54, x).otherwise(_let(scaled(x), lambda y: near(x, y["p"], y["rest"])))
+
+    return _let(c.cast("double"), of)
