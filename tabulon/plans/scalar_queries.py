@@ -96,11 +96,12 @@ def arrays(t):
 
 @query("fa_05_dictionary_codes", "WITH d AS (SELECT list(DISTINCT p_brand ORDER BY p_brand) AS words FROM part WHERE p_brand IS NOT NULL) SELECT p_partkey, (list_position(words, p_brand) - 1)::BIGINT AS code, p_brand AS word FROM part, d")
 def dictionary_codes(t):
-    """Values as places in a sorted dictionary, which is a row of the brands, and back."""
-    p = t.raw("part").select("p_partkey", "p_brand", F.lit(1).alias("one"))
-    d = p.filter("p_brand is not null").agg(F.array_sort(F.collect_set("p_brand")).alias("words")).withColumn("one", F.lit(1))
-    c = p.join(d, "one").withColumn("code", F.array_position("words", F.col("p_brand")) - 1)
-    return c.select("p_partkey", "code", F.element_at("words", (F.col("code") + 1).cast("int")).alias("word"))
+    """Values as places in a sorted dictionary, a row a word, numbered over ranges, and back; rows are joined to their word by the code."""
+    p = t.raw("part").select("p_partkey", "p_brand")
+    words = ranked(p.filter("p_brand is not null").select("p_brand").distinct(), [], [F.col("p_brand")], "place")
+    words = words.select("p_brand", (F.col("place") - 1).cast("long").alias("code"))
+    coded = p.join(words, "p_brand", "left").select("p_partkey", "code")
+    return coded.join(words.select("code", F.col("p_brand").alias("word")), "code", "left").select("p_partkey", "code", "word")
 
 
 @query("fa_07_vector_sums", "SELECT l_returnflag, [sum(l_quantity), sum(l_linenumber), sum(l_linenumber % 2)]::DOUBLE[] AS v FROM lineitem GROUP BY 1")
