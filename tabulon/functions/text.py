@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 
 def opt_title(c: Column) -> Column:
@@ -95,30 +95,48 @@ def csv_cell(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def _marks_off(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+def _icu(where: str, method: str, c: Column) -> Column:
+    """A static method of the ICU classes that Spark brings along for its collations, called in the JVM; NULL for NULL."""
+    return F.when(c.isNotNull(), F.reflect(F.lit(f"com.ibm.icu.{where}"), F.lit(method), c, F.lit(True)))
 
 
-@pandas_udf(T.StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """Lower-case without accents. Spark has no NFKD, so this runs in Python, in Arrow batches."""
-    return s.map(lambda t: None if t is None else _marks_off(t).lower())
+@cache
+def _class(rule: Callable[[str], object]) -> str:
+    """The characters beyond ASCII that a rule holds for, as the inside of a regex class. Python's tables make it, so that it doesn't depend
+    on the JVM's version of Unicode."""
+    points = [p for p in range(128, sys.maxunicode + 1) if rule(chr(p))]
+    starts = [p for p, before in zip(points, [-1, *points]) if p != before + 1]
+    ends = [p for p, after in zip(points, [*points[1:], -1]) if p != after - 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
 
 
-@pandas_udf(T.StringType())
-def title_key(s: pd.Series) -> pd.Series:
+def _by_script(c: Column, plain: Callable[[Column], Column], full: Callable[[Column], Column]) -> Column:
+    """Texts of ASCII alone need no tables."""
+    return F.when(c.rlike(r"^\p{ASCII}*\z"), plain(c)).otherwise(full(_icu("text.Normalizer", "decompose", c)))
+
+
+def fold(c: Column) -> Column:
+    """Lower-case without accents (NFKD without U+0300 to U+036F)."""
+    return _by_script(c, F.lower, lambda d: F.lower(F.regexp_replace(d, r"[\u0300-\u036f]", "")))
+
+
+def title_key(c: Column) -> Column:
     """Lower-case ASCII letters and digits without accents; other ASCII is a space, other letters go; single spaces."""
 
-    def key(t: str) -> str:
-        return " ".join("".join(c if c.isalnum() and c.isascii() else " " if c.isascii() or not c.isalnum() else "" for c in _marks_off(t)).lower().split())
+    def words(ascii_: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", " "))
+
+    def full(d: Column) -> Column:
+        bare = F.regexp_replace(d, f"[{_class(unicodedata.combining)}]", "")
+        return words(F.regexp_replace(F.regexp_replace(bare, f"[{_class(str.isalnum)}]", ""), r"\P{ASCII}", " "))
 
-    return s.map(lambda t: None if t is None else key(t))
+    return _by_script(c, words, full)
 
 
-@pandas_udf(T.StringType())
-def name_key(s: pd.Series) -> pd.Series:
+def name_key(c: Column) -> Column:
     """Case-folded letters and digits without accents."""
-    return s.map(lambda t: None if t is None else "".join(c for c in _marks_off(t).casefold() if c.isalnum()))
+    full = lambda d: F.regexp_replace(_icu("lang.UCharacter", "foldCase", d), f"[^a-z0-9{_class(str.isalnum)}]", "")
+    return _by_script(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), full)
 
 
 #: Which words in an event's label make which tier, in the order in which they are tried.
