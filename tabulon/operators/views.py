@@ -152,6 +152,40 @@ def trends(cards: DataFrame, columns: list[str]) -> DataFrame:
     return t.filter(" or ".join(f"{c} <> 0" for c in columns))
 
 
+def _place(month: Column, first: Column) -> Column:
+    """How many months after the first one."""
+    return F.round(F.months_between(first_day(month), first_day(first))).cast("int")
+
+
+def trend_vectors(cards: DataFrame, columns: list[str]) -> DataFrame:
+    """(slice, card_id, first_month, columns): the trends of every slice with a vector for each column instead of rows: its n-th number is of
+    the n-th month of the side's axis, 0 where nothing was counted. Cards without any count have no row. A vector is filled from its
+    months in order, so the work is that of the axis's length."""
+    axis = cards.groupBy("side").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    t = slices(cards, columns, ["side", "month", "card_id"]).filter(" or ".join(f"{c} <> 0" for c in columns)).join(F.broadcast(axis), "side")  # two sides
+    cell = F.struct(_place(F.col("month"), F.col("first_month")).alias("at"), *columns)
+    t = t.groupBy(*SLICE, "card_id", "first_month", "last_month").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    long = _place(F.col("last_month"), F.col("first_month")) + 1
+
+    def vector(c: str) -> Column:
+        kind = "double" if cards.schema[c].dataType.typeName() == "double" else "long"
+        zero = F.lit(0).cast(kind)
+
+        def padded(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.try_element_at("cells", F.greatest(i, F.lit(1)))["at"]).otherwise(-1)
+            return F.concat(F.array_repeat(zero, x["at"] - before - 1), F.array(x[c].cast(kind)))
+
+        return F.concat(F.flatten(F.transform("cells", padded)), F.array_repeat(zero, long - F.element_at("cells", -1)["at"] - 1)).alias(c)
+
+    return t.select(*SLICE, "card_id", "first_month", *[vector(c) for c in columns])
+
+
+def from_vectors(vectors: DataFrame, columns: list[str]) -> DataFrame:
+    """trend_vectors() as rows again, one for each month with any count."""
+    rows = vectors.select(*SLICE, "card_id", "first_month", F.posexplode(F.arrays_zip(*columns)).alias("at", "v"))
+    return rows.select(*SLICE, "card_id", add_months(F.col("first_month"), F.col("at")).alias("month"), "v.*").filter(" or ".join(f"{c} <> 0" for c in columns))
+
+
 def monthly_series(cards: DataFrame, sides: DataFrame, factions: DataFrame, card: DataFrame) -> DataFrame:
     """For each side and card a row for every month from the first to the last, whether it was played or not: popularity, also inside and
     outside the card's faction, copies, win rate with its interval, and both against that month's baseline."""

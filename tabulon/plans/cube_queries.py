@@ -227,6 +227,19 @@ def trends(tables):
     return views.trends(cube(tables).card_counts, TREND)
 
 
+@query(
+    "ag_15_ql_03_trend_vectors",
+    f"""{COUNTS}, sl AS ({slices_sql('all_cards', TREND, ['side', 'month', 'card_id'])}), ax AS (SELECT side, min(month) AS first_month, max(month) AS last_month FROM all_cards GROUP BY side),
+m AS (SELECT side, first_month, strftime(unnest(generate_series((first_month || '-01')::TIMESTAMP, (last_month || '-01')::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM ax),
+k AS (SELECT DISTINCT side, restriction_id, tier, card_id FROM sl WHERE {' OR '.join(f'{c} <> 0' for c in TREND)})
+SELECT k.side, k.restriction_id, k.tier, k.card_id, first_month, {', '.join(f'list(coalesce({c}, 0)::{kind(c)} ORDER BY m.month) AS {c}' for c in TREND)}
+FROM k JOIN m USING (side) LEFT JOIN sl ON sl.side = k.side AND sl.restriction_id = k.restriction_id AND sl.tier = k.tier AND sl.card_id = k.card_id AND sl.month = m.month GROUP BY ALL""",
+)
+def trend_vectors(tables):
+    """The trends of every slice as vectors over one axis of months a side."""
+    return views.trend_vectors(cube(tables).card_counts, TREND)
+
+
 @query("ql_09_monthly_series_dense", f"""{COUNTS}, s AS (SELECT side, month, sum(side_decks)::BIGINT AS side_decks, sum(side_games) AS side_games, sum(side_wins) AS side_wins FROM all_sides GROUP BY ALL),
 m AS (SELECT side, strftime(unnest(generate_series((min(month) || '-01')::TIMESTAMP, (max(month) || '-01')::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM s GROUP BY side),
 p AS (SELECT side, card_id, month, sum(decks_with_card)::BIGINT AS decks, sum(copies_sum) AS copies, sum(decks_in_faction) AS inside, sum(games_total)::BIGINT AS games, sum(games_won) AS won FROM all_cards GROUP BY ALL),
