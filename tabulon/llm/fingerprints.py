@@ -77,6 +77,20 @@ def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     return np.concatenate([(x + y if sign > 0 else x - y).view(np.uint8) for x, y in zip(_lanes(a), _lanes(b), strict=True)], axis=1)
 
 
+def with_new_ends(texts: list[str], prints: np.ndarray, cuts: list[int], ends: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts of which all after the cut is replaced by another end, and their fingerprints: those of the texts, with the paragraphs from the
+    cut one on deleted and the new ones inserted. The paragraphs before it are counted, as far as they occur there too, but not hashed."""
+    edited, gone, put, rests = [], [], [], []
+    for text, cut, end in zip(texts, cuts, ends, strict=True):
+        start = text.rfind("\n", 0, cut) + 1
+        edited.append(text[:cut] + end)
+        gone.append(text[start:])
+        put.append(text[start:cut] + end)
+        touched = {*gone[-1].split("\n"), *put[-1].split("\n")}
+        rests.append(Counter(p for p in text[: start - 1].split("\n") if p in touched) if start else {})
+    return edited, combine(combine(prints, paragraph_sums(gone, rests), -1), paragraph_sums(put, rests))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows."""
     (wide_a, narrow_a, count_a), (wide_b, narrow_b, count_b) = _lanes(a), _lanes(b)
@@ -149,7 +163,8 @@ def ordered_slices(docs: DataFrame, slices: int) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, in one pass over the documents dealt by ranges of doc_id.
+    """Fingerprints of every whole text and of its edited text, in one pass over the documents dealt by ranges of doc_id; the edited text's
+    come from the text's by deleting and inserting the paragraphs that the edit touches.
 
     Documents with equal ids follow each other by a hash of their text, those without an id come first.
     """
@@ -171,8 +186,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if not own:
                     continue
                 texts = [(rows[i][3], rows[i + 1][3]) for i in own]
-                edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in texts]
-                after, here = paragraph_sums(edited), prints[own]
+                here = prints[own]
+                edited, after = with_new_ends([a for a, _ in texts], here, [len(a) - len(a) // 2 for a, _ in texts], [b[: len(a) // 2] for a, b in texts])
                 ids = pd.array([None if rows[i][2] != rows[i][2] else rows[i][2] for i in own], dtype="Int64")
                 yield pd.DataFrame(
                     {
