@@ -80,7 +80,7 @@ def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
 def with_new_ends(texts: list[str], prints: np.ndarray, cuts: list[int], ends: list[str]) -> tuple[list[str], np.ndarray]:
     """Texts of which all after the cut is replaced by another end, and their fingerprints: those of the texts, with the paragraphs from the
     cut one on deleted and the new ones inserted. The paragraphs before it are counted, as far as they occur there too, but not hashed."""
-    edited, gone, put, rests = [], [], [], []
+    edited, gone, put, rests, held = [], [], [], [], []
     for text, cut, end in zip(texts, cuts, ends, strict=True):
         start = text.rfind("\n", 0, cut) + 1
         edited.append(text[:cut] + end)
@@ -88,7 +88,12 @@ def with_new_ends(texts: list[str], prints: np.ndarray, cuts: list[int], ends: l
         put.append(text[start:cut] + end)
         touched = {*gone[-1].split("\n"), *put[-1].split("\n")}
         rests.append(Counter(p for p in text[: start - 1].split("\n") if p in touched) if start else {})
-    return edited, combine(combine(prints, paragraph_sums(gone, rests), -1), paragraph_sums(put, rests))
+        held.append(start > 0)
+    # where nothing stands before the cut's paragraph, what is deleted is the text itself, whose fingerprint is known
+    deleted = prints.copy()
+    if any(held):
+        deleted[held] = paragraph_sums([x for x, h in zip(gone, held) if h], [x for x, h in zip(rests, held) if h])
+    return edited, combine(combine(prints, deleted, -1), paragraph_sums(put, rests))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
