@@ -15,7 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import UTC, date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -28,7 +31,10 @@ CHECK = "key string, due timestamp, reason string, checks long"
 _CHECK = CHECK.replace("timestamp", "long")
 #: The watch of a key: times in seconds since 1970, ``due`` null where nothing is due.
 WATCH = "event_date date, public boolean, reopened boolean, seen long, due long, step long, reason string, checks long"
-FIELDS = [c.split()[0] for c in WATCH.split(", ")]
+KINDS = {"string": pa.string(), "date": pa.date32(), "boolean": pa.bool_(), "long": pa.int64()}
+WATCHES = pa.schema([(n, KINDS[kind]) for n, kind in (c.split() for c in f"key string, {WATCH}".split(", "))])
+#: Into how many buckets keys are dealt, fixed for the life of a stream's state: of 50 million keys some 50,000 a bucket.
+BUCKETS = 1024
 OVER = 3
 #: Days around an event in which its decklists are usually published.
 AROUND = (-1, 14)
@@ -71,40 +77,54 @@ def fired(w: dict, now: int) -> dict:
 
 
 class Rechecks(StatefulProcessor):
+    """The watches of a bucket of keys are one value, an Arrow table, with one timer at the earliest of their times: a call to the state store
+    a bucket and batch, not several a key. Only watches that are observed or due are looked at one by one."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.watch = handle.getValueState("watch", WATCH)
-
-    def _held(self) -> dict | None:
-        held = self.watch.get()
-        return dict(zip(FIELDS, held, strict=True)) if held else None
-
-    def _keep(self, before: dict | None, w: dict) -> None:
-        old = before and before["due"]
-        if old != w["due"]:
-            if old is not None and old * 1000 in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old * 1000)
-            if w["due"] is not None:
-                self.handle.registerTimer(w["due"] * 1000)
-        self.watch.update(tuple(w[f] for f in FIELDS))
+        self.watches = handle.getValueState("watches", "watches binary")
+
+    def _held(self) -> pa.Table:
+        held = self.watches.get()
+        return pa.ipc.open_stream(held[0]).read_all() if held else WATCHES.empty_table()
+
+    def _keep(self, held: pa.Table, changed: np.ndarray, watches: dict[str, dict], expired: int | None = None) -> None:
+        """Keeps what was held, with the watches in place of the rows that they changed; ``expired`` is the timer that Spark takes out itself."""
+        rest = held.take(np.setdiff1d(np.arange(held.num_rows), changed))
+        held = pa.concat_tables([rest, pa.Table.from_pylist([{"key": k, **w} for k, w in watches.items()], WATCHES)])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, WATCHES) as to:
+            to.write_table(held)
+        self.watches.update((sink.getvalue().to_pybytes(),))
+        due, timers = pc.min(held["due"]).as_py(), set(self.handle.listTimers())
+        for old in timers - {expired, due and due * 1000}:
+            self.handle.deleteTimer(old)
+        if due is not None and due * 1000 not in timers:
+            self.handle.registerTimer(due * 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        before = w = self._held()
-        out = []
         # of observations of one time the one with most known comes first
-        for a in pd.concat(list(rows)).sort_values(["at", "public", "status", "event_date"], ascending=[True, False, True, True], kind="stable").itertuples(index=False):
-            w, now = observed(w, a.at, None if pd.isna(a.event_date) else a.event_date, None if pd.isna(a.status) else a.status, a.public == True, a.may_be_standard == True)  # noqa: E712
+        seen = pd.concat(list(rows)).sort_values(["key", "at", "public", "status", "event_date"], ascending=[True, True, False, True, True], kind="stable")
+        held = self._held()
+        places = pd.Index(held["key"].to_pandas()).get_indexer(seen["key"].unique())
+        places = places[places >= 0]
+        watches, out = {w.pop("key"): w for w in held.take(places).to_pylist()}, []
+        for a in seen.itertuples(index=False):
+            w, now = observed(watches.get(a.key), a.at, None if pd.isna(a.event_date) else a.event_date, None if pd.isna(a.status) else a.status, a.public == True, a.may_be_standard == True)  # noqa: E712
+            watches[a.key] = w
             if now:
-                out.append((key[0], a.at, now, w["checks"]))
-        self._keep(before, w)
+                out.append((a.key, a.at, now, w["checks"]))
+        self._keep(held, places, watches)
         if out:
             yield pd.DataFrame(out, columns=["key", "due", "reason", "checks"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = self._held()
-        w = fired(before, timerValues.getCurrentWatermarkInMs() // 1000)
-        self._keep({**before, "due": None}, w)
-        yield pd.DataFrame([(key[0], before["due"], before["reason"], w["checks"])], columns=["key", "due", "reason", "checks"])
+        held, now = self._held(), timerValues.getCurrentWatermarkInMs() // 1000
+        places = np.flatnonzero(held["due"].fill_null(now + 1).to_numpy() <= now)
+        before = {w.pop("key"): w for w in held.take(places).to_pylist()}
+        watches = {k: fired(w, now) for k, w in before.items()}
+        self._keep(held, places, watches, expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame([(k, w["due"], w["reason"], watches[k]["checks"]) for k, w in before.items()], columns=["key", "due", "reason", "checks"])
 
 
 def rechecks(observations: DataFrame, late: str = "1 day") -> DataFrame:
@@ -113,7 +133,7 @@ def rechecks(observations: DataFrame, late: str = "1 day") -> DataFrame:
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = observations.filter("key is not null and at is not null").withWatermark("at", late)
     rows = rows.select("key", F.unix_timestamp("at").alias("at"), "event_date", "status", "public", "may_be_standard", F.col("at").alias("event_time"))
-    checks = rows.groupBy("key").transformWithStateInPandas(Rechecks(), _CHECK, "append", "eventTime")
+    checks = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(key), {BUCKETS})")).groupBy("bucket").transformWithStateInPandas(Rechecks(), _CHECK, "append", "eventTime")
     return checks.withColumn("due", F.timestamp_seconds("due"))
 
 

@@ -156,3 +156,23 @@ def test_reload(spark, tmp_path):
     assert rows(ledger) == sorted(kept + [(3, "new", 1000), (4, "new", 1000), (4, "second row", 1000)])
     assert b.reload(ledger, source.withColumn("v", F.lit("newer")), keys(3)) == b.RELOAD + 1
     assert [x for x in rows(ledger) if x[0] == 3] == [(3, "newer", 1001)]
+
+
+def test_watches_of_many_keys_are_few_values(spark, tmp_path):
+    """Calls to the state store grow with buckets, not with keys; what each key is told is what its own watch says."""
+    day = T0.date()
+    rows = [(f"k{i}", at(h), day - timedelta(days=i % 9), "collected", i % 3 == 0, False) for i in range(6000) for h in ((0, 5) if i % 4 == 0 else (0,))]
+    spark.createDataFrame([*rows, ("clock", at(24 + 30), None, None, True, False)], r.OBSERVATION).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = r.rechecks(spark.readStream.schema(r.OBSERVATION).parquet(str(tmp_path / "in"))).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+    q = q.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out"))).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 6000
+    s = lambda t: int((t - datetime(1970, 1, 1)).total_seconds())
+    want, watches = [], {}
+    for key, t, *what in rows:
+        watches[key], _ = r.observed(watches.get(key), s(t), *what)
+    for key, w in watches.items():
+        if w["due"] is not None and w["due"] <= s(at(30)):
+            want.append((key, w["due"], w["reason"], r.fired(w, s(at(30)))["checks"]))
+    got = [(x.key, s(x.due), x.reason, x.checks) for x in spark.read.schema(r.CHECK).parquet(str(tmp_path / "out")).collect() if x.key != "clock"]
+    assert want and sorted(got) == sorted(want)
