@@ -1,16 +1,16 @@
 """Copies of cards in a game's log: when each came into play and left it, what it gave and cost; and plays of cards that are in play never.
 
-A card that leaves play is named, not which copy of it. Closings are matched with openings as two numbered sequences: the oldest copy leaves
-first, so the n-th closing that finds a copy in play belongs to the n-th opening. Which closings find one follows from a running balance, and
-one that brings the balance to a new low below zero finds none. This takes windows, no fold by game. A closing is tried by server first (a
-card trashed from the server that it was rezzed in or protects), then among the player's own copies, then among anybody's; copies and closings
-that a try has matched take no part in the next one.
+A card that leaves play is named, not which copy of it. Closings are read in the order of lines: each takes the oldest copy in play of the
+server that it names (that the card was rezzed in or protects), else the oldest of the player's own, else the oldest of anybody's; one that
+finds none takes none. Openings and closings of a game and card are sorted by Spark and pass through a task in order, in time that grows with their number.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +32,38 @@ def paired(openings: DataFrame, closings: DataFrame, keys: list[str]) -> DataFra
     return opened.join(e.filter("step = -1").select(*keys, "n", F.col("id").alias("closing")), [*keys, "n"]).select("opening", "closing")
 
 
+def left_play(openings: DataFrame, closings: DataFrame) -> DataFrame:
+    """(game_id, player, line_no, place, closed_line): the openings that leave play, from rows of (game_id, player, card, server, line_no, place)."""
+    row = lambda df, opens: df.dropna(subset=["game_id", "card"]).select("game_id", "card", "line_no", F.lit(opens).alias("opens"), "place", "player", "server")
+    e = row(openings, True).union(row(closings, False)).repartition("game_id", "card")
+    # of one line, what comes into play is there before what leaves
+    e = e.sortWithinPartitions("game_id", "card", "line_no", F.desc("opens"), "place", "player", "server")
+    return e.select("game_id", "card", "line_no", "opens", "place", "player", "server").mapInPandas(_closed, f"game_id {openings.schema['game_id'].dataType.simpleString()}, player string, line_no int, place int, closed_line int")
+
+
+def _closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by game and card, in order; held are the copies in play of one of them, oldest first, by server, by player and all."""
+    now, here, gone = None, {}, set()
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if now != (r.game_id, r.card):
+                now, here, gone = (r.game_id, r.card), {}, set()
+            queues = [here.setdefault(q, deque()) for q in (("server", r.server), ("player", r.player), "all") if q != ("server", None)]
+            if r.opens:
+                for q in queues:
+                    q.append((r.player, r.line_no, r.place))
+                continue
+            for q in queues:
+                while q and q[0] in gone:
+                    q.popleft()
+            copy = next((q[0] for q in queues if q), None)
+            if copy is not None:
+                gone.add(copy)
+                out.append((r.game_id, *copy, r.line_no))
+        yield pd.DataFrame(out, columns=["game_id", "player", "line_no", "place", "closed_line"])
+
+
 def closings(lines: DataFrame) -> DataFrame:
     """(game_id, player, line_no, place, card, server): cards that a line takes out of play: trashed (not by damage, which discards from hand),
     trashed by themselves, or shuffled away."""
@@ -50,17 +82,8 @@ def closings(lines: DataFrame) -> DataFrame:
 def lifetimes(log: DataFrame, who: DataFrame, lines: DataFrame) -> DataFrame:
     """(game_id, player, card, kind, server, line_no, place, turn, cost, closed_line, closed_turn, last_turn): every copy, with the line and its
     owner's turn where it leaves play (NULL if it stays) and the turn up to which it counts."""
-    key = F.struct("game_id", "player", "line_no", "place")
-    openings = checkpointed(g.opened(lines).withColumn("place", F.when(F.col("kind") == "rez", 1).otherwise(0)).withColumn("id", key))
-    ends = checkpointed(closings(lines).withColumn("id", key))
-    pairs, left, rest = [], openings, ends
-    for keys in (["game_id", "card", "server"], ["game_id", "player", "card"], ["game_id", "card"]):
-        p = checkpointed(paired(left, rest, keys))
-        pairs.append(p)
-        left = left.join(p.select(F.col("opening").alias("id")), "id", "left_anti")
-        rest = rest.join(p.select(F.col("closing").alias("id")), "id", "left_anti")
-    p = reduce(DataFrame.union, pairs).select(F.col("opening").alias("id"), F.col("closing.line_no").alias("closed_line"))
-    copies = openings.join(p, "id", "left").drop("id")
+    openings = checkpointed(g.opened(lines).withColumn("place", F.when(F.col("kind") == "rez", 1).otherwise(0)))
+    copies = openings.join(left_play(openings, closings(lines)), ["game_id", "player", "line_no", "place"], "left")
     # the owner's turn at a line of anybody's
     starts = log.filter("kind = 'start'").select("game_id", "player", F.col("line_no").alias("closed_line"), F.col("printed_turn").alias("now"))
     asked = copies.select("game_id", "player", "closed_line", F.lit(None).cast("int").alias("now")).dropna(subset=["closed_line"])

@@ -100,17 +100,38 @@ def pasted(t) -> DataFrame:
 
 
 class Log:
-    """The steps of one input, each stored once."""
+    """The steps of one input, each stored once, when it is first asked for."""
 
     def __init__(self, t):
-        self.keep = keep = lambda name, make: t.keep(f"log_{name}", make)
-        self.joined = keep("joined", lambda: g.joined(pasted(t)))
-        self.read = keep("read", lambda: g.read(self.joined))
-        self.players = keep("players", lambda: g.players(self.read))
-        self.lines = keep("lines", lambda: g.with_sides(self.read, self.players))
-        self.pools = keep("pools", lambda: g.pools(self.read, g.credit_events(self.lines)))
-        self.agendas = keep("agendas", lambda: g.agenda_events(self.lines))
-        self.stats = keep("stats", lambda: g.stats(self.lines))
+        self.t, self.keep = t, lambda name, make: t.keep(f"log_{name}", make)
+
+    @property
+    def joined(self) -> DataFrame:
+        return self.keep("joined", lambda: g.joined(pasted(self.t)))
+
+    @property
+    def read(self) -> DataFrame:
+        return self.keep("read", lambda: g.read(self.joined))
+
+    @property
+    def players(self) -> DataFrame:
+        return self.keep("players", lambda: g.players(self.read))
+
+    @property
+    def lines(self) -> DataFrame:
+        return self.keep("lines", lambda: g.with_sides(self.read, self.players))
+
+    @property
+    def pools(self) -> DataFrame:
+        return self.keep("pools", lambda: g.pools(self.read, g.credit_events(self.lines)))
+
+    @property
+    def agendas(self) -> DataFrame:
+        return self.keep("agendas", lambda: g.agenda_events(self.lines))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.keep("stats", lambda: g.stats(self.lines))
 
     @property
     def copies(self) -> DataFrame:

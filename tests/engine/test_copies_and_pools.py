@@ -59,6 +59,32 @@ def test_pairs_are_those_of_a_queue(spark):
     assert {tuple(r) for r in c.paired(df.filter("put"), df.filter("not put"), ["k"]).collect()} == want
 
 
+def test_closings_with_and_without_a_server_in_the_order_of_lines(spark):
+    """Against a reading line by line; one that names a server doesn't go before an earlier one that names none."""
+    lines = """Ann pays 1  to rez Wall protecting HQ.
+Bob trashes Wall.
+Ann pays 2  to rez Wall protecting HQ.
+Ann pays 3  to rez Wall protecting HQ.
+Bob pays 0  to trash Wall from HQ."""
+    log, who, got = steps(spark, a=START + lines)
+    assert sorted((x.cost, x.closed_line) for x in c.lifetimes(log, who, got).collect()) == [(1, 3), (2, 6), (3, None)]
+    rng, rows, here, want = random.Random(5), [], {}, set()
+    for line in range(600):
+        card, player, server, put = rng.choice("xyz"), rng.choice("ab"), rng.choice(["HQ", "R&D", None]), rng.random() < 0.55
+        rows.append((1, player, card, server, line, 0, put))
+        held = here.setdefault(card, [])
+        if put:
+            held.append((player, server, line))
+            continue
+        fit = [h for h in held if server and h[1] == server] or [h for h in held if h[0] == player] or held
+        if fit:
+            copy = fit[0]
+            held.remove(copy)
+            want.add((copy[0], copy[2], line))
+    df = spark.createDataFrame(rows, "game_id long, player string, card string, server string, line_no int, place int, put boolean")
+    assert {(x.player, x.line_no, x.closed_line) for x in c.left_play(df.filter("put"), df.filter("not put")).collect()} == want
+
+
 def test_times_of_an_operation(spark):
     """A play is a time of its own, extra costs belong to the last, gains to the first without one; a gain or cost alone is a time."""
     lines = """Ann spends  and pays 5  to play Hedge Fund.
