@@ -415,11 +415,17 @@ def opposing_trashes(lines: DataFrame, cards: DataFrame) -> DataFrame:
     t = lines.filter(gone.isNotNull())
     there = (F.col("side") == "runner") & gone["there"]
     t = t.select("game_id", "player", "line_no", F.coalesce(there, F.lit(False)).alias("there"), F.posexplode(gone["cards"]).alias("k", "card")).filter(~F.col("card").rlike(UNNAMED))
-    owners = cards.select("game_id", "card", F.col("player").alias("owner"), F.col("line_no").alias("since"))
-    t = t.join(owners, ["game_id", "card"], "left").filter("since is null or since <= line_no or there").groupBy("game_id", "player", "line_no", "k", "card").agg(
-        F.max("there").alias("there"), F.coalesce(F.max((F.col("owner") != F.col("player")) & (F.col("since") <= F.col("line_no"))), F.lit(False)).alias("theirs"), F.coalesce(F.max((F.col("owner") == F.col("player")) & (F.col("since") <= F.col("line_no"))), F.lit(False)).alias("own")
-    )
-    return t.filter("there or (theirs and not own)").groupBy("game_id", "player").agg(F.count("*").alias("trashes"))
+    t = t.join(owners(cards), ["game_id", "card"], "left")
+    brought = lambda whose: F.coalesce(F.exists("owners", lambda o: whose(o["player"], F.col("player")) & (o["since"] <= F.col("line_no"))), F.lit(False))
+    theirs, own = brought(lambda o, p: o != p), brought(lambda o, p: o == p)
+    return t.filter(F.col("there") | (theirs & ~own)).groupBy("game_id", "player").agg(F.count("*").alias("trashes"))
+
+
+def owners(cards: DataFrame) -> DataFrame:
+    """(game_id, card, owners): a row a game and card, with each player who brought it into play and from which line on. A line that names
+    the card meets one row, however often it came into play."""
+    first = cards.groupBy("game_id", "card", "player").agg(F.min("line_no").alias("since"))
+    return first.groupBy("game_id", "card").agg(F.collect_list(F.struct("player", "since")).alias("owners"))
 
 
 def damage(lines: DataFrame) -> DataFrame:

@@ -182,3 +182,27 @@ Bob trashes a card from HQ."""
     cards = g.opened(got)
     assert [(r.player, r.kind, r.card, r.server, r.cost) for r in cards.orderBy("line_no").collect()] == [("Ann", "install", "Both", None, 1), ("Bob", "install", "Both", None, 0), ("Ann", "rez", "Wall", "R&D", 4), ("Ann", "install", "Late Card", None, 0)]
     assert [(r.player, r.trashes) for r in g.opposing_trashes(got, cards).collect()] == [("Bob", 2)]
+
+
+def test_trashes_meet_one_row_a_card(spark):
+    """However often a card came into play; whose it is depends on who brought it before the line."""
+    cards = spark.createDataFrame([(1, p, n, "Wall") for p, at in (("Ann", range(0, 90, 2)), ("Bob", range(61, 90, 3))) for n in at], "game_id int, player string, line_no int, card string")
+    one = g.owners(cards).collect()
+    assert len(one) == 1 and {tuple(x) for x in one[0].owners} == {("Ann", 0), ("Bob", 61)}
+    said = [("Bob", 0), ("Bob", 60), ("Bob", 61), ("Bob", 80), ("Ann", 50), ("Ann", 70)]
+    lines = spark.createDataFrame([(1, p, n, f"{p} trashes Wall.", "runner") for p, n in said], "game_id int, player string, line_no int, line string, side string")
+    assert [tuple(x) for x in g.opposing_trashes(lines, cards).collect()] == [(1, "Bob", 2)]
+
+
+def test_a_query_stores_the_steps_it_reads(spark):
+    from tabulon.plans import log_queries as q
+
+    class Tables:
+        kept = []
+
+        def keep(self, name, make):
+            self.kept.append(name)
+            return spark.createDataFrame([(1, 0, "gg")], "game_id int, line_no int, line string")
+
+    q.g.badges(q.Log(Tables()).joined)
+    assert Tables.kept == ["log_joined"]
