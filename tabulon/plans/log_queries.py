@@ -430,7 +430,8 @@ def card_amounts(t):
     paid = F.concat(F.lit("Ann pays "), F.col("p_size") % 7, F.lit(" to use "), F.upper("p_name"), F.lit(" to trash Wall to gain "), F.col("p_size"), F.lit("."))
     k = F.col("p_partkey") % 4
     said = F.when(k == 0, line("gain")).when(k == 1, line("reveal a card and gain")).when(k == 2, line("draw a card then gain")).otherwise(paid)
-    p = t.raw("part").select("p_partkey", said.alias("line"))
-    deeds = g.clauses(F.col("line"), F.lit("Ann"))
+    # a table of few bytes is one task's; its lines are read by all cores, each line's clauses once
+    p = t.raw("part").repartition(t.spark.sparkContext.defaultParallelism).select("p_partkey", said.alias("line"))
+    p, deeds = p.withColumn("deeds", g.clauses(F.col("line"), F.lit("Ann"))), F.col("deeds")
     p = p.withColumn("found", g.gain_of_card(deeds)).withColumn("cost", g.digits(g.paid_for(deeds, "use")))
     return p.select("p_partkey", "found.card", F.col("found.amount").alias("gain"), "cost")

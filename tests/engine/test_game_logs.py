@@ -206,3 +206,11 @@ def test_a_query_stores_the_steps_it_reads(spark):
 
     q.g.badges(q.Log(Tables()).joined)
     assert Tables.kept == ["log_joined"]
+
+
+def test_few_bytes_of_parts_are_read_by_all_cores(spark):
+    from tabulon.plans.log_queries import card_amounts
+    from tabulon.sources.adapters import Canonical
+
+    got = card_amounts(Canonical(spark, "/root/testdata/sf0.001"))
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
