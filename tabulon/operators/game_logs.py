@@ -352,8 +352,11 @@ def stats(lines: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c)
     cost = lambda p: F.coalesce(F.sum(number(line, p)), F.lit(0))
     deeds = F.col("deeds")
-    gained = gain_of_card(deeds)
-    gained = F.when(gained.isNotNull(), F.struct(clean_name(gained["card"]).alias("card"), gained["amount"].alias("n")))
+    # what several statistics read is a column, made once a line
+    lines = lines.withColumn("given", gain_of_card(deeds)).withColumn("gone", trashed_cards(line))
+    given, gone = F.col("given"), F.col("gone")
+    lines = lines.withColumn("gained", F.when(given.isNotNull(), F.struct(clean_name(given["card"]).alias("card"), given["amount"].alias("n"))))
+    gained = F.col("gained")
     basic = gained["card"].rlike("(?i)(corp|runner) basic action card")
     bonus = F.create_map(*[F.lit(x) for pair in CLICK_GAINS.items() for x in pair])
     clicks = F.when(gained.isNotNull() & ~basic & gained["n"].isNull(), F.coalesce(F.try_element_at(bonus, F.lower(gained["card"])), F.lit(1)))
@@ -365,7 +368,6 @@ def stats(lines: DataFrame) -> DataFrame:
     reached = F.coalesce(*[F.when(line.rlike(p), zone(F.regexp_extract(line, p, 1))) for p in (r"(?i)\baccesses\s+.+?\s+from\s+(.+?)\.?$", r"(?i)\baccesses everything else in\s+(.+?)\.?$")])
     breached = zone(F.regexp_extract(line, r"(?i)\bbreaches\s+(.+?)\.?$", 1))
     # cards that the runner trashes where only the corp's can be
-    gone = trashed_cards(line)
     named = F.size(F.filter(F.when((F.col("side") == "runner") & gone["there"], gone["cards"]), lambda t: ~t.rlike(UNNAMED)))
     in_zone = lambda z, where: count(where == z)
     values = [
