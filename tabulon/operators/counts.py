@@ -88,8 +88,11 @@ class Counts:
 
     def legal_cards(self, df: DataFrame) -> DataFrame:
         """The cards of decks, with their faction, but those unknown or not legal by the deck's list."""
-        barred = self.tables.ruling.filter("barred").select("card_id", "restriction_id")
-        return df.join(self.tables.deck_card, "deck_id").join(self.tables.card.select("card_id", "faction_id"), "card_id").join(barred, ["card_id", "restriction_id"], "left_anti")
+        # a card's row names the lists that bar it, so the cards of decks are dealt by card once, and that also serves the counts by card
+        barred = self.tables.ruling.filter("barred").groupBy("card_id").agg(F.collect_list("restriction_id").alias("_barred"))
+        card = self.tables.card.select("card_id", "faction_id").join(barred, "card_id", "left")
+        c = df.join(self.tables.deck_card, "deck_id").join(card, "card_id")
+        return c.filter(~F.coalesce(F.array_contains("_barred", F.col("restriction_id")), F.lit(False))).drop("_barred")
 
     @cached_property
     def card_counts(self) -> DataFrame:

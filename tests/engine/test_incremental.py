@@ -79,3 +79,20 @@ def test_candidates_share_nine_tenths(spark):
         spark.createDataFrame(own, "id long, date string, size int").withColumn("date", F.to_date("date")), spark.createDataFrame(other, "other_id long, date string, end_date string, size int").withColumn("date", F.to_date("date")).withColumn("end_date", F.to_date("end_date")), pairs(mine, "id"), pairs(theirs, "other_id")
     )
     assert {(r.id, r.other_id, r.shared, r.known) for r in got.collect()} == want and len(want) > 100
+
+
+def test_cards_of_decks_are_dealt_by_card_once(spark):
+    """What lists bar comes with the card: no second deal by card and list; unknown cards and barred ones go."""
+    from types import SimpleNamespace
+
+    from tabulon.operators.counts import Counts
+
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    tables = SimpleNamespace(
+        deck_card=rows([("d1", "a", 1), ("d1", "b", 2), ("d2", "a", 3), ("d2", "x", 1), ("d3", "b", 1)], "deck_id string, card_id string, qty int"),
+        card=rows([("a", "f"), ("b", "g")], "card_id string, faction_id string"),
+        ruling=rows([("a", "r1", True), ("a", "r3", True), ("b", "r2", False)], "card_id string, restriction_id string, barred boolean"),
+    )
+    got = Counts(tables).legal_cards(rows([("d1", "r1"), ("d2", "r2"), ("d3", None)], "deck_id string, restriction_id string"))
+    assert sorted((x.deck_id, x.card_id, x.qty, x.faction_id) for x in got.collect()) == [("d1", "b", 2, "g"), ("d2", "a", 3, "f"), ("d3", "b", 1, "g")]
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
