@@ -50,11 +50,13 @@ def touched_events(changed: dict[str, DataFrame], decks: list[DataFrame]) -> Dat
     return checkpointed(reduce(DataFrame.union, with_tid).distinct())
 
 
-def deltas(before: object, now: object, tids: DataFrame, **how) -> dict[str, DataFrame]:
-    """For each table of the cube the rows by which it changes: counts of the touched events, negative before and positive now."""
+def deltas(before: object, now: object, tids: DataFrame, names: tuple[str, ...] = tuple(CUBE), **how) -> dict[str, DataFrame]:
+    """For each of the named tables of the cube the rows by which it changes: counts of the touched events, negative before and positive now.
+    Only tables that these counts read are made."""
     old, new = Counts(Touched(before, tids), **how), Counts(Touched(now, tids), **how)
     out = {}
-    for name, (keys, columns) in CUBE.items():
+    for name in names:
+        keys, columns = CUBE[name]
         minus = getattr(old, name).select(*keys, *[(-F.col(c)).alias(c) for c in columns])
         out[name] = merged(minus, getattr(new, name).select(*keys, *columns), name)
     return out

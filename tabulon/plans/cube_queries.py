@@ -339,16 +339,17 @@ def addressed_slice(tables):
 class Yesterday(Canonical):
     """The tables before a hundredth of the orders was corrected: their prices, which place entries, and whether their decks are legal."""
 
-    def raw(self, name: str):
-        df = super().raw(name)
-        if name != "orders":
-            return df
+    #: Tables that neither prices nor states go into: those of today.
+    SAME = ("deck_card", "ruling")
+
+    def _unplaced(self):
+        df = Canonical(self.spark, self.sf_dir)._seats.drop("entry_no", "has_next")
         changed = F.col("o_orderkey") % 100 == 7
         status = F.when(changed, F.when(F.col("o_orderstatus") == "P", "F").otherwise("P")).otherwise(F.col("o_orderstatus"))
         return df.withColumn("o_orderstatus", status).withColumn("o_totalprice", F.when(changed, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")))
 
     def keep(self, name: str, make):
-        return super().keep(f"yesterday_{name}", make)
+        return super().keep(name if name in self.SAME else f"yesterday_{name}", make)
 
 
 def updated(tables, name: str):
@@ -356,7 +357,7 @@ def updated(tables, name: str):
     before = Yesterday(tables.spark, tables.sf_dir)
     decks = before.deck.filter(F.col("deck_id").cast("long") % 100 == 7)
     tids = incremental.touched_events({"deck": decks}, [])
-    change = incremental.deltas(before, tables, tids, min_players=MIN_PLAYERS, coverage=COVERAGE, identity_coverage=COVERAGE / 2)[name]
+    change = incremental.deltas(before, tables, tids, (name,), min_players=MIN_PLAYERS, coverage=COVERAGE, identity_coverage=COVERAGE / 2)[name]
     return incremental.merged(getattr(cube(before), name), change, name)
 
 

@@ -53,6 +53,13 @@ class Canonical:
         return self.keep("seats", self._make_seats)
 
     def _make_seats(self) -> DataFrame:
+        return self._placed(self._unplaced())
+
+    def _placed(self, o: DataFrame) -> DataFrame:
+        place = W.partitionBy("tid").orderBy(F.desc("o_totalprice"), "o_orderkey")
+        return o.withColumn("entry_no", F.row_number().over(place)).withColumn("has_next", F.lead(F.lit(True), 1, False).over(place))
+
+    def _unplaced(self) -> DataFrame:
         region = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_regionkey", "r_name")
         # 25 nations: a fixed size
         customer = self.raw("customer").select("c_custkey", "c_nationkey").join(F.broadcast(region), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -60,8 +67,6 @@ class Canonical:
         o = o.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "r_regionkey", "r_name", F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), F.floor(F.col("o_custkey") / GROUP).cast("int").alias("bucket"))
         o = o.withColumn("tid", F.concat(F.lit("t"), F.col("r_regionkey"), F.lit("-"), F.col("y"), F.lit("q"), F.col("q"), F.lit("-"), F.col("bucket")))
         o = o.withColumn("cut_size", F.when((F.col("r_regionkey") + F.col("q")) % 2 == 0, 4).otherwise(0))
-        place = W.partitionBy("tid").orderBy(F.desc("o_totalprice"), "o_orderkey")
-        o = o.withColumn("entry_no", F.row_number().over(place)).withColumn("has_next", F.lead(F.lit(True), 1, False).over(place))
         identity = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
         o = o.join(identity, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("identity_card", card_name(F.col("part")))
         return o.withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "corp").otherwise("runner"))
