@@ -94,8 +94,8 @@ def manifest(counts: DataFrame, version: str, thresholds: dict, period_months: i
 
 
 def store(counts: DataFrame, folder: str) -> None:
-    """The cube by ban list, tier and month."""
-    counts.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(folder)
+    """The cube by ban list, tier and month; rows are dealt by these, large ones to several tasks, so that a task sorts few rows and a folder has few files."""
+    counts.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(folder)
 
 
 def rows(spark: SparkSession, folder: str, s: Slice) -> DataFrame:
