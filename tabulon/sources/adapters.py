@@ -67,7 +67,7 @@ class Canonical:
         o = o.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "r_regionkey", "r_name", F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), F.floor(F.col("o_custkey") / GROUP).cast("int").alias("bucket"))
         o = o.withColumn("tid", F.concat(F.lit("t"), F.col("r_regionkey"), F.lit("-"), F.col("y"), F.lit("q"), F.col("q"), F.lit("-"), F.col("bucket")))
         o = o.withColumn("cut_size", F.when((F.col("r_regionkey") + F.col("q")) % 2 == 0, 4).otherwise(0))
-        identity = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
+        identity = self.raw("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
         o = o.join(identity, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("identity_card", card_name(F.col("part")))
         return o.withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "corp").otherwise("runner"))
 
@@ -94,7 +94,8 @@ class Canonical:
     @cached_property
     def deck_card(self) -> DataFrame:
         def make() -> DataFrame:
-            g = self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+            # few lines an order, so sums before they are dealt would only fill memory
+            g = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
             return g.select(F.col("l_orderkey").cast("string").alias("deck_id"), card_name(F.col("l_partkey")).alias("card_id"), (1 + F.col("q").cast("int") % 3).alias("qty"))
 
         return self.keep("deck_card", make)
