@@ -21,6 +21,16 @@ BASELINE_COLUMNS = ["side_decks", "side_games", "side_wins", "side_entries_hc",
 IDENTITY_COLUMNS = ["entries", "games_total", "games_won", "cut_entries", "cut_made"]
 
 
+#: Columns whose values grow with the input.
+IDS = ("card_id", "identity")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys that few rows share, for groups that hold these keys: rows are moved once, as they are, and no task keeps sums of all that it
+    reads, which would grow with the rows that a stored table packs into a file."""
+    return df.repartition(*keys)
+
+
 def both_sides(df: DataFrame) -> DataFrame:
     """Each row once for either side."""
     return df.withColumn("side", F.explode(F.array(F.lit("corp"), F.lit("runner"))))
@@ -57,7 +67,7 @@ class Counts:
     @cached_property
     def games(self) -> DataFrame:
         """A row for each player of a game that counts, with the half points won."""
-        g = both_sides(self.tables.game.filter("result <> 'intentional_draw'").join(self.every_event.drop("hc", "cut_size"), "tid"))
+        g = both_sides(dealt(self.tables.game.filter("result <> 'intentional_draw'"), "tid").join(self.every_event.drop("hc", "cut_size"), "tid"))
         won = F.when(F.col("result") == "draw", 0.5).when((F.col("result") == "corp_win") == (F.col("side") == "corp"), 1.0).otherwise(0.0)
         return g.select("tid", "side", F.when(F.col("side") == "corp", F.col("corp_entry")).otherwise(F.col("runner_entry")).alias("entry_no"), "restriction_id", "tier", "month", won.alias("won"))
 
@@ -86,12 +96,13 @@ class Counts:
         """Games whose deck is known."""
         return self.games.join(self.decks.select("deck_id", *SEAT), SEAT)
 
-    def legal_cards(self, df: DataFrame) -> DataFrame:
-        """The cards of decks, with their faction, but those unknown or not legal by the deck's list."""
+    def legal_cards(self, df: DataFrame, by_card: bool = False) -> DataFrame:
+        """The cards of decks, with their faction, but those unknown or not legal by the deck's list; dealt by card where asked."""
         # a card's row names the lists that bar it, so the cards of decks are dealt by card once, and that also serves the counts by card
         barred = self.tables.ruling.filter("barred").groupBy("card_id").agg(F.collect_list("restriction_id").alias("_barred"))
         card = self.tables.card.select("card_id", "faction_id").join(barred, "card_id", "left")
-        c = df.join(self.tables.deck_card, "deck_id").join(card, "card_id")
+        c = df.join(self.tables.deck_card, "deck_id")
+        c = (dealt(c, "card_id") if by_card else c).join(card, "card_id")
         return c.filter(~F.coalesce(F.array_contains("_barred", F.col("restriction_id")), F.lit(False))).drop("_barred")
 
     @cached_property
@@ -99,7 +110,7 @@ class Counts:
         hc, inside = F.col("hc"), F.col("faction_id") == F.col("id_faction")
 
         def make() -> DataFrame:
-            c = self.legal_cards(self.decks).groupBy(*CELL, "card_id").agg(
+            c = self.legal_cards(self.decks, by_card=True).groupBy(*CELL, "card_id").agg(
                 F.count("*").alias("decks_with_card"),
                 F.sum("qty").alias("copies_sum"),
                 F.count_if(F.col("qty") == 1).alias("qty1"),
@@ -175,7 +186,13 @@ class Counts:
 
 def slices(counts: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """The counts of every slice: ban list and tier each as they are and as 'all'. Base counts are summed, never counted anew; each row is
-    expanded into its four slices, and partial sums are made before the shuffle."""
+    expanded into its four slices. Counts of cards or identities are dealt by these before that, others are few, and summed before they move."""
+    counts = dealt(counts.select("restriction_id", "tier", *by, *columns), *[k for k in by if k in IDS]) if set(by) & set(IDS) else counts
+    return four_slices(counts).groupBy("restriction_id", "tier", *by).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def four_slices(counts: DataFrame) -> DataFrame:
+    """Each row in the four slices it is in."""
     pairs = F.array(*[F.struct(r.alias("r"), t.alias("t")) for r in (F.col("restriction_id"), F.lit("all")) for t in (F.col("tier"), F.lit("all"))])
-    wide = counts.withColumn("_s", F.explode(pairs)).drop("restriction_id", "tier").select("*", F.col("_s.r").alias("restriction_id"), F.col("_s.t").alias("tier"))
-    return wide.groupBy("restriction_id", "tier", *by).agg(*[F.sum(c).alias(c) for c in columns])
+    wide = counts.withColumn("_s", F.explode(pairs)).drop("restriction_id", "tier")
+    return wide.select("*", F.col("_s.r").alias("restriction_id"), F.col("_s.t").alias("tier")).drop("_s")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.dates import add_months, first_day, months_between
 from tabulon.functions.ratios import points, ratio, status, wilson
-from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, slices
+from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, dealt, four_slices, slices
 from tabulon.operators.ranking import ranked
-from tabulon.storage import checkpointed
+from tabulon.storage import checkpointed, small
 
 SLICE = ["side", "restriction_id", "tier"]
 
@@ -23,8 +23,12 @@ def periods(side_counts: DataFrame, months: int) -> DataFrame:
 
 
 def period_sums(counts: DataFrame, columns: list[str], by: list[str], spans: DataFrame) -> DataFrame:
-    """The sums of either range. Months may be missing, so ranges are compared, not rows."""
-    wide = slices(counts, columns, ["side", "month", *by]).join(spans, SLICE)
+    """The sums of either range. Months may be missing, so ranges are compared, not rows. Cards or identities without a row in either have
+    none; of the rows only those of a range are moved."""
+    wide = four_slices(counts.select(*CELL, *by, *columns)).join(small(spans), SLICE)
+    if by:
+        within = F.col("month").between(F.col("prev_from"), F.col("prev_to")) | F.col("month").between(F.col("from"), F.col("to"))
+        wide = dealt(wide.filter(within), *by)
     now, before = F.col("month").between(F.col("from"), F.col("to")), F.col("month").between(F.col("prev_from"), F.col("prev_to"))
     sums = [F.sum(F.when(x, F.col(c)).otherwise(0)).alias(p + c) for x, p in ((now, ""), (before, "prev_")) for c in columns]
     return wide.groupBy(*SLICE, *by).agg(*sums)
@@ -107,7 +111,7 @@ def faction_split(cards: DataFrame, factions: DataFrame, sides: DataFrame, card:
     """Popularity inside and outside the card's own faction, and the share of its decks outside, of counts summed by ``keys``. Neutral cards
     and identities have neither, agendas none outside."""
     keys = list(keys)
-    c = cards.groupBy(*keys, "card_id").agg(F.sum("decks_with_card").alias("decks"), F.sum("decks_in_faction").alias("inside"))
+    c = dealt(cards.select(*keys, "card_id", "decks_with_card", "decks_in_faction"), "card_id").groupBy(*keys, "card_id").agg(F.sum("decks_with_card").alias("decks"), F.sum("decks_in_faction").alias("inside"))
     f = factions.groupBy(*keys, F.col("faction").alias("faction_id")).agg(F.sum("decks").alias("faction_decks"))
     s = sides.groupBy(*keys).agg(F.sum("side_decks").alias("side_decks"))
     has_in = F.col("faction_id").isNotNull() & ~F.col("faction_id").startswith("neutral") & ~F.col("card_type_id").endswith("identity")
@@ -148,7 +152,7 @@ def played_rows(split: DataFrame, keys: tuple[str, ...] = ("side",), hide_small:
 
 def trends(cards: DataFrame, columns: list[str]) -> DataFrame:
     """Long form: a row for each side, card, month and ban list with any count, tiers summed."""
-    t = cards.groupBy("side", "card_id", "month", "restriction_id").agg(*[F.sum(c).alias(c) for c in columns])
+    t = dealt(cards, "card_id").groupBy("side", "card_id", "month", "restriction_id").agg(*[F.sum(c).alias(c) for c in columns])
     return t.filter(" or ".join(f"{c} <> 0" for c in columns))
 
 
@@ -192,11 +196,13 @@ def monthly_series(cards: DataFrame, sides: DataFrame, factions: DataFrame, card
     s = sides.groupBy("side", "month").agg(F.sum("side_decks").alias("side_decks"), F.sum("side_games").alias("side_games"), F.sum("side_wins").alias("side_wins"))
     span = s.groupBy("side").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     names = {"decks_with_card": "decks", "copies_sum": "copies", "decks_in_faction": "inside", "games_total": "games", "games_won": "won"}
-    played = cards.groupBy("side", "card_id", "month").agg(*[F.sum(a).alias(b) for a, b in names.items()])
+    played = dealt(cards.select("side", "card_id", "month", *names), "card_id").groupBy("side", "card_id", "month").agg(*[F.sum(a).alias(b) for a, b in names.items()])
     f = factions.groupBy("side", "month", F.col("faction").alias("faction_id")).agg(F.sum("decks").alias("faction_decks"))
     known = card.select("card_id", "faction_id", "card_type_id")
-    spine = cards.select("side", "card_id").distinct().join(F.broadcast(span), "side").select("side", "card_id", F.explode(months_between(F.col("a"), F.col("b"))).alias("month"))  # two sides
-    d = spine.join(played, ["side", "card_id", "month"], "left").join(known, "card_id", "left").join(s, ["side", "month"], "left").join(f, ["side", "month", "faction_id"], "left")
+    # the months of a card are as many as the axis has: they meet it as one row, so no row of a month without games is moved
+    d = played.groupBy("side", "card_id").agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct(*names.values())))).alias("cells")).join(known, "card_id", "left")
+    d = d.join(F.broadcast(span), "side").withColumn("month", F.explode(months_between(F.col("a"), F.col("b")))).withColumn("c", F.col("cells")[F.col("month")])  # two sides
+    d = d.select("side", "card_id", "month", "faction_id", "card_type_id", "c.*").join(small(s), ["side", "month"], "left").join(small(f), ["side", "month", "faction_id"], "left")
     d = d.fillna(0, ["decks", "copies", "inside", "games", "won", "side_decks", "side_games", "side_wins", "faction_decks"])
     has_in = F.col("faction_id").isNotNull() & ~F.col("faction_id").startswith("neutral") & ~F.col("card_type_id").endswith("identity")
     winrate, base = ratio(F.col("won"), F.col("games")), ratio(F.col("side_wins"), F.col("side_games"))
@@ -230,4 +236,5 @@ def movers(view: DataFrame, k: int, keys: list[str] = SLICE) -> DataFrame:
 
 def merge_cubes(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Any two parts of the cube add up, whatever cells they share."""
-    return a.unionByName(b).groupBy(*CELL, "card_id").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = a.unionByName(b).select(*CELL, "card_id", *columns)
+    return dealt(rows, "card_id").groupBy(*CELL, "card_id").agg(*[F.sum(c).alias(c) for c in columns])

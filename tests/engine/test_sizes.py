@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.operators import incremental
+from tabulon.operators import incremental, views
+from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, slices
 from tabulon.plans.cube_queries import Yesterday
+from tabulon.sources import addresses
 from tabulon.sources.adapters import Canonical
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,47 @@ def test_yesterday_is_placed_as_from_its_own_orders(spark):
     want, got = FromOrders(spark, SF)._seats, Yesterday(spark, SF)._seats
     assert want.count() and want.exceptAll(got.select(want.columns)).count() == 0 == got.select(want.columns).exceptAll(want).count()
     assert sorted(Yesterday(spark, SF).deck_card.inputFiles()) == sorted(Canonical(spark, SF).deck_card.inputFiles())
+
+
+def plan(df):
+    """The nodes of a plan from its result down to its tables."""
+    return [line.strip(" :+-*()0123456789").split(" ")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+
+
+def card_counts(spark, months=("2020-01",)):
+    rows = spark.range(200).select(F.lit("corp").alias("side"), F.lit("r1").alias("restriction_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("tier"), F.explode(F.array(*map(F.lit, months))).alias("month"), F.col("id").cast("string").alias("card_id"))
+    return rows.select("*", *[F.lit(2.0 if c == "games_won" else 2).alias(c) for c in CARD_COLUMNS])
+
+
+def test_rows_of_cards_move_once_before_they_are_in_four_slices(spark):
+    nodes = plan(slices(card_counts(spark).localCheckpoint(), CARD_COLUMNS, ["side", "month", "card_id"]))
+    assert nodes.count("Exchange") == 1 and "Generate" in nodes[: nodes.index("Exchange")]
+
+
+def test_only_rows_of_a_range_are_moved(spark):
+    counts = card_counts(spark, [f"20{y:02}-0{m}" for y in range(10, 30) for m in range(1, 10)]).localCheckpoint()
+    sides = spark.createDataFrame([("corp", "r1", "t0", "2010-01"), ("corp", "r1", "t0", "2029-09")], CELL[:1] + ["restriction_id", "tier", "month"]).select("*", *[F.lit(1.0 if "wins" in c else 1).alias(c) for c in BASELINE_COLUMNS])
+    spans = views.periods(sides, 3).localCheckpoint()
+    sums = views.period_sums(counts, CARD_COLUMNS, ["card_id"], spans)
+    nodes = plan(sums)
+    below = nodes[nodes.index("Exchange") :]
+    assert "BroadcastHashJoin" in below and not any("Aggregate" in n for n in below)
+    # 67 cards of tier t0 in its own two slices; those of all tiers end with the same months
+    assert {r.decks_with_card for r in sums.filter("tier = 't0'").collect()} == {6} and sums.filter("tier = 't0'").count() == 67 * 2
+
+
+def test_months_without_games_are_not_moved(spark):
+    t = Canonical(spark, SF)
+    counts = card_counts(spark, ("2000-01", "2009-12")).localCheckpoint()
+    sides = both = counts.groupBy(*CELL).agg(*[F.lit(1.0 if "wins" in c else 4).alias(c) for c in BASELINE_COLUMNS]).localCheckpoint()
+    factions = both.select(*CELL, F.lit("f").alias("faction"), F.lit(1).alias("decks")).localCheckpoint()
+    series = views.monthly_series(counts, sides, factions, t.card)
+    nodes = plan(series)
+    first = nodes.index("Generate")
+    assert "Exchange" not in nodes[:first]
+    assert series.count() == 200 * 120 and series.filter("decks > 0").count() == 400
+
+
+def test_a_stored_slice_has_few_files(spark, tmp_path):
+    addresses.store(card_counts(spark).repartition(20), str(tmp_path / "cube"))
+    assert len(list((tmp_path / "cube").rglob("*.parquet"))) == 3
