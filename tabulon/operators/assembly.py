@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import name_key, title_key
 from tabulon.operators.components import components
-from tabulon.storage import checkpointed
+from tabulon.storage import checkpointed, small
 
 #: Names of other formats, and kinds of records that are reference data.
 OTHER_FORMATS = r"(?i)\b(start ?up|eternal|sealed|draft|cube|throwback|system gateway|1\.1\.1\.1)\b"
@@ -259,10 +259,13 @@ def matched_players(names: DataFrame, players: DataFrame) -> DataFrame:
 def in_bulk_files(decks: DataFrame, files: DataFrame) -> DataFrame:
     """decks of (deck_id, date) with found: whether a by-date file of the window around the event lists it; NULL if a day's file is still
     missing and none lists it, so that the decision is put off. files: (day, deck_id) and a NULL deck_id for a file that is there at all."""
-    days = decks.select("deck_id", F.explode(F.sequence(F.date_add("date", BY_DATE[0]), F.date_add("date", BY_DATE[1]))).alias("day"))
+    first, last = F.date_add("date", BY_DATE[0]), F.date_add("date", BY_DATE[1])
+    # whether a file is missing is asked once a date, not once a deck: dates are as many as the calendar has
+    days = decks.filter("date is not null").select("date").distinct().withColumn("day", F.explode(F.sequence(first, last)))
     there = files.select("day").distinct().withColumn("there", F.lit(True))
-    listed = files.filter("deck_id is not null").select("day", "deck_id").distinct().withColumn("listed", F.lit(True))
-    d = days.join(there, "day", "left").join(listed, ["day", "deck_id"], "left").groupBy("deck_id").agg(F.max("listed").alias("listed"), F.max(F.col("there").isNull()).alias("waiting"))
+    dates = small(checkpointed(days.join(there, "day", "left").groupBy("date").agg(F.max(F.col("there").isNull()).alias("waiting"))))
+    listed = files.filter("deck_id is not null").select("day", "deck_id")
+    d = decks.join(dates, "date").join(listed, "deck_id", "left").groupBy("deck_id").agg(F.max(F.when(F.col("day").between(first, last), True)).alias("listed"), F.max("waiting").alias("waiting"))
     return d.select("deck_id", F.when(F.col("listed"), True).when(~F.col("waiting"), False).alias("found"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.operators import incremental, views
+from tabulon.operators import assembly, incremental, views
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, slices
 from tabulon.plans.cube_queries import Yesterday
 from tabulon.sources import addresses
@@ -81,3 +81,11 @@ def test_months_without_games_are_not_moved(spark):
 def test_a_stored_slice_has_few_files(spark, tmp_path):
     addresses.store(card_counts(spark).repartition(20), str(tmp_path / "cube"))
     assert len(list((tmp_path / "cube").rglob("*.parquet"))) == 3
+
+
+def test_decks_are_not_copied_for_each_day_of_a_window(spark):
+    decks = spark.sql("SELECT * FROM VALUES ('a', DATE'2020-01-10'), ('b', DATE'2020-01-10'), ('c', DATE'2020-03-01'), ('d', DATE'2020-03-01'), ('n', CAST(NULL AS DATE)) t(deck_id, date)")
+    files = spark.sql("SELECT explode(sequence(DATE'2020-01-09', DATE'2020-01-24')) AS day, CAST(NULL AS STRING) AS deck_id UNION ALL SELECT * FROM VALUES (DATE'2020-01-24', 'a'), (DATE'2020-01-25', 'b'), (DATE'2020-02-29', 'c'), (DATE'2020-02-29', 'c') t(day, deck_id)")
+    found = assembly.in_bulk_files(decks, files)
+    assert {r.deck_id: r.found for r in found.collect()} == {"a": True, "b": False, "c": True, "d": None}
+    assert "Generate" not in plan(found)
