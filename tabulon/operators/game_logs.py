@@ -8,6 +8,7 @@ hand is no boundary: there is nothing to set the pool to.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,20 +72,30 @@ def leading(text: Column) -> Column:
     return number(text, r"^\s*\+?(-?\d+)\b")
 
 
-def words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def has(text: Column, *parts: str) -> Column:
+    """Whether one of the parts stands in it. What a pattern can't be found without is looked for first, as that costs far less; where a
+    pattern takes capitals for small letters, in the text in small letters."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def spaced(text: Column) -> Column:
+    """Its words with one space between them."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def named_before_verb(line: Column) -> Column:
     """Who acts: the words before the first verb, NULL where there is no verb or nothing before it."""
-    w = words(line)
-    verbs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x: F.regexp_extract(x, r"^(\w+)", 1).isin(*VERBS))
-    return F.when(F.array_position(verbs, True) > 0, F.array_join(F.slice(w, 1, F.array_position(verbs, True).cast("int")), " "))
+    return F.nullif(spaced(F.regexp_extract(line, rf"(?s)^(.*?\S)\s+(?:{'|'.join(VERBS)})(?!\w)", 1)), F.lit(""))
 
 
 def clauses(line: Column, player: Column) -> Column:
     """The line after the player's name, as an array of (verb, about): it is cut at " to ", and each clause after its first word."""
-    rest = F.regexp_replace(F.array_join(words(F.substr(line, F.length(player) + 1)), " "), r"\.$", "")
+    rest = F.regexp_replace(spaced(F.substr(line, F.length(player) + 1)), r"\.$", "")
     return F.transform(F.split(rest, " to "), lambda c: F.struct(F.substring_index(c, " ", 1).alias("verb"), F.trim(F.coalesce(beyond(c, " "), F.lit(""))).alias("about")))
 
 
@@ -107,32 +118,41 @@ def paid_for(deeds: Column, *verbs: str) -> Column:
 def gain_of_card(deeds: Column) -> Column:
     """(card, amount): what a used card gives. It is told by the clause after the card, by a part of a clause after "and" or "then", or by a
     later clause, in this order; the amount is NULL where the number isn't readable. NULL where nothing is gained."""
-    at = place_of(deeds, "uses", "use")
-    rest = F.when(at > 0, F.slice(deeds, at + 1, F.greatest(F.size(deeds) - at, F.lit(0))))
-    parts = F.flatten(F.transform(rest, lambda d: F.slice(F.split(d["about"], r" (?:and|then) (?:then )?"), 2, 99)))
-    joined_on = F.transform(F.filter(parts, lambda p: p.rlike(r"^gain\b")), lambda p: F.substr(p, F.lit(5)))
     direct = lambda d: F.filter(d, lambda x: F.lower(x["verb"]) == "gain")["about"]
-    said_ = F.coalesce(F.get(direct(F.slice(rest, 1, 1)), F.lit(0)), F.get(joined_on, F.lit(0)), F.get(direct(rest), F.lit(0)))
-    card = F.get(deeds, at - 1)["about"]
-    return F.when(said_.isNotNull() & (card != ""), F.struct(card.alias("card"), leading(said_).alias("amount")))
+
+    def told(rest: Column) -> Column:
+        parts = F.flatten(F.transform(rest, lambda d: F.slice(F.split(d["about"], r" (?:and|then) (?:then )?"), 2, 99)))
+        joined_on = F.transform(F.filter(parts, lambda p: p.rlike(r"^gain\b")), lambda p: F.substr(p, F.lit(5)))
+        return F.coalesce(F.get(direct(F.slice(rest, 1, 1)), F.lit(0)), F.get(joined_on, F.lit(0)), F.get(direct(rest), F.lit(0)))
+
+    def given(at: Column) -> Column:
+        said_, card = once(F.slice(deeds, at + 1, F.size(deeds) - at), told), F.get(deeds, at - 1)["about"]
+        return F.when((at > 0) & (card != ""), once(said_, lambda x: F.when(x.isNotNull(), F.struct(card.alias("card"), leading(x).alias("amount")))))
+
+    return once(place_of(deeds, "uses", "use"), given)
 
 
 def trashed_cards(line: Column) -> Column:
     """(cards, there, server): what a line trashes, whether from where only the corp's cards are, and from which server. Cards that damage
     discards are none. NULL for other lines."""
+    def said_of(object_: Column, rest: Column) -> Column:
+        there = reduce(lambda a, b: a | b, [rest.startswith(z) for z in ZONES])
+        server = F.when(there, up_to(F.regexp_replace(rest, r"^ (?:from|in) ", ""), " to ", " and ", ","))
+        cards = F.filter(F.transform(F.split(object_, " and "), clean_name), lambda c: c != "")
+        return F.struct(cards.alias("cards"), there.alias("there"), server.alias("server"))
+
+    def parts(text: Column) -> Column:
+        object_ = up_to(text, " to use ", " from the root", *[f" from {z}" for z in ("Server", *CENTRALS)], " in Server", " due to")
+        return once(object_, lambda o: once(F.substr(text, F.length(o) + 1), lambda rest: said_of(o, rest)))
+
     text = F.regexp_replace(line, r"\.$", "")
     text = F.coalesce(beyond(text, " trashes "), beyond(text, " trash "))
-    object_ = up_to(text, " to use ", " from the root", *[f" from {z}" for z in ("Server", *CENTRALS)], " in Server", " due to")
-    rest = F.substr(text, F.length(object_) + 1)
-    there = reduce(lambda a, b: a | b, [rest.startswith(z) for z in ZONES])
-    server = F.when(there, up_to(F.regexp_replace(rest, r"^ (?:from|in) ", ""), " to ", " and ", ","))
-    harm = reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(f" due to {kind} damage")) for kind in DAMAGE])
-    cards = F.filter(F.transform(F.split(object_, " and "), clean_name), lambda c: c != "")
-    return F.when(text.isNotNull() & ~harm, F.struct(cards.alias("cards"), there.alias("there"), server.alias("server")))
+    harm = has(F.lower(line), *[f" due to {kind} damage" for kind in DAMAGE])
+    return F.when(has(line, " trash") & ~harm, once(text, lambda t: F.when(t.isNotNull(), parts(t))))
 
 
 def unquoted(line: Column) -> Column:
-    return F.regexp_replace(line, '"[^"]*"', "")
+    return F.when(has(line, '"'), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
 
 
 def clean_name(raw: Column) -> Column:
@@ -149,8 +169,10 @@ def joined(raw: DataFrame) -> DataFrame:
     it; of several indented lines every other one begins anew.
     """
     game, at = W.partitionBy("game_id"), W.partitionBy("game_id").orderBy("line_no")
-    r = raw.withColumn("line", F.regexp_replace("line", rf"(\S){STAMP}", "$1")).withColumn("mark", trimmed(F.col("line")).rlike(rf"^{STAMP}$"))
-    r = r.withColumn("timed", F.max("mark").over(game)).filter("not mark").filter(trimmed(F.col("line")) != "")
+    bracket = has(F.col("line"), "[")
+    r = raw.withColumn("line", F.when(bracket, F.regexp_replace("line", rf"(\S){STAMP}", "$1")).otherwise(F.col("line")))
+    r = r.withColumn("mark", bracket & F.col("line").rlike(rf"^\s*{STAMP}\s*$"))
+    r = r.withColumn("timed", F.max("mark").over(game)).filter("not mark").filter(F.col("line").rlike(r"\S"))
     r = r.withColumn("group", F.sum(F.when(F.col("line").rlike(r"^[ \t]"), 0).otherwise(1)).over(at))
     group = W.partitionBy("game_id", "group").orderBy("line_no")
     r = r.withColumn("k", F.row_number().over(group)).withColumn("after", F.lead("line").over(group))
@@ -182,17 +204,19 @@ def read(lines: DataFrame) -> DataFrame:
     ended = {"win": "wins the game", "flatlined": "is flatlined", "decked": "is decked", "mulligan": "takes a mulligan"}
     tell = lambda kind, said_: F.when(line.endswith(f" {said_}") | line.endswith(f" {said_}.") | (F.contains(line, F.lit(f" {said_}")) if kind == "win" else F.lit(False)), trimmed(up_to(line, f" {said_}")))
     told = {k: tell(k, v) for k, v in ended.items()}
-    kind = reduce(lambda c, k: c.when(told[k].isNotNull(), k), ended, F.when(started_by.isNotNull(), "start").when(ended_by.isNotNull(), "end"))
     given_up = F.when(line.rlike(r"(?i)\sconcedes?\b"), trimmed(F.regexp_extract(line, r"(?i)^(.+?)\sconcedes?\b", 1)))
-    who = F.coalesce(started_by, ended_by, *told.values(), named_before_verb(line), given_up)
-    pick = lambda group: F.when(kind.isin("start", "end"), number(line, printed, group))
-    r = lines.repartition("game_id").select("game_id", "line_no", "line", kind.alias("kind"), who.alias("player"), pick(1).alias("printed_turn"), pick(2).alias("credits"), pick(3).alias("hand"))
+    # what several columns read is a column, made once a line
+    r = lines.repartition("game_id").select("game_id", "line_no", "line", started_by.alias("start"), ended_by.alias("end"), *[v.alias(k) for k, v in told.items()])
+    kind = reduce(lambda c, k: c.when(F.col(k).isNotNull(), k), [*ended, "start", "end"], F.when(F.lit(False), None))
+    who = F.coalesce("start", "end", *ended, named_before_verb(line), given_up)
+    pick = lambda group: F.when(F.col("kind").isin("start", "end"), number(line, printed, group))
+    r = r.select("game_id", "line_no", "line", kind.alias("kind"), who.alias("player")).select("*", pick(1).alias("printed_turn"), pick(2).alias("credits"), pick(3).alias("hand"))
     own = W.partitionBy("game_id", "player").orderBy("line_no")
     so_far = own.rowsBetween(W.unboundedPreceding, 0)
     started, bound = F.col("kind") == "start", F.col("kind").isin("start", "end")
     r = r.withColumn("known", F.max(F.when(bound, 1)).over(own.rowsBetween(W.unboundedPreceding, -1)).isNotNull())
     r = r.withColumn("kind", F.coalesce("kind", F.when(F.col("known"), "player")))
-    actions = F.when((F.col("kind") == "player") & line.rlike(BASIC + r"(?:gain|draw 1 card|remove 1 tag|trash |advance\b|purge virus counters)"), F.lower(F.regexp_extract(line, BASIC, 1)))
+    actions = F.when((F.col("kind") == "player") & has(line, " Basic Action Card to ") & line.rlike(BASIC + r"(?:gain|draw 1 card|remove 1 tag|trash |advance\b|purge virus counters)"), F.lower(F.regexp_extract(line, BASIC, 1)))
     by_hand = F.when(started, F.when(line.rlike(r"\bcards? in HQ\b"), "corp").otherwise("runner"))
     r = r.withColumn("side", F.coalesce(F.last(actions, ignorenulls=True).over(so_far), F.first(by_hand, ignorenulls=True).over(so_far)))
     r = r.withColumn("turn", F.coalesce(F.last(F.when(started, F.col("printed_turn")), ignorenulls=True).over(so_far), F.lit(0)))
@@ -217,7 +241,10 @@ def with_sides(log: DataFrame, who: DataFrame) -> DataFrame:
 
 def pool_spend(scan: Column) -> Column:
     """Credits that a "pays" takes out of the pool: the amount itself, or of amounts with sources those from the credit pool."""
-    span = up_to(F.regexp_extract(scan, r"\bpays\s+(\d.*)$", 1), " to ")
+    return F.when(has(scan, "pays"), once(up_to(F.regexp_extract(scan, r"\bpays\s+(\d.*)$", 1), " to "), _from_pool))
+
+
+def _from_pool(span: Column) -> Column:
     shares = F.filter(F.split(span, r"\s*,\s*(?:and )?|\s+and\s+"), lambda x: F.contains(F.lower(x), F.lit("credit pool")))
     from_pool = F.aggregate(shares, F.lit(0), lambda n, x: n + F.coalesce(leading(x), F.lit(0)))
     return F.when(span == "", None).when(span.rlike(r"^\d+\s*from\b"), from_pool).otherwise(leading(span))
@@ -225,24 +252,30 @@ def pool_spend(scan: Column) -> Column:
 
 def credit_events(lines: DataFrame) -> DataFrame:
     """(game_id, player, line_no, seq, place, amount, forced) from with_sides(): gains and spends in the order in which a line's take effect."""
-    scan, side = unquoted(F.col("line")), F.col("side")
+    scan, low, side = F.col("scan"), F.col("low"), F.col("side")
     gain = r"(?i)%s\bgains?\s+(\d+)(?!\s*agenda)"
+    summed = lambda pattern, *parts: F.when(reduce(lambda a, b: a & b, [has(low, p) for p in parts]), total(scan, pattern)).otherwise(0)
+    found = lambda pattern, *parts: F.when(has(low, *parts), number(scan, pattern))
     other = F.when(side == "runner", F.lit("corp")).otherwise(F.lit("runner"))
     # of a gain whose 25 characters before name the other side, that side's player gets the credits
-    aside = F.when(side == "runner", total(scan, gain % r"(?<=\bCorp\b.{0,21})")).otherwise(total(scan, gain % r"(?<=\bRunner\b.{0,19})"))
+    aside = F.when(side == "runner", summed(gain % r"(?<=\bCorp\b.{0,21})", "gain", "corp")).otherwise(summed(gain % r"(?<=\bRunner\b.{0,19})", "gain", "runner"))
     of = lambda s: F.coalesce(F.when(s == "corp", F.col("corp_player")).otherwise(F.col("runner_player")), F.col("player"))
-    forced_side, set_to = F.lower(F.regexp_extract(scan, r"(?i)\bforce\s+the\s+(Runner|Corp)\s+to\s+pay\s+(\d+)\b", 1)), number(F.col("line"), r"(?i)\bsets credits? to (-?\d+) \(\+?(-?\d+)\)", 2)
-    forced_pay = number(scan, r"(?i)\bforce\s+the\s+(?:Runner|Corp)\s+to\s+pay\s+(\d+)\b")
+    forced_side = F.lower(F.regexp_extract(scan, r"(?i)\bforce\s+the\s+(Runner|Corp)\s+to\s+pay\s+(\d+)\b", 1))
+    set_to = F.when(has(F.lower("line"), "sets credit"), number(F.col("line"), r"(?i)\bsets credits? to (-?\d+) \(\+?(-?\d+)\)", 2))
+    # what several events read is a column, made once a line
+    lines = lines.withColumn("scan", unquoted(F.col("line"))).withColumn("low", F.lower(scan))
+    lines = lines.withColumns({"aside": aside, "forced_pay": found(r"(?i)\bforce\s+the\s+(?:Runner|Corp)\s+to\s+pay\s+(\d+)\b", "force")})
+    aside, forced_pay = F.col("aside"), F.col("forced_pay")
     entry = lambda place, who, amount, forced=False: F.struct(F.lit(place).alias("place"), who.alias("player"), amount.cast("int").alias("amount"), F.lit(forced).alias("forced"))
     me = F.col("player")
-    lose = lambda s: (F.lit(s), total(scan, rf"(?i)\b(?:force|forces|make|makes)\s+the\s+{s}\s+(?:to\s+)?lose\s+(\d+)\b"))
+    lose = lambda s: (F.lit(s), summed(rf"(?i)\b(?:force|forces|make|makes)\s+the\s+{s}\s+(?:to\s+)?lose\s+(\d+)\b", "lose"))
     events = F.array(
-        entry(0, me, total(scan, gain % "") - aside),
+        entry(0, me, summed(gain % "", "gain") - aside),
         entry(1, of(other), aside),
-        entry(2, me, number(scan, r"(?i)\buses?\s+.+?\s+to\s+take\s+(\d+)\s*\.?\s*$")),
+        entry(2, me, found(r"(?i)\buses?\s+.+?\s+to\s+take\s+(\d+)\s*\.?\s*$", "take")),
         *[entry(3 + k, of(s), -n, True) for k, (s, n) in enumerate(map(lose, ("corp", "runner")))],
         entry(5, me, -pool_spend(scan)),
-        entry(6, F.when(forced_pay.isNotNull(), of(forced_side)).otherwise(me), -F.coalesce(forced_pay, number(scan, r"(?i)\bto\s+pay\s+(\d+)\b"))),
+        entry(6, F.when(forced_pay.isNotNull(), of(forced_side)).otherwise(me), -F.coalesce(forced_pay, found(r"(?i)\bto\s+pay\s+(\d+)\b", "pay"))),
         entry(7, me, set_to),
     )
     e = lines.select("game_id", "line_no", "seq", F.explode(events).alias("e")).filter("e.amount <> 0")
@@ -333,7 +366,9 @@ def agenda_events(lines: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     one = F.array(entry(0, key(scored["t"]), scored["p"]), entry(1, none, number(line, rf"(?i)\bsets {PRONOUN} agenda points? to (-?\d+) \(\+?(-?\d+)\)", 2)), entry(3, shown, F.try_element_at(known, shown)))
     every = F.concat(one, F.coalesce(F.transform(lost, lambda t: entry(2, key(t), F.lit(None), True)), F.array().cast("array<struct<place:int,title:string,points:int,forfeit:boolean>>")))
-    e = lines.select("game_id", "player", "line_no", "turn", "seq", F.explode(every).alias("e")).select("game_id", "player", "line_no", "turn", "seq", "e.*").filter("points is not null or forfeit")
+    # only lines with one of these words have an entry
+    e = lines.filter(has(line, "steals", "scores", "add", "reveal", "forfeits") | has(F.lower(line), "sets "))
+    e = e.select("game_id", "player", "line_no", "turn", "seq", F.explode(every).alias("e")).select("game_id", "player", "line_no", "turn", "seq", "e.*").filter("points is not null or forfeit")
     before = W.partitionBy("game_id", "player", "title").orderBy("line_no", "place")
     remembered = F.lag(F.when(~F.col("forfeit"), F.col("points"))).over(before)
     points = F.when(F.col("forfeit"), -F.coalesce(remembered, F.try_element_at(known, F.col("title")))).otherwise(F.col("points"))
@@ -348,41 +383,41 @@ STATS = [
 
 def stats(lines: DataFrame) -> DataFrame:
     """(game_id, player, STATS...): what each player did, from with_sides()."""
-    line, scan = F.col("line"), unquoted(F.col("line"))
+    line, low, deeds = F.col("line"), F.col("low"), F.col("deeds")
+    scan = unquoted(line)
     count = lambda c: F.count_if(c)
-    cost = lambda p: F.coalesce(F.sum(number(line, p)), F.lit(0))
-    deeds = F.col("deeds")
     # what several statistics read is a column, made once a line
-    lines = lines.withColumn("given", gain_of_card(deeds)).withColumn("gone", trashed_cards(line))
+    lines = lines.withColumn("low", F.lower("line")).withColumn("given", F.when(has(low, "gain"), gain_of_card(deeds))).withColumn("gone", trashed_cards(line))
     given, gone = F.col("given"), F.col("gone")
+    reached = F.coalesce(*[F.when(line.rlike(p), zone(F.regexp_extract(line, p, 1))) for p in (r"(?i)\baccesses\s+.+?\s+from\s+(.+?)\.?$", r"(?i)\baccesses everything else in\s+(.+?)\.?$")])
+    breached = once(F.regexp_extract(line, r"(?i)\bbreaches\s+(.+?)\.?$", 1), zone)
     lines = lines.withColumn("gained", F.when(given.isNotNull(), F.struct(clean_name(given["card"]).alias("card"), given["amount"].alias("n"))))
-    gained = F.col("gained")
+    lines = lines.withColumns({"reached": F.when(has(low, "accesses"), reached), "breached": F.when(has(low, "breaches"), breached), "by_action": has(low, "basic action card")})
+    gained, by_action = F.col("gained"), F.col("by_action")
+    said_so = lambda p: by_action & line.rlike(p)
+    cost = lambda p: F.coalesce(F.sum(F.when(by_action, number(line, p))), F.lit(0))
+    tags = lambda p: F.coalesce(F.sum(F.when(has(low, "tag"), number(scan, p))), F.lit(0))
     basic = gained["card"].rlike("(?i)(corp|runner) basic action card")
     bonus = F.create_map(*[F.lit(x) for pair in CLICK_GAINS.items() for x in pair])
     clicks = F.when(gained.isNotNull() & ~basic & gained["n"].isNull(), F.coalesce(F.try_element_at(bonus, F.lower(gained["card"])), F.lit(1)))
-    draws = F.when(line.rlike(rf"\bmakes {PRONOUN} mandatory start of turn draw\b"), 1).otherwise(0) + F.coalesce(number(line, r"(?i)\bdraws?\s+(\d+)\s+cards?\b"), F.lit(0))
+    mandatory = has(line, "mandatory") & line.rlike(rf"\bmakes {PRONOUN} mandatory start of turn draw\b")
+    draws = F.when(mandatory, 1).otherwise(0) + F.coalesce(F.when(has(low, "draw"), number(line, r"(?i)\bdraws?\s+(\d+)\s+cards?\b")), F.lit(0))
     removed, resource, advanced = r"pays\s+(\d+)\s+to use Runner Basic Action Card to remove 1 tag", r"(?i)pays\s+(\d+)\s+to use Corp Basic Action Card to trash (?:a |an )?resource", r"(?i)pays\s+(\d+)\s+to use Corp Basic Action Card to advance\b"
     by_ability = (place_of(deeds, "uses", "use") > 0) & (place_of(deeds, "uses", "use") < place_of(deeds, "install"))
-    installed = (place_of(deeds, "install") > 1) & ~by_ability
-    played = F.when(place_of(deeds, "play") > 1, clean_name(about(deeds, "play")))
-    reached = F.coalesce(*[F.when(line.rlike(p), zone(F.regexp_extract(line, p, 1))) for p in (r"(?i)\baccesses\s+.+?\s+from\s+(.+?)\.?$", r"(?i)\baccesses everything else in\s+(.+?)\.?$")])
-    breached = zone(F.regexp_extract(line, r"(?i)\bbreaches\s+(.+?)\.?$", 1))
+    installed = has(line, "install") & (place_of(deeds, "install") > 1) & ~by_ability
+    played = once(F.when(has(line, "play") & (place_of(deeds, "play") > 1), clean_name(about(deeds, "play"))), lambda x: x.isNotNull() & ~x.rlike("(?i)basic action card"))
     # cards that the runner trashes where only the corp's can be
     named = F.size(F.filter(F.when((F.col("side") == "runner") & gone["there"], gone["cards"]), lambda t: ~t.rlike(UNNAMED)))
-    in_zone = lambda z, where: count(where == z)
+    in_zone = lambda z, where: count(F.col(where) == z)
     values = [
-        count(basic), F.coalesce(F.sum(F.when(basic, gained["n"])), F.lit(0)), count(line.rlike(r"to use (?:Corp|Runner) Basic Action Card to draw 1 card")), F.coalesce(F.sum(clicks), F.lit(0)),
-        count(line.rlike(removed)), cost(removed), count(line.rlike(resource)), cost(resource), count(line.rlike(advanced)), cost(advanced), count(line.rlike(r"(?i)\bto use Corp Basic Action Card to purge virus counters\b")),
-        count(installed), count(rezzed(deeds).isNotNull()), F.sum(draws), cost_of(scan, r"(?i)\bgives?\s+the Runner (\d+) tags?"), cost_of(scan, r"(?i)\btakes?\s+(\d+)\s+tags?"), count(line.rlike(r"(?i)\bmakes? a run on\b")),
-        count(played.isNotNull() & ~played.rlike("(?i)basic action card")), *[in_zone(z, reached) for z in ("HQ", "RD", "Archives", "remote")], *[in_zone(z, breached) for z in ("HQ", "RD", "Archives")], F.coalesce(F.sum(F.when(named > 0, named)), F.lit(0)),
+        count(basic), F.coalesce(F.sum(F.when(basic, gained["n"])), F.lit(0)), count(said_so(r"to use (?:Corp|Runner) Basic Action Card to draw 1 card")), F.coalesce(F.sum(clicks), F.lit(0)),
+        count(said_so(removed)), cost(removed), count(said_so(resource)), cost(resource), count(said_so(advanced)), cost(advanced), count(said_so(r"(?i)\bto use Corp Basic Action Card to purge virus counters\b")),
+        count(installed), count(has(line, "rez") & rezzed(deeds).isNotNull()), F.sum(draws), tags(r"(?i)\bgives?\s+the Runner (\d+) tags?"), tags(r"(?i)\btakes?\s+(\d+)\s+tags?"), count(has(low, "a run on") & line.rlike(r"(?i)\bmakes? a run on\b")),
+        count(played), *[in_zone(z, "reached") for z in ("HQ", "RD", "Archives", "remote")], *[in_zone(z, "breached") for z in ("HQ", "RD", "Archives")], F.coalesce(F.sum(F.when(named > 0, named)), F.lit(0)),
     ]
     return lines.groupBy("game_id", "player").agg(*[v.cast("long").alias(n) for n, v in zip(STATS, values, strict=True)])
 
 
-def cost_of(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.sum(number(text, pattern)), F.lit(0))
-
-
 #: What stands for a card without naming it.
 UNNAMED = r"(?i)^(?:a card|an? (?:installed|facedown|hosted)|hosted|itself|the top|all)\b"
 
