@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.functions.dates import add_months, first_day, months_between
 from tabulon.functions.ratios import points, ratio, status, wilson
 from tabulon.operators.counts import BASELINE_COLUMNS, CARD_COLUMNS, CELL, IDENTITY_COLUMNS, dealt, four_slices, slices
 from tabulon.operators.ranking import ranked
+from tabulon.operators.vectors import vectors
 from tabulon.storage import checkpointed, small
 
 SLICE = ["side", "restriction_id", "tier"]
@@ -158,30 +160,22 @@ def trends(cards: DataFrame, columns: list[str]) -> DataFrame:
 
 def _place(month: Column, first: Column) -> Column:
     """How many months after the first one."""
-    return F.round(F.months_between(first_day(month), first_day(first))).cast("int")
+    number = lambda m: F.substring(m, 1, 4).cast("int") * 12 + F.substring(m, 6, 2).cast("int")
+    return number(month) - number(first)
 
 
 def trend_vectors(cards: DataFrame, columns: list[str]) -> DataFrame:
     """(slice, card_id, first_month, columns): the trends of every slice with a vector for each column instead of rows: its n-th number is of
-    the n-th month of the side's axis, 0 where nothing was counted. Cards without any count have no row. A vector is filled from its
-    months in order, so the work is that of the axis's length."""
+    the n-th month of the side's axis, 0 where nothing was counted. Cards without any count have no row. Base rows are dealt and sorted by
+    card; slices are made where vectors are filled, in Arrow batches, as most numbers are zeros that no expression should make one by one."""
     axis = cards.groupBy("side").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
-    t = slices(cards, columns, ["side", "month", "card_id"]).filter(" or ".join(f"{c} <> 0" for c in columns)).join(F.broadcast(axis), "side")  # two sides
-    cell = F.struct(_place(F.col("month"), F.col("first_month")).alias("at"), *columns)
-    t = t.groupBy(*SLICE, "card_id", "first_month", "last_month").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    long = _place(F.col("last_month"), F.col("first_month")) + 1
-
-    def vector(c: str) -> Column:
-        kind = "double" if cards.schema[c].dataType.typeName() == "double" else "long"
-        zero = F.lit(0).cast(kind)
-
-        def padded(x: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.try_element_at("cells", F.greatest(i, F.lit(1)))["at"]).otherwise(-1)
-            return F.concat(F.array_repeat(zero, x["at"] - before - 1), F.array(x[c].cast(kind)))
-
-        return F.concat(F.flatten(F.transform("cells", padded)), F.array_repeat(zero, long - F.element_at("cells", -1)["at"] - 1)).alias(c)
-
-    return t.select(*SLICE, "card_id", "first_month", *[vector(c) for c in columns])
+    t = dealt(cards.select(*CELL, "card_id", *columns), "card_id").join(F.broadcast(axis), "side")  # two sides
+    keys, month, first = [*SLICE, "card_id", "first_month"], F.col("month"), F.col("first_month")
+    kinds = {c: "double" if cards.schema[c].dataType.typeName() == "double" else "long" for c in columns}
+    numbers = [F.coalesce(F.col(c).cast(k), F.lit(0).cast(k)).alias(c) for c, k in kinds.items()]
+    t = t.select(*keys, (_place(F.col("last_month"), first) + 1).alias("long"), _place(month, first).alias("at"), *numbers).sortWithinPartitions("card_id")
+    schema = T.StructType([t.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(t.schema[c].dataType, False)) for c in columns])
+    return t.mapInArrow(lambda batches: vectors(batches, keys, ["restriction_id", "tier"], columns), schema)
 
 
 def from_vectors(vectors: DataFrame, columns: list[str]) -> DataFrame:
